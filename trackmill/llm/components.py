@@ -9,7 +9,7 @@ from .common import stored
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node with an edge to another; root is the component's smallest node.
+    """(node, root) for every node with an edge to another, but the roots; root is the component's smallest node.
 
     A large-star round links the larger neighbours of each node to the smallest one, a small-star round the others
     (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014). Both need a minimum for each node, which

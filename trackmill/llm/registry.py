@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, simhash
+from . import exact_dedup, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_quality_perplexity": quality.query,
     "op3_line_dedup": line_dedup.query,
+    "op5_best_fit_packing": packing.query,
     "op6_simhash": simhash.query,
+    "op7_toxicity": toxicity.query,
+    "op8_source_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
+    "op10_url_filter": url_filter.query,
 }
 
 ORACLES = {"op3_line_dedup": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
