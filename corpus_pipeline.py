@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackmill.llm.common import read, stored
 from trackmill.llm.line_dedup import line_dedup
+from trackmill.llm.mixing import mix
+from trackmill.llm.packing import pack_documents
 from trackmill.llm.simhash import drop_near_duplicates
+from trackmill.llm.toxicity import drop_toxic, learn
+
+
+def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the lexicon is learned from the labels of those at hand."""
+    return drop_toxic(docs, learn(docs, read(spark, sf_dir, "labels")), threshold=0.3)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten or more documents are taken out of all of them."""
-    out = line_dedup(docs, min_docs=10)
-    return out.select(*docs.columns)
+    """Lines found in ten or more documents are taken out of all of them; the documents stay, in the end empty ones too."""
+    return line_dedup(docs, min_docs=10).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +27,23 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
-STAGES = [("line dedup", line_stage), ("near dedup", near_stage)]
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least, small sources up to one and a half times."""
+    return mix(docs, max_repeats=1.5).select(*docs.columns)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences of 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("mixing", mix_stage),
+    ("packing", pack_stage),
+]
 
 #: No SQL: the stages learn, hash and tokenise. tests/llm/ hold each stage against a brute-force version.
 ORACLE_SQL = None

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from . import exact_dedup, license_scan, line_dedup, mixing, packing, pii, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_perplexity": quality.query,
+    "op2_license_scan": license_scan.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_pii_surrogates": pii.query,
     "op5_best_fit_packing": packing.query,
     "op6_simhash": simhash.query,
     "op7_toxicity": toxicity.query,
@@ -15,4 +17,4 @@ QUERIES = {
     "op10_url_filter": url_filter.query,
 }
 
-ORACLES = {"op3_line_dedup": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op2_license_scan": license_scan.SQL, "op3_line_dedup": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
