@@ -93,7 +93,7 @@ def normal_trials(events: DataFrame) -> DataFrame:
     clipped; a value outside 0 to 1 is a warning."""
     c = F.col
     size = F.sqrt(c("nx") * c("nx") + c("ny") * c("ny"))
-    project = lambda side: ((c(f"{side}_vx1") - c(f"{side}_vx2")) * c("nx") + (c(f"{side}_vy1") - c(f"{side}_vy2")) * c("ny")) / size
+    project = lambda side: ((c(f"{side}_vx1") - c(f"{side}_vx2")) * c("nx") + (c(f"{side}_vy1") - c(f"{side}_vy2")) * c("ny")) / F.when(size > 0, size)
     out = events.withColumns({"a": project("pre"), "b": project("post")})
     reason = F.when(~F.coalesce(size > 0, F.lit(False)), "no_normal").when(c("a").isNull() | c("b").isNull(), "state_missing").when(c("a") <= 1e-12, "no_approach")
     out = out.withColumn("skip_reason", reason)
@@ -174,7 +174,7 @@ def tangential_fit(trials: DataFrame, e_n: float, points: int = 21, zooms: int =
         costs = rows.groupBy("gt", "gm").agg(F.sum(r * r + 1e3 * F.greatest(F.lit(0.0), F.col("energy_change"))).alias("cost"))
         top = costs.agg(F.min_by(F.struct("gt", "gm"), F.struct("cost", "gt", "gm")).alias("g"), F.min("cost").alias("cost"))
         step_t, step_m = (F.col("t_high") - F.col("t_low")) / (points - 1), (F.col("m_high") - F.col("m_low")) / (points - 1)
-        best = top.crossJoin(best).select(
+        best = top.crossJoin(best.select("t_low", "t_high", "m_low", "m_high")).select(
             F.greatest(F.lit(-1.0), F.col("g.gt") - step_t).alias("t_low"), F.least(F.lit(1.0), F.col("g.gt") + step_t).alias("t_high"),
             F.greatest(F.lit(0.0), F.col("g.gm") - step_m).alias("m_low"), F.least(F.lit(1.0), F.col("g.gm") + step_m).alias("m_high"),
             F.col("g.gt").alias("e_t"), F.col("g.gm").alias("mu"), "cost",

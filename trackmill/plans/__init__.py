@@ -1,6 +1,6 @@
 """Named queries over the driver's tables."""
 
-from . import tracks  # noqa: F401
+from . import streams, studies, tracks  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Streams of frames and detections."""
