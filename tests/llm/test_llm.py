@@ -1,0 +1,499 @@
+"""Operators of the training-data package: brute force, round trips, and odd rows."""
+
+import collections
+import glob
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from trackmill.llm import components, exact_dedup, license_scan, line_dedup, mixing, packing, pii, quality, registry, simhash, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, **columns):
+    own = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(own, DOCS)
+    return df.withColumns(columns) if columns else df
+
+
+ODD = [None, "", " ", "\n\n", "a", "b b b", "word " * 3000, "A\tB C", "same text", "same  text", "same text"]
+
+
+@pytest.fixture(scope="module")
+def corpus(small):
+    return duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{small}/documents.parquet' ORDER BY doc_id").limit(10**6).fetchall()
+
+
+# ---- oracles
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_same_as_sql(spark, small, name):
+    con = duckdb.connect()
+    for p in glob.glob(f"{small}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM read_parquet('{p}')")
+    columns = sorted(con.sql(registry.ORACLES[name]).columns)
+    theirs = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLES[name]})").limit(10**9).fetchall()
+    ours = registry.QUERIES[name](spark, small)
+    assert sorted(ours.columns) == columns
+    assert sorted(map(repr, map(tuple, ours.select(*columns).collect()))) == sorted(map(repr, theirs))
+
+
+# ---- components
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 700)] + [(7, 7), (None, 3)]
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    want = sorted((x, find(x)) for x in up if find(x) != x)
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert components.connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+# ---- 1 quality
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    n = collections.Counter(windows)
+    inside = {i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside)
+
+
+def test_text_counts(corpus):
+    texts = [r[1] for r in corpus] + ODD + ["a b c d e f g h " * 3, "x y\nx y\n\n\nx y \nx y"]
+    for t in texts:
+        assert quality.text_counts((t or "").encode()) == brute_counts(t)
+
+
+def test_kneser_ney_against_a_plain_model(spark):
+    texts = ["abra cadabra abra", "banana bandana", "abracadabra ban", None, ""]
+    df = docs(spark, texts)
+    model = quality.train(df)
+    counts = {quality.ORDER: collections.Counter()}
+    for t in texts:
+        for w in (t or "").split():
+            p = quality.padded(w)
+            counts[quality.ORDER].update(p[i : i + quality.ORDER] for i in range(len(p) - quality.ORDER + 1))
+    for k in range(quality.ORDER - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    cuts = {}
+    for k, own in counts.items():
+        n = [0.0] + [float(sum(v == j for v in own.values())) for j in (1, 2, 3, 4)]
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        raw = [j - (j + 1) * y * (n[j + 1] / n[j] if n[j] else 0) for j in (1, 2, 3)]
+        cuts[k] = [min(0.95 * j, max(0.05 * j, x)) for j, x in zip((1, 2, 3), raw)]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        own = {x: n for x, n in counts[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        cut = {x: min(n, cuts[k][min(n, 3) - 1]) for x, n in own.items()}
+        return (own.get(g, 0) - cut.get(g, 0) + sum(cut.values()) * p(g[1:])) / sum(own.values())
+
+    for word in ("abra", "banana", "zebra", "xx"):
+        text = quality.padded(word)
+        want = sum(math.log(p(text[i : i + quality.ORDER])) for i in range(len(text) - quality.ORDER + 1))
+        got, n = model.word_logs("en", [word])
+        assert n[0] == len(word) + 1 and math.isclose(got[0], want, rel_tol=1e-4)
+    assert math.isclose(sum(p("ab" + c) for c in [*"abcdnr", quality.STOP]) + p("ab?"), 1, rel_tol=1e-9)
+
+
+def test_quality_verdicts(spark):
+    good = [" ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "house", "mouse"], k=60)) for i in range(40)]
+    df = docs(spark, [*good, "xq#z9 kkjw%% zzzxq " * 20, " ".join(random.Random(1).choices(["кошка", "дверь", "ночь"], k=60)), *ODD], log_perplexity=F.lit(1), n_words=F.lit("clash"))
+    out = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert len(out) == 42 + len(ODD)
+    assert all(out[i].kept and not out[i].base_failed for i in range(40))
+    assert out[40].base_failed and not out[40].kept and not out[41].base_failed and not out[41].kept
+    assert out[42].n_words == 0 and out[42].perplexity is None and not out[42].kept
+    assert quality.judge(df.limit(0)).count() == 0
+
+
+# ---- 2 licences
+
+
+def test_license_rules(spark):
+    mit = "MIT License\n\n" + license_scan.SENTENCES[13][1] + ":\n" + license_scan.SENTENCES[14][1] + "."
+    df = docs(spark, ["x.\nLicensed under the Apache License, Version 2.0.\ny", mit, "GNU General Public License\nVersion 3, 29 June 2007", "We like the MIT License very much", *ODD], licenses=F.lit(0))
+    out = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert out[0]._licenses == ["Apache-2.0"] and out[1]._licenses == ["MIT"] and out[2]._licenses == ["GPL-3.0"] and out[3]._licenses == []
+    assert out[1].sentence_ids == ["mit-title", "mit-grant", "mit-condition"] and out[4].families == []
+    assert license_scan.scan(df.limit(0)).count() == 0
+    for _, s in license_scan.SENTENCES:
+        assert any(a in s for a in license_scan.ANCHORS), s
+
+
+# ---- 3 lines
+
+
+def brute_lines(texts, min_docs, keep_first=False):
+    keys = [[line.strip(" \t\n\v\f\r") for line in (t or "").split("\n")] for t in texts]
+    keys = [[re.sub("[A-Z]", lambda m: m[0].lower(), k) for k in own] for own in keys]
+    n = collections.Counter(k for own in keys for k in set(own) if k)
+    out, seen = [], set()
+    for t, own in zip(texts, keys):
+        lines, kept = (t or "").split("\n"), []
+        for line, k in zip(lines, own):
+            if n[k] < min_docs or not k or keep_first and k not in seen:
+                kept.append(line)
+            seen.add(k)
+        out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("bits", [26, 21])
+def test_line_dedup(spark, corpus, keep_first, bits):
+    texts = [r[1] for r in corpus] + ODD + ["Shared Line \nown one", " shared line\t\nown two", "SHARED LINE", "shared line\nshared line"]
+    df = docs(spark, texts, n_lines=F.lit("clash"))
+    got = {r.doc_id: (r.text, r._n_lines, r.n_dropped) for r in line_dedup.line_dedup(df, min_docs=3, keep_first=keep_first, log2_bits=bits).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_lines(texts, 3, keep_first)
+
+
+def test_line_dedup_odd_tables(spark):
+    df = docs(spark, ["a\nb", "a\nc"])
+    twice = df.unionByName(df).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    out = line_dedup.line_dedup(twice, min_docs=4).collect()
+    assert sorted(r.text for r in out) == ["b", "b", "c", "c"]
+    assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+# ---- 4 personal data
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mail john.doe@mail.example.com or JOHN.DOE@mail.example.com, call +1 (743) 555-3824 or +1 743-555-3824.",
+        "From 10.20.30.40 with 4737097684299439 (not 4737097684299438), token 24be64439e3e49cf46b2d7c90f3602a3d0b907ff; version 1.2.3.4.5",
+        "Mary Smith met Mr. Smith. Анна Иванова и Иван Иванов. Nobody else.",
+        "john.doe@mail.example.com again", None, "", "nothing here 2.0 and 12 345",
+    ]
+    df = docs(spark, texts, n_entities=F.lit(1), h=F.lit(2))
+    out = {r.doc_id: r for r in pii.replace_entities(df).collect()}
+    a, b, c, d = (out[i].text for i in range(4))
+    assert out[4].text is None and out[5].text == "" and out[6].text == texts[6] and out[6]._n_entities == 0
+    for gone in ("john.doe", "JOHN.DOE", "555-3824", "555"):
+        assert gone not in a
+    lower, upper = re.match(r"Mail (\S+) or (\S+),", a).groups()
+    assert upper == upper.split("@")[0].upper() + upper[upper.index("@") :] and lower == upper.lower() == d.split()[0] and lower.endswith(".com")
+    p, q = re.search(r"call \+1 \((\d{3})\) (\d{3}-\d{4}) or \+1 (\d{3}-\d{3}-\d{4})\.", a).group(1, 2), re.search(r"\+1 (\d{3}-\d{3}-\d{4})\.", a)[1]
+    assert "-".join(p) == q
+    card = re.search(r"with (\d{16}) \(not (\d{16})\)", b)
+    assert card[1] != "4737097684299439" and card[1][0] == "4" and card[2] == "4737097684299438" and luhn(card[1])
+    assert "10.20.30.40" not in b and "24be6443" not in b and re.search(r"token [0-9a-f]{40};", b) and "1.2.3.4.5" in b
+    m = re.match(r"(\w+) (\w+) met Mr\. (\w+)\. (\w+) (\w+) и (\w+) (\w+)\. Nobody else\.", c)
+    assert m[2] == m[3] != "Smith" and m[1] in pii.FIRST_NAMES["latin_f"] and m[1] != "Mary"
+    assert m[4] in pii.FIRST_NAMES["cyrillic_f"] and m[6] in pii.FIRST_NAMES["cyrillic_m"] and m[5] == m[7] + "а" and m[7] != "Иванов"
+    assert pii.replace_entities(df.limit(0)).count() == 0
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return sum(d[::2] + [sum(divmod(2 * a, 10)) for a in d[1::2]]) % 10 == 0
+
+
+def test_surrogates_stay_distinct_where_candidates_collide(spark, monkeypatch):
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, form, attempt, key: F.when(attempt < 3, F.concat(F.lit("x"), attempt.cast("string"), F.lit("@b.org"))).otherwise(real(kind, form, attempt, key)))
+    own = spark.createDataFrame([("email", f"a{i}@b.org") for i in range(40)] + [("email", "x1@b.org")], "kind string, form string")
+    out = pii.surrogates(own).collect()
+    assert len(out) == 41 and len({r.surrogate for r in out}) == 41 and not {r.surrogate for r in out} & {r.form for r in out}
+
+
+# ---- 5 packing
+
+
+def test_plan_places_every_item_once():
+    rng = random.Random(2)
+    for _ in range(150):
+        cap = rng.choice([1, 7, 30, 100, 4096])
+        sizes = collections.Counter(min(cap, max(1, int(rng.paretovariate(0.8)))) if rng.random() < 0.7 else rng.randint(1, cap) for _ in range(rng.choice([0, 1, 40, 900])))
+        got, bins = collections.Counter(), {}
+        for length, at, to, each, first, offset in packing.packing_plan(dict(sizes), cap):
+            for k in range(at, to):
+                got[length, k] += 1
+                bins.setdefault(first + (k - at) // each, []).append((offset + (k - at) % each * length, length))
+        assert got == collections.Counter((s, k) for s, n in sizes.items() for k in range(n))
+        for own in bins.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= cap
+        least = -(-sum(s * n for s, n in sizes.items()) // cap)
+        assert len(bins) <= max(least, 11 * least / 9 + 1)
+
+
+def test_token_bytes_are_the_tokenizers(corpus):
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    whole = Tokenizer.from_file(path)
+    texts = [r[1] for r in corpus] + [t or "" for t in ODD] + ["it's 'Sso'd <|endoftext|> ÀÉß Σας İx é 日本  a　b 12a3", "a\x00b \x85 ﬁ Ⅳ ½ x²", "IT'S WE'LL!'s ''d"]
+    for t in texts:
+        assert np.frombuffer(packing.token_bytes(t.encode(), path), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_round_trip(spark, corpus):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_vocabulary())
+    texts = [r[1] for r in corpus][:120] + ODD
+    df = docs(spark, texts, length=F.lit("clash"), pack_shard=F.lit(1))
+    out = packing.pack_documents(df, capacity=300, with_ids=True).collect()
+    sequences, ids = {}, {}
+    for r in out:
+        assert r.ids_crc32 == zlib.crc32(r.ids) and len(r.ids) == 4 * r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        ids[r.doc_id, r.piece] = (r.start, np.frombuffer(r.ids, "<u4").tolist())
+    for own in sequences.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 300
+    for i, t in enumerate(texts):
+        own = [ids[i, k] for k in range(sum(d == i for d, _ in ids))]
+        flat = [x for _, part in own for x in part]
+        assert flat == [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+        assert [s for s, _ in own] == list(range(0, len(flat), 300))
+    tokens = sum(r.length for r in out)
+    assert len(sequences) <= 1.02 * tokens / 300 + 1
+    assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+# ---- 6 SimHash
+
+
+def brute_print(text, width=4):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints(corpus):
+    for t in [r[1] for r in corpus][:80] + ODD:
+        assert simhash.fingerprint((t or "").encode()) % 2**64 == brute_print(t)
+
+
+def test_every_pair_within_the_radius_meets():
+    rng = random.Random(3)
+    for radius in (1, 2, 4):
+        masks = simhash.covering_masks(radius)
+        for _ in range(2000):
+            flip = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(flip & m % 2**64 == 0 for m in masks)
+
+
+def test_links_span_the_components(spark):
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    for v in values[:20]:  # chains and dense clouds
+        for _ in range(25):
+            v ^= sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+            values.append(v)
+    values = sorted({v - 2**64 if v >> 63 else v for v in values})
+    up = list(range(len(values)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if ((a ^ values[j]) % 2**64).bit_count() <= 4:
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    df = spark.createDataFrame([(v,) for v in values for _ in range(2)], "fp long")
+    got = dict(map(tuple, components.connected_components(simhash.fingerprint_links(df, "fp")).collect()))
+    assert {v: got.get(v, v) for v in values} == {v: values[find(i)] for i, v in enumerate(values)}
+
+
+def test_near_duplicates_odd_rows(spark):
+    base = " ".join(f"word{i}" for i in range(400))
+    df = docs(spark, [base, base + " more", None, "", "single", base.upper(), "Single"], fp=F.lit(1), root=F.lit(2))
+    df = df.unionByName(df.where("doc_id = 0"))
+    out = {(r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()}
+    assert out == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0), (6, 4)}
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2, 4]
+    nulls = df.withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.drop_near_duplicates(nulls).count() == 3
+    assert simhash.near_duplicate_groups(df.limit(0)).count() == 0
+
+
+# ---- 7 toxicity
+
+
+def test_held_out_accuracy(spark, small):
+    big = small.replace("0.001", "0.01")
+    out = toxicity.query(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out")
+    r = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("right"), F.count("*").alias("n")).first()
+    assert r.n > 60 and r.right > 0.93
+
+
+def test_folding_and_exceptions():
+    lex = toxicity.Lexicon(((toxicity.folded("idiot"), True, 4.0), (toxicity.folded("clown"), True, 3.0), (toxicity.folded("lowei"), False, 3.0)), ("clown fish",))
+    m = lex.matcher()
+    w = lambda t: m.weight(toxicity.folded(t))
+    assert w("You IDIOT!") == w("1d10t") == w("idi0t") == w("іdіоt") == w("ＩＤＩＯＴ") == 4.0
+    assert w("idiotic") == w("an idiom") == w("a clown fish") == 0.0
+    assert w("clown, not a clown fish") == 3.0 and w("die loweischaft loweient") == 6.0 and w("alowei") == 0.0
+    assert m.score(b"idiot") > m.score(b"idiot " + b"fine " * 300) > m.score(b"fine")
+
+
+def test_toxicity_odd_rows(spark):
+    bad, good = "you utter grobnik person today", "we had a calm and quiet day"
+    texts = [f"{bad} {i}" if i % 2 else f"{good} {i}" for i in range(80)] + ODD
+    df = docs(spark, texts, score=F.lit(1), y=F.lit(2))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    lex = toxicity.learn(df, labels)
+    assert any(t == "grobnik" for t, _, _ in lex.terms)
+    kept = {r.doc_id for r in toxicity.drop_toxic(df, lex).collect()}
+    assert kept == {i for i in range(80) if i % 2 == 0} | set(range(80, 80 + len(ODD)))
+    none = toxicity.learn(df, labels.limit(0))
+    assert toxicity.with_scores(df, none, "s").count() == len(texts) and toxicity.with_scores(df.limit(0), none, "s").count() == 0
+
+
+# ---- 8 mixing
+
+
+def test_mixture_meets_its_limit(spark):
+    sizes = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 100), ("z", 0), (None, 50)], "source string, tokens long")
+    own = {r.source: r for r in mixing.mixture(sizes, max_repeats=2.0).collect()}
+    passes = {k: r.source_budget / r.tokens for k, r in own.items() if r.tokens}
+    assert math.isclose(max(passes.values()), 2, rel_tol=0.02) and math.isclose(min(passes.values()), 1, rel_tol=0.01) and own["z"].weight == 0
+    assert math.isclose(sum(r.weight for r in own.values()), 1, rel_tol=1e-9)
+    h = {r.source: r.weight for r in mixing.mixture(sizes, target_entropy=1.0, max_repeats=None, budget=500).collect()}
+    assert math.isclose(-sum(w * math.log(w) for w in h.values() if w), 1.0, abs_tol=1e-6)
+
+
+def test_mix_plan(spark):
+    rng = random.Random(6)
+    texts = ["w " * rng.randint(1, 40) for _ in range(400)]
+    own = [(i, t, "big" if i < 250 else "small" if i < 390 else None, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(own, "doc_id long, text string, source string, epoch long")
+    df = df.unionByName(df.where("doc_id = 5"))
+    plan = mixing.mix_plan(df, max_repeats=1.5, block_tokens=300).collect()
+    assert {r.doc_id for r in plan if r.epoch == 0} == set(range(400))
+    for source in ("big", "small", None):
+        for epoch in {r.epoch for r in plan if r.source == source}:
+            rows = sorted((r.start, r.n_tokens * r.copies) for r in plan if r.source == source and r.epoch == epoch)
+            at = 0
+            for start, n in rows:
+                assert start == at
+                at += n
+    assert sum(r.doc_id == 5 and r.copies == 2 for r in plan) >= 1
+    out = mixing.mix(df, max_repeats=1.5, block_tokens=300)
+    assert "_epoch" in out.columns and out.count() == sum(r.copies for r in plan)
+    assert mixing.mix(df.limit(0)).count() == 0
+    odd = mixing.mix(docs(spark, ODD), max_repeats=1.5)
+    assert {r.doc_id for r in odd.collect()} == set(range(len(ODD)))
+
+
+# ---- 9 exact
+
+
+def test_content_sort(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", 4)
+    texts = ["hot  text"] * 30 + ["hot\ntext"] * 20 + ["b", "b ", " b"] + ["c"] * 3 + ODD
+    df = docs(spark, texts, h=F.lit(0), norm=F.lit("clash")).repartition(5)
+    df = df.withColumn("doc_id", F.when(F.col("doc_id") % 9 != 4, F.col("doc_id")))
+    rows = [(None if i % 9 == 4 else i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in enumerate(texts)]
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    least = {t: min((x for x in g if x is not None), default=None) for t, g in groups.items()}
+    want = sorted((repr(i), repr(least[t]), len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    out = exact_dedup.content_sort(df).collect()
+    assert sorted((repr(r.doc_id), repr(r.keep_id), r.group_size, r.text_sha256) for r in out) == want
+    kept = collections.Counter(r.text_sha256 for r in out if r.kept)
+    assert len(kept) == len(groups) and set(kept.values()) == {1} and all(r.doc_id == r.keep_id for r in out if r.kept)
+    assert exact_dedup.content_sort(df.limit(0)).count() == 0
+
+
+# ---- 10 URLs
+
+
+def test_url_rules_and_aliases(spark):
+    page = lambda head: f"<html><head>{head}</head></html>"
+    canonical = lambda u: page(f'<link rel="canonical" href="{u}">')
+    rows = [
+        (0, "http://a.example.com/x", canonical("http://bad.net/de/1")),  # alias of a blocked address that is no page
+        (1, "https://A.EXAMPLE.com/y#top", page("<meta http-equiv='refresh' content='0; URL=/x'>")),  # two steps
+        (2, "http://c.com/1", canonical("http://example.net/en/1") + canonical("http://bad.net/1")),  # an allow wins
+        (3, "http://sub.example.net/en/5?q=1", None), (4, "http://x.net/", ""), (5, "http://notnet/de/", ""), (6, "http://www.example.com/de/1", canonical("http://good.org/fr/1")),
+        (7, None, None), (8, "no scheme", "x"), (9, "http://example.com", ""), (10, "http://good.org/fr/2?x", ""), (11, "http://d.com/1", f"<!-- {canonical('http://bad.net/1')} -->"),
+        (12, "http://e.com/1", ""), (13, "http://f.com/1", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
+    hops = spark.createDataFrame([("http://e.com/1", "http://f.com/1"), ("http://f.com/1", "https://bad.net/9"), (None, "x")], "source string, target string")
+    out = {r.page_id: r for r in url_filter.filter_urls(df, redirects=hops).collect()}
+    assert len(out) == 14
+    assert {i for i, r in out.items() if r.verdict == "block"} == {0, 1, 4, 6, 12, 13}
+    assert (out[3].rule, out[4].rule, out[6].rule, out[10].rule, out[5].rule) == ("example.net/en/", "net/", "example.com/de/", "org/fr/", None)
+    assert (out[7]._host, out[7].path, out[8]._host) == ("", "", "") and (out[1]._host, out[9].path) == ("a.example.com", "")
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+def test_plain_page_verdicts(spark, small):
+    for r in url_filter.query(spark, small).collect():
+        rule, best = None, ""
+        for verdict, h, p in url_filter.RULES:
+            if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p) and len(h + p) > len(best):
+                rule, best = verdict, h + p
+        assert (r.rule, r.verdict) == (best or None, rule or "allow")
+
+
+# ---- pipeline
+
+
+def test_pipeline_stages(spark, small):
+    docs0 = spark.read.parquet(f"{small}/documents.parquet")
+    df, sizes = docs0, []
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        df = stage(spark, df, small)
+        if i < 4:
+            assert df.columns == docs0.columns
+        sizes.append(df.count())
+    labels = spark.read.parquet(f"{small}/labels.parquet").collect()
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs0, small).collect()}
+    clean, toxic = {r.doc_id for r in labels if not r.toxic}, {r.doc_id for r in labels if r.toxic}
+    assert len(clean - kept) <= 0.05 * len(clean) and len(toxic & kept) <= 0.4 * len(toxic)
+    assert sizes[1] == sizes[0] >= sizes[2] <= sizes[3]
+    assert corpus_pipeline.run(spark, small).count() == sizes[4]

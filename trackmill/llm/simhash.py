@@ -69,7 +69,7 @@ def covering_masks(radius: int) -> list[int]:
 
 def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges from the first value of each component to its others. Searches from each value only what is not reached."""
-    out, left = [], values
+    out, left = [], values.view(np.uint64)  # bits of signed values would be counted without their sign
     while len(left) > 1:
         root, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
@@ -88,10 +88,10 @@ def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordB
         new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
         length = np.diff(np.r_[new, len(t)])
         two = new[length == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius] if len(two) else two
+        two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius] if len(two) else two
         more = [e for i, n in zip(new[length > 2], length[length > 2]) for e in _forest(fp[i : i + n], radius)]
-        a = np.r_[fp[two], np.array([x for x, _ in more], np.int64)]
-        b = np.r_[fp[two + 1] if len(two) else fp[two], np.array([y for _, y in more], np.int64)]
+        a = np.r_[fp[two], np.array([x for x, _ in more], np.uint64).view(np.int64)]
+        b = np.r_[fp[two + 1] if len(two) else fp[two], np.array([y for _, y in more], np.uint64).view(np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     held: list[list[np.ndarray]] = []
