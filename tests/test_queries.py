@@ -31,7 +31,7 @@ def plain(rows, columns):
 def test_same_as_sql(spark, small, duck, name):
     ours = [r.asDict() for r in QUERIES[name](spark, small).collect()]
     theirs = duck.sql(ORACLES[name]).limit(10**9).fetchall()
-    columns = [c[0] for c in duck.execute(ORACLES[name]).description]
+    columns = duck.sql(ORACLES[name]).columns
     theirs = [dict(zip(columns, r)) for r in theirs]
     if ours:
         assert sorted(ours[0]) == sorted(columns)
