@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators import estimators, merge, pairs, quality, scoring, segments
+from ..operators import estimators, intake, merge, pairs, quality, scoring, segments, trials
 from ..sources import adapters as A
 from ..sources import tables
 from .registry import query
@@ -385,3 +385,149 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
 def f19(spark: SparkSession, d: str) -> DataFrame:
     t = impacts(spark, d).where("event_id % 2 = 0").withColumn("slip", F.col("c"))
     return estimators.design_coverage(t).select(F.array_join("missing", ",").alias("missing"))
+
+
+# ---- intake, trials and release
+
+
+@query("f12_size_cluster", sql(""", s AS (SELECT DISTINCT video_id, frame_index AS sample, round(x / 10, 3) AS r FROM obs_hour WHERE x > 20), c AS (SELECT video_id, seed, count(DISTINCT sample) AS n FROM s JOIN (SELECT DISTINCT video_id, r AS seed FROM s) USING (video_id) WHERE r > 0.72 * seed AND r < 1.38 * seed GROUP BY ALL),
+b AS (SELECT video_id, seed FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n DESC, seed) AS k FROM c) WHERE k = 1)
+SELECT event_id, seed FROM obs_hour JOIN b USING (video_id) WHERE x > 20 AND x / 10 > 0.72 * seed AND x / 10 < 1.38 * seed""", "obs_hour"))
+def f12(spark: SparkSession, d: str) -> DataFrame:
+    dets = A.obs_hour(spark, d).where("x > 20").select("event_id", "video_id", F.col("frame_index").alias("sample"), (F.col("x") / 10).alias("radius"))
+    return intake.size_cluster(dets).select("event_id", "seed")
+
+
+@query("f13_vote_with_retry", sql(""", m AS (SELECT video_id, frame_index, count(*) FILTER (WHERE video_id > 4 OR frame_index % 9 <> 0) AS count FROM obs_hour GROUP BY 1, 2), a AS (SELECT * FROM m WHERE frame_index % 9 = 0),
+na AS (SELECT video_id, count, count(*) AS k, sum(count(*)) OVER (PARTITION BY video_id) AS t FROM a GROUP BY 1, 2), nm AS (SELECT video_id, count, count(*) AS k, sum(count(*)) OVER (PARTITION BY video_id) AS t FROM m GROUP BY 1, 2),
+va AS (SELECT video_id, coalesce(max(count) FILTER (WHERE count > 0 AND k >= greatest(2, ceil(t * 0.1))), max(count)) AS v FROM na GROUP BY 1), vm AS (SELECT video_id, coalesce(max(count) FILTER (WHERE count > 0 AND k >= greatest(2, ceil(t * 0.1))), max(count)) AS v FROM nm GROUP BY 1)
+SELECT video_id, CASE WHEN va.v > 0 THEN va.v ELSE vm.v END AS answer, NOT coalesce(va.v > 0, false) AS retried FROM va FULL JOIN vm USING (video_id)""", "obs_hour"))
+def f13(spark: SparkSession, d: str) -> DataFrame:
+    seen = (F.col("video_id") > 4) | (F.col("frame_index") % 9 != 0)
+    many = A.obs_hour(spark, d).groupBy("video_id", "frame_index").agg(F.count_if(seen).alias("count"))
+    return intake.vote_with_retry(many.where("frame_index % 9 = 0"), many).select("video_id", "answer", "retried")
+
+
+@query("f21_consensus")
+def f21(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates of a video are its first 40 events."""
+    o = A.obs_seq(spark, d).where("frame_index < 4")
+    k = F.col("event_id")
+    c = o.select("video_id", k.alias("cand_id"), (k % 2).alias("orientation"), (100 + k % 5).cast("double").alias("v0"), (k % 3).cast("double").alias("v1"), (k % 4).cast("double").alias("v2"), (100 + k % 7).cast("double").alias("v3"))
+    return intake.consensus(c)
+
+
+@query("f22_lattice_pitch")
+def f22(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_seq(spark, d).where("frame_index < 60")
+    offset = F.col("frame_index") % 20 * 1.0 + (F.col("event_id") % 11 - 5) * 0.008
+    return intake.lattice_pitch(o.select("track_id", offset.alias("offset")), ["track_id"], 1.0).select("track_id", r6(F.col("pitch")).alias("pitch"), "intervals", r6(F.col("relative_error")).alias("relative_error"), "status")
+
+
+@query("g11_motion_onset")
+def g11(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_seq(spark, d)
+    dets = o.select("video_id", F.col("track_id").alias("track"), (F.col("frame_index") * 4).alias("frame"), "x", "y", "radius", F.lit(0.9).alias("coverage"), F.lit(0.1).alias("residual"))
+    return intake.motion_onset(dets, o.groupBy("video_id").agg((F.max("frame_index") * 4 + 1).alias("total")))
+
+
+@query("g8_change_points")
+def g8(spark: SparkSession, d: str) -> DataFrame:
+    """Held against numpy's least squares in the tests."""
+    o = A.obs_seq(spark, d).withColumns({"status": F.lit("observed"), "source": F.lit("observation"), "identity_status": F.lit("ok"), "assignment_ambiguous": F.lit(False), "observable": F.lit(True), "surface_status": F.lit("inside_floor")})
+    e = o.where("event_id % 9 = 0 AND track_id % 10 < 5").select("video_id", "event_id", F.col("track_id").alias("a"), ((F.col("track_id") + 10) % 150).alias("b"), F.greatest(F.lit(0), F.col("frame_index") - 2).alias("frame_start"), (F.col("frame_index") + 3).alias("frame_end"))
+    return intake.change_points(e.where("a <> b"), o)
+
+
+@query("k1_free_trials", sql(RUNS + """, n AS (SELECT track_id, video_id, session_id, segment, min(frame_index) AS a, max(frame_index) AS b, count(*) AS n FROM s GROUP BY ALL)
+SELECT video_id || '_' || track_id || '_f' || a AS trial_id, session_id, a AS frame_from, b AS frame_to, n FROM n WHERE n >= 6""", "obs_seq"))
+def k1(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks longer than any segment, so that SQL can say the same."""
+    return trials.free_trials(A.obs_seq(spark, d), duration=1e9, min_rows=6, prefix=4).select("trial_id", "session_id", "frame_from", "frame_to", "n")
+
+
+@query("k16_score_frozen", sql(RUNS + """, p AS (SELECT *, row_number() OVER (PARTITION BY track_id, segment ORDER BY frame_index) AS place, count(*) OVER (PARTITION BY track_id, segment) AS n, min(frame_index) OVER (PARTITION BY track_id, segment) AS f FROM s),
+a AS (SELECT track_id, segment, max(t_s) AS t0, regr_slope(x, t_s) AS vx, regr_slope(y, t_s) AS vy, avg(x) AS mx, avg(y) AS my, avg(t_s) AS mt FROM p WHERE place <= 4 AND n >= 6 GROUP BY ALL)
+SELECT p.video_id || '_' || p.track_id || '_f' || f AS trial_id, count(*) AS scored, round(sqrt(avg((x - (mx + vx * (t_s - mt))) * (x - (mx + vx * (t_s - mt))) + (y - (my + vy * (t_s - mt))) * (y - (my + vy * (t_s - mt))))), 4) AS rmse FROM p JOIN a USING (track_id, segment) WHERE place > 4 GROUP BY ALL""", "obs_seq"))
+def k16(spark: SparkSession, d: str) -> DataFrame:
+    rows = usable_rows(spark, d)
+    t = trials.free_trials(A.obs_seq(spark, d), duration=1e9, min_rows=6, prefix=4)
+    return trials.score_frozen(t, rows, 4).select("trial_id", "scored", r6(F.col("rmse"), 4).alias("rmse"))
+
+
+@query("f10_coefficient_status", sql(""", t AS (SELECT CASE WHEN track_id % 2 = 0 THEN 'mu' ELSE 'e' END AS coefficient, track_id, video_id, session_id, frame_index, CASE WHEN measurement_warning IS NOT NULL THEN measurement_warning END AS reason FROM obs_seq)
+SELECT coefficient, count(DISTINCT track_id) AS trials, count(DISTINCT video_id) AS videos, count(DISTINCT session_id) AS sessions, count(*) AS used, count(reason) AS warned, round(count(reason) / count(*), 6) AS fraction, string_agg(DISTINCT reason, ',') AS reasons FROM t GROUP BY 1""", "obs_seq"))
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_seq(spark, d)
+    t = o.select(F.when(F.col("track_id") % 2 == 0, "mu").otherwise("e").alias("coefficient"), F.col("track_id").alias("trial_id"), "video_id", "session_id").distinct()
+    refs = o.select(F.col("track_id").alias("trial_id"), "video_id", "track_id", "frame_index", F.col("measurement_warning").alias("reason"))
+    return trials.coefficient_status(t, refs).withColumns({"fraction": r6(F.col("fraction")), "reasons": F.array_join("reasons", ",")})
+
+
+@query("b10_trial_gate", sql("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'time_not_verified' WHEN event_id % 5 = 0 THEN 'geometry_not_verified' WHEN source = 'tracking_prediction' THEN 'prediction_is_no_observation' WHEN event_id % 7 = 0 THEN 'sigma_not_positive' END AS problem FROM obs_all""", "obs_all"))
+def b10(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    o = A._observations(spark, d).select("event_id", "source", F.when(k % 4 == 0, "declared").otherwise("verified").alias("time_status"), F.when(k % 5 != 0, "verified").alias("geometry_status"), F.array(F.lit(0.1), F.when(k % 7 == 0, 0.0).otherwise(1.0)).alias("sigmas"))
+    return o.select("event_id", trials.trial_gate().alias("problem"))
+
+
+@query("b12_reject_noncontact")
+def b12(spark: SparkSession, d: str) -> DataFrame:
+    e = numbered(spark, d)
+    return trials.reject_noncontact(e, A.obs_hour(spark, d), 0.2, quiet=400.0).groupBy("video_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("b14_validate_settings", sql(""", t AS (SELECT DISTINCT track_id, video_id FROM obs_all)
+SELECT track_id::VARCHAR AS subject, 'not_positive' AS problem FROM t WHERE track_id % 31 = 0 UNION ALL SELECT video_id::VARCHAR, 'unknown_participant' FROM t WHERE video_id % 4 = 1 GROUP BY 1 UNION ALL SELECT video_id::VARCHAR, 'repeated_participant' FROM t WHERE video_id % 3 = 1 GROUP BY 1 UNION ALL SELECT video_id::VARCHAR, 'empty_interval' FROM t WHERE video_id = 7 GROUP BY 1""", "obs_all"))
+def b14(spark: SparkSession, d: str) -> DataFrame:
+    own = A._observations(spark, d).select("track_id", "video_id").distinct()
+    tracks = own.select("track_id", F.when(F.col("track_id") % 31 == 0, 0.0).otherwise(1.0).alias("mass"), F.lit(0.02).alias("radius"))
+    part = own.groupBy("video_id").agg(F.array_sort(F.collect_list("track_id")).alias("p"))
+    v = F.col("video_id")
+    p = F.concat("p", F.when(v % 4 == 1, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>")), F.when(v % 3 == 1, F.array(F.col("p")[0])).otherwise(F.array().cast("array<bigint>")))
+    return trials.validate_settings(part.select("video_id", p.alias("participants"), F.lit(5).alias("start"), F.when(v == 7, 2).otherwise(9).alias("end")), tracks)
+
+
+@query("b15_compatible", sql("SELECT event_id, (event_id % 3 = 0 OR video_id % 2 = 0) AND (video_id % 5 < 3 OR event_id % 2 = 0) AS compatible FROM obs_all", "obs_all"))
+def b15(spark: SparkSession, d: str) -> DataFrame:
+    k, v = F.col("event_id"), F.col("video_id")
+    frames = A._observations(spark, d).select("event_id", "video_id", F.when(k % 3 == 0, 1920).otherwise(1280).alias("width"), F.lit(1080).alias("height"), F.when(k % 2 == 0, "slow").otherwise("fast").alias("mode"))
+    calib = frames.select("video_id").distinct().select("video_id", F.when(v % 2 != 0, 1920).alias("width"), F.lit(None).cast("int").alias("height"), F.when(v % 5 == 1, "pending").when(v % 5 >= 3, "slow").alias("mode"))
+    return trials.compatible(frames, calib).select("event_id", "compatible")
+
+
+@query("c18_effective", sql("SELECT DISTINCT video_id, CASE WHEN video_id % 3 = 0 THEN 'own' ELSE 'project' END AS time_block, CASE WHEN video_id % 4 = 0 THEN 'own' ELSE 'project' END AS analysis FROM obs_all", "obs_all"))
+def c18(spark: SparkSession, d: str) -> DataFrame:
+    v = A._observations(spark, d).select("video_id").distinct()
+    v = v.withColumns({"time_block": F.when(F.col("video_id") % 3 == 0, "own"), "analysis": F.when(F.col("video_id") % 4 == 0, "own")})
+    return trials.effective(v, spark.createDataFrame([("project", "project")], "time_block string, analysis string"), ["time_block", "analysis"])
+
+
+@query("f6_readout_bound", sql(""", r AS (SELECT video_id, max(x) AS s FROM obs_all GROUP BY 1) SELECT video_id, CASE WHEN video_id % 2 = 0 THEN round(s * 0.01, 6) END AS position, CASE WHEN video_id % 2 = 0 THEN round(12 * 0.01, 6) END AS angle, CASE WHEN video_id % 2 = 0 THEN 'bound_only_not_corrected' ELSE 'unmeasured' END AS status FROM r""", "obs_all"))
+def f6(spark: SparkSession, d: str) -> DataFrame:
+    s = A._observations(spark, d).groupBy("video_id").agg(F.max("x").alias("s"))
+    p, a, status = trials.readout_bound(F.col("s"), F.when(F.col("video_id") % 2 == 0, 0.01), F.lit(12.0))
+    return s.select("video_id", r6(p).alias("position"), r6(a).alias("angle"), status.alias("status"))
+
+
+@query("i2_split_roles", sql("SELECT key, CASE WHEN session_id IN (3, 7) AND role = 'train' THEN 'locked_session' END AS problem FROM submissions", "submissions"))
+def i2(spark: SparkSession, d: str) -> DataFrame:
+    s = A.submissions(spark, d)
+    return trials.split_roles(s, s.where("session_id IN (3, 7)")).select("key", "problem")
+
+
+@query("k18_build_bank", sql(""", v AS (SELECT track_id::VARCHAR AS coefficient, avg(x) AS value, count(*) AS n FROM obs_all GROUP BY 1) SELECT coefficient, round(value, 6) AS value, CASE WHEN n < 60 OR coefficient::INT % 9 = 0 THEN 'withheld' ELSE 'provisional' END AS release, CASE WHEN n < 60 THEN 'too_few_trials' WHEN coefficient::INT % 9 = 0 THEN 'on_bound' END AS reason FROM v""", "obs_all"))
+def k18(spark: SparkSession, d: str) -> DataFrame:
+    v = A._observations(spark, d).groupBy(F.col("track_id").cast("string").alias("coefficient")).agg(F.avg("x").alias("value"), F.count("*").alias("n"))
+    e = v.withColumn("on_bound", F.col("coefficient").cast("int") % 9 == 0)
+    bank = trials.build_bank(e.select("coefficient", "value", "on_bound"), v.select("coefficient", F.when(F.col("n") < 60, 0).otherwise(F.col("n")).alias("trials")))
+    return bank.select("coefficient", r6(F.col("value")).alias("value"), "release", "reason")
+
+
+@query("k14_staged_bootstrap")
+def k14(spark: SparkSession, d: str) -> DataFrame:
+    t = impacts(spark, d).where("event_id % 4 = 0").withColumns({"sa": F.lit(0.05), "sb": F.lit(0.05)})
+    groups = t.select(F.col("session_id").alias("group_id")).distinct()
+    one = Window.partitionBy(F.lit(0))
+    groups = groups.withColumns({"place": F.row_number().over(one.orderBy("group_id")) - 1, "size": F.count("*").over(one)})
+    return trials.staged_bootstrap(t, estimators.draws(groups, 5, 3)).withColumn("e", r6(F.col("e"), 4))
