@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from trackmill.operators import intake, pairs, timebase, trials
+from trackmill.operators import intake, pairs, refine, timebase, trials
 from trackmill.streaming import timing
 
 
@@ -170,3 +170,31 @@ def test_streamed_events_are_the_closed_batch_ones(spark, tmp_path):
             if gap < e[3]:
                 e[2:] = [f, gap]
     assert sorted((r.frame_start, r.frame_end, r.closest_frame, r.min_gap) for r in got) == sorted(want)
+
+
+def test_refined_contact(spark):
+    """Two discs that meet at 0.2 s: restitution 0.8, a slip of 0.02, and a boundary one frame wide."""
+    own = []
+    for f in range(41):
+        t = f * 0.01
+        before, dt = t < 0.2, t - 0.2
+        own += [(1, 0, f, t, (1.0 if before else 0.1) * dt - 0.02, (0.02 if before else 0.01) * dt, 0.02), (1, 1, f, t, (0.0 if before else 0.9) * dt + 0.02, 0.0, 0.02)]
+    df = spark.createDataFrame([r for r in own if r[2] != 20], "video_id long, track_id long, frame_index long, t_s double, x double, y double, radius double")
+    df = df.withColumns({"status": F.lit("observed"), "source": F.lit("observation"), "identity_status": F.lit("ok"), "assignment_ambiguous": F.lit(False), "observable": F.lit(True), "surface_status": F.lit("inside_floor")})
+    e = spark.createDataFrame([(1, 7, 0, 1, 19, 21), (1, 8, 0, 1, 1, 2)], "video_id long, event_id long, a long, b long, pre_end long, post_start long")
+    out = {r.event_id: r for r in refine.refine_events(e, df, 0.08).collect()}
+    r = out[7]
+    assert r.kind == "isolated_binary" and abs(r.time_s - 0.2) < 1e-6 and abs(r.approach - 1) < 1e-6 and abs(r.e_obs - 0.8) < 1e-6 and abs(r.slip - 0.02) < 1e-6
+    assert (r.boundary_from, r.boundary_to) == (19, 21) and abs(r.nx - 1) < 1e-9 and "post_state_not_separating" not in r.warnings
+    assert out[8].kind == "unmeasurable" and out[8].time_s is None
+
+
+def test_height_plane(spark):
+    from trackmill.functions import predicates as P
+
+    one = [F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, -1.0)]
+    df = spark.createDataFrame([(0.5, 0.25)], "px double, py double")
+    x, y = P.to_world_height(F.col("px"), F.col("py"), one, (F.lit(0.0), F.lit(0.0), F.lit(2.0)), F.lit(0.0))
+    up, _ = P.to_world_height(F.col("px"), F.col("py"), one, (F.lit(0.0), F.lit(0.0), F.lit(2.0)), F.lit(3.0))
+    r = df.select(x.alias("x"), y.alias("y"), up.alias("up")).first()
+    assert (r.x, r.y, r.up) == (1.0, 0.5, None)

@@ -105,3 +105,13 @@ def to_world_cov(px: Column, py: Column, sigma: Column, h: list[Column], step: f
     jxx, jyx, jxy, jyy = (x1 - x0) / step, (y1 - y0) / step, (x2 - x0) / step, (y2 - y0) / step
     v = sigma * sigma
     return v * (jxx * jxx + jxy * jxy), v * (jyx * jyx + jyy * jyy), v * (jxx * jyx + jxy * jyy)
+
+
+def to_world_height(px: Column, py: Column, m: list[Column], camera: tuple[Column, Column, Column], height: Column) -> tuple[Column, Column]:
+    """Where the ray through a pixel meets the plane z = height: m holds the nine columns that turn (px, py, 1) into a direction in the
+    world, camera its centre. Null for parallel rays and planes behind the camera."""
+    dx, dy, dz = (m[3 * k] * px + m[3 * k + 1] * py + m[3 * k + 2] for k in range(3))
+    cx, cy, cz = camera
+    s = F.when(F.abs(dz) >= 1e-12, (height - cz) / dz)
+    ok = F.coalesce(s > 0, F.lit(False))
+    return F.when(ok, cx + s * dx), F.when(ok, cy + s * dy)

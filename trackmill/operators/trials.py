@@ -155,3 +155,65 @@ def staged_bootstrap(normal: DataFrame, draws: DataFrame) -> DataFrame:
     they are drawn. The draw is one more key of the same estimate."""
     own = draws.join(normal.withColumnRenamed("session_id", "group_id"), "group_id")
     return estimators.normal_restitution(own, ["boot_id"]).select("boot_id", "e")
+
+
+def free_trial_range(rows: DataFrame, ranges: DataFrame, barriers: DataFrame, least: int = 6, most: int = 5_000) -> DataFrame:
+    """(range_id, n, problem) of ranges (range_id, video_id, track_id, frame_from, frame_to) chosen by hand: every frame must be a usable row with rising time,
+    least to most of them, and no barrier may lie within."""
+    own = ranges.withColumn("frame_index", F.explode(F.sequence("frame_from", "frame_to")))
+    own = own.join(rows.where(usable(orientation=True)).select(*TRACK, "frame_index", "t_s"), [*TRACK, "frame_index"], "left")
+    order = Window.partitionBy("range_id").orderBy("frame_index")
+    own = own.withColumn("falls", F.coalesce(F.col("t_s") <= F.lag("t_s").over(order), F.lit(False)))
+    n = own.groupBy("range_id").agg(F.count("t_s").alias("n"), F.count("*").alias("frames"), F.bool_or("falls").alias("falls"))
+    cut = barriers.select(*TRACK, "start", "end").join(ranges, [*TRACK]).where("start <= frame_to AND end >= frame_from").select("range_id").distinct().withColumn("cut", F.lit(True))
+    out = n.join(cut, "range_id", "left")
+    problem = F.when(F.col("cut"), "event_in_range").when(F.col("n") < F.col("frames"), "missing_rows").when(F.col("falls"), "time_falls").when((F.col("n") < least) | (F.col("n") > most), "row_count")
+    return out.select("range_id", "n", problem.alias("problem"))
+
+
+def bootstrap_shared(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+    """rows (group_id, t, x, y, sigma, shared_scale, shared_clock) of each draw (boot_id, slot, group_id), with one log-normal scale and one clock factor for each drawn group:
+    positions and sigmas are scaled, times stretched. Factors are counter based, so any task can repeat them."""
+
+    def normal(kind: int) -> Column:
+        return sum((F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), F.lit(i), "boot_id", "slot"), F.lit(1 << 30)) / float(1 << 30) for i in range(12)), F.lit(-6.0))
+
+    own = draws.withColumns({"z_scale": normal(0), "z_clock": normal(1)}).join(rows, "group_id")
+    scale, clock = F.exp(F.col("z_scale") * F.col("shared_scale")), F.exp(F.col("z_clock") * F.col("shared_clock"))
+    own = own.withColumns({"scale": scale, "clock": clock})
+    return own.withColumns({"t": F.col("t") * F.col("clock"), "x": F.col("x") * F.col("scale"), "y": F.col("y") * F.col("scale"), "sigma": F.col("sigma") * F.col("scale")}).drop("z_scale", "z_clock")
+
+
+def fit_dataset(trials: DataFrame, holdout: DataFrame, least: int = 3) -> DataFrame:
+    """(estimate, n_train, n_holdout, rmse, ready): the hierarchical estimate of the trials (session_id, video_id, value, variance) outside the holdout sessions, scored on
+    those within; ready if both sides have `least` trials and at least two training sessions."""
+    held = trials.join(holdout.select("session_id").distinct(), "session_id", "left_semi")
+    train = trials.join(holdout.select("session_id").distinct(), "session_id", "left_anti")
+    e = estimators.hierarchy(train).select("estimate", F.col("n_rows").alias("n_train"), "n_sessions")
+    scored = held.crossJoin(F.broadcast(e)).agg(F.count("*").alias("n_holdout"), F.sqrt(F.avg((F.col("value") - F.col("estimate")) * (F.col("value") - F.col("estimate")))).alias("rmse"))
+    out = e.crossJoin(scored)
+    return out.withColumn("ready", (F.col("n_train") >= least) & (F.col("n_holdout") >= least) & (F.col("n_sessions") >= 2)).drop("n_sessions")
+
+
+def save_labels(labels: DataFrame, new: DataFrame, locked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(labels, refused): new rows (video_id, frame_index, track_id, radius, ...) replace all of their frame's. Frames of locked videos, ids that repeat in a frame, and radii that
+    are not positive are refused, whole frames at a time."""
+    frame = ["video_id", "frame_index"]
+    twice = new.groupBy(*frame, "track_id").agg(F.count("*").alias("n")).where("n > 1").select(*frame, F.lit("repeated_id").alias("problem"))
+    flat = new.where("radius IS NULL OR radius <= 0").select(*frame, F.lit("not_positive").alias("problem"))
+    shut = new.join(locked.select("video_id"), "video_id", "left_semi").select(*frame, F.lit("locked").alias("problem"))
+    refused = twice.unionByName(flat).unionByName(shut).distinct()
+    good = new.join(refused.select(*frame).distinct(), frame, "left_anti")
+    kept = labels.join(good.select(*frame).distinct(), frame, "left_anti")
+    return kept.unionByName(good, allowMissingColumns=True), refused
+
+
+def project_status(videos: DataFrame, project: DataFrame) -> DataFrame:
+    """(time_state, geometry_state, n_stale, n_review, next_action) of one project row (time_status, geometry_status) and its videos (status, review_frames, stale)."""
+    v = videos.agg(F.count("*").alias("n"), F.count_if("stale").alias("n_stale"), F.count_if(F.col("review_frames") > 0).alias("n_review"), F.coalesce(F.bool_and(F.col("status") == "complete"), F.lit(False)).alias("all_done"))
+    time = F.when(F.col("time_status").isin("verified", "synthetic_known_clock"), "done").when(F.col("time_status") == "declared", "provisional").otherwise("needed")
+    space = F.when(F.col("geometry_status").isin("verified", "synthetic"), "done").otherwise("needed")
+    action = (
+        F.when(F.col("n_stale") > 0, "analyse_again").when(space != "done", "calibrate").when((F.col("n") > 0) & F.col("all_done") & (F.col("n_review") == 0), "split_and_fit").when(F.col("n_review") > 0, "review_frames").otherwise("analyse")
+    )
+    return project.crossJoin(v).select(time.alias("time_state"), space.alias("geometry_state"), "n_stale", "n_review", action.alias("next_action"))

@@ -101,3 +101,13 @@ def angular_derivatives(rows: DataFrame, bound: float | None, window_s: float =
     status = status.when(F.lit(bound is None) | (F.col("aliases") > 0), "alias_ambiguous").otherwise("unwrap_conditional_on_speed_bound")
     out = out.withColumn("angle_status", status)
     return out.withColumn("fit_angle", F.when(F.col("angle_status").startswith("unwrap"), F.col("fit_angle"))).drop("alias", "aliases")
+
+
+def pixel_fallback(rows: DataFrame, window_s: float = 0.08, min_samples: int = 5) -> DataFrame:
+    """rows with px, py, x, y, segment and sigma, and the derivatives of both: fit_x, fit_y in metres where there are world positions, and
+    fit_px, fit_py; unit tells which of them speaks for the row."""
+    metres = local_derivatives(rows.where("x IS NOT NULL AND y IS NOT NULL"), window_s, min_samples)
+    metres = metres.select(*TRACK, "frame_index", "fit_x", "fit_y")
+    pixels = _fitted(rows.withColumn("island", F.col("segment")), ("px", "py"), window_s, min_samples, 161)
+    out = pixels.join(metres, [*TRACK, "frame_index"], "left")
+    return out.withColumn("unit", F.when(F.col("fit_x").isNotNull(), "m").when(F.col("fit_px").isNotNull(), "px"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import predicates as P
-from ..operators import estimators, intake, merge, pairs, quality, scoring, segments, trials
+from ..operators import estimators, intake, merge, pairs, quality, refine, scoring, segments, trials, windows
 from ..sources import adapters as A
 from ..sources import tables
 from .registry import query
@@ -435,7 +435,9 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
 def g8(spark: SparkSession, d: str) -> DataFrame:
     """Held against numpy's least squares in the tests."""
     o = A.obs_seq(spark, d).withColumns({"status": F.lit("observed"), "source": F.lit("observation"), "identity_status": F.lit("ok"), "assignment_ambiguous": F.lit(False), "observable": F.lit(True), "surface_status": F.lit("inside_floor")})
-    e = o.where("event_id % 9 = 0 AND track_id % 10 < 5").select("video_id", "event_id", F.col("track_id").alias("a"), ((F.col("track_id") + 10) % 150).alias("b"), F.greatest(F.lit(0), F.col("frame_index") - 2).alias("frame_start"), (F.col("frame_index") + 3).alias("frame_end"))
+    bend = F.abs(F.col("frame_index") - 25 - F.col("track_id") % 3) * 1.0
+    o = o.withColumns({"x": bend + F.col("x") * 1e-3, "y": F.col("y") * 1e-3, "t_s": F.col("frame_index") / 240})
+    e = o.where("frame_index = 25").select("video_id", "event_id", F.col("track_id").alias("a"), ((F.col("track_id") + 10) % 150).alias("b"), F.lit(20).cast("long").alias("frame_start"), F.lit(32).cast("long").alias("frame_end"))
     return intake.change_points(e.where("a <> b"), o)
 
 
@@ -531,3 +533,73 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
     one = Window.partitionBy(F.lit(0))
     groups = groups.withColumns({"place": F.row_number().over(one.orderBy("group_id")) - 1, "size": F.count("*").over(one)})
     return trials.staged_bootstrap(t, estimators.draws(groups, 5, 3)).withColumn("e", r6(F.col("e"), 4))
+
+
+@query("g9_refine_events")
+def g9(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs that come near in frames of their own tracks; held against a search in the tests."""
+    o = A.obs_seq(spark, d).withColumns({"status": F.lit("observed"), "source": F.lit("observation"), "identity_status": F.lit("ok"), "assignment_ambiguous": F.lit(False), "observable": F.lit(True), "surface_status": F.lit("inside_floor"), "t_s": F.col("frame_index") / 100})
+    e = o.where("event_id % 9 = 0").select("video_id", "event_id", F.col("track_id").alias("a"), ((F.col("track_id") + 10) % 150).alias("b"), F.col("frame_index").alias("pre_end"), (F.col("frame_index") + 1).alias("post_start")).where("a <> b")
+    out = refine.refine_events(e, o, 0.08)
+    return out.select("event_id", "kind", r6(F.col("time_s"), 3).alias("time_s"), "boundary_from", "boundary_to", F.size("warnings").alias("n_warnings"))
+
+
+@query("k2_free_trial_range", sql(""", r AS (SELECT event_id AS range_id, track_id, frame_index AS a, frame_index + 3 AS b FROM obs_seq WHERE event_id % 20 = 0), u AS (SELECT * FROM obs_seq WHERE {usable}), bars AS (SELECT track_id, frame_index AS f FROM obs_seq WHERE event_id % 33 = 0),
+n AS (SELECT range_id, r.track_id, a, b, count(u.event_id) AS n FROM r LEFT JOIN u ON u.track_id = r.track_id AND u.frame_index BETWEEN a AND b GROUP BY ALL)
+SELECT range_id, n, CASE WHEN EXISTS (SELECT 1 FROM bars WHERE bars.track_id = n.track_id AND f BETWEEN a AND b) THEN 'event_in_range' WHEN n < 4 THEN 'missing_rows' END AS problem FROM n""", "obs_seq"))
+def k2(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_seq(spark, d)
+    ranges = o.where("event_id % 20 = 0").select(F.col("event_id").alias("range_id"), "video_id", "track_id", F.col("frame_index").alias("frame_from"), (F.col("frame_index") + 3).alias("frame_to"))
+    bars = o.where("event_id % 33 = 0").select("video_id", "track_id", F.col("frame_index").alias("start"), F.col("frame_index").alias("end"))
+    return trials.free_trial_range(o, ranges, bars, least=4)
+
+
+@query("k19_fit_dataset", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv WHERE session_id <> 2 GROUP BY ALL), s AS (SELECT session_id, avg(m) AS m FROM v GROUP BY 1), e AS (SELECT avg(m) AS e FROM s)
+SELECT round(e, 6) AS estimate, (SELECT count(*) FROM hv WHERE session_id <> 2) AS n_train, count(*) AS n_holdout, round(sqrt(avg((value - e) * (value - e))), 6) AS rmse, true AS ready FROM hv, e WHERE session_id = 2 GROUP BY e""", "obs_all"))
+def k19(spark: SparkSession, d: str) -> DataFrame:
+    v = values(spark, d)
+    out = trials.fit_dataset(v, v.where("session_id = 2").select("session_id"))
+    return out.select(r6(F.col("estimate")).alias("estimate"), "n_train", "n_holdout", r6(F.col("rmse")).alias("rmse"), "ready")
+
+
+@query("f16_save_labels", sql(""", n AS (SELECT video_id, frame_index, track_id, x FROM obs_hour WHERE event_id % 3 = 0), bad AS (SELECT DISTINCT video_id, frame_index FROM n WHERE x <= 5 OR video_id = 2)
+SELECT video_id, frame_index, track_id, 'new' AS origin FROM n WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.video_id = n.video_id AND bad.frame_index = n.frame_index)
+UNION ALL SELECT video_id, frame_index, track_id, 'old' FROM obs_hour o WHERE event_id % 3 = 1 AND NOT EXISTS (SELECT 1 FROM n WHERE n.video_id = o.video_id AND n.frame_index = o.frame_index AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.video_id = n.video_id AND bad.frame_index = n.frame_index))""", "obs_hour"))
+def f16(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_hour(spark, d)
+    rows = lambda k, origin: o.where(F.col("event_id") % 3 == k).select("video_id", "frame_index", "track_id", F.when(F.col("x") > 5, F.col("x")).otherwise(0.0).alias("radius"), F.lit(origin).alias("origin"))
+    out, _ = trials.save_labels(rows(1, "old"), rows(0, "new"), o.where("video_id = 2").select("video_id").distinct())
+    return out.select("video_id", "frame_index", "track_id", "origin")
+
+
+@query("f7_project_status", sql("""SELECT 'provisional' AS time_state, 'done' AS geometry_state, count(*) FILTER (WHERE video_id % 4 = 9) AS n_stale, count(*) AS n_review, 'review_frames' AS next_action FROM (SELECT DISTINCT video_id FROM obs_all)""", "obs_all"))
+def f7(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_seq(spark, d)
+    r = quality.issues(o, cap=None).groupBy("video_id").agg(F.count_distinct("frame_index").alias("review_frames"))
+    v = r.select("video_id", F.lit("complete").alias("status"), "review_frames", (F.col("video_id") % 4 == 9).alias("stale"))
+    return trials.project_status(v, spark.createDataFrame([("declared", "verified")], "time_status string, geometry_status string"))
+
+
+@query("c11_height_plane", sql(""", t AS (SELECT event_id, 0.01 * x - 1 AS dx, 0.01 * y - 0.5 AS dy, 0.002 * x - 0.2 AS dz FROM obs_all) SELECT event_id, CASE WHEN abs(dz) >= 1e-12 AND (0.1 - 2) / dz > 0 THEN round(0.5 + (0.1 - 2) / dz * dx, 5) + 0.0 END AS wx, CASE WHEN abs(dz) >= 1e-12 AND (0.1 - 2) / dz > 0 THEN round(0.25 + (0.1 - 2) / dz * dy, 5) + 0.0 END AS wy FROM t""", "obs_all"))
+def c11(spark: SparkSession, d: str) -> DataFrame:
+    m = [F.lit(v) for v in (0.01, 0.0, -1.0, 0.0, 0.01, -0.5, 0.002, 0.0, -0.2)]
+    x, y = P.to_world_height(F.col("x"), F.col("y"), m, (F.lit(0.5), F.lit(0.25), F.lit(2.0)), F.lit(0.1))
+    return A._observations(spark, d).select("event_id", r6(x, 5).alias("wx"), r6(y, 5).alias("wy"))
+
+
+@query("c16_pixel_fallback")
+def c16(spark: SparkSession, d: str) -> DataFrame:
+    rows = segments.islands(usable_rows(spark, d)).withColumns({"t_s": F.col("t_s") / 3600, "sigma": F.lit(1.0), "px": F.col("x") * 2, "py": F.col("y") * 2})
+    rows = rows.withColumns({c: F.when(F.col("event_id") % 3 != 0, F.col(c)) for c in ("x", "y")})
+    out = windows.pixel_fallback(rows, 168.0, 5)
+    return out.select("event_id", "unit", r6(F.coalesce("fit_x.velocity", "fit_px.velocity"), 4).alias("velocity"))
+
+
+@query("k13_bootstrap_shared")
+def k13(spark: SparkSession, d: str) -> DataFrame:
+    rows = A._observations(spark, d).where("event_id % 10 = 0").select(F.col("session_id").alias("group_id"), F.col("t_s").alias("t"), "x", "y", F.lit(1.0).alias("sigma"), F.lit(0.01).alias("shared_scale"), F.lit(0.005).alias("shared_clock"))
+    groups = rows.select("group_id").distinct()
+    one = Window.partitionBy(F.lit(0))
+    groups = groups.withColumns({"place": F.row_number().over(one.orderBy("group_id")) - 1, "size": F.count("*").over(one)})
+    out = trials.bootstrap_shared(rows, estimators.draws(groups, 20, 5), 9)
+    return out.groupBy("boot_id").agg(r6(F.avg("x"), 4).alias("mean_x"), F.count("*").alias("n"))
