@@ -471,6 +471,20 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_sql_follows_links(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [(0, "http://a.example.com/x/y", link.format("http://bad.net/de/1")), (1, "https://A.EXAMPLE.com/x/z", "<meta http-equiv='refresh' content='0; url=y'>"), (2, "http://q.com/a", link.format("//a.example.com/x/y") + "<script>" + link.format("http://example.net/en/1") + "</script>"),
+            (3, "http://c.com/1", link.format("http://example.net/en/1") + link.format("http://bad.net/1")), (4, "http://d.com/1?x=1#f", link.format("/1?x=2")), (5, "http://d.com/1?x=2", link.format("http://x.net/?a=1&amp;b=2")), (6, None, None), (7, "none", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)").fetchall()
+    for r in rows:
+        con.execute("INSERT INTO pages VALUES (?, ?, ?)", list(r)).fetchall()
+    want = sorted(con.sql(f"SELECT page_id, verdict FROM ({url_filter.SQL})").limit(100).fetchall())
+    assert want == sorted((r.page_id, r.verdict) for r in url_filter.filter_urls(df).collect())
+    assert [i for i, v in want if v == "block"] == [0, 1, 2, 4, 5]
+
+
 def test_plain_page_verdicts(spark, small):
     for r in url_filter.query(spark, small).collect():
         rule, best = None, ""

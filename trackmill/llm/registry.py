@@ -17,4 +17,9 @@ QUERIES = {
     "op10_url_filter": url_filter.query,
 }
 
-ORACLES = {"op2_license_scan": license_scan.SQL, "op3_line_dedup": line_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}
+ORACLES = {
+    "op2_license_scan": license_scan.SQL,
+    "op3_line_dedup": line_dedup.SQL,
+    "op9_exact_dedup": exact_dedup.SQL,
+    "op10_url_filter": url_filter.SQL,
+}

@@ -134,3 +134,32 @@ def filter_urls(
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: all pages, the four rules."""
     return filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _sql() -> str:
+    host = lambda u: f"translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), '{UPPER}', '{LOWER}')"
+    path = lambda u: f"regexp_extract({u}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+    alias = lambda u: f"{host(u)} || regexp_extract({u}, '^.*?://[^/?#]*([^#]*)', 1, 's')"
+    fits = lambda h, p, x: f"(({x}.host = '{h}' OR ends_with({x}.host, '.{h}')) AND starts_with({x}.path, '{p}'))"
+    ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    case = lambda x, k: "CASE " + " ".join(f"WHEN {fits(h, p, x)} THEN '{h + p if k else v}'" for v, h, p in ordered) + " END"
+    value = lambda name: rf"""regexp_replace(regexp_replace(regexp_extract(tag, '\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1, 'is'), '^["'']|["'']$', '', 'g'), '&amp;', '&', 'g')"""
+    return rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN {host("url")} ELSE '' END AS host, CASE WHEN contains(url, '://') THEN {path("url")} ELSE '' END AS path,
+    CASE WHEN contains(url, '://') THEN {alias("url")} END AS alias FROM pages),
+tags AS (SELECT url, alias, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script\b.*?</script\s*>', ' ', 'gis'), '<(?:link|meta)\s[^>]*>', 0, 'is')) AS tag FROM u WHERE alias IS NOT NULL AND regexp_matches(html, 'canonical|http-equiv', 'i')),
+l AS (SELECT url, alias, trim(CASE WHEN regexp_matches(tag, '^<link', 'i') AND list_contains(string_split(lower({value("rel")}), ' '), 'canonical') THEN {value("href")}
+    WHEN regexp_matches(tag, '^<meta', 'i') AND lower({value("http-equiv")}) = 'refresh' THEN regexp_extract({value("content")}, 'url\s*=\s*["'']?\s*([^"'']*)', 1, 'is') END) AS link FROM tags),
+t AS (SELECT alias AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:|^#') THEN NULL
+    WHEN starts_with(link, '?') THEN regexp_extract(url, '^(.*?://[^?#]*)', 1, 's') || link
+    ELSE regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || coalesce(nullif(regexp_extract(url, '^.*?://[^/?#]*([^?#]*/)', 1, 's'), ''), '/') || link END AS target FROM l WHERE link <> ''),
+e AS (SELECT a, {alias("target")} AS b FROM t WHERE target IS NOT NULL), both_ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+n AS (SELECT a, b, {host("'x://' || b")} AS host, {path("'x://' || b")} AS path FROM reach),
+v AS (SELECT a, {case("n", 0)} AS verdict FROM n), told AS (SELECT a FROM v GROUP BY a HAVING bool_or(verdict = 'block') AND NOT coalesce(bool_or(verdict = 'allow'), false))
+SELECT page_id, host, path, {case("u", 1)} AS rule, coalesce({case("u", 0)}, CASE WHEN told.a IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM u LEFT JOIN told ON told.a = u.alias
+"""
+
+
+SQL = _sql()
