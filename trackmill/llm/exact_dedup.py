@@ -9,6 +9,8 @@ from .common import read, stored
 
 #: A text found in more than one in HOT_SHARE of the rows is dealt out over SALTS parts; at most HOT_SHARE texts are.
 HOT_SHARE, SALTS = 500, 64
+#: Characters of a text that splitters are made of.
+START = 64
 
 
 def normalised(text: Column) -> Column:
@@ -19,9 +21,10 @@ def normalised(text: Column) -> Column:
 def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Spark samples splitters of the normalised text, range-partitions the rows by them and sorts each range (spilling
-    to disk), so that equal texts are neighbours; a window over the sorted rows compares each text in full with the
-    one before it. The smallest doc_id of a run stays.
+    Spark samples splitters of the normalised texts' first START characters (and, where those are equal, of a hash),
+    range-partitions the rows by them and sorts each range by the whole text (spilling to disk), so that equal texts are
+    neighbours; a window over the sorted rows compares each text in full with the one before it. The smallest doc_id of
+    a run stays. Splitters of whole texts would bring long texts to the driver.
 
     A text with very many copies would fill one range. Texts are therefore counted by a hash first, and a text with
     over 1/HOT_SHARE of the rows is also ranged by a salt. Each salted run leaves one head, at most HOT_SHARE * SALTS in
@@ -40,9 +43,10 @@ def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("hot", salted)
     rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
 
-    run = Window.partitionBy("norm", "salt")
+    rows = rows.withColumn("start", F.substring("norm", 1, START))
+    run = Window.partitionBy("start", "h", "norm", "salt")
     order = run.orderBy(F.col("doc_id").asc_nulls_last())
-    runs = rows.repartitionByRange("norm", "salt").select(
+    runs = rows.repartitionByRange("start", "h", "salt").select(
         "doc_id", "h", "hot", "salt",
         F.row_number().over(order).alias("place"),
         F.first("doc_id").over(order).alias("first_id"),
