@@ -221,6 +221,17 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.limit(0)).count() == 0
 
 
+def test_what_is_and_is_not_a_phone(spark):
+    yes = ["+1 (743) 555-3824", "+1 743 555 3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "+44 20 7946 0958", "+33 1 23 45 67 89"]
+    no = ["12 345 678", "2024-01-05", "10 20 30 400", "1.234.567", "2.0", "555", "1234-5678", "20240105123456"]
+    df = docs(spark, [f"so {x} 1234 5678 then" for x in yes] + [f"so {x} then" for x in no])
+    out = {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(df).collect()}
+    for i, x in enumerate(yes):
+        assert out[i][1] == 1 and x not in out[i][0] and " then" in out[i][0], out[i]
+    for i, x in enumerate(no, len(yes)):
+        assert out[i] == (f"so {x} then", 0)
+
+
 def luhn(s):
     d = [int(c) for c in s][::-1]
     return sum(d[::2] + [sum(divmod(2 * a, 10)) for a in d[1::2]]) % 10 == 0

@@ -33,9 +33,9 @@ _NAME = r"\p{Lu}[\p{Ll}]+(?:-\p{Lu}\p{Ll}+)?"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<!\w)[0-9a-f]{40}(?!\w)",
-    "card": r"(?<![\w+-])\d(?:[ -]?\d){12,18}(?![\w])",
+    "phone": r"(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:(?:[ .-]\d{2}){3,5}|(?:[ .-]\d{3,4}){2}|[ .-]?\d{5,8})|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\w)",
+    "card": r"(?<![\w+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]\d{2,4}){1,2}[ .-]\d{3,4}(?!\w)|(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\w)",
     "person": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) ){_NAME}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
