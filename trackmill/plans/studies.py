@@ -505,7 +505,7 @@ def c18(spark: SparkSession, d: str) -> DataFrame:
     return trials.effective(v, spark.createDataFrame([("project", "project")], "time_block string, analysis string"), ["time_block", "analysis"])
 
 
-@query("f6_readout_bound", sql(""", r AS (SELECT video_id, max(x) AS s FROM obs_all GROUP BY 1) SELECT video_id, CASE WHEN video_id % 2 = 0 THEN round(s * 0.01, 6) END AS position, CASE WHEN video_id % 2 = 0 THEN round(12 * 0.01, 6) END AS angle, CASE WHEN video_id % 2 = 0 THEN 'bound_only_not_corrected' ELSE 'unmeasured' END AS status FROM r""", "obs_all"))
+@query("f6_readout_bound", sql(""", r AS (SELECT video_id, max(x) AS s FROM obs_all GROUP BY 1) SELECT video_id, CASE WHEN video_id % 2 = 0 THEN round(s * 0.01, 6) END AS position, CASE WHEN video_id % 2 = 0 THEN round(12 * 0.01::DOUBLE, 6) END AS angle, CASE WHEN video_id % 2 = 0 THEN 'bound_only_not_corrected' ELSE 'unmeasured' END AS status FROM r""", "obs_all"))
 def f6(spark: SparkSession, d: str) -> DataFrame:
     s = A._observations(spark, d).groupBy("video_id").agg(F.max("x").alias("s"))
     p, a, status = trials.readout_bound(F.col("s"), F.when(F.col("video_id") % 2 == 0, 0.01), F.lit(12.0))
