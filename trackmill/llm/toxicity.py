@@ -214,27 +214,32 @@ def learn(
     return Lexicon(lexicon.terms, exceptions, a, b)
 
 
-def with_scores(docs: DataFrame, lexicon: Lexicon, name: str = "score", text: str = "text") -> DataFrame:
-    """docs without the text, and a double column `name`, 0 to 1. Whole texts; null counts as empty. The score sees
-    the text alone."""
+def with_scores(docs: DataFrame, lexicon: Lexicon, name: str = "score", text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs without the text (or, with keep_text, with it), and a double column `name`, 0 to 1. Whole texts; null counts as
+    empty. The score sees the text alone. Texts go to the workers once, as bytes."""
     rest = [c for c in docs.columns if c != text]
     (raw,) = spare(docs, "raw")
     kept = docs.select(*[F.col(f"`{c}`") for c in rest])
-    given = docs.select(*[F.col(f"`{c}`") for c in rest], utf8(f"`{text}`").alias(raw))
+    given = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("binary").alias(raw))
+    names = [*rest, *[raw] * keep_text, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
         for batch in batches:
-            scores = pa.array([matcher.score(x.as_py()) for x in batch.column(len(rest))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], scores], names=[*rest, name])
+            scores = pa.array([matcher.score(x.as_py() or b"") for x in batch.column(len(rest))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest) + keep_text], scores], names=names)
 
-    return given.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
+    fields = [*kept.schema.fields, *[T.StructField(raw, T.BinaryType())] * keep_text, T.StructField(name, T.DoubleType())]
+    out = given.mapInArrow(run, T.StructType(fields))
+    if not keep_text:
+        return out
+    return out.select(*[F.col(raw).cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], name)
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """docs without those that score `threshold` or more, texts as they were."""
-    copy, score = spare(docs, "text_copy", "toxic_score")
-    kept = with_scores(docs.withColumn(copy, F.col(f"`{text}`")), lexicon, score, copy)
+    (score,) = spare(docs, "toxic_score")
+    kept = with_scores(docs, lexicon, score, text, keep_text=True)
     return kept.where(F.col(score) < threshold).select(*[f"`{c}`" for c in docs.columns])
 
 
