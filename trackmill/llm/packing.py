@@ -32,16 +32,16 @@ class _Ids(dict):
     lower-cased and cut by the vocabulary's own pattern before its merges; all others go through the whole tokenizer.
     """
 
-    RUNS, PIECES = 500_000, 250_000
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, runs: int):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        self.runs = runs
         self.whole = Tokenizer.from_file(path)
         self.merge = self.whole.model.tokenize
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,14 +54,14 @@ class _Ids(dict):
             ids = b"".join([self.pieces.get(x) or self.piece(x) for x in self.PIECE.findall(text.lower())])
         else:
             ids = self.packed(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self) >= self.RUNS:
+        if len(self) >= self.runs:
             self.clear()
         self[run] = ids
         return ids
 
     def piece(self, text: str) -> bytes:
         letters = text if text.isascii() else text.encode().decode("latin-1").translate(self.as_letters)
-        if len(self.pieces) >= self.PIECES:
+        if len(self.pieces) >= self.runs // 2:
             self.pieces.clear()
         ids = self.pieces[text] = self.packed([t.id for t in self.merge(letters)])
         return ids
@@ -71,14 +71,17 @@ class _Ids(dict):
         return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-_IDS: dict[str, _Ids] = {}
+#: Runs that a worker remembers, about 300 bytes each.
+CACHED_RUNS = 500_000
+_IDS: dict[tuple[str, int], _Ids] = {}
 
 
-def token_bytes(text: bytes, path: str) -> bytes:
+def token_bytes(text: bytes, path: str, cached_runs: int = CACHED_RUNS) -> bytes:
     """All ids of a text, four bytes each."""
-    if path not in _IDS:
-        _IDS[path] = _Ids(path)
-    return b"".join(map(_IDS[path].__getitem__, text.split()))
+    key = (path, cached_runs)
+    if key not in _IDS:
+        _IDS[key] = _Ids(path, cached_runs)
+    return b"".join(map(_IDS[key].__getitem__, text.split()))
 
 
 def token_pieces(
@@ -89,6 +92,7 @@ def token_pieces(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     with_ids: bool = False,
+    cached_runs: int = CACHED_RUNS,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and with_ids the ids (binary, four bytes each).
 
@@ -103,7 +107,7 @@ def token_pieces(
         for batch in batches:
             row, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, x in enumerate(batch.column(1)):
-                ids = token_bytes(x.as_py(), path) + end
+                ids = token_bytes(x.as_py(), path, cached_runs) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
