@@ -35,33 +35,33 @@ def _probes(keys: list[bytes], log2_bits: int) -> np.ndarray:
 
 def _filters(batches: Iterator[pa.RecordBatch], log2_bits: int) -> Iterator[pa.RecordBatch]:
     """A task's two filters: keys found in a document, and in two or more. Sent in chunks of bits, empty ones left out."""
-    once, twice = np.zeros(1 << log2_bits, bool), np.zeros(1 << log2_bits, bool)
+    seen = np.zeros(1 << log2_bits, np.uint8)  # 1: once, 3: twice or more
     for batch in batches:
         held: list[bytes] = []
         for x in batch.column(0):
             held += set(line_keys(x.as_py())) - {b""}
             if len(held) > 100_000:
-                _add(held, once, twice, log2_bits)
+                _add(held, seen, log2_bits)
                 held = []
-        _add(held, once, twice, log2_bits)
+        _add(held, seen, log2_bits)
     rows = []
-    for i in range(0, len(once), _CHUNK):
-        if once[i : i + _CHUNK].any():
-            rows.append((i // _CHUNK, *(zlib.compress(np.packbits(x[i : i + _CHUNK]).tobytes(), 1) for x in (once, twice))))
+    for i in range(0, len(seen), _CHUNK):
+        part = seen[i : i + _CHUNK]
+        if part.any():
+            rows.append((i // _CHUNK, *(zlib.compress(np.packbits(part >= least).tobytes(), 1) for least in (1, 3))))
     yield pa.RecordBatch.from_arrays(
         [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))],
         names=["chunk", "once", "twice"],
     )
 
 
-def _add(keys: list[bytes], once: np.ndarray, twice: np.ndarray, log2_bits: int) -> None:
+def _add(keys: list[bytes], seen: np.ndarray, log2_bits: int) -> None:
     if keys:
         at = _probes(keys, log2_bits)
         _, first, n = np.unique(at[:, 0] * 31 + at[:, 1], return_index=True, return_counts=True)
-        seen = at[once[at].all(axis=1)]
-        twice[seen.ravel()] = True
-        twice[at[first[n > 1]].ravel()] = True
-        once[at.ravel()] = True
+        again = np.r_[at[(seen[at] > 0).all(axis=1)].ravel(), at[first[n > 1]].ravel()]
+        seen[at.ravel()] |= 1
+        seen[again] = 3
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
