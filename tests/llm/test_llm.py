@@ -132,6 +132,25 @@ def test_kneser_ney_against_a_plain_model(spark):
     assert math.isclose(sum(p("ab" + c) for c in [*"abcdnr", quality.STOP]) + p("ab?"), 1, rel_tol=1e-9)
 
 
+def test_every_gram_has_a_place_in_the_model(spark):
+    own = spark.range(60_000).select(F.lit("en").alias("lang"), F.concat(*[F.char(97 + F.floor(F.col("id") / 16**k) % 16) for k in range(4)]).alias("gram"), (1 + F.col("id") % 5).alias("n"))
+    rows = quality.kneser_ney(own)
+    assert rows.where(F.col("part") == quality.ORDER).select("key").distinct().count() == 60_000
+
+
+def test_model_in_many_parts_scores_the_same(spark, corpus, monkeypatch):
+    df = spark.createDataFrame([(i, t, c) for i, t, c, _ in corpus[:120]] + [(-1, "some words", None), (-2, None, "en"), (-3, "unseen \u4e2d\u6587 words", "zz")], "doc_id long, text string, lang string")
+    whole = quality.train(df)
+    want = {r.doc_id: r.log_perplexity for r in quality.with_counts(df, whole).collect()}
+    monkeypatch.setattr(quality, "PART_ROWS", 2000)
+    monkeypatch.setattr(quality, "ROWS_FOR_PARTS", 50)
+    model = quality.train(df)
+    assert len(whole.parts) == 1 and len(model.parts) > 5
+    got = {r.doc_id: r.log_perplexity for r in quality.with_counts(df, model).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k] is None) == (want[k] is None) and (want[k] is None or math.isclose(got[k], want[k], rel_tol=1e-6)) for k in want)
+
+
 def test_quality_verdicts(spark):
     good = [" ".join(random.Random(i).choices(["alpha", "beta", "gamma", "delta", "house", "mouse"], k=60)) for i in range(40)]
     df = docs(spark, [*good, "xq#z9 kkjw%% zzzxq " * 20, " ".join(random.Random(1).choices(["кошка", "дверь", "ночь"], k=60)), *ODD], log_perplexity=F.lit(1), n_words=F.lit("clash"))

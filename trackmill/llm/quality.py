@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,11 @@ from .common import WHITESPACE, read, spare, stored, utf8
 
 #: Letters of a gram. The words are padded, so that every gram is whole.
 ORDER, START, STOP = 4, "\x02", "\x03"
-#: Bits of the hashes of grams of each order, and of contexts: what the model can be at most, 80 MB, whatever the input.
-GRAM_BITS, OTHER_BITS = 22, 20
+#: The model grows with the input and is cut into parts of about so many rows (12 bytes each); a worker holds one part at
+#: a time. A row's cell is its language's bucket and, in it, the bucket of its context's last letter.
+PART_ROWS, LANG_CELLS, LETTER_CELLS = 5_000_000, 1024, 64
+#: Texts that a worker takes at once; more where each part has to be loaded for them.
+ROWS_AT_ONCE, ROWS_FOR_PARTS = 200, 4000
 #: A band is the median of log perplexity and so many times the scaled median deviation, but LEAST at least; for a text
 #: of n words SHORT / sqrt(n) more, as short texts vary more.
 WIDTH, LEAST, SHORT = 6.0, 0.12, 0.6
@@ -127,8 +131,10 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
-    """(part, key, value) from rows (lang, gram, n): log probabilities by hash of language and gram (part k for order k)
-    and log weights of the next lower order by hash of language and context (part -k).
+    """(part, cell, key, value) from rows (lang, gram, n): log probabilities by hash of language and gram (part k for order
+    k) and log weights of the next lower order by hash of language and context (part -k). Hashes have 64 bits; every
+    gram and context has its own row. What a gram needs to be looked up is in one cell, but for single letters and
+    empty contexts (parts -1 to 1), which all cells of a language need.
 
     Modified Kneser-Ney with interpolation: grams of the highest order have their counts, those of a lower order the
     number of different letters before them. All steps are groupings and joins on language and gram.
@@ -157,35 +163,33 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     model = parts[0]
     for part in parts[1:]:
         model = model.unionByName(part)
-    bits = F.when(F.col("part") == ORDER, F.lit(1 << GRAM_BITS)).otherwise(F.lit(1 << OTHER_BITS))
-    key = F.pmod(F.xxhash64("lang", "gram"), bits.cast("long")).cast("int").alias("key")
-    return model.select("part", key, F.col("value").cast("float").alias("value")).groupBy("part", "key").agg(F.max("value").alias("value"))
+    letter = F.substring("gram", F.when(F.col("part") > 1, F.length("gram") - 1).otherwise(F.length("gram")), F.lit(1))
+    inner = F.when(F.abs("part") > 1, F.pmod(F.xxhash64(letter), F.lit(LETTER_CELLS))).otherwise(F.lit(0))
+    cell = (F.pmod(F.xxhash64("lang"), F.lit(LANG_CELLS)) * LETTER_CELLS + inner).cast("int").alias("cell")
+    return model.select("part", cell, F.xxhash64("lang", "gram").alias("key"), F.col("value").cast("float").alias("value"))
 
 
 @dataclass
-class Model:
+class Part:
     """Sorted arrays of hashes, and for each hash its value."""
 
     keys: dict[int, np.ndarray]
     values: dict[int, np.ndarray]
-    seeds: dict[str, int] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, rows: pa.Table) -> Model:
+    def of(cls, rows: pa.Table) -> Part:
         part, key, value = (rows.column(c).to_numpy() for c in ("part", "key", "value"))
         keys, values = {}, {}
         for k in range(-ORDER, ORDER + 1):
             own = np.flatnonzero(part == k)
             own = own[np.argsort(key[own])]
-            keys[k], values[k] = key[own].astype(np.int32), value[own].astype(np.float32)
+            keys[k], values[k] = key[own].astype(np.int64), value[own].astype(np.float32)
         return cls(keys, values)
 
     def look(self, part: int, grams: list[bytes], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """Whether each gram is there, and its value or 0."""
-        size = 1 << (GRAM_BITS if part == ORDER else OTHER_BITS)
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(g, seed) for g in grams], np.uint64)
-        keys = (hashes.view(np.int64) % size).astype(np.int32)
+        keys = np.array([digest(g, seed) for g in grams], np.uint64).view(np.int64)
         own = self.keys[part]
         if not len(own):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32)
@@ -193,31 +197,92 @@ class Model:
         there = own[at] == keys
         return there, np.where(there, self.values[part][at], np.float32(0))
 
-    def word_logs(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sum of its letters' log probabilities, and how many letters there are, the end included."""
-        seed = self.seeds.setdefault(lang, xxhash.xxh64_intdigest(lang.encode(), 42))
-        texts = [padded(w) for w in words]
-        sizes = np.array([len(t) - ORDER + 1 for t in texts])
-        grams = [t[i : i + ORDER] for t in texts for i in range(len(t) - ORDER + 1)]
-        total = np.zeros(len(grams))
-        left = np.arange(len(grams))
+    def add_logs(self, grams: list[str], left: np.ndarray, total: np.ndarray, seed: int) -> None:
+        """Add the log probabilities of the grams at `left` to `total`."""
         for k in range(ORDER, 0, -1):
             there, value = self.look(k, [grams[i][ORDER - k :].encode() for i in left.tolist()], seed)
             total[left[there]] += value[there]
             left = left[~there]
             if not len(left):
-                break
+                return
             total[left] += self.look(-k, [grams[i][ORDER - k : -1].encode() for i in left.tolist()], seed)[1]
-        if len(left):
-            total[left] += self.look(0, [b""], seed)[1][0]
-        return np.add.reduceat(total, np.r_[0, np.cumsum(sizes)[:-1]]), sizes
+        total[left] += self.look(0, [b""], seed)[1][0]
+
+
+def _bucket(text: str, size: int) -> int:
+    """As pmod(xxhash64(text), size) in Spark, for a power of two."""
+    return xxhash.xxh64_intdigest(text.encode(), 42) % size
+
+
+@dataclass
+class Model:
+    """(first cell, last cell, broadcast Part) for each part. Only one is in memory at a time."""
+
+    parts: list[tuple[int, int, Broadcast]]
+    cells: dict[str, int] = field(default_factory=dict)
+
+    def logs(self, words: dict[str, list[str]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """For each language and each of its words the sum of its letters' log probabilities, and how many letters there
+        are, the end included."""
+        jobs = []
+        for lang, own in words.items():
+            texts = [padded(w) for w in own]
+            sizes = np.array([len(t) - ORDER + 1 for t in texts], np.int64)
+            grams = [t[i : i + ORDER] for t in texts for i in range(len(t) - ORDER + 1)]
+            base = _bucket(lang, LANG_CELLS) * LETTER_CELLS
+            for c in {g[-2] for g in grams} - self.cells.keys():
+                self.cells[c] = _bucket(c, LETTER_CELLS)
+            cells = np.array([base + self.cells[g[-2]] for g in grams], np.int64) if len(self.parts) > 1 else None
+            jobs.append((lang, xxhash.xxh64_intdigest(lang.encode(), 42), grams, sizes, cells, np.zeros(len(grams))))
+        for first, last, shared in self.parts:
+            for _, seed, grams, _, cells, total in jobs:
+                left = np.arange(len(grams)) if cells is None else np.flatnonzero((cells >= first) & (cells <= last))
+                if len(left):
+                    shared.value.add_logs(grams, left, total, seed)
+            if len(self.parts) > 1:
+                vars(shared).pop("_value", None)
+        return {lang: (np.add.reduceat(total, np.r_[0, np.cumsum(sizes)[:-1]]), sizes) for lang, _, _, sizes, _, total in jobs}
+
+    def word_logs(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self.logs({lang: words})[lang]
+
+
+def cut_cells(sizes: dict[int, int], shared: dict[int, int], rows: int) -> list[tuple[int, int]]:
+    """(first, last) of runs of cells that together have all cells. A run has about `rows` rows, what its languages share
+    included; a cell is never cut."""
+    runs: list[list[int]] = [[0, LANG_CELLS * LETTER_CELLS - 1]]
+    held, langs = 0, set()
+    for cell in sorted(sizes.keys() | {lang * LETTER_CELLS for lang in shared}):
+        lang = cell // LETTER_CELLS
+        more = sizes.get(cell, 0) + (0 if lang in langs else shared.get(lang, 0))
+        if held and held + more > rows:
+            runs[-1][1] = cell - 1
+            runs.append([cell, LANG_CELLS * LETTER_CELLS - 1])
+            held, langs = 0, set()
+            more = sizes.get(cell, 0) + shared.get(lang, 0)
+        held += more
+        langs.add(lang)
+    return [(a, b) for a, b in runs]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """The model of all words of all documents; a null language is a language of its own."""
+    """The model of all words of all documents; a null language is a language of its own. The driver holds one part at a
+    time, and how many rows each cell has."""
     given = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias("lang"), utf8(f"`{text}`").alias("raw"))
     counts = given.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model.of(kneser_ney(stored(counts, "grams")).toArrow())  # bounded by the hashes' bits
+    rows = stored(kneser_ney(stored(counts, "grams")), "model")
+    common = F.abs("part") <= 1
+    found = rows.groupBy("cell", common.alias("common")).count().collect()
+    sizes = {r.cell: r["count"] for r in found if not r.common}
+    runs = cut_cells(sizes, {r.cell // LETTER_CELLS: r["count"] for r in found if r.common}, PART_ROWS)
+    if len(runs) > 1:
+        rows = stored(rows.repartitionByRange(len(runs), "cell"), "model")  # a part is then in few files
+    parts = []
+    for first, last in runs:
+        langs = F.col("cell").between(first - first % LETTER_CELLS, last)
+        own = rows.where(F.when(common, langs).otherwise(F.col("cell").between(first, last)) & langs)
+        parts.append((first, last, docs.sparkSession.sparkContext.broadcast(Part.of(own.select("part", "key", "value").toArrow()))))
+    return Model(parts)
 
 
 def with_counts(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -225,29 +290,31 @@ def with_counts(docs: DataFrame, model: Model, text: str = "text", lang: str = "
     rest = [c for c in docs.columns if c != text]
     own_lang, raw = spare(docs, "model_lang", "raw")
     given = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("")).alias(own_lang), utf8(f"`{text}`").alias(raw))
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.values))
+    at_once = ROWS_AT_ONCE if len(model.parts) == 1 else ROWS_FOR_PARTS
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        own = Model(model.parts)
         known: dict[str, dict[bytes, tuple[float, int]]] = {}
         for batch in batches:
             rows, logs = [], []
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
                 texts = part.column(len(rest) + 1).to_pylist()
                 langs = part.column(len(rest)).to_pylist()
                 new: dict[str, set[bytes]] = {}
                 for code, x in zip(langs, texts):
                     new.setdefault(code, set()).update(x.split())
+                missing: dict[str, list[bytes]] = {}
                 for code, words in new.items():
                     have = known.setdefault(code, {})
                     if len(have) > 300_000:
                         have.clear()
-                    missing = [w for w in words if w not in have]
-                    if missing:
-                        total, sizes = own.word_logs(code, [w.decode("utf-8", "replace").lower() for w in missing])
-                        have.update(zip(missing, zip(total.tolist(), sizes.tolist())))
+                    if lacking := [w for w in words if w not in have]:
+                        missing[code] = lacking
+                logs_of = own.logs({code: [w.decode("utf-8", "replace").lower() for w in words] for code, words in missing.items()})
+                for code, (total, sizes) in logs_of.items():
+                    known[code].update(zip(missing[code], zip(total.tolist(), sizes.tolist())))
                 for code, x in zip(langs, texts):
                     rows.append(text_counts(x))
                     have = known[code]
@@ -286,7 +353,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     row of docs.
 
     Letters of words are counted in Spark over all documents, in grams of ORDER letters for each language; a modified
-    Kneser-Ney model is made of the counts and kept in sorted hash arrays, whose size the hashes' bits bound. A
+    Kneser-Ney model is made of the counts and kept in sorted arrays of 64-bit hashes, in as many parts as it takes. A
     document that passes the base rules is kept if its perplexity is within its language's band. Null text is empty:
     no words, fails the base rules, and has no perplexity. A null language is one of its own. Repeated rows are rows of
     their own; extra columns are ignored; an empty table gives an empty result.
