@@ -240,6 +240,23 @@ def test_surrogates(spark):
     assert pii.replace_entities(df.limit(0)).count() == 0
 
 
+def test_whole_names_are_replaced(spark):
+    texts = [
+        "Then John Ronald Smith left.", "Dr John Ronald Smith spoke", "John McDonald, too", "Mary O'Brien's hat", "Mr Wolfgang Schmidt here", "Frau Gudrun von der Heide", "Mr. J. R. R. Tolkien",
+        "John SMITH and Mr Smith", "г-жа Ульяна Петровна Сидорова", "Prof. Dr. Hans-Jürgen Meier", "Mary Smith's and Mary d'Artagnan-Lévy.", "Mary met Tom; Mr and I",
+    ]
+    out = {r.doc_id: r for r in pii.replace_entities(docs(spark, texts)).collect()}
+    gone = "John Ronald Smith SMITH Donald McDonald Mary Brien Wolfgang Schmidt Gudrun Heide Tolkien Ульяна Петровна Сидорова Hans Jürgen Meier Artagnan Lévy".split()
+    for i in range(11):
+        assert not [w for w in gone if w in out[i].text], (texts[i], out[i].text)
+    assert out[11].text == texts[11] and out[11].n_entities == 0
+    t = [out[i].text for i in range(11)]
+    assert t[0].startswith("Then ") and t[0].endswith(" left.") and len(t[0].split()) == 5 and t[1].startswith("Dr ") and t[1].endswith(" spoke")
+    assert t[0].split()[3] == t[1].split()[3] and t[3].endswith("'s hat") and " von der " in t[5] and t[9].startswith("Prof. Dr. ")
+    assert t[4].split()[1] in pii.FIRST_NAMES["latin_m"] and t[5].split()[1] in pii.FIRST_NAMES["latin_f"] and t[8].split()[1] in pii.FIRST_NAMES["cyrillic_f"]
+    assert t[7].split()[1] == t[7].split()[4].upper() and t[7].split()[4] == t[0].split()[3]
+
+
 def test_what_is_and_is_not_a_phone(spark):
     yes = ["+1 (743) 555-3824", "+1 743 555 3824", "(743) 555-3824", "743-555-3824", "743.555.3824", "+44 20 7946 0958", "+33 1 23 45 67 89"]
     no = ["12 345 678", "2024-01-05", "10 20 30 400", "1.234.567", "2.0", "555", "1234-5678", "20240105123456"]

@@ -29,18 +29,30 @@ RIMES = {
     "cyrillic": ("а", "е", "о", "у", "ал", "ан", "ар", "ел", "ен", "ер", "им", "ин", "ол", "он", "ор", "ун"),
 }
 
-_NAME = r"\p{Lu}[\p{Ll}]+(?:-\p{Lu}\p{Ll}+)?"
+#: Titles that tell the gender; lower-case words that may stand between the words of a name.
+GENDERS = {"f": ("Mrs", "Ms", "Miss", "Frau", "Sra", "Mme", "г-жа"), "m": ("Mr", "Herr", "Sr", "г-н")}
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "la", "le", "los", "bin", "ibn", "al", "el", "ter", "ten", "zu", "zum", "zur", "af", "av", "y", "e")
+
+# A word of a name may have inner capitals, an apostrophe (but a genitive's), a hyphen; it ends where the word does.
+_LETTER, _STOP = r"[\p{L}\p{M}]", r"(?![\p{L}\p{M}\p{N}_])"
+_NAME = rf"(?:\p{{L}}['’]|(?:al|el)-)?\p{{Lu}}{_LETTER}+(?:['’]\p{{Lu}}{_LETTER}*|-\p{{Lu}}{_LETTER}*|-\p{{Ll}}{{1,3}}(?!{_LETTER}))*+{_STOP}"
+_INITIAL = r"\p{Lu}(?:\.-?\p{Lu})*\.?"
+_HEADS = "|".join(n for names in FIRST_NAMES.values() for n in names)
+_NAMES = rf"(?:(?:{_NAME}|{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,6}}{_NAME}"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<!\w)[0-9a-f]{40}(?!\w)",
     "phone": r"(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:(?:[ .-]\d{2}){3,5}|(?:[ .-]\d{3,4}){2}|[ .-]?\d{5,8})|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\w)",
     "card": r"(?<![\w+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "person": rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? (?:{_NAME} )?|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) ){_NAME}",
+    "person": rf"(?<!\w)(?:(?:(?:{'|'.join(TITLES)})\.? )+|(?:{_HEADS})(?:-{_NAME})? ){_NAMES}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+_CAPITALS = r"^[\p{Lu}\p{M}'’-]{2,}$"
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits has a right check digit."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise((d.cast("int") * 2) % 10 + F.floor(d.cast("int") / 5).cast("int")))
@@ -67,8 +79,9 @@ def kind_of(raw: Column) -> Column:
 
 def form_of(kind: Column, raw: Column) -> Column:
     """What all spellings of an entity share: digits of numbers (a country code apart), lower case of addresses, the surname of persons (a
-    feminine ending in Cyrillic left out)."""
+    feminine ending in Cyrillic left out, capitals as in other names)."""
     last = F.element_at(F.split(raw, " "), -1)
+    last = F.when(last.rlike(_CAPITALS), F.initcap(F.lower(last))).otherwise(last)
     last = F.when(kind == "surname_cyrillic", F.regexp_replace(last, "(?<=[вн])а$", "")).otherwise(last)
     code = F.regexp_extract(raw, r"^\+\d{1,3}", 0)
     phone = F.concat(code, F.when(code != "", " ").otherwise(""), _digits(F.substring(raw, F.length(code) + 1, F.length(raw))))
@@ -114,9 +127,30 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def _other_first(name: Column, key: str) -> Column:
-    """Another first name of the same script and gender: a keyed rotation of the list, so that no two meet."""
-    out = name
+def _gender(raw: Column) -> Column:
+    """f or m as the title says, or else the listed first name that stands first; null where neither does."""
+    out = F.lit(None).cast("string")
+    for group, names in FIRST_NAMES.items():
+        out = F.when(raw.rlike(rf"^(?:{'|'.join(names)})(?!\p{{L}})"), group[-1]).otherwise(out)
+    for g, titles in GENDERS.items():
+        out = F.when(raw.rlike(rf"^(?:(?:{'|'.join(TITLES)})\.? )*?(?:{'|'.join(titles)})(?:\.| )"), g).otherwise(out)
+    return out
+
+
+def _other_first(name: Column, key: str, gender: Column) -> Column:
+    """What stands for a word before the surname. A listed first name: another of the same script and gender, by a keyed
+    rotation of the list, so that no two meet. An initial: another one. Any other name: a listed one of its script, and of
+    `gender` where that is known, by a keyed hash. Titles and particles stay."""
+    n = F.pmod(F.xxhash64(F.lit(key), F.lit("first"), F.lower(name)), F.lit(1 << 30))
+    cyrillic = name.rlike(r"[Ѐ-ӿ]")
+    out = F.lit(None).cast("string")
+    for script in ("latin", "cyrillic"):
+        both = F.when(gender == "f", _pick(FIRST_NAMES[f"{script}_f"], n)).when(gender == "m", _pick(FIRST_NAMES[f"{script}_m"], n)).otherwise(_pick(FIRST_NAMES[f"{script}_f"] + FIRST_NAMES[f"{script}_m"], n))
+        out = F.when(cyrillic == (script == "cyrillic"), both).otherwise(out)
+    letter = F.when(cyrillic, _pick(tuple("АБВГДЕИКЛМНОПРСТ"), n)).otherwise(_pick(tuple("ABCDEFGHIJKLMNOPRSTVW"), n))
+    initial = F.concat(letter, F.when(name.endswith("."), ".").otherwise(""))
+    out = F.when(name.rlike(rf"^{_INITIAL}$"), initial).when(name.rlike(_CAPITALS), F.upper(out)).otherwise(out)
+    out = F.when(name.rlike(rf"^(?:(?:{'|'.join(TITLES)})\.?|{'|'.join(PARTICLES)})$"), name).otherwise(out)
     for group, names in FIRST_NAMES.items():
         places = F.array(*map(F.lit, names))
         turn = F.pmod(F.xxhash64(F.lit(key), F.lit(group)), F.lit(len(names) - 1)) + 1
@@ -132,9 +166,9 @@ def _dressed(kind: Column, raw: Column, form: Column, new: Column, key: str) ->
     numbers = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(_digits(new), count(i), F.lit(1))).otherwise(c)), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
     words = F.split(raw, " ")
-    before = F.array_join(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: _other_first(w, key)), " ")
+    before = F.array_join(F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda w: _other_first(w, key, _gender(raw))), " ")
     ending = F.when((kind == "surname_cyrillic") & raw.rlike("[вн]а$"), "а").otherwise("")
-    person = F.concat(before, F.lit(" "), new, ending)
+    person = F.concat(before, F.lit(" "), F.when(F.element_at(words, -1).rlike(_CAPITALS), F.upper(F.concat(new, ending))).otherwise(F.concat(new, ending)))
     return F.when(kind.isin("phone", "card"), numbers).when(kind == "email", cased).when(kind.startswith("surname"), person).otherwise(new)
 
 
@@ -166,7 +200,8 @@ def replace_entities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     before it).
 
     Entities are e-mail addresses, phone numbers, IPv4 addresses, payment cards (with a right check digit), secrets of 40
-    hexadecimal digits, and persons after a title or with a known first name. One entity has one surrogate in all
+    hexadecimal digits, and persons after a title or with a known first name: all words of the name, middle ones and
+    initials included, of which the last is the surname. One entity has one surrogate in all
     documents, however it is spelt, and two entities never have the same. Texts without entities are not touched and
     stay where they are; the others are shuffled once, to meet their surrogates. Null texts stay null, with 0
     entities. Rows equal in doc_id and text are treated alike. An empty table gives an empty result.
