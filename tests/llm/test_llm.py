@@ -424,6 +424,20 @@ def test_folding_and_exceptions():
     assert m.score(b"idiot") > m.score(b"idiot " + b"fine " * 300) > m.score(b"fine")
 
 
+def test_signs_at_the_end_of_words():
+    words = ("whore", "imbecile", "worthless", "dumbass", "idiot")
+    m = toxicity.Lexicon(tuple((toxicity.folded(x), True, 4.0) for x in words), ("clown fish",)).matcher()
+    w = lambda t: m.weight(toxicity.folded(t))
+    assert [w(x) for x in ("whor3", "imbecil3.", "worthle55", "dumba$$", "dumba$$!", "wh0r3!!", "idiot!", "idiot1", "idiot 5")] == [4.0] * 9
+    assert w("whor32") == w("area51 route 3") == w("whor !") == 0.0
+
+
+def test_rare_terms_stay_in_large_samples(spark):
+    words = spark.createDataFrame([("grobnik", 20, 0), ("table", 900, 950), ("odd", 3, 0)], "word string, toxic long, clean long")
+    for rows in (400, 10_000):
+        assert [t for t, _, _ in toxicity._select(words, rows, rows, 100)] == ["grobnik"]
+
+
 def test_toxicity_odd_rows(spark):
     bad, good = "you utter grobnik person today", "we had a calm and quiet day"
     texts = [f"{bad} {i}" if i % 2 else f"{good} {i}" for i in range(80)] + ODD

@@ -30,7 +30,11 @@ HOMOGLYPHS = dict(zip("аеорсухѕіјԁһкмтвнɡɑοαερυνικτ
 SIGNS = str.maketrans("013457@$!|", "oieastasii")
 _FOLD = str.maketrans(HOMOGLYPHS | {"l": "i", "ı": "i"} | {chr(0xFF41 + k): chr(97 + k) if k != 11 else "i" for k in range(26)})
 _SIGN = re.compile(r"[013457@$!|]+(?=[^\W\d_])")
+#: At a word's end digits, @ and $ may be letters or not; closing ! and | are not.
+_END = re.compile(r"(?<=[^\W\d_])[013457@$]+(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
+#: In so many toxic documents a term has to be, however many there are.
+SUPPORT = 4
 PREFIXES = (4, 5, 6)
 
 
@@ -46,6 +50,12 @@ def folded(text: str) -> str:
     return _SIGN.sub(_sign, text.lower().translate(_FOLD))
 
 
+def readings(text: str) -> list[str]:
+    """A folded text, and where words end in digits or signs, the text with these as letters too. Both have one length."""
+    ended = _END.sub(lambda m: m.group().translate(SIGNS), text)
+    return [text] if ended == text else [text, ended]
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """terms: (folded term, whole word or else start of a word, weight); score = 1 / (1 + exp(-(a + b * x)))."""
@@ -73,23 +83,25 @@ class Matcher:
             self.found.make_automaton()
 
     def weight(self, text: str) -> float:
-        """Sum over the words at which terms start, of the heaviest term, without those inside an exception phrase."""
+        """Sum over the words at which terms start, of the heaviest term in either reading, without those inside an
+        exception phrase."""
         if not len(self.found):
             return 0.0
         best: dict[int, float] = {}
         free: list[tuple[int, int]] = []
-        for end, (length, kinds) in self.found.iter(text):
-            start = end - length + 1
-            if start and text[start - 1].isalpha():
-                continue
-            closed = not text[end + 1 : end + 2].isalpha()
-            for whole, weight in kinds:
-                if whole and not closed:
+        for text in readings(text):
+            for end, (length, kinds) in self.found.iter(text):
+                start = end - length + 1
+                if start and text[start - 1].isalpha():
                     continue
-                if weight < 0:
-                    free.append((start, end))
-                else:
-                    best[start] = max(weight, best.get(start, 0.0))
+                closed = not text[end + 1 : end + 2].isalpha()
+                for whole, weight in kinds:
+                    if whole and not closed:
+                        continue
+                    if weight < 0:
+                        free.append((start, end))
+                    else:
+                        best[start] = max(weight, best.get(start, 0.0))
         return sum(w for at, w in best.items() if not any(i <= at <= j for i, j in free))
 
     def feature(self, raw: bytes) -> float:
@@ -109,9 +121,8 @@ def held_out(doc_id: str) -> F.Column:
 
 def _select(words: DataFrame, toxic: int, clean: int, max_terms: int) -> list[tuple[str, bool, float]]:
     """Terms from rows (word, toxic, clean): in how many documents of each class. At most max_terms reach the driver."""
-    support = max(4, toxic // 100)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    fit = lambda df: df.withColumn("odds", odds).where((F.col("toxic") >= support) & (F.col("odds") >= 2.5))
+    fit = lambda df: df.withColumn("odds", odds).where((F.col("toxic") >= SUPPORT) & (F.col("odds") >= 2.5))
     top = lambda df: df.orderBy(F.desc(F.col("odds") * F.log(F.col("toxic") + 1.0)), "term").limit(max_terms).collect()
     length = F.explode(F.array(*[F.lit(k) for k in PREFIXES])).alias("k")
     starts = words.select("*", length).where(F.length("word") >= F.col("k"))
@@ -178,7 +189,7 @@ def learn(
         n = {0: 0, 1: 0}
         for batch in batches:
             for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[int(y > 0)].update(set(_WORD.findall(folded(raw.decode("utf-8", "replace")))))
+                seen[int(y > 0)].update({w for x in readings(folded(raw.decode("utf-8", "replace"))) for w in _WORD.findall(x)})
                 n[int(y > 0)] += 1
         words = [*(seen[0].keys() | seen[1].keys())]
         cols = [pa.array([None, *words]), *(pa.array([n[y], *(seen[y][w] for w in words)], pa.int64()) for y in (1, 0))]
