@@ -179,6 +179,13 @@ def test_license_rules(spark):
 # ---- 3 lines
 
 
+def test_anchors_across_line_ends(spark):
+    (own,) = [s for i, s in license_scan.SENTENCES if i == "unlicense-grant"]
+    assert "public domain" in own
+    df = docs(spark, [own.replace("public domain", x) for x in ("public\ndomain", "public  domain", "Public-Domain")])
+    assert [r.licenses for r in license_scan.scan(df).orderBy("doc_id").collect()] == [["Unlicense"]] * 3
+
+
 def brute_lines(texts, min_docs, keep_first=False):
     keys = [[line.strip(" \t\n\v\f\r") for line in (t or "").split("\n")] for t in texts]
     keys = [[re.sub("[A-Z]", lambda m: m[0].lower(), k) for k in own] for own in keys]

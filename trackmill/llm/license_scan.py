@@ -81,7 +81,7 @@ RULES = (
     ("Unlicense", "public-domain", ("unlicense-grant",)),
 )
 
-#: Every sentence of the table has one of these, so texts without any need not be cut up.
+#: Every sentence of the table has one of these, so texts without any (whatever stands between its words) need not be cut up.
 ANCHORS = ("licen", "spdx", "permission", "copyright", "version", "public domain", "redistribution", "rights reserved", "subject to the terms", "except in compliance")
 
 
@@ -107,7 +107,7 @@ def scan(docs: DataFrame, text: str = "text", table=SENTENCES, rules=RULES) -> D
     known = F.create_map(*[F.lit(x) for pair in ((s, i) for i, s in table) for x in pair])
     own = F.filter(F.transform(sentences(body), lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
     none = F.array().cast("array<string>")
-    out = docs.withColumn(ids, F.when(body.rlike("(?i)" + "|".join(ANCHORS)), own).otherwise(none))
+    out = docs.withColumn(ids, F.when(body.rlike("(?i)" + "|".join(a.replace(" ", "[^a-z0-9]+") for a in ANCHORS)), own).otherwise(none))
     # the chain of identifiers as text, each between bars; what a rule has used becomes a gap
     state = F.struct(F.concat(F.lit("|"), F.array_join(F.col(ids), "||"), F.lit("|")).alias("left"), none.alias("found"), none.alias("kinds"))
 
