@@ -7,10 +7,12 @@ import math
 import os
 import random
 import re
+import types
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -202,14 +204,47 @@ def brute_lines(texts, min_docs, keep_first=False):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("bits", [26, 21])
-def test_line_dedup(spark, corpus, keep_first, bits):
+@pytest.mark.parametrize("chunks", [None, 8])
+def test_line_dedup(spark, corpus, keep_first, chunks, monkeypatch):
+    if chunks:  # several parts, hashes sent in several rows, and bits beside hashes
+        monkeypatch.setattr(line_dedup, "PART_CHUNKS", 2)
+        monkeypatch.setattr(line_dedup, "HELD", 100)
     texts = [r[1] for r in corpus] + ODD + ["Shared Line \nown one", " shared line\t\nown two", "SHARED LINE", "shared line\nshared line"]
     df = docs(spark, texts, n_lines=F.lit("clash"))
-    got = {r.doc_id: (r.text, r._n_lines, r.n_dropped) for r in line_dedup.line_dedup(df, min_docs=3, keep_first=keep_first, log2_bits=bits).collect()}
+    got = {r.doc_id: (r.text, r._n_lines, r.n_dropped) for r in line_dedup.line_dedup(df, min_docs=3, keep_first=keep_first, chunks=chunks).collect()}
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, 3, keep_first)
 
 
+def test_filters_hold_every_repeat_and_few_others():
+    for few in (True, False):
+        lines = [[f"line {t} {i}" for i in range(12_000 if few else 60_000)] + ["shared", f"pair {t // 2}"] for t in range(6)]
+        n = sum(map(len, lines))
+        chunks = line_dedup.chunks_for(n)
+        rows = []
+        for own in lines:
+            batch = pa.RecordBatch.from_arrays([pa.array(["\n".join(own).encode()], pa.binary())], names=["raw"])
+            rows += [r for b in line_dedup._filters(iter([batch]), chunks) for r in b.to_pylist()]
+        rows.sort(key=lambda r: r["chunk"])
+        merged = pa.RecordBatch.from_pylist(rows, pa.schema([("chunk", pa.int32()), ("bits", pa.bool_()), ("once", pa.binary()), ("twice", pa.binary())]))
+        whole = bytearray(chunks * line_dedup.CHUNK // 8)
+        for b in line_dedup._merged(iter([merged])):
+            for r in b.to_pylist():
+                whole[r["chunk"] * line_dedup.CHUNK // 8 : (r["chunk"] + 1) * line_dedup.CHUNK // 8] = r["twice"]
+        part = types.SimpleNamespace(value=bytes(whole))
+        hit = lambda keys: line_dedup._suspected(line_dedup._hashes([k.encode() for k in keys]), [part], chunks, chunks)
+        assert hit(["shared", "pair 0", "pair 1", "pair 2"]).all()
+        assert hit([x for own in lines for x in own[:-2]]).mean() < 0.05
+    assert [line_dedup.chunks_for(n) for n in (0, 1, 104_857, 104_858, 10**9)] == [1, 1, 1, 2, 16384]
+
+
+def test_a_line_in_most_documents_is_not_shuffled(spark):
+    texts = [f"own {i}\nhot\npair {i // 2}" for i in range(300)]
+    out = line_dedup.line_dedup(docs(spark, texts), min_docs=2)
+    assert [r.text for r in out.orderBy("doc_id").collect()] == [f"own {i}" for i in range(300)]
+    kept = line_dedup.line_dedup(docs(spark, texts), min_docs=2, keep_first=True)
+    assert [r.text.count("hot") for r in kept.orderBy("doc_id").collect()] == [1] + [0] * 299
+
+
 def test_line_dedup_odd_tables(spark):
     df = docs(spark, ["a\nb", "a\nc"])
     twice = df.unionByName(df).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
