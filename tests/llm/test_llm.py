@@ -402,8 +402,9 @@ def test_fingerprints(corpus):
 
 def test_every_pair_within_the_radius_meets():
     rng = random.Random(3)
-    for radius in (1, 2, 4):
+    for radius in (1, 2, 4, 6):
         masks = simhash.covering_masks(radius)
+        assert radius < 4 or min((m % 2**64).bit_count() for m in masks) >= 32
         for _ in range(2000):
             flip = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(flip & m % 2**64 == 0 for m in masks)
@@ -434,6 +435,40 @@ def test_links_span_the_components(spark):
     assert {v: got.get(v, v) for v in values} == {v: values[find(i)] for i, v in enumerate(values)}
 
 
+def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_VALUES", 20)
+    for mask in simhash.covering_masks(4)[:3]:
+        for m in simhash.cut_masks(mask, 4):
+            assert m & mask == mask and (m % 2**64).bit_count() > (mask % 2**64).bit_count()
+    test_links_span_the_components(spark)
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_recall_and_precision_of_near_duplicates(spark, small):
+    """Against brute force over all pairs, on the table's texts and on edited copies of them."""
+    rng = random.Random(9)
+    texts = [t for (t,) in duckdb.sql(f"SELECT DISTINCT text FROM '{small}/documents.parquet' WHERE length(text) BETWEEN 200 AND 4000 ORDER BY text LIMIT 90").fetchall()]
+    for t in texts[:60]:
+        words = t.split(" ")
+        for i in range(len(words)):
+            if rng.random() < 0.012:
+                words[i] = rng.choice(words)
+        texts.append(" ".join(words))
+        texts.append(" ".join(t.split(" ")[: -max(1, len(t.split(" ")) // 8)]))
+    texts = sorted(set(texts))
+    true = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))}
+    df = docs(spark, texts)
+    first = {r.doc_id: r.first.doc_id for r in simhash.near_duplicates(df).collect()}
+    good = [p for p, x in true.items() if x >= 0.8]
+    assert len(good) > 60 and sum(first[i] == first[j] for i, j in good) >= 0.9 * len(good)
+    apart = [p for p, x in true.items() if x < 0.4]
+    assert not [p for p in apart if first[p[0]] == first[p[1]] and max(true[min(p[0], k), max(p[0], k)] for k in range(len(texts)) if k != p[0]) < 0.4]
+
+
 def test_near_duplicates_odd_rows(spark):
     base = " ".join(f"word{i}" for i in range(400))
     df = docs(spark, [base, base + " more", None, "", "single", base.upper(), "Single"], fp=F.lit(1), root=F.lit(2))
@@ -441,6 +476,7 @@ def test_near_duplicates_odd_rows(spark):
     out = {(r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()}
     assert out == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0), (6, 4)}
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2, 4]
+    assert simhash.drop_near_duplicates(df).columns == df.columns and simhash.drop_near_duplicates(df.limit(0)).count() == 0
     nulls = df.withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.drop_near_duplicates(nulls).count() == 3
     assert simhash.near_duplicate_groups(df.limit(0)).count() == 0
@@ -574,6 +610,35 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_rules_without_number(spark, monkeypatch):
+    rng = random.Random(8)
+    hosts = [".".join(rng.choices("abcde", k=rng.randint(1, 3))) for _ in range(60)]
+    rules = {(h, "/" + "/".join(rng.choices("xy", k=rng.randint(0, 2)))): rng.choice(["block", "allow"]) for h in hosts for _ in range(3)}
+    rules = tuple((v, h, p) for (h, p), v in rules.items())
+    pages = [(i, f"http://{'.'.join(rng.choices('abcde', k=rng.randint(1, 4)))}/{'/'.join(rng.choices('xyz', k=rng.randint(0, 4)))}", None) for i in range(400)]
+    df = spark.createDataFrame(pages + pages[:3] + [(-1, None, None), (-2, "none", "")], "page_id long, url string, html string")
+    got = []
+    for most in (10_000, 0):
+        monkeypatch.setattr(url_filter, "EXPRESSION_RULES", most)
+        got.append(sorted(map(repr, url_filter.filter_urls(df, rules).collect())))
+    assert got[0] == got[1] and "block" in str(got[0]) and len(got[0]) == 405
+    many = spark.range(100_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), "id", F.lit(".org")).alias("host"), F.lit("/").alias("path"))
+    more = spark.createDataFrame([(0, "http://www.h77.org/1", ""), (1, "http://h100000.org/", '<link rel="canonical" href="http://h5.org/">'), (2, "http://xh7.org/", "")], "page_id long, url string, html string")
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(more, many).collect()} == {0: ("h77.org/", "block"), 1: (None, "block"), 2: (None, "allow")}
+
+
+def test_long_chains_and_a_large_component(spark):
+    chain = [(f"http://c.com/{i}", f"http://c.com/{i + 1}") for i in range(500)] + [("http://c.com/500", "http://bad.net/x")]
+    star = [(f"http://s.org/{i}", "http://hub.org/") for i in range(3000)] + [("http://hub.org/", "http://bad.net/y"), ("http://hub.org/", "http://example.net/en/")]
+    free = [(f"http://f.org/{i}", f"http://f.org/{i + 1}") for i in range(200)]
+    hops = spark.createDataFrame(chain + star + free, "source string, target string")
+    urls = [a for a, _ in chain + star + free]
+    long_html = "x" * 3_000_000 + '<link rel="canonical" href="http://bad.net/">'
+    df = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)] + [(-1, "http://l.com/", long_html)] * 2, "page_id long, url string, html string")
+    out = [(r.page_id, r.verdict) for r in url_filter.filter_urls(df, redirects=hops).select("page_id", "verdict").collect()]
+    assert sorted(i for i, v in out if v == "block") == [-1, -1, *range(len(chain))] and len(out) == len(urls) + 2
+
+
 def test_url_sql_follows_links(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [(0, "http://a.example.com/x/y", link.format("http://bad.net/de/1")), (1, "https://A.EXAMPLE.com/x/z", "<meta http-equiv='refresh' content='0; url=y'>"), (2, "http://q.com/a", link.format("//a.example.com/x/y") + "<script>" + link.format("http://example.net/en/1") + "</script>"),

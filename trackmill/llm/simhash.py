@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read, spare, stored, utf8
 from .components import connected_components
 
 BITS = 64
+#: A bucket with more values is not searched in one task but cut further.
+BUCKET_VALUES = 50_000
+#: Near duplicates: words of a shingle; the radius within which the masks miss no pair of words' fingerprints, and how far
+#: those may be apart that meet all the same; and in how many of 256 bits the shingles' sketches may differ. Sketches of
+#: sets with a Jaccard similarity of 0.8 differ in 39 bits on average, give or take 6.
+WIDTH, RADIUS, REACH, SKETCH_BITS = 5, 6, 12, 48
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = (np.arange(8) * 256).astype(np.int64)
 
@@ -39,21 +48,62 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(values)).tobytes(), "big", signed=True)
 
 
-def with_fingerprints(docs: DataFrame, name: str, text: str = "text", width: int = 4) -> DataFrame:
-    """docs without the text, and a long column `name` with the fingerprint. Null texts count as empty."""
+def _shingles(text: bytes, width: int) -> list[bytes]:
+    words = text.lower().split()
+    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+@functools.lru_cache(1)
+def _weighted_words(text: bytes) -> tuple[list[bytes], np.ndarray]:
+    counts = Counter(text.lower().split())
+    return [*counts], np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+
+
+def word_print(text: bytes, seed: int = 42) -> int:
+    """The SimHash of the single words, as a signed integer. A word counts as the root of how often it is there, so that
+    the commonest words do not make all texts alike."""
+    words, weight = _weighted_words(text)
+    if not words:
+        return 0
+    values = np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), np.uint8).reshape(-1, 8)
+    sums = np.bincount((values + _PLACES).ravel(), np.repeat(weight, 8), 2048).reshape(8, 256) @ _BYTE_BITS
+    return int.from_bytes(np.packbits(sums.ravel() * 2 > weight.sum()).tobytes(), "big", signed=True)
+
+
+def sketch(text: bytes, width: int = WIDTH) -> bytes:
+    """A SimHash of 256 bits of the different shingles; a text with fewer words is one shingle, without words all zero."""
+    own = set(_shingles(text, width))
+    if not own:
+        return bytes(32)
+    raw = b"".join([xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in own])
+    values = np.frombuffer(raw, np.uint8).reshape(-1, 32)
+    counts = np.bincount((values + np.arange(32) * 256).ravel(), minlength=8192).reshape(32, 256) @ _BYTE_BITS
+    return np.packbits(counts.ravel() * 2 > len(own)).tobytes()
+
+
+def with_prints(docs: DataFrame, prints: dict[str, tuple[Callable[[bytes], int | bytes], T.DataType]], text: str = "text") -> DataFrame:
+    """docs without the text, and a column for each of `prints`, a function of the text. Null texts count as empty."""
     rest = [c for c in docs.columns if c != text]
     (raw,) = spare(docs, "raw")
+    kept = docs.select(*[F.col(f"`{c}`") for c in rest])
     given = docs.select(*[F.col(f"`{c}`") for c in rest], utf8(f"`{text}`").alias(raw))
-    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).withColumn(name, F.lit(0).cast("long")).schema
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(c, t) for c, (_, t) in prints.items())])
+    jobs = [(f, pa.binary() if isinstance(t, T.BinaryType) else pa.int64()) for f, t in prints.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array([fingerprint(x.as_py(), width) for x in batch.column(len(rest))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], values], names=[*rest, name])
+            rows = [[f(x) for f, _ in jobs] for x in batch.column(len(rest)).to_pylist()]
+            values = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(jobs)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *values], names=schema.names)
 
     return given.mapInArrow(run, schema)
 
 
+def with_fingerprints(docs: DataFrame, name: str, text: str = "text", width: int = 4) -> DataFrame:
+    """docs without the text, and a long column `name` with the fingerprint."""
+    return with_prints(docs, {name: (lambda x: fingerprint(x, width), T.LongType())}, text)
+
+
 def covering_masks(radius: int) -> list[int]:
     """2^(radius+1) - 1 masks of 64 bits; any two values that differ in at most `radius` bits agree under one of them.
 
@@ -63,77 +113,164 @@ def covering_masks(radius: int) -> list[int]:
     2016). Signed, as Spark's longs are.
     """
     n = (1 << (radius + 1)) - 1
-    masks = [sum(1 << i for i in range(BITS) if ((i % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
+    step = max(1, (n + 1) // BITS)  # no mask then keeps fewer than half of the bits
+    masks = [sum(1 << i for i in range(BITS) if ((i * step % n + 1) & v).bit_count() & 1) for v in range(1, n + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges from the first value of each component to its others. Searches from each value only what is not reached."""
-    out, left = [], values.view(np.uint64)  # bits of signed values would be counted without their sign
+def cut_masks(mask: int, radius: int) -> list[int]:
+    """radius + 1 masks that keep what `mask` keeps and a band of the other bits each. Values that agree under `mask` and
+    differ in at most `radius` bits agree under one of them."""
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    out = [(mask % (1 << 64)) | sum(1 << i for i in free[k :: radius + 1]) for k in range(radius + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
+
+
+def _forest(left: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(root, other) for each component of rows: its first row and its others. `near` tells which rows are linked to one.
+    Searches from each row only what is not reached."""
+    out = []
     while len(left) > 1:
         root, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
-            near = np.bitwise_count(left ^ front.pop()) <= radius
-            if near.any():
-                found, left = left[near], left[~near]
+            yes = near(left, front.pop())
+            if yes.any():
+                found, left = left[yes], left[~yes]
                 out += [(root, x) for x in found]
                 front += list(found)
     return out
 
 
-def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (t, k, fp) come in order; runs of one (t, k) are buckets. A run may go on in the next batch."""
-
-    def edges(t: np.ndarray, k: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        length = np.diff(np.r_[new, len(t)])
-        two = new[length == 2]
-        two = two[np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= radius] if len(two) else two
-        more = [e for i, n in zip(new[length > 2], length[length > 2]) for e in _forest(fp[i : i + n], radius)]
-        a = np.r_[fp[two], np.array([x for x, _ in more], np.uint64).view(np.int64)]
-        b = np.r_[fp[two + 1] if len(two) else fp[two], np.array([y for _, y in more], np.uint64).view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+def _runs(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs that are equal in the first `keys` columns; a run may go on in the next batches. With `most`,
+    a run of more rows comes in pieces."""
     held: list[list[np.ndarray]] = []
+    whole = lambda parts: [np.concatenate(c) for c in zip(*parts)]
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        first = 0
-        if held and (held[-1][0][-1], held[-1][1][-1]) == (cols[0][-1], cols[1][-1]) == (cols[0][0], cols[1][0]):
-            held.append(cols)  # the whole batch goes on with the run
-            continue
-        last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-        first = last[-1] + 1 if len(last) else 0
-        done = [np.concatenate([*(h[i] for h in held), cols[i][:first]]) for i in range(3)]
-        if len(done[0]):
-            yield edges(*done)
-        held = [[c[first:] for c in cols]]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        other = np.flatnonzero(np.any([c != c[-1] for c in cols[:keys]], axis=0))
+        first = other[-1] + 1 if len(other) else 0
+        if held and (first or any(c[-1] != h[-1] for c, h in zip(cols[:keys], held[-1]))):
+            yield whole([*held, [c[:first] for c in cols]])
+            held = []
+        elif first:
+            yield [c[:first] for c in cols]
+        held.append([c[first:] for c in cols])
+        if most and sum(len(h[0]) for h in held) > most:
+            yield whole(held)
+            held = []
     if held:
-        yield edges(*[np.concatenate([h[i] for h in held]) for i in range(3)])
+        yield whole(held)
 
 
-def fingerprint_links(fingerprints: DataFrame, column: str, radius: int = 4) -> DataFrame:
-    """Edges (a, b) between fingerprints that span every component of "differ in at most radius bits".
+def _link(batches: Iterator[pa.RecordBatch], masks: np.ndarray, reach: int, most: int) -> Iterator[pa.RecordBatch]:
+    """From rows (t, fp), in order of t and of what mask t keeps of fp, the bucket: rows (t, root, fp) of each bucket's
+    components of two and more. Of buckets with over `most` values, rows (t, null, fp)."""
+    near = lambda left, x: np.bitwise_count(left ^ x) <= reach
+
+    def keyed() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, fp = batch.column(0), batch.column(1)
+            k = pa.array(fp.to_numpy() & masks[t.to_numpy()], pa.int64())
+            yield pa.RecordBatch.from_arrays([t, k, fp], names=["t", "k", "fp"])
+
+    large = None
+    for t, k, fp in _runs(keyed(), 2, most):
+        fp = fp.view(np.uint64)  # bits of signed values would be counted without their sign
+        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+        length = np.diff(np.r_[new, len(t)])
+        over = length > most
+        over[0] |= large == (t[0], k[0])  # a large bucket goes on
+        two = new[(length == 2) & ~over]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= reach]
+        at, root, value = [t[two]], [fp[two]], [fp[two + 1]]
+        some = (length > 2) & ~over
+        for i, n in zip(new[some].tolist(), length[some].tolist()):
+            if found := _forest(fp[i : i + n], near):
+                at.append(np.full(len(found), t[i], np.int32))
+                root.append(np.array([a for a, _ in found], np.uint64))
+                value.append(np.array([b for _, b in found], np.uint64))
+        rest = [np.arange(i, i + n) for i, n in zip(new[over].tolist(), length[over].tolist())]
+        large = (t[-1], k[-1]) if over[-1] else None
+        t_, a, b = (np.concatenate(x) for x in (at, root, value))
+        cols = [pa.array(t_, pa.int32()), pa.array(a.view(np.int64), pa.int64()), pa.array(b.view(np.int64), pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["t", "root", "fp"])
+        if rest:
+            own = np.concatenate(rest)
+            cols = [pa.array(t[own], pa.int32()), pa.nulls(len(own), pa.int64()), pa.array(fp[own].view(np.int64), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["t", "root", "fp"])
+
+
+def bucket_links(fingerprints: DataFrame, column: str, radius: int = 4, reach: int | None = None) -> DataFrame:
+    """Rows (t, root, fp): fp is reached from root within a bucket of table t over links of at most `reach` bits, by default
+    `radius`. Pairs within the radius all meet in a bucket; beyond it some do.
 
     Equal fingerprints are one node, so copies cost nothing. Each distinct value goes to one bucket of each of the
-    2^(radius+1) - 1 tables. Within a bucket only a spanning forest is sent out, never all pairs; its values are 8
-    bytes each and are searched only against those not yet reached.
+    2^(radius+1) - 1 tables. Of a bucket only the components with their first value are sent out, never all pairs; its
+    values are 8 bytes each and are searched only against those not yet reached. A bucket with over BUCKET_VALUES values
+    is dealt anew over radius + 1 wider masks, which again no pair within the radius escapes, until every bucket fits a
+    task.
     """
     nodes = fingerprints.select(F.col(column).alias("fp")).where("fp IS NOT NULL").distinct()
-    keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in covering_masks(radius)])
-    buckets = nodes.select("fp", F.posexplode(keys).alias("t", "k")).select("t", "k", "fp")
-    buckets = buckets.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
-    return buckets.mapInArrow(lambda it: _link(it, radius), "a long, b long")
+    masks, out, most = covering_masks(radius), None, BUCKET_VALUES
+    rows = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp")
+    while True:
+        key = F.col("fp").bitwiseAND(F.get(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("t")))
+        rows = rows.repartition(F.col("t"), key).sortWithinPartitions(F.col("t"), key, F.col("fp"))
+        own = np.array(masks, np.int64)
+        found = stored(rows.mapInArrow(lambda it, own=own: _link(it, own, reach or radius, most), "t int, root long, fp long"), "buckets")
+        done = found.where("root IS NOT NULL")
+        out = done if out is None else out.unionByName(done)
+        large = found.where("root IS NULL")
+        tables = sorted(r.t for r in large.select("t").distinct().collect())  # at most a level's tables
+        if not tables:
+            return out
+        masks = [m for t in tables for m in cut_masks(masks[t], radius)]
+        wider = F.array_position(F.array(*map(F.lit, tables)), F.col("t")).cast("int") - 1
+        each = F.explode(F.sequence(wider * (radius + 1), wider * (radius + 1) + radius))
+        rows = large.select(each.alias("t"), "fp")
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, h, fp), h a hash of the text; and nodes (fp, root)."""
-    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
-    prints = stored(with_fingerprints(ids, "fp", "text", width), "fingerprints")
-    roots = connected_components(fingerprint_links(prints, "fp", radius)).withColumnRenamed("node", "fp")
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"))
-    return prints, stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+def fingerprint_links(fingerprints: DataFrame, column: str, radius: int = 4) -> DataFrame:
+    """Edges (a, b) between fingerprints that span every component of "differ in at most radius bits"."""
+    return bucket_links(fingerprints, column, radius).select(F.col("root").alias("a"), F.col("fp").alias("b"))
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], reach: int, most: int) -> Iterator[pa.RecordBatch]:
+    """From rows (t, root, fp, sketch) in order: edges (a, b) of sketches in each group (t, root), linked where fingerprints
+    differ in at most `reach` bits and sketches in at most `most`."""
+    limit = np.array([reach, most])
+
+    def near(left: np.ndarray, x: np.ndarray) -> np.ndarray:
+        bits = np.bitwise_count(left ^ x)
+        return (bits[:, 0] <= limit[0]) & (bits[:, 1:].sum(axis=1) <= limit[1])
+
+    for t, root, fp, marks in _runs(batches, 2):
+        rows = np.column_stack([fp.view(np.uint64), np.frombuffer(b"".join(marks), np.uint64).reshape(-1, 4)])
+        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (root[1:] != root[:-1])])
+        found = [e for i, j in zip(new, [*new[1:], len(t)]) if j - i > 1 for e in _forest(rows[i:j], near)]
+        ends = [pa.array([e[k][1:].tobytes() for e in found], pa.binary()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
+def sketch_links(nodes: DataFrame, radius: int = RADIUS, reach: int = REACH, most: int = SKETCH_BITS) -> DataFrame:
+    """Edges (a, b) of sketches, from rows (sketch, fp1, fp2), that span every component of near duplicates.
+
+    Covering masks find the pairs that differ in at most `radius` bits of either fingerprint, and many up to `reach`; only
+    what has a partner in its bucket is joined with its sketch and searched again for pairs whose sketches differ in at
+    most `most` bits. The texts that a bucket's values have are searched in one task, 40 bytes each; they are different
+    near copies of one text, or permutations of one another's words."""
+    out = None
+    for column in ("fp1", "fp2"):
+        groups = bucket_links(nodes, column, radius, reach)
+        groups = groups.unionByName(groups.select("t", "root", F.col("root").alias("fp"))).distinct()
+        rows = groups.join(nodes.select(F.col(column).alias("fp"), "sketch"), "fp").select("t", "root", "fp", "sketch")
+        rows = rows.repartition("t", "root").sortWithinPartitions("t", "root", "fp", "sketch")
+        edges = rows.mapInArrow(lambda it: _confirm(it, reach, most), "a binary, b binary")
+        out = edges if out is None else out.unionByName(edges)
+    return out.distinct()
 
 
 def near_duplicate_groups(
@@ -146,23 +283,59 @@ def near_duplicate_groups(
     row; they never name a component unless it has no other id, when it is null. Repeated rows stay repeated. Extra
     columns are ignored; an empty table gives an empty result.
     """
-    prints, nodes = _grouped(docs, doc_id, text, width, radius)
+    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    prints = stored(with_fingerprints(ids, "fp", "text", width), "fingerprints")
+    roots = connected_components(fingerprint_links(prints, "fp", radius)).withColumnRenamed("node", "fp")
+    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first"))
+    nodes = stored(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     least = nodes.groupBy("root").agg(F.min("first")["doc_id"].alias("component_id"))
     named = nodes.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4
+def near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    width: int = WIDTH,
+    radius: int = RADIUS,
+    reach: int = REACH,
+    most: int = SKETCH_BITS,
 ) -> DataFrame:
-    """docs with one row for each group: the one with the smallest doc_id (null ids last), of repeated rows one."""
-    _, nodes = _grouped(docs, doc_id, text, width, radius)
-    first = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
-    kept_id, kept_h, h = spare(docs, "kept_id", "kept_h", "text_h")
-    first = first.select(F.col("doc_id").alias(kept_id), F.col("h").alias(kept_h))
-    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(kept_id)) & (F.col(h) == F.col(kept_h))
-    rows = docs.withColumn(h, F.xxhash64(f"`{text}`"))
-    return rows.join(first, same, "left_semi").dropDuplicates([doc_id, h]).drop(h)
+    """One row per row of docs: doc_id, h (a hash of the text), first, a struct with the doc_id and h of its group's row that
+    stays: the smallest doc_id (null ids last), then the smallest h.
+
+    Two texts are near duplicates if their sets of shingles of `width` words are about 0.8 alike or more: a SimHash of
+    256 bits of the shingles differs in at most `most` bits. Candidates are what one of two SimHashes of the words, of
+    64 bits, brings together under covering masks: all pairs within `radius` bits, and many up to `reach`. Words, as
+    an edited one changes `width` shingles, and a radius fit for shingles would need far too many tables. Groups are
+    what links connect; equal sketches are always linked. Null and empty texts are near duplicates of each other; a text
+    with fewer than `width` words is one shingle.
+    """
+    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
+    words = {"fp1": (word_print, T.LongType()), "fp2": (lambda x: word_print(x, 43), T.LongType())}
+    prints = words | {"sketch": (lambda x: sketch(x, width), T.BinaryType())}
+    prints = stored(with_prints(ids, prints), "sketches")
+    nodes = prints.groupBy("sketch").agg(F.min("fp1").alias("fp1"), F.min("fp2").alias("fp2"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("own"))
+    nodes = stored(nodes, "nodes")
+    roots = connected_components(sketch_links(nodes, radius, reach, most)).withColumnRenamed("node", "sketch")
+    nodes = stored(nodes.join(roots, "sketch", "left").withColumn("root", F.coalesce("root", "sketch")), "roots")
+    least = nodes.groupBy("root").agg(F.min("own").alias("least"))
+    named = nodes.join(least, "root").select("sketch", F.struct("least.doc_id", "least.h").alias("first"))
+    return prints.join(named, "sketch").select("doc_id", "h", "first")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs with one row for each group of near_duplicates: the one with the smallest doc_id (null ids last), of repeated
+    rows one. Extra columns stay as they are. An empty table gives an empty result. Texts are shuffled once."""
+    names = spare(docs, "text_h", "id_text", "id_null")
+    h, as_text, is_null = names
+    first = near_duplicates(docs, doc_id, text, **options).select("first.*").distinct()
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(as_text), F.col("doc_id").isNull().alias(is_null), F.col("h").alias(h)]
+    same = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
+    rows = docs.withColumns({h: F.xxhash64(f"`{text}`"), as_text: same, is_null: F.col(f"`{doc_id}`").isNull()})
+    keys = [as_text, is_null, h]
+    return rows.dropDuplicates(keys).join(first.select(*own), keys, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,8 @@ from .components import connected_components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Rules become one expression; larger lists are refused.
-MAX_RULES = 500
+#: So many rules become one expression; longer lists, and tables, are joined. Both give the same.
+EXPRESSION_RULES = 100
 
 
 def host_of(url: Column) -> Column:
@@ -37,16 +37,45 @@ def alias_of(url: Column) -> Column:
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]) -> Column:
-    """struct(rule, verdict) of the longest rule that fits; nulls if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """struct(rule, verdict) of the longest rule that fits (of equally long ones that with the longest host, then an
+    allow); nulls if none does."""
     out = F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    for verdict, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for verdict, h, p in sorted(rules, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[0] == "allow")):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
     return out
 
 
+def rules_joined(rows: DataFrame, host: str, path: str, rules: DataFrame) -> DataFrame:
+    """(r_host, r_path, found) for each host and path of rows that a rule fits; found as by rule_for.
+
+    A host is cut into its domains (itself, and what follows each dot), and those that have rules meet them by domain and
+    by the path's starts of the lengths that the domain's rules have. Nothing depends on how many rules there are."""
+    rules = rules.select("verdict", F.col("host").alias("rule_host"), F.col("path").alias("rule_path"))
+    sizes = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("sizes"))
+    labels = F.split(F.col("r_host"), r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    each = rows.select(F.col(host).alias("r_host"), F.col(path).alias("r_path")).distinct()
+    each = each.select("r_host", "r_path", F.explode(domains).alias("rule_host")).join(sizes, "rule_host")
+    each = each.select("r_host", "r_path", "rule_host", F.explode("sizes").alias("size")).where(F.length("r_path") >= F.col("size"))
+    each = each.withColumn("rule_path", F.substring("r_path", F.lit(1), F.col("size"))).join(rules, ["rule_host", "rule_path"])
+    rule = F.concat("rule_host", "rule_path")
+    rank = F.struct(F.length(rule), F.length("rule_host"), F.col("verdict") == "allow")
+    return each.groupBy("r_host", "r_path").agg(F.max_by(F.struct(rule.alias("rule"), "verdict"), rank).alias("found"))
+
+
+def with_rules(rows: DataFrame, host: str, path: str, name: str, rules: tuple[tuple[str, str, str], ...] | DataFrame) -> DataFrame:
+    """rows and a column `name`: struct(rule, verdict) of the rule that decides, or null fields."""
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= EXPRESSION_RULES:
+            return rows.withColumn(name, rule_for(F.col(host), F.col(path), rules))
+        rules = rows.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    found = rules_joined(rows, host, path, rules).withColumnsRenamed({"r_host": f"{name}_host", "r_path": f"{name}_path", "found": f"{name}_found"})
+    same = (F.col(host) == F.col(f"{name}_host")) & (F.col(path) == F.col(f"{name}_path"))
+    out = rows.join(found, same, "left").withColumn(name, F.col(f"{name}_found"))
+    return out.drop(f"{name}_host", f"{name}_path", f"{name}_found")
+
+
 _DEAD = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>", re.I | re.S)
 _TAG = re.compile(r"<(link|meta)\s([^>]*)>", re.I | re.S)
 _ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -90,21 +119,23 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def filter_urls(
     pages: DataFrame,
-    rules: tuple[tuple[str, str, str], ...] = RULES,
+    rules: tuple[tuple[str, str, str], ...] | DataFrame = RULES,
     redirects: DataFrame | None = None,
     url: str = "url",
     html: str | None = "html",
 ) -> DataFrame:
     """pages and host, path, rule, verdict (where pages has such columns, the names with underscores before them).
 
-    A rule fits its host and all subdomains if the URL's path starts with the rule's; the longest one decides. A page
+    `rules` are (verdict, host, path), a tuple or, for lists of any length, a table with these columns. A rule fits its
+    host and all subdomains if the URL's path starts with the rule's; the longest one decides. A page
     without a rule takes the verdict of its aliases: URLs that are joined to its own by canonical links, refresh
     redirects in the pages' html or the rows (source, target) of `redirects`, over any number of steps. It is blocked
     if a rule blocks one of them and no rule allows one, whether that alias is itself a page or not; else allowed.
 
     Components are computed on the links alone, in DataFrames; pages join their component by their own alias, which is
     host, path and query. A null URL, or one without ://, has empty host and path, no rule, no alias, and is allowed.
-    Null html has no links. Repeated pages keep their rows; an empty table gives an empty result.
+    Null html has no links; html is read whole, however long. Repeated pages keep their rows; an empty table gives an
+    empty result.
     """
     host, path, rule, verdict, found, key, node, by = spare(pages, "host", "path", "rule", "verdict", "found", "key", "node", "by_alias")
     links = page_links(pages, url, html) if html else None
@@ -112,7 +143,7 @@ def filter_urls(
         given = redirects.select(alias_of(F.col("source")).alias("a"), alias_of(F.col("target")).alias("b"))
         links = given if links is None else links.unionByName(given)
     out = pages.withColumns({host: host_of(F.col(f"`{url}`")), path: path_of(F.col(f"`{url}`")), key: alias_of(F.col(f"`{url}`"))})
-    out = out.withColumn(found, rule_for(F.col(host), F.col(path), rules))
+    out = with_rules(out, host, path, found, rules)
     own = F.col(f"{found}.verdict")
     if links is None:
         by_alias = F.lit(None)
@@ -120,7 +151,8 @@ def filter_urls(
         members = connected_components(links)
         members = members.unionByName(members.select(F.col("root").alias("node"), "root").distinct())
         at = F.concat(F.lit("x://"), "node")
-        members = members.withColumn("verdict", rule_for(host_of(at), path_of(at), rules)["verdict"])
+        members = members.withColumns({"node_host": host_of(at), "node_path": path_of(at)})
+        members = with_rules(members, "node_host", "node_path", "node_rule", rules).select("node", "root", "node_rule.verdict")
         told = members.groupBy("root").agg(F.bool_or(F.col("verdict") == "block").alias("block"), F.bool_or(F.col("verdict") == "allow").alias("allow"))
         blocked = told.where("block AND NOT coalesce(allow, false)").select("root")
         blocked = members.join(blocked, "root", "left_semi").select(F.col("node").alias(node), F.lit("block").alias(by))
