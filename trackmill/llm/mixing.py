@@ -128,12 +128,16 @@ def mix_plan(
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """docs, each row as often as the plan emits it, and epoch and at (where docs has such columns, the names with
-    underscores before them). Texts are shuffled once, to meet the plan."""
+    underscores before them). Partitions, and the rows in each, are in the order of the mixture, so that files written
+    from them are. Texts are shuffled twice, to meet the plan and to their places. Odd rows as in mix_plan."""
     epoch, at, h, p_id, p_h, p_source = spare(docs, "epoch", "at", "h", "p_id", "p_h", "p_source")
     plan = mix_plan(docs, doc_id, text, source, **options)
     plan = plan.select(F.col("doc_id").alias(p_id), F.col("h").alias(p_h), F.col("source").alias(p_source), F.col("epoch").alias(epoch), F.col("at").alias(at))
     same = F.col(f"`{doc_id}`").eqNullSafe(F.col(p_id)) & (F.col(h) == F.col(p_h)) & F.col(f"`{source}`").eqNullSafe(F.col(p_source))
-    return docs.withColumn(h, F.xxhash64(f"`{text}`")).join(plan, same).select(*[f"`{c}`" for c in docs.columns], epoch, at)
+    rows = docs.withColumn(h, F.xxhash64(f"`{text}`")).join(plan, same).select(*[f"`{c}`" for c in docs.columns], epoch, at)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor(F.col(at) * n).cast("int")))
+    return rows.repartitionById(n, part).sortWithinPartitions(at, f"`{doc_id}`", epoch)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

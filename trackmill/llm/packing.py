@@ -9,11 +9,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, stored, utf8
+from .common import read, spare, stored, utf8
 
 CAPACITY, END_ID, SHARDS = 4096, 1, 128
 
@@ -93,14 +94,16 @@ def token_pieces(
     end_id: int = END_ID,
     with_ids: bool = False,
     cached_runs: int = CACHED_RUNS,
+    extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and with_ids the ids (binary, four bytes each).
+    """One row per piece: doc_id, piece, start, length, ids_crc32, with_ids the ids (binary, four bytes each), and the
+    columns named in `extra`, which must not be called like one of these.
 
     A document is its ids and then end_id; only longer ones are cut, into pieces of `capacity` ids. A null text is
     empty and has end_id alone. Rows with equal doc_id are documents of their own. Extra columns are ignored.
     """
     path = vocabulary or default_vocabulary()
-    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), utf8(f"`{text}`").alias("raw"))
+    given = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), utf8(f"`{text}`").alias("raw"), *[F.col(f"`{c}`") for c in extra])
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +120,11 @@ def token_pieces(
                     crc.append(zlib.crc32(part))
                     raw += [part] if with_ids else []
             cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_ids, names=names)
+            more = [batch.column(2 + k).take(pa.array(row, pa.int64())) for k in range(len(extra))]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * with_ids + more, names=names)
 
     fields = [given.schema["doc_id"], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))]
-    fields += [T.StructField("ids", T.BinaryType())] * with_ids
+    fields += [T.StructField("ids", T.BinaryType())] * with_ids + [given.schema[c] for c in extra]
     names = [f.name for f in fields]
     return given.mapInArrow(run, T.StructType(fields))
 
@@ -222,6 +226,28 @@ def pack_documents(docs: DataFrame, **options) -> DataFrame:
     return pack(pieces, options.get("capacity", CAPACITY))
 
 
+def in_file_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs and a long column `name`, which grows along a stored table: by file and row, or else by partition and row."""
+    try:
+        file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        part = F.coalesce(F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long"), F.lit(0))
+        return docs.select("*", (F.shiftleft(part, 33) + row).alias(name))
+    except AnalysisException:  # not read from Parquet files
+        return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def pack_in_order(docs: DataFrame, **options) -> DataFrame:
+    """As pack_documents, and place, the document's place in the stored table, and sequence_place, the place of the
+    sequence's first piece: sequences read by it come in the order of the documents, as far as they can. Rows of one
+    document (in a mixture of several epochs) are told apart by their place. Where docs has a column place, it is
+    ignored."""
+    (place,) = spare(docs, "place")
+    pieces = stored(token_pieces(in_file_order(docs, place), extra=(place,), **options).withColumnRenamed(place, "place"), "pieces")
+    out = stored(pack(pieces, options.get("capacity", CAPACITY)), "packed")
+    first = out.where("offset = 0").select("sequence_id", F.col("place").alias("sequence_place"))
+    return out.join(first, "sequence_id").select(*out.columns, "sequence_place")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: whole texts, sequences of 4096 tokens."""
     return pack_documents(read(spark, sf_dir, "documents"))
