@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 G = 9.80665
 
@@ -31,40 +34,89 @@ def hierarchy(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def numbered_groups(groups: DataFrame, buckets: int = 64) -> DataFrame:
+    """groups (group_id), each once, with place, from 0, and size, how many there are. Groups are numbered within hashed buckets, and
+    the buckets' counts are summed, so that no task has them all."""
+    digits = F.conv(F.substring(F.md5(F.col("group_id").cast("string")), 1, 4), 16, 10).cast("int")
+    own = groups.select("group_id").where("group_id IS NOT NULL").distinct().withColumn("bucket", digits % buckets)
+    one = Window.partitionBy(F.lit(0))  # over at most `buckets` rows
+    before = F.coalesce(F.sum("n").over(one.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = own.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", before.alias("before"), F.sum("n").over(one).alias("size"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("group_id")) - 1
+    return own.withColumn("place", place.cast("long")).join(F.broadcast(sums), "bucket").select("group_id", (F.col("place") + F.col("before")).alias("place"), "size")
+
+
 def draws(groups: DataFrame, n: int, seed: int) -> DataFrame:
-    """(boot_id, slot, group_id): n draws of as many groups as there are (rows group_id, place from 0, size), with replacement, by a
-    linear congruential step whose high bits pick the place; SQL can repeat it."""
-    slots = groups.crossJoin(groups.sparkSession.range(n).withColumnRenamed("id", "boot_id")).withColumnRenamed("place", "slot")
-    x = (F.col("boot_id") * 1_103_515_245 + F.col("slot") * 12_345 + seed) % 2_147_483_648
-    pick = F.floor(x / 65_536) % F.col("size")
+    """(boot_id, slot, group_id): n draws of as many groups as there are (rows group_id, place from 0, size), with replacement. The pick
+    is 60 bits of a digest of seed, draw and slot, so that any task, and SQL, can repeat it."""
+    slots = groups.select(F.col("place").alias("slot"), "size", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("boot_id"))
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("boot_id").cast("string"), F.col("slot").cast("string")))
+    pick = F.conv(F.substring(mixed, 1, 15), 16, 10).cast("long") % F.col("size")
     return slots.select("boot_id", "slot", pick.alias("pick")).join(groups.select(F.col("place").alias("pick"), "group_id"), "pick").drop("pick")
 
 
-def bootstrap(rows: DataFrame, estimator: Callable[[DataFrame, list[str]], DataFrame] = hierarchy, unit: str = "session_id", n: int = 200, seed: int = 0) -> DataFrame:
-    """(estimate, low, high, groups): 2.5 and 97.5 percentiles of the estimator over draws of whole groups.
+def per_video(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("session_id", "video_id").agg(F.avg("value").alias("value"), F.lit(None).cast("double").alias("variance"))
+
+
+def python_estimator(f: Callable[[pd.DataFrame], float | None]) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """An estimator for bootstrap and leave_one_out from a function of a group's rows (session_id, video_id, value, variance); what it
+    raises or returns as no finite number is a null estimate. A group is one row for each video, which is what a task holds."""
+
+    def estimate(rows: DataFrame, by: list[str]) -> DataFrame:
+        own = rows if by else rows.withColumn("every_row", F.lit(0))
+        keys = by or ["every_row"]
+
+        def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            try:
+                value = f(group)
+            except (ValueError, ArithmeticError):
+                value = None
+            known = value is not None and math.isfinite(value)
+            return pd.DataFrame([[*key, float(value) if known else None]], columns=[*keys, "estimate"])
 
-    Drawn groups are relabelled, so that one drawn twice counts twice. With fewer than two groups the interval is null,
-    never of width zero. Rows are first summed to one for each video, so what is multiplied by the draws is small."""
-    video = rows.groupBy("session_id", "video_id").agg(F.avg("value").alias("value"), F.lit(None).cast("double").alias("variance"))
-    groups = video.select(F.col(unit).alias("group_id")).distinct()
-    one = Window.partitionBy(F.lit(0))
-    groups = groups.withColumns({"place": F.row_number().over(one.orderBy("group_id")) - 1, "size": F.count("*").over(one)})
-    d = draws(groups, n, seed)
-    drawn = d.join(video.withColumn("group_id", F.col(unit)), "group_id")
+        schema = T.StructType([*(own.schema[k] for k in keys), T.StructField("estimate", T.DoubleType())])
+        return own.groupBy(*keys).applyInPandas(one, schema).select(*by, "estimate")
+
+    return estimate
+
+
+def bootstrap(rows: DataFrame, estimator: Callable[[DataFrame, list[str]], DataFrame] = hierarchy, unit: str | None = None, n: int = 200, seed: int = 0) -> DataFrame:
+    """(estimate, low, high, groups, unit, scope, failed, group_std): 2.5 and 97.5 percentiles of the estimator over draws of whole
+    groups, how many draws gave no estimate, and the standard deviation of the groups' own estimates.
+
+    The unit is the session if there is more than one, else the video. Drawn groups are relabelled, so that one drawn twice
+    counts twice. With fewer than two groups, or two draws with an estimate, the interval is null, never of width zero.
+    Rows are first summed to one for each video, so what is multiplied by the draws is small."""
+    if unit is None:
+        unit = "session_id" if rows.select("session_id").where("session_id IS NOT NULL").distinct().limit(2).count() > 1 else "video_id"
+    video = per_video(rows)
+    groups = numbered_groups(video.select(F.col(unit).alias("group_id")))
+    drawn = draws(groups, n, seed).join(video.withColumn("group_id", F.col(unit)), "group_id")
     label = F.concat_ws(":", F.col("slot").cast("string"), F.col("video_id").cast("string"))
     session = F.concat_ws(":", F.col("slot").cast("string"), F.col("session_id").cast("string")) if unit == "session_id" else F.col("session_id").cast("string")
     drawn = drawn.select("boot_id", label.alias("video_id"), session.alias("session_id"), "value", "variance")
-    e = estimator(drawn, ["boot_id"]).agg(F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    whole = estimator(video, []).select("estimate").crossJoin(groups.agg(F.count("*").alias("groups"))).crossJoin(e)
-    many = F.col("groups") > 1
-    return whole.select("estimate", F.when(many, F.col("q")[0]).alias("low"), F.when(many, F.col("q")[1]).alias("high"), "groups")
+    ok = F.col("estimate").isNotNull() & ~F.isnan("estimate")
+    e = estimator(drawn, ["boot_id"]).where(ok).agg(F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("*").alias("ok"))
+    each = estimator(video.withColumn("group_id", F.col(unit)), ["group_id"]).agg(F.stddev_samp("estimate").alias("group_std"), F.count("*").alias("groups"))
+    whole = estimator(video, []).select("estimate").crossJoin(each).crossJoin(e)  # one row each
+    many = (F.col("groups") > 1) & (F.col("ok") > 1)
+    scope = "between_sessions" if unit == "session_id" else "within_single_session_between_videos"
+    return whole.select(
+        "estimate", F.when(many, F.col("q")[0]).alias("low"), F.when(many, F.col("q")[1]).alias("high"), "groups", F.lit(unit).alias("unit"), F.lit(scope).alias("scope"),
+        F.when(F.col("groups") > 1, n - F.col("ok")).alias("failed"), F.when(F.col("groups") > 1, F.col("group_std")).alias("group_std"),
+    )
 
 
-def leave_one_out(rows: DataFrame, unit: str = "video_id") -> DataFrame:
-    """(excluded, estimate, ...): the hierarchical estimate without each video in turn, from one row for each video."""
-    video = rows.groupBy("session_id", "video_id").agg(F.avg("value").alias("value"), F.lit(None).cast("double").alias("variance"))
-    out = video.select(F.col(unit).alias("excluded")).distinct().join(video, F.col("excluded") != F.col(unit))
-    return hierarchy(out, ["excluded"])
+def leave_one_out(rows: DataFrame) -> DataFrame:
+    """(excluded, estimate): the hierarchical estimate without each video in turn. Sums of each session less the video's own, so that
+    videos meet their session and one row of totals, never each other. Null where nothing is left."""
+    video = per_video(rows).select("session_id", "video_id", "value")
+    session = video.groupBy("session_id").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+    total = session.agg(F.sum(F.col("s") / F.col("n")).alias("all_means"), F.count("*").alias("all_sessions"))
+    less = video.join(session, "session_id").withColumn("rest", F.when(F.col("n") > 1, (F.col("s") - F.col("value")) / (F.col("n") - 1)))
+    own = less.groupBy(F.col("video_id").alias("excluded")).agg(F.sum(F.coalesce("rest", F.lit(0.0)) - F.col("s") / F.col("n")).alias("change"), F.count_if(F.col("rest").isNull()).alias("gone"))
+    return own.crossJoin(F.broadcast(total)).select("excluded", F.try_divide(F.col("all_means") + F.col("change"), F.col("all_sessions") - F.col("gone")).alias("estimate"))
 
 
 def segment_coefficient(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -160,26 +212,28 @@ def predict_impacts(trials: DataFrame, e_n: Column, e_t: Column, mu: Column, sli
     return out.withColumn("energy_change", energy).withColumn("status", status)
 
 
-def tangential_fit(trials: DataFrame, e_n: float, points: int = 21, zooms: int = 2) -> tuple[DataFrame, DataFrame]:
-    """The best (e_t, mu) of a grid over [-1, 1] x [0, 1], and the last grid's costs: squared whitened residuals of the slip after
-    (c_obs, sc) and a penalty on energy gain. Trials meet a broadcast grid; the costs are summed for each cell."""
-    spark = trials.sparkSession
-    cells = spark.range(points * points).select((F.col("id") % points / (points - 1)).alias("u"), (F.floor(F.col("id") / points) / (points - 1)).alias("v"))
-    best = spark.createDataFrame([(-1.0, 1.0, 0.0, 1.0)], "t_low double, t_high double, m_low double, m_high double")
+def tangential_fit(trials: DataFrame, e_n: float | Column, points: int = 21, zooms: int = 2, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """For each `by` the best (e_t, mu) of a grid over [-1, 1] x [0, 1], and the last grid's costs: squared whitened residuals of the
+    slip after (c_obs, sc) and a penalty on energy gain. e_n is a number, or a column of the trials. Trials meet a broadcast grid
+    of a fixed number of cells for each `by`; the costs are summed for each cell."""
+    spark, keys = trials.sparkSession, by or ["every_trial"]
+    trials = trials if by else trials.withColumn("every_trial", F.lit(0))
+    cells = F.broadcast(spark.range(points * points).select((F.col("id") % points / (points - 1)).alias("u"), (F.floor(F.col("id") / points) / (points - 1)).alias("v")))
+    best = trials.select(*keys).distinct().withColumns({"t_low": F.lit(-1.0), "t_high": F.lit(1.0), "m_low": F.lit(0.0), "m_high": F.lit(1.0)})
     costs = None
     for _ in range(zooms):
-        grid = cells.crossJoin(best).select((F.col("t_low") + F.col("u") * (F.col("t_high") - F.col("t_low"))).alias("gt"), (F.col("m_low") + F.col("v") * (F.col("m_high") - F.col("m_low"))).alias("gm"))
-        rows = predict_impacts(trials.crossJoin(F.broadcast(grid)), F.lit(e_n), F.col("gt"), F.col("gm"))
+        grid = best.crossJoin(cells).select(*keys, (F.col("t_low") + F.col("u") * (F.col("t_high") - F.col("t_low"))).alias("gt"), (F.col("m_low") + F.col("v") * (F.col("m_high") - F.col("m_low"))).alias("gm"))
+        rows = predict_impacts(trials.join(grid, keys), F.lit(e_n) if isinstance(e_n, float) else e_n, F.col("gt"), F.col("gm"))
         r = (F.col("c_obs") - F.col("c_after")) / F.col("sc")
-        costs = rows.groupBy("gt", "gm").agg(F.sum(r * r + 1e3 * F.greatest(F.lit(0.0), F.col("energy_change"))).alias("cost"))
-        top = costs.agg(F.min_by(F.struct("gt", "gm"), F.struct("cost", "gt", "gm")).alias("g"), F.min("cost").alias("cost"))
+        costs = rows.groupBy(*keys, "gt", "gm").agg(F.sum(r * r + 1e3 * F.greatest(F.lit(0.0), F.col("energy_change"))).alias("cost"))
+        top = costs.groupBy(*keys).agg(F.min_by(F.struct("gt", "gm"), F.struct("cost", "gt", "gm")).alias("g"), F.min("cost").alias("cost"))
         step_t, step_m = (F.col("t_high") - F.col("t_low")) / (points - 1), (F.col("m_high") - F.col("m_low")) / (points - 1)
-        best = top.crossJoin(best.select("t_low", "t_high", "m_low", "m_high")).select(
-            F.greatest(F.lit(-1.0), F.col("g.gt") - step_t).alias("t_low"), F.least(F.lit(1.0), F.col("g.gt") + step_t).alias("t_high"),
+        best = top.join(best.select(*keys, "t_low", "t_high", "m_low", "m_high"), keys).select(
+            *keys, F.greatest(F.lit(-1.0), F.col("g.gt") - step_t).alias("t_low"), F.least(F.lit(1.0), F.col("g.gt") + step_t).alias("t_high"),
             F.greatest(F.lit(0.0), F.col("g.gm") - step_m).alias("m_low"), F.least(F.lit(1.0), F.col("g.gm") + step_m).alias("m_high"),
             F.col("g.gt").alias("e_t"), F.col("g.gm").alias("mu"), "cost",
         )
-    return best.select("e_t", "mu", "cost"), costs
+    return best.select(*(by or []), "e_t", "mu", "cost"), costs if by else costs.drop("every_trial")
 
 
 def profile(costs: DataFrame, fixed: str, other: str) -> DataFrame:

@@ -43,18 +43,18 @@ def vote_with_retry(few: DataFrame, many: DataFrame) -> DataFrame:
 
 def consensus(cands: DataFrame, tolerance: float = 0.03) -> DataFrame:
     """(video_id, cand_id, members): of candidate vectors (video_id, cand_id, orientation, v0..v3) the largest group that is within 3 % of one of
-    its own and of equal orientation (two at least), and of it the one nearest the group's medians. Candidates of a video are a few
-    sampled frames."""
+    its own and of equal orientation (two at least), and of it the one nearest the group's medians. Equal vectors are one, with
+    their number, so only different ones are paired."""
     names = [f"v{i}" for i in range(4)]
     size = F.sqrt(sum((F.col(f"a_{n}") * F.col(f"a_{n}") for n in names), F.lit(0.0)))
     apart = F.sqrt(sum(((F.col(f"a_{n}") - F.col(f"b_{n}")) * (F.col(f"a_{n}") - F.col(f"b_{n}")) for n in names), F.lit(0.0)))
-    side = lambda s: cands.select("video_id", "orientation", *[F.col(c).alias(f"{s}_{c}") for c in ("cand_id", *names)])
+    kinds = cands.groupBy("video_id", "orientation", *names).agg(F.min("cand_id").alias("cand_id"), F.count("*").alias("k"))
+    side = lambda s: kinds.select("video_id", "orientation", *[F.col(c).alias(f"{s}_{c}") for c in ("cand_id", "k", *names)])
     pairs = side("a").join(side("b"), ["video_id", "orientation"]).where(apart / F.greatest(size, F.lit(1e-9)) < tolerance)
-    of = Window.partitionBy("video_id", "a_cand_id")
-    pairs = pairs.withColumn("n", F.count("*").over(of))
-    best = pairs.groupBy("video_id").agg(F.max(F.struct("n", (-F.col("a_cand_id")).alias("c"))).alias("b")).where("b.n >= 2")
+    sizes = pairs.groupBy("video_id", "a_cand_id").agg(F.sum("b_k").alias("n"))
+    best = sizes.groupBy("video_id").agg(F.max(F.struct("n", (-F.col("a_cand_id")).alias("c"))).alias("b")).where("b.n >= 2")
     group = pairs.join(best.select("video_id", (-F.col("b.c")).alias("a_cand_id")), ["video_id", "a_cand_id"])
-    med = group.groupBy("video_id").agg(*[F.percentile(f"b_{n}", F.lit(0.5)).alias(f"m_{n}") for n in names], F.count("*").alias("members"))
+    med = group.groupBy("video_id").agg(*[F.percentile(f"b_{n}", F.lit(0.5), F.col("b_k")).alias(f"m_{n}") for n in names], F.sum("b_k").alias("members"))
     far = F.sqrt(sum(((F.col(f"b_{n}") - F.col(f"m_{n}")) * (F.col(f"b_{n}") - F.col(f"m_{n}")) for n in names), F.lit(0.0)))
     out = group.join(med, "video_id").withColumn("far", far)
     return out.groupBy("video_id", "members").agg(F.min_by("b_cand_id", F.struct("far", "b_cand_id")).alias("cand_id"))

@@ -41,48 +41,67 @@ def replay_diff(old: DataFrame, new: DataFrame, keys: list[str], columns: list[s
 
 
 def inspect(entries: DataFrame) -> DataFrame:
-    """(key, issue): one row for each thing a submission lacks."""
+    """(key, issue): one row for each thing a submission lacks. Entries have key, analyst_id, session_id, source, run, run_status,
+    recorded_key and current_key, and excluded: those left out on purpose have no issues. Without a run nothing is said of it; a
+    run whose recorded analysis key isn't today's is out of date. Blank text is missing text."""
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
+    of_run = lambda bad, name: F.when(F.col("run").isNotNull() & F.coalesce(bad, F.lit(True)), name)
     found = F.array_compact(F.array(
-        F.when(F.col("analyst_id").isNull(), "missing_analyst"), F.when(F.col("session_id").isNull(), "missing_session"),
-        F.when(F.col("source").isNull(), "missing_source"), F.when(F.col("run_status") != "complete", "incomplete_run"),
+        F.when(blank("analyst_id"), "missing_analyst"), F.when(blank("session_id"), "missing_session"), F.when(F.col("run").isNull(), "missing_run"),
+        of_run(F.col("run_status") != "complete", "incomplete_run"), of_run(blank("source"), "missing_source_hash"),
+        of_run(~F.col("recorded_key").eqNullSafe(F.col("current_key")), "reanalyze_required"),
     ))
-    return entries.select("key", F.explode(found).alias("issue"))
+    return entries.where(~F.coalesce(F.col("excluded"), F.lit(False))).select("key", F.explode(found).alias("issue"))
 
 
 def resolve_duplicates(entries: DataFrame, selections: DataFrame | None = None) -> DataFrame:
-    """(key, source, selected, conflict) of entries (key, source, role, review, settings).
-
-    Of one source's entries with one review, one settings value and at most one role the first by key is taken. Otherwise a
-    selection (source, key) is needed; without one train and test together are split_leakage, all else is review_conflict,
-    and nothing is selected."""
-    groups = entries.groupBy("source").agg(
-        F.count("*").alias("n"), F.min("key").alias("first"), F.count_distinct("review").alias("reviews"), F.count_distinct("settings").alias("settings_n"),
-        F.count_distinct("role").alias("roles"), F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"),
+    """(key, source, selected, conflict) of entries (key, source, role, review, settings, code).
+
+    A source's only entry is selected. Of several, all alike in review, settings and code (null is a value) and in role, the
+    first by key is. Otherwise a selection (source, key) is needed: without one, train and test together are split_leakage; and
+    if there is none, or it names no key of the source, it is a review_conflict and nothing is selected. conflict lists both,
+    joined by a comma. Entries without a source are one source."""
+    alike = lambda *names: F.count_distinct(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names], *[F.col(c).isNull() for c in names])) == 1
+    groups = entries.groupBy(F.col("source").alias("of")).agg(
+        F.count("*").alias("n"), F.min("key").alias("first"), (alike("review", "settings", "code") & alike("role")).alias("same"),
+        (F.count_if(F.col("role") == "train") > 0).alias("train"), (F.count_if(F.col("role") == "test") > 0).alias("test"),
     )
     if selections is None:
-        groups = groups.withColumn("chosen", F.lit(None).cast("long"))
+        groups = groups.withColumn("chosen", F.lit(None).cast(entries.schema["key"].dataType))
     else:
-        groups = groups.join(selections.select("source", F.col("key").alias("chosen")), "source", "left")
-    same = (F.col("reviews") <= 1) & (F.col("settings_n") <= 1) & (F.col("roles") <= 1)
-    groups = groups.withColumn("pick", F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("chosen", F.when(same, F.col("first")))))
-    conflict = F.when(F.col("pick").isNotNull(), None).when((F.col("train") > 0) & (F.col("test") > 0), "split_leakage").otherwise("review_conflict")
-    groups = groups.select("source", "pick", conflict.alias("conflict"))
-    return entries.join(groups, "source").select("key", "source", F.coalesce(F.col("key") == F.col("pick"), F.lit(False)).alias("selected"), "conflict")
-
-
-def check_adopted(entries: DataFrame) -> DataFrame:
-    """(parent, issue, key_a, key_b): entries that share a parent recording, in roles train and test, or with ranges that overlap or are
-    missing. Ranges are compared along each parent's order, with the running end of those before, so a parent with very many
-    entries is sorted, never paired with itself."""
-    roles = entries.groupBy("parent").agg(F.min(F.when(F.col("role") == "train", F.col("key"))).alias("key_a"), F.min(F.when(F.col("role") == "test", F.col("key"))).alias("key_b"))
-    leak = roles.where("key_a IS NOT NULL AND key_b IS NOT NULL").select("parent", F.lit("parent_split_leakage").alias("issue"), "key_a", "key_b")
-    n = Window.partitionBy("parent")
-    shared = entries.withColumn("n", F.count("*").over(n)).where("n > 1")
-    none = shared.where("parent_from IS NULL OR parent_to IS NULL").select("parent", F.lit("missing_range").alias("issue"), F.col("key").alias("key_a"), F.lit(None).cast("long").alias("key_b"))
-    before = n.orderBy("parent_from", "key").rowsBetween(Window.unboundedPreceding, -1)
-    ends = shared.where("parent_from IS NOT NULL AND parent_to IS NOT NULL").withColumn("was", F.max(F.struct("parent_to", "key")).over(before))
-    over = ends.where(F.col("was.parent_to") > F.col("parent_from")).select("parent", F.lit("parent_overlap").alias("issue"), F.col("was.key").alias("key_a"), F.col("key").alias("key_b"))
-    return leak.unionByName(none).unionByName(over)
+        told = selections.groupBy(F.col("source").alias("s")).agg(F.min("key").alias("chosen"))
+        groups = groups.join(told, F.col("of").eqNullSafe(F.col("s")), "left").drop("s")
+    groups = groups.withColumn("pick", F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("chosen", F.when(F.col("same"), F.col("first")))))
+    out = entries.join(groups, F.col("source").eqNullSafe(F.col("of")))
+    out = out.withColumn("selected", F.coalesce(F.col("key") == F.col("pick"), F.lit(False)))
+    there = F.max("selected").over(Window.partitionBy("of"))
+    leak = F.when((F.col("n") > 1) & F.col("pick").isNull() & F.col("train") & F.col("test"), "split_leakage")
+    conflict = F.concat_ws(",", leak, F.when(~there, "review_conflict"))
+    return out.select("key", "source", "selected", F.when(conflict != "", conflict).alias("conflict"))
+
+
+def check_adopted(entries: DataFrame, part: int = 64) -> DataFrame:
+    """(parent, issue, key_a, key_b), key_a < key_b: a row settings_mismatch (without parent and keys) if the entries (key, parent, role,
+    settings, parent_from, parent_to) have more than one settings value; and every pair of one parent, in roles train and test
+    (parent_split_leakage), or with ranges that touch, overlap or aren't known (parent_overlap). Entries without a parent pair
+    with none. Ranges meet in buckets of `part` frames, so that only near ones are paired; roles and unknown ranges pair
+    by parent, as each such pair is a row of the result."""
+    value = F.struct(F.col("settings").isNull(), "settings")
+    mixed = entries.agg((F.count_distinct(value) > 1).alias("mixed")).where("mixed").select(F.lit(None).cast(entries.schema["parent"].dataType).alias("parent"), F.lit("settings_mismatch").alias("issue"))
+    none = F.lit(None).cast(entries.schema["key"].dataType)
+    mixed = mixed.withColumns({"key_a": none, "key_b": none})
+    own = entries.where("parent IS NOT NULL").select("parent", "key", "role", F.col("parent_from").alias("lo"), F.col("parent_to").alias("hi"))
+    side = lambda df, x: df.select("parent", *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "parent"])
+    ordered = [F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")]
+    leak = side(own.where("role = 'train'"), "a").join(side(own.where("role = 'test'"), "b"), "parent").select("parent", F.lit("parent_split_leakage").alias("issue"), *ordered)
+    known = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    vague = side(own.where(~known), "a").join(side(own, "b"), "parent").where("key_a <> key_b").select("parent", F.lit("parent_overlap").alias("issue"), *ordered).distinct()
+    cut = own.where(known).withColumn("part", F.explode(F.sequence(F.floor(F.col("lo") / part), F.floor(F.greatest("lo", "hi") / part))))
+    met = side(cut.withColumnRenamed("part", "p"), "a").join(side(cut.withColumnRenamed("part", "p"), "b"), "parent")
+    first = F.greatest(F.floor(F.col("lo_a") / part), F.floor(F.col("lo_b") / part))  # a pair counts where it first meets
+    met = met.where((F.col("p_a") == F.col("p_b")) & (F.col("p_a") == first) & (F.col("key_a") < F.col("key_b")) & (F.greatest("lo_a", "lo_b") <= F.least("hi_a", "hi_b")))
+    over = met.select("parent", F.lit("parent_overlap").alias("issue"), "key_a", "key_b")
+    return mixed.unionByName(leak).unionByName(vague).unionByName(over)
 
 
 def integrate(entries: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -96,6 +96,34 @@ def issues(obs: DataFrame, cap: int | None = 10_000) -> DataFrame:
     return out.where(F.col("place") <= cap).withColumn("truncated", F.col("n") > cap).drop("place", "n")
 
 
+def run_report(obs: DataFrame, trajectories: DataFrame, events: DataFrame) -> DataFrame:
+    """The counts of run_quality and, for each video, expected_track_frames (frames times tracks), observed_fraction, rows of trajectories
+    (vx, omega, uses_warned) with a velocity, with a turning rate and from warned observations, and events (fit_eligible)."""
+    q = run_quality(obs).withColumn("expected_track_frames", F.col("frames") * F.col("tracks"))
+    q = q.withColumn("observed_fraction", F.coalesce(F.try_divide("rows", "expected_track_frames"), F.lit(0.0)))
+    t = trajectories.groupBy("video_id").agg(F.count("vx").alias("velocity_rows"), F.count("omega").alias("angular_rows"), F.count_if(F.coalesce("uses_warned", F.lit(False))).alias("warned_calculation_rows"))
+    e = events.groupBy("video_id").agg(F.count("*").alias("event_candidates"), F.count_if(F.coalesce("fit_eligible", F.lit(False))).alias("eligible_events"))
+    out = q.join(t, "video_id", "left").join(e, "video_id", "left")
+    return out.fillna(0, ["velocity_rows", "angular_rows", "warned_calculation_rows", "event_candidates", "eligible_events"])
+
+
+def frame_issues(obs: DataFrame, frames: DataFrame) -> DataFrame:
+    """(video_id, frame_index, track_id, reason) of whole frames (video_id, frame_index, expected, participants, chip_count_proposal,
+    missing_frame_suspected, drift_suspected), track_id null: fewer rows seen than expected, more objects proposed than take part, an
+    irregular step of time, a camera that moved; and rows of tracks that are unknown."""
+    seen = obs.where(live() & ~F.coalesce(F.col("status") == "outside_interval", F.lit(False))).groupBy("video_id", "frame_index").agg(F.count("*").alias("seen"))
+    own = frames.join(seen, ["video_id", "frame_index"], "left").fillna(0, ["seen"])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    found = F.array_compact(F.array(
+        F.when(yes(F.col("seen") < F.col("expected")), "observed_below_expected"),
+        F.when(yes((F.col("expected") > 0) & (F.col("chip_count_proposal") > F.col("participants"))), "more_proposed_than_participants"),
+        F.when(yes(F.col("missing_frame_suspected")), "irregular_time_gap"), F.when(yes(F.col("drift_suspected")), "camera_drift"),
+    ))
+    whole = own.select("video_id", "frame_index", F.lit(None).cast(obs.schema["track_id"].dataType).alias("track_id"), F.explode(found).alias("reason"))
+    unknown = obs.where(F.col("track_id").cast("string").startswith("unknown")).select("video_id", "frame_index", "track_id", F.lit("unknown_track").alias("reason"))
+    return whole.unionByName(unknown)
+
+
 def residual_median(obs: DataFrame, value: str, last: int = 4096) -> DataFrame:
     """Median of the last `last` non-null values of each video, in frame and track order."""
     order = Window.partitionBy("video_id").orderBy(F.desc("frame_index"), F.desc("track_id"))

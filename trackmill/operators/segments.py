@@ -38,21 +38,27 @@ def chunks(rows: DataFrame, duration: float, min_rows: int) -> DataFrame:
     """rows of segments cut into chunks of a fixed duration, anchored at each chunk's actual first time: (video_id,
     track_id, segment, chunk, frame_from, frame_to, n, skipped).
 
-    Greedy, so it is a fold over the segment's ordered times, inside the JVM. A chunk with under min_rows rows is
-    reported as skipped."""
+    Greedy, so it is a fold over the segment's ordered times, inside the JVM, which keeps only where chunks begin. A chunk
+    with under min_rows rows is reported as skipped."""
     seg = rows.groupBy(*TRACK, "segment").agg(F.array_sort(F.collect_list(F.struct("frame_index", "t_s"))).alias("own"))
-    start = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<int>").alias("news"))
-    # for each row whether it begins a chunk; the fold carries the chunk's first time
-    walk = lambda s, r: F.when(
-        s["since"].isNull() | (r["t_s"] - s["since"] >= duration - 1e-10), F.struct(r["t_s"].alias("since"), F.concat(s["news"], F.array(F.lit(1))).alias("news"))
-    ).otherwise(F.struct(s["since"].alias("since"), F.concat(s["news"], F.array(F.lit(0))).alias("news")))
-    seg = seg.withColumn("news", F.aggregate("own", start, walk)["news"])
-    each = seg.select(*TRACK, "segment", F.posexplode(F.arrays_zip("own", "news")).alias("i", "r"))
-    order = Window.partitionBy(*TRACK, "segment").orderBy("i")
-    each = each.withColumn("chunk", F.sum("r.news").over(order))
-    out = each.groupBy(*TRACK, "segment", "chunk").agg(
-        F.min("r.own.frame_index").alias("frame_from"), F.max("r.own.frame_index").alias("frame_to"), F.count("*").alias("n")
-    )
+    none = F.array().cast("array<struct<at:int,frame:bigint,before:bigint>>")
+    start = F.struct(F.lit(None).cast("double").alias("since"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("last"), none.alias("starts"))
+
+    def walk(s: Column, r: Column) -> Column:
+        new = s["since"].isNull() | (r["t_s"] - s["since"] >= duration - 1e-10)
+        here = F.array(F.struct(s["n"].alias("at"), r["frame_index"].cast("bigint").alias("frame"), s["last"].alias("before")))
+        return F.struct(
+            F.when(new, r["t_s"]).otherwise(s["since"]).alias("since"), (s["n"] + 1).alias("n"), r["frame_index"].cast("bigint").alias("last"),
+            F.when(new, F.concat(s["starts"], here)).otherwise(s["starts"]).alias("starts"),
+        )
+
+    seg = seg.withColumn("s", F.aggregate("own", start, walk)).select(*TRACK, "segment", "s")
+    each = seg.select(*TRACK, "segment", "s", F.posexplode("s.starts").alias("i", "c"))
+    after = F.get("s.starts", F.col("i") + 1)
+    out = each.select(
+        *TRACK, "segment", (F.col("i") + 1).cast("long").alias("chunk"), F.col("c.frame").alias("frame_from"), F.coalesce(after["before"], F.col("s.last")).alias("frame_to"),
+        (F.coalesce(after["at"], F.col("s.n")) - F.col("c.at")).cast("long").alias("n"),
+    )
     return out.withColumn("skipped", F.col("n") < min_rows)
 
 

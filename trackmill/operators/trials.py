@@ -150,11 +150,21 @@ def compatible(frames: DataFrame, calibrations: DataFrame) -> DataFrame:
     return out.withColumn("compatible", F.coalesce(size & mode, F.lit(False))).drop("c_width", "c_height", "c_mode")
 
 
-def staged_bootstrap(normal: DataFrame, draws: DataFrame) -> DataFrame:
-    """(boot_id, e): the normal restitution of each draw (boot_id, slot, group_id) of trials (session_id, a, b, sa, sb); drawn sessions count as often as
-    they are drawn. The draw is one more key of the same estimate."""
-    own = draws.join(normal.withColumnRenamed("session_id", "group_id"), "group_id")
-    return estimators.normal_restitution(own, ["boot_id"]).select("boot_id", "e")
+def staged_bootstrap(segments_mu: DataFrame, impacts: DataFrame, draws: DataFrame, points: int = 9, zooms: int = 3) -> DataFrame:
+    """(boot_id, mu, e_n, e_t, mu_c, failure): all stages estimated again for each draw (boot_id, slot, group_id) of sessions: the
+    segments' coefficient (rows session_id, video_id, value) by the hierarchy, normal restitution from impacts (session_id, a, b, sa,
+    sb), and with it the tangential pair from those that have c_obs, sc and bodies. A drawn session counts as often as it is drawn.
+    The draw is one more key of the same estimates; a stage that has nothing to go on gives null, and failure says which."""
+    slot = F.concat_ws(":", F.col("slot").cast("string"), F.col("group_id").cast("string"))
+    free = draws.join(segments_mu.withColumnRenamed("session_id", "group_id"), "group_id").select("boot_id", slot.alias("session_id"), F.concat_ws(":", slot, F.col("video_id").cast("string")).alias("video_id"), "value", F.lit(None).cast("double").alias("variance"))
+    mu = estimators.hierarchy(free, ["boot_id"]).select("boot_id", F.col("estimate").alias("mu"))
+    own = draws.join(impacts.withColumnRenamed("session_id", "group_id"), "group_id")
+    normal = estimators.normal_restitution(own.where((F.col("a") > 1e-12) & F.col("b").isNotNull()), ["boot_id"]).select("boot_id", F.col("e").alias("fit_e"))
+    slip = own.where("c_obs IS NOT NULL AND sc > 0").join(normal, "boot_id")
+    pair, _ = estimators.tangential_fit(slip, F.col("fit_e"), points, zooms, ["boot_id"])
+    out = draws.select("boot_id").distinct().join(mu, "boot_id", "left").join(normal, "boot_id", "left").join(pair.select("boot_id", "e_t", F.col("mu").alias("mu_c")), "boot_id", "left")
+    failure = F.when(F.col("mu").isNull(), "no_segments").when(F.col("fit_e").isNull(), "no_normal_trials").when(F.col("e_t").isNull(), "no_tangential_trials")
+    return out.select("boot_id", "mu", F.col("fit_e").alias("e_n"), "e_t", "mu_c", failure.alias("failure"))
 
 
 def free_trial_range(rows: DataFrame, ranges: DataFrame, barriers: DataFrame, least: int = 6, most: int = 5_000) -> DataFrame:
@@ -173,7 +183,8 @@ def free_trial_range(rows: DataFrame, ranges: DataFrame, barriers: DataFrame, le
 
 def bootstrap_shared(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
     """rows (group_id, t, x, y, sigma, shared_scale, shared_clock) of each draw (boot_id, slot, group_id), with one log-normal scale and one clock factor for each drawn group:
-    positions and sigmas are scaled, times stretched. Factors are counter based, so any task can repeat them."""
+    positions and sigmas are scaled, times stretched; where rows have velocities (vx, vy) these are scaled and slowed, and spins (omega) slowed. Factors are
+    counter based, so any task can repeat them."""
 
     def normal(kind: int) -> Column:
         return sum((F.pmod(F.xxhash64(F.lit(seed), F.lit(kind), F.lit(i), "boot_id", "slot"), F.lit(1 << 30)) / float(1 << 30) for i in range(12)), F.lit(-6.0))
@@ -181,7 +192,8 @@ def bootstrap_shared(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
     own = draws.withColumns({"z_scale": normal(0), "z_clock": normal(1)}).join(rows, "group_id")
     scale, clock = F.exp(F.col("z_scale") * F.col("shared_scale")), F.exp(F.col("z_clock") * F.col("shared_clock"))
     own = own.withColumns({"scale": scale, "clock": clock})
-    return own.withColumns({"t": F.col("t") * F.col("clock"), "x": F.col("x") * F.col("scale"), "y": F.col("y") * F.col("scale"), "sigma": F.col("sigma") * F.col("scale")}).drop("z_scale", "z_clock")
+    speeds = {c: F.col(c) * F.col("scale") / F.col("clock") for c in ("vx", "vy") if c in rows.columns} | {c: F.col(c) / F.col("clock") for c in ("omega",) if c in rows.columns}
+    return own.withColumns(speeds | {"t": F.col("t") * F.col("clock"), "x": F.col("x") * F.col("scale"), "y": F.col("y") * F.col("scale"), "sigma": F.col("sigma") * F.col("scale")}).drop("z_scale", "z_clock")
 
 
 def fit_dataset(trials: DataFrame, holdout: DataFrame, least: int = 3) -> DataFrame:

@@ -111,18 +111,14 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return merge.stale_runs(runs, k.select("video_id", F.col("analysis_key").alias("current_key")))
 
 
-@query("a14_review_basis", sql(EVENTS + """, rw AS (SELECT ev.video_id, ev.a, ev.b, frame_start, frame_end, string_agg(o.track_id || ':' || o.frame_index || ':' || o.status, ',' ORDER BY o.track_id, o.frame_index) AS rows FROM ev JOIN obs_hour o ON o.video_id = ev.video_id AND o.track_id IN (ev.a, ev.b) AND o.frame_index BETWEEN frame_start AND frame_end GROUP BY ALL)
-SELECT video_id, a, b, frame_start, sha256(a || ',' || b || '|' || frame_start || '|' || frame_end || '|' || rows) AS basis FROM rw""", "obs_hour"))
+@query("a14_review_basis", sql(EVENTS + """, rw AS (SELECT ev.video_id, ev.a, ev.b, frame_start, frame_end, string_agg(concat_ws(':', o.track_id, o.frame_index, round(x * 1e6)::BIGINT, round(y * 1e6)::BIGINT, coalesce(round(theta * 1e6)::BIGINT::VARCHAR, 'null'), status, coalesce(measurement_warning, 'null'), coalesce(observable::VARCHAR, 'null'), surface_status), ',' ORDER BY o.track_id, o.frame_index) AS rows
+FROM ev LEFT JOIN obs_hour o ON o.video_id = ev.video_id AND o.track_id IN (ev.a, ev.b) AND o.frame_index BETWEEN frame_start - 161 AND frame_end + 161 GROUP BY ALL)
+SELECT video_id, a, b, frame_start, sha256(concat_ws('|', a || ',' || b, frame_start, frame_end, coalesce(rows, ''), 'time-1;calibration-1;analysis-1;radius-10')) AS basis FROM rw""", "obs_hour"))
 def a14(spark: SparkSession, d: str) -> DataFrame:
-    """A digest of an event's pair, range and supporting rows: it changes when any of them does."""
-    e = pairs.pair_events(A.obs_hour(spark, d)).select("video_id", "a", "b", "frame_start", "frame_end", F.explode(F.array("a", "b")).alias("track_id"), F.sequence("frame_start", "frame_end").alias("frames"))
-    e = e.withColumn("frame_index", F.explode("frames")).drop("frames")
-    rows = e.join(A.obs_hour(spark, d).select("video_id", "track_id", "frame_index", "status"), ["video_id", "track_id", "frame_index"])
-    item = F.struct("track_id", "frame_index", F.concat_ws(":", F.col("track_id").cast("string"), F.col("frame_index").cast("string"), "status").alias("text"))
-    own = rows.groupBy("video_id", "a", "b", "frame_start", "frame_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["text"]), ",").alias("rows"))
-    s = lambda c: F.col(c).cast("string")
-    basis = F.sha2(F.concat_ws("|", F.concat_ws(",", s("a"), s("b")), s("frame_start"), s("frame_end"), "rows"), 256)
-    return own.select("video_id", "a", "b", "frame_start", basis.alias("basis"))
+    micro = lambda c: F.round(F.col(c) * 1e6).cast("long").alias(c)
+    rows = A.obs_hour(spark, d).select("video_id", "track_id", "frame_index", micro("x"), micro("y"), micro("theta"), "status", "measurement_warning", "observable", "surface_status")
+    e = numbered(spark, d).select("video_id", "event_id", "a", "b", "frame_start", "frame_end", F.lit("time-1;calibration-1;analysis-1;radius-10").alias("settings"))
+    return pairs.review_basis(e, rows, ("x", "y", "theta", "status", "measurement_warning", "observable", "surface_status")).select("video_id", "a", "b", "frame_start", "basis")
 
 
 @query("a15_compare_versions", sql(""", n AS (SELECT video_id, event_id % 2 AS v, count(*) AS n FROM obs_seq WHERE status <> 'missing' GROUP BY 1, 2)
@@ -186,36 +182,47 @@ def d6(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- submissions
 
-@query("i5_inspect", sql("""SELECT key, unnest(list_filter([CASE WHEN analyst_id IS NULL THEN 'missing_analyst' END, CASE WHEN session_id IS NULL THEN 'missing_session' END, CASE WHEN run_status <> 'complete' THEN 'incomplete_run' END], lambda x: x IS NOT NULL)) AS issue FROM submissions""", "submissions"))
+@query("i5_inspect", sql("""
+SELECT key, 'missing_analyst' AS issue FROM submissions WHERE NOT excluded AND analyst_id IS NULL
+UNION ALL SELECT key, 'missing_session' FROM submissions WHERE NOT excluded AND session_id IS NULL
+UNION ALL SELECT key, 'missing_run' FROM submissions WHERE NOT excluded AND run IS NULL
+UNION ALL SELECT key, 'incomplete_run' FROM submissions WHERE NOT excluded AND run IS NOT NULL AND run_status <> 'complete'
+UNION ALL SELECT key, 'reanalyze_required' FROM submissions WHERE NOT excluded AND run IS NOT NULL AND recorded_key IS DISTINCT FROM current_key""", "submissions"))
 def i5(spark: SparkSession, d: str) -> DataFrame:
     return merge.inspect(A.submissions(spark, d))
 
 
-DUPES = """, gp AS (SELECT source, count(*) AS n, min(key) AS f, count(DISTINCT review) AS r, count(DISTINCT settings) AS s, count(DISTINCT role) AS ro, count(*) FILTER (WHERE role = 'train') AS tr, count(*) FILTER (WHERE role = 'test') AS te, max(key) FILTER (WHERE source % 5 = 0) AS chosen FROM submissions GROUP BY 1),
-pk AS (SELECT *, CASE WHEN n = 1 THEN f ELSE coalesce(chosen, CASE WHEN r <= 1 AND s <= 1 AND ro <= 1 THEN f END) END AS pick FROM gp)"""
+# Of every fifth source the largest key is chosen, of every seventh one that it does not have.
+DUPES = """, ch AS (SELECT source, CASE WHEN source % 7 = 0 THEN -1 ELSE max(key) END AS chosen FROM submissions WHERE source % 5 = 0 OR source % 7 = 0 GROUP BY 1),
+pk AS (SELECT s.*, ch.chosen, (SELECT count(*) FROM submissions o WHERE o.source = s.source) AS n, (SELECT min(key) FROM submissions o WHERE o.source = s.source) AS f,
+    EXISTS (SELECT 1 FROM submissions o WHERE o.source = s.source AND (o.review IS DISTINCT FROM s.review OR o.settings IS DISTINCT FROM s.settings OR o.code IS DISTINCT FROM s.code OR o.role IS DISTINCT FROM s.role)) AS unlike,
+    EXISTS (SELECT 1 FROM submissions o WHERE o.source = s.source AND o.role = 'train') AND EXISTS (SELECT 1 FROM submissions o WHERE o.source = s.source AND o.role = 'test') AS torn
+    FROM submissions s LEFT JOIN ch USING (source)),
+rs AS (SELECT *, key = CASE WHEN n = 1 THEN key WHEN chosen IS NOT NULL THEN chosen WHEN NOT unlike THEN f ELSE -2 END AS selected FROM pk),
+rc AS (SELECT *, CASE WHEN n = 1 OR EXISTS (SELECT 1 FROM rs o WHERE o.source = rs.source AND o.selected) THEN NULL WHEN chosen IS NULL AND torn THEN 'split_leakage,review_conflict' ELSE 'review_conflict' END AS conflict FROM rs)"""
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
     s = A.submissions(spark, d)
-    chosen = s.where("source % 5 = 0").groupBy("source").agg(F.max("key").alias("key"))
+    chosen = s.where("source % 5 = 0 OR source % 7 = 0").groupBy("source").agg(F.when(F.col("source") % 7 == 0, -1).otherwise(F.max("key")).alias("key"))
     return merge.resolve_duplicates(s, chosen)
 
 
-@query("i6_resolve_duplicates", sql(DUPES + "SELECT key, source, coalesce(key = pick, false) AS selected, CASE WHEN pick IS NOT NULL THEN NULL WHEN tr > 0 AND te > 0 THEN 'split_leakage' ELSE 'review_conflict' END AS conflict FROM submissions JOIN pk USING (source)", "submissions"))
+@query("i6_resolve_duplicates", sql(DUPES + "SELECT key, source, selected, conflict FROM rc", "submissions"))
 def i6(spark: SparkSession, d: str) -> DataFrame:
     return resolved(spark, d)
 
 
-@query("i7_check_adopted", sql(DUPES + """, ad AS (SELECT submissions.* FROM submissions JOIN pk ON key = pick), n AS (SELECT *, count(*) OVER (PARTITION BY parent) AS k FROM ad),
-ov AS (SELECT *, max({'e': parent_to, 'k': key}) OVER (PARTITION BY parent ORDER BY parent_from, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM n WHERE k > 1)
-SELECT parent, 'parent_split_leakage' AS issue, min(key) FILTER (WHERE role = 'train') AS key_a, min(key) FILTER (WHERE role = 'test') AS key_b FROM ad GROUP BY parent HAVING count(*) FILTER (WHERE role = 'train') > 0 AND count(*) FILTER (WHERE role = 'test') > 0
-UNION ALL SELECT parent, 'parent_overlap', was.k, key FROM ov WHERE was.e > parent_from""", "submissions"))
+@query("i7_check_adopted", sql(DUPES + """, ad AS (SELECT * FROM rs WHERE selected), ab AS (SELECT a.parent, a.key AS key_a, b.key AS key_b, a.role AS ra, b.role AS rb, a.parent_from AS fa, a.parent_to AS ta, b.parent_from AS fb, b.parent_to AS tb FROM ad a JOIN ad b ON a.parent = b.parent AND a.key < b.key)
+SELECT NULL::BIGINT AS parent, 'settings_mismatch' AS issue, NULL::BIGINT AS key_a, NULL::BIGINT AS key_b WHERE (SELECT count(DISTINCT settings) FROM ad) > 1
+UNION ALL SELECT parent, 'parent_split_leakage', key_a, key_b FROM ab WHERE (ra = 'train' AND rb = 'test') OR (ra = 'test' AND rb = 'train')
+UNION ALL SELECT parent, 'parent_overlap', key_a, key_b FROM ab WHERE fa IS NULL OR fb IS NULL OR ta IS NULL OR tb IS NULL OR NOT (ta < fb OR tb < fa)""", "submissions"))
 def i7(spark: SparkSession, d: str) -> DataFrame:
     s = A.submissions(spark, d)
     return merge.check_adopted(s.join(resolved(spark, d).where("selected").select("key"), "key"))
 
 
-@query("i8_integrate", sql(DUPES + ", mp AS (SELECT pick AS key, substr(sha256(pick::VARCHAR), 1, 16) AS new_id FROM pk WHERE pick IS NOT NULL) SELECT new_id, source, settings FROM submissions JOIN mp USING (key)", "submissions"))
+@query("i8_integrate", sql(DUPES + ", mp AS (SELECT key, substr(sha256(key::VARCHAR), 1, 16) AS new_id FROM rs WHERE selected) SELECT new_id, source, settings FROM submissions JOIN mp USING (key)", "submissions"))
 def i8(spark: SparkSession, d: str) -> DataFrame:
     _, out = merge.integrate(resolved(spark, d), {"entries": A.submissions(spark, d)})
     return out["entries"].select("new_id", "source", "settings")
@@ -223,10 +230,10 @@ def i8(spark: SparkSession, d: str) -> DataFrame:
 
 @query("i1_split_check", sql(""", t AS (SELECT DISTINCT session_id FROM submissions WHERE role = 'train' AND parent < 3), h AS (SELECT DISTINCT session_id FROM submissions WHERE role = 'test' AND parent > 97)
 SELECT session_id, 'on_both_lists' AS problem FROM (SELECT * FROM t INTERSECT SELECT * FROM h)
-UNION ALL SELECT session_id, 'no_trials' FROM (SELECT * FROM t UNION SELECT * FROM h) u WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.session_id = u.session_id AND parent % 2 = 0)""", "submissions"))
+UNION ALL SELECT session_id, 'no_trials' FROM (SELECT * FROM t UNION SELECT * FROM h) u WHERE NOT EXISTS (SELECT 1 FROM submissions s WHERE s.session_id = u.session_id AND role IS NOT NULL)""", "submissions"))
 def i1(spark: SparkSession, d: str) -> DataFrame:
     s = A.submissions(spark, d)
-    return merge.split_check(s.where("parent % 2 = 0"), s.where("role = 'train' AND parent < 3"), s.where("role = 'test' AND parent > 97"), "session_id")
+    return merge.split_check(s.where("role IS NOT NULL"), s.where("role = 'train' AND parent < 3"), s.where("role = 'test' AND parent > 97"), "session_id")
 
 
 @query("i3_duplicate_sources", sql("SELECT source, count(*) AS n FROM submissions WHERE role = 'train' GROUP BY 1 HAVING count(*) > 1", "submissions"))
@@ -234,11 +241,11 @@ def i3(spark: SparkSession, d: str) -> DataFrame:
     return merge.duplicate_sources(A.submissions(spark, d))
 
 
-@query("i4_holdout_guards", sql(""", te AS (SELECT * FROM submissions WHERE role = 'test' AND key % 5 = 0), tr AS (SELECT * FROM submissions WHERE role = 'train' AND key % 50 = 0)
+@query("i4_holdout_guards", sql(""", te AS (SELECT * FROM submissions WHERE role = 'test'), tr AS (SELECT * FROM submissions WHERE role = 'train')
 SELECT key, 'same_source' AS guard, 'error' AS level FROM te WHERE source IN (SELECT source FROM tr) UNION ALL SELECT key, 'same_parent', 'error' FROM te WHERE parent IN (SELECT parent FROM tr) UNION ALL SELECT key, 'same_session', 'warning' FROM te WHERE session_id IN (SELECT session_id FROM tr WHERE session_id IS NOT NULL)""", "submissions"))
 def i4(spark: SparkSession, d: str) -> DataFrame:
     s = A.submissions(spark, d)
-    return merge.holdout_guards(s.where("role = 'test' AND key % 5 = 0"), s.where("role = 'train' AND key % 50 = 0"))
+    return merge.holdout_guards(s.where("role = 'test'"), s.where("role = 'train'"))
 
 
 @query("i9_union_refs", sql("SELECT DISTINCT video_id, track_id, frame_index FROM obs_hour WHERE event_id % 3 = 0 OR event_id % 5 = 0", "obs_hour"))
@@ -257,12 +264,12 @@ def i10(spark: SparkSession, d: str) -> DataFrame:
     return merge.append_new(old, o.where("event_id % 3 = 0").select(F.col("event_id").alias("trial_id"), F.lit("new").alias("origin")))
 
 
-@query("b7_calibration_gate", sql(""", p AS (SELECT track_id AS profile_id, min(x) AS h, min(y) / 20 AS l FROM obs_all GROUP BY 1), c AS (SELECT track_id AS profile_id, count(*) AS n, bool_and(abs((event_id % 7 - 3) * 0.0006) <= 0.002) AS ok FROM obs_all WHERE event_id % 90 = 0 GROUP BY 1)
+@query("b7_calibration_gate", sql(""", p AS (SELECT track_id AS profile_id, min(x) AS h, min(y) / 20 AS l FROM obs_all GROUP BY 1), c AS (SELECT track_id AS profile_id, count(*) AS n, bool_and(abs((track_id % 7 - 3) * 0.0007) <= 0.002) AS ok FROM obs_all GROUP BY 1)
 SELECT profile_id, coalesce(h <= 0.5 AND l <= 0.75 AND profile_id % 9 <> 0 AND coalesce(ok, true), false) AS usable, coalesce(h <= 0.5 AND l <= 0.75 AND profile_id % 9 <> 0 AND coalesce(ok, true), false) AND coalesce(n, 0) > 0 AS absolute FROM p LEFT JOIN c USING (profile_id)""", "obs_all"))
 def b7(spark: SparkSession, d: str) -> DataFrame:
     o = A._observations(spark, d)
     p = o.groupBy(F.col("track_id").alias("profile_id")).agg(F.min("x").alias("holdout_rmse_mm"), (F.min("y") / 20).alias("lens_rmse_px")).withColumn("evidence", F.when(F.col("profile_id") % 9 != 0, "ruler").otherwise(" "))
-    c = o.where("event_id % 90 = 0").select(F.col("track_id").alias("profile_id"), ((F.col("event_id") % 7 - 3) * 0.0006).alias("relative_error"))
+    c = o.select(F.col("track_id").alias("profile_id"), ((F.col("track_id") % 7 - 3) * 0.0007).alias("relative_error"))
     return merge.calibration_gate(p, c).select("profile_id", "usable", "absolute")
 
 
@@ -284,13 +291,21 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_rows", "n_videos", "n_sessions", *[r6(F.col(c)).alias(c) for c in ("estimate", "row_mean", "row_std", "video_std", "session_std", "weighted_mean")])
 
 
-@query("k11_bootstrap", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv GROUP BY ALL), g AS (SELECT video_id, session_id, m, row_number() OVER (ORDER BY video_id) - 1 AS place, count(*) OVER () AS n FROM v),
-dr AS (SELECT boot, slot.place AS slot, floor(((boot * 1103515245 + slot.place * 12345 + 7) % 2147483648) / 65536)::BIGINT % n AS pick FROM range(200) t(boot), g slot),
-bs AS (SELECT boot, g.session_id, avg(g.m) AS m FROM dr JOIN g ON g.place = pick GROUP BY ALL), be AS (SELECT boot, avg(m) AS e FROM bs GROUP BY 1), s AS (SELECT session_id, avg(m) AS m FROM v GROUP BY 1)
-SELECT round((SELECT avg(m) FROM s), 6) AS estimate, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high, (SELECT count(*) FROM v) AS groups FROM be""", "obs_all"))
+@query("k11_bootstrap", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv GROUP BY ALL), gr AS (SELECT session_id, ('0x' || substr(md5(session_id::VARCHAR), 1, 4))::INT % 64 AS bucket FROM (SELECT DISTINCT session_id FROM v)),
+g AS (SELECT session_id, row_number() OVER (ORDER BY bucket, session_id) - 1 AS place, count(*) OVER () AS n FROM gr),
+dr AS (SELECT boot, slot.place AS slot, ('0x' || substr(md5('7:' || boot || ':' || slot.place), 1, 15))::BIGINT % slot.n AS pick FROM range(200) t(boot), g slot),
+se AS (SELECT session_id, avg(m) AS m FROM v GROUP BY 1), be AS (SELECT boot, avg(se.m) AS e FROM dr JOIN g ON g.place = pick JOIN se ON se.session_id = g.session_id GROUP BY 1)
+SELECT round((SELECT avg(m) FROM se), 6) AS estimate, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high, (SELECT count(*) FROM se) AS groups, 'session_id' AS unit, 200 - count(e) AS failed, round((SELECT stddev_samp(m) FROM se), 6) AS group_std FROM be""", "obs_all"))
 def k11(spark: SparkSession, d: str) -> DataFrame:
-    out = estimators.bootstrap(values(spark, d), unit="video_id", n=200, seed=7)
-    return out.select(*[r6(F.col(c)).alias(c) for c in ("estimate", "low", "high")], "groups")
+    out = estimators.bootstrap(values(spark, d), n=200, seed=7)
+    return out.select(*[r6(F.col(c)).alias(c) for c in ("estimate", "low", "high", "group_std")], "groups", "unit", "failed")
+
+
+@query("m2_python_estimator", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv GROUP BY ALL) SELECT session_id, round(median(m), 6) AS estimate FROM v GROUP BY 1""", "obs_all"))
+def m2(spark: SparkSession, d: str) -> DataFrame:
+    """A Python function as the estimator: the median of each session's videos."""
+    median = estimators.python_estimator(lambda group: group["value"].median())
+    return median(estimators.per_video(values(spark, d)), ["session_id"]).select("session_id", r6(F.col("estimate")).alias("estimate"))
 
 
 @query("k12_leave_one_out", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv GROUP BY ALL), l AS (SELECT e.video_id AS excluded, v.session_id, avg(v.m) AS m FROM v JOIN (SELECT DISTINCT video_id FROM v) e ON e.video_id <> v.video_id GROUP BY ALL)
@@ -307,13 +322,13 @@ def k3(spark: SparkSession, d: str) -> DataFrame:
     return estimators.segment_coefficient(rows, ["track_id", "segment"]).where("n >= 5").select("track_id", "segment", "n", r6(F.col("mu"), 4).alias("mu"), "status")
 
 
-IMPACTS = """, im AS (SELECT event_id, video_id, session_id, 1 + x / 100 AS a, CASE WHEN event_id % 2 = 0 THEN y / 50 ELSE -y / 60 END AS c, -(1 + x / 100) * (0.5 + event_id % 9 * 0.06) AS b FROM obs_all WHERE event_id % 5 = 0)"""
+IMPACTS = """, im AS (SELECT event_id, video_id, session_id, 1 + x / 100 AS a, CASE WHEN event_id % 2 = 0 THEN y / 50 ELSE -y / 60 END AS c, -(1 + x / 100) * (0.5 + event_id % 9 * 0.06) AS b FROM obs_all)"""
 
 
 def impacts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     a = 1 + F.col("x") / 100
-    o = A._observations(spark, d).where("event_id % 5 = 0")
+    o = A._observations(spark, d)
     return o.select("event_id", "video_id", "session_id", a.alias("a"), F.when(k % 2 == 0, F.col("y") / 50).otherwise(-F.col("y") / 60).alias("c"), (-a * (0.5 + k % 9 * 0.06)).alias("b"), *[F.lit(v).alias(n) for n, v in (("m1", 0.012), ("m2", 0.02), ("r1", 0.02), ("r2", 0.025), ("i1", 2.4e-6), ("i2", 6.25e-6))])
 
 
@@ -381,9 +396,9 @@ def f18(spark: SparkSession, d: str) -> DataFrame:
     return estimators.learn_template(rows, ["video_id"]).select("video_id", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "sd", "ratio")], "learned")
 
 
-@query("f19_design_coverage", sql(IMPACTS + """SELECT concat_ws(',', CASE WHEN count(DISTINCT session_id) < 3 THEN 'fewer_than_3_sessions' END, CASE WHEN count(*) FILTER (WHERE c > 0) = 0 THEN 'no_positive_slip' END, CASE WHEN count(*) FILTER (WHERE c < 0) = 0 THEN 'no_negative_slip' END, CASE WHEN count(*) < 10 THEN 'fewer_than_10_trials' END) AS missing FROM im WHERE event_id % 2 = 0""", "obs_all"))
+@query("f19_design_coverage", sql(IMPACTS + """SELECT concat_ws(',', CASE WHEN count(DISTINCT session_id) < 3 THEN 'fewer_than_3_sessions' END, CASE WHEN count(*) FILTER (WHERE c > 0) = 0 THEN 'no_positive_slip' END, CASE WHEN count(*) FILTER (WHERE c < 0) = 0 THEN 'no_negative_slip' END, CASE WHEN count(*) < 10 THEN 'fewer_than_10_trials' END) AS missing FROM im""", "obs_all"))
 def f19(spark: SparkSession, d: str) -> DataFrame:
-    t = impacts(spark, d).where("event_id % 2 = 0").withColumn("slip", F.col("c"))
+    t = impacts(spark, d).withColumn("slip", F.col("c"))
     return estimators.design_coverage(t).select(F.array_join("missing", ",").alias("missing"))
 
 
@@ -410,8 +425,8 @@ def f13(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f21_consensus")
 def f21(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of a video are its first 40 events."""
-    o = A.obs_seq(spark, d).where("frame_index < 4")
+    """Every event is a candidate; few different vectors."""
+    o = A._observations(spark, d)
     k = F.col("event_id")
     c = o.select("video_id", k.alias("cand_id"), (k % 2).alias("orientation"), (100 + k % 5).cast("double").alias("v0"), (k % 3).cast("double").alias("v1"), (k % 4).cast("double").alias("v2"), (100 + k % 7).cast("double").alias("v3"))
     return intake.consensus(c)
@@ -419,7 +434,7 @@ def f21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f22_lattice_pitch")
 def f22(spark: SparkSession, d: str) -> DataFrame:
-    o = A.obs_seq(spark, d).where("frame_index < 60")
+    o = A.obs_seq(spark, d)
     offset = F.col("frame_index") % 20 * 1.0 + (F.col("event_id") % 11 - 5) * 0.008
     return intake.lattice_pitch(o.select("track_id", offset.alias("offset")), ["track_id"], 1.0).select("track_id", r6(F.col("pitch")).alias("pitch"), "intervals", r6(F.col("relative_error")).alias("relative_error"), "status")
 
@@ -441,11 +456,17 @@ def g8(spark: SparkSession, d: str) -> DataFrame:
     return intake.change_points(e.where("a <> b"), o)
 
 
-@query("k1_free_trials", sql(RUNS + """, n AS (SELECT track_id, video_id, session_id, segment, min(frame_index) AS a, max(frame_index) AS b, count(*) AS n FROM s GROUP BY ALL)
-SELECT video_id || '_' || track_id || '_f' || a AS trial_id, session_id, a AS frame_from, b AS frame_to, n FROM n WHERE n >= 6""", "obs_seq"))
+CHUNK_S = 172_800.0
+
+
+@query("k1_free_trials", sql("RECURSIVE_HEAD" + RUNS + """, q AS (SELECT track_id, video_id, session_id, segment, frame_index, t_s, row_number() OVER (PARTITION BY track_id, segment ORDER BY frame_index) AS i FROM s),
+ck AS (SELECT track_id, segment, i, t_s AS since, 1 AS chunk FROM q WHERE i = 1
+    UNION ALL SELECT q.track_id, q.segment, q.i, CASE WHEN q.t_s - since >= 172800 - 1e-10 THEN q.t_s ELSE since END, CASE WHEN q.t_s - since >= 172800 - 1e-10 THEN chunk + 1 ELSE chunk END FROM ck JOIN q ON q.track_id = ck.track_id AND q.segment = ck.segment AND q.i = ck.i + 1),
+n AS (SELECT q.track_id, video_id, session_id, q.segment, chunk, min(frame_index) AS a, max(frame_index) AS b, count(*) AS n FROM q JOIN ck ON q.track_id = ck.track_id AND q.segment = ck.segment AND q.i = ck.i GROUP BY ALL)
+SELECT video_id || '_' || track_id || '_f' || a AS trial_id, session_id, a AS frame_from, b AS frame_to, n FROM n WHERE n >= 6""", "obs_seq").replace("RECURSIVE_HEAD", "").replace("WITH ", "WITH RECURSIVE ", 1))
 def k1(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks longer than any segment, so that SQL can say the same."""
-    return trials.free_trials(A.obs_seq(spark, d), duration=1e9, min_rows=6, prefix=4).select("trial_id", "session_id", "frame_from", "frame_to", "n")
+    """Chunks of two days. SQL follows each segment from chunk to chunk."""
+    return trials.free_trials(A.obs_seq(spark, d), duration=CHUNK_S, min_rows=6, prefix=4).select("trial_id", "session_id", "frame_from", "frame_to", "n")
 
 
 @query("k16_score_frozen", sql(RUNS + """, p AS (SELECT *, row_number() OVER (PARTITION BY track_id, segment ORDER BY frame_index) AS place, count(*) OVER (PARTITION BY track_id, segment) AS n, min(frame_index) OVER (PARTITION BY track_id, segment) AS f FROM s),
@@ -528,28 +549,30 @@ def k18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k14_staged_bootstrap")
 def k14(spark: SparkSession, d: str) -> DataFrame:
-    t = impacts(spark, d).where("event_id % 4 = 0").withColumns({"sa": F.lit(0.05), "sb": F.lit(0.05)})
-    groups = t.select(F.col("session_id").alias("group_id")).distinct()
-    one = Window.partitionBy(F.lit(0))
-    groups = groups.withColumns({"place": F.row_number().over(one.orderBy("group_id")) - 1, "size": F.count("*").over(one)})
-    return trials.staged_bootstrap(t, estimators.draws(groups, 5, 3)).withColumn("e", r6(F.col("e"), 4))
+    """Draws and searches; held against single fits of the drawn rows in the tests."""
+    made = estimators.predict_impacts(impacts(spark, d), F.lit(0.7), F.lit(-0.8), F.lit(0.1))
+    t = made.select("session_id", "video_id", "a", "b", "c", "m1", "m2", "r1", "r2", "i1", "i2", F.col("c_after").alias("c_obs"), F.lit(0.01).alias("sc"), F.lit(0.05).alias("sa"), F.lit(0.05).alias("sb"))
+    t = t.withColumn("b", -0.7 * F.col("a"))
+    own = estimators.draws(estimators.numbered_groups(t.select(F.col("session_id").alias("group_id"))), 3, 3)
+    out = trials.staged_bootstrap(values(spark, d).select("session_id", "video_id", "value"), t, own, 7, 2)
+    return out.select("boot_id", *[r6(F.col(c), 4).alias(c) for c in ("mu", "e_n", "e_t", "mu_c")], "failure")
 
 
 @query("g9_refine_events")
 def g9(spark: SparkSession, d: str) -> DataFrame:
     """Pairs that come near in frames of their own tracks; held against a search in the tests."""
     o = A.obs_seq(spark, d).withColumns({"status": F.lit("observed"), "source": F.lit("observation"), "identity_status": F.lit("ok"), "assignment_ambiguous": F.lit(False), "observable": F.lit(True), "surface_status": F.lit("inside_floor"), "t_s": F.col("frame_index") / 100})
-    e = o.where("event_id % 9 = 0").select("video_id", "event_id", F.col("track_id").alias("a"), ((F.col("track_id") + 10) % 150).alias("b"), F.col("frame_index").alias("pre_end"), (F.col("frame_index") + 1).alias("post_start")).where("a <> b")
+    e = o.select("video_id", "event_id", F.col("track_id").alias("a"), ((F.col("track_id") + 10) % 150).alias("b"), F.col("frame_index").alias("pre_end"), (F.col("frame_index") + 1).alias("post_start")).where("a <> b")
     out = refine.refine_events(e, o, 0.08)
     return out.select("event_id", "kind", r6(F.col("time_s"), 3).alias("time_s"), "boundary_from", "boundary_to", F.size("warnings").alias("n_warnings"))
 
 
-@query("k2_free_trial_range", sql(""", r AS (SELECT event_id AS range_id, track_id, frame_index AS a, frame_index + 3 AS b FROM obs_seq WHERE event_id % 20 = 0), u AS (SELECT * FROM obs_seq WHERE {usable}), bars AS (SELECT track_id, frame_index AS f FROM obs_seq WHERE event_id % 33 = 0),
+@query("k2_free_trial_range", sql(""", r AS (SELECT event_id AS range_id, track_id, frame_index AS a, frame_index + 3 AS b FROM obs_seq), u AS (SELECT * FROM obs_seq WHERE {usable}), bars AS (SELECT track_id, frame_index AS f FROM obs_seq WHERE event_id % 33 = 0),
 n AS (SELECT range_id, r.track_id, a, b, count(u.event_id) AS n FROM r LEFT JOIN u ON u.track_id = r.track_id AND u.frame_index BETWEEN a AND b GROUP BY ALL)
 SELECT range_id, n, CASE WHEN EXISTS (SELECT 1 FROM bars WHERE bars.track_id = n.track_id AND f BETWEEN a AND b) THEN 'event_in_range' WHEN n < 4 THEN 'missing_rows' END AS problem FROM n""", "obs_seq"))
 def k2(spark: SparkSession, d: str) -> DataFrame:
     o = A.obs_seq(spark, d)
-    ranges = o.where("event_id % 20 = 0").select(F.col("event_id").alias("range_id"), "video_id", "track_id", F.col("frame_index").alias("frame_from"), (F.col("frame_index") + 3).alias("frame_to"))
+    ranges = o.select(F.col("event_id").alias("range_id"), "video_id", "track_id", F.col("frame_index").alias("frame_from"), (F.col("frame_index") + 3).alias("frame_to"))
     bars = o.where("event_id % 33 = 0").select("video_id", "track_id", F.col("frame_index").alias("start"), F.col("frame_index").alias("end"))
     return trials.free_trial_range(o, ranges, bars, least=4)
 
@@ -597,9 +620,6 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("k13_bootstrap_shared")
 def k13(spark: SparkSession, d: str) -> DataFrame:
-    rows = A._observations(spark, d).where("event_id % 10 = 0").select(F.col("session_id").alias("group_id"), F.col("t_s").alias("t"), "x", "y", F.lit(1.0).alias("sigma"), F.lit(0.01).alias("shared_scale"), F.lit(0.005).alias("shared_clock"))
-    groups = rows.select("group_id").distinct()
-    one = Window.partitionBy(F.lit(0))
-    groups = groups.withColumns({"place": F.row_number().over(one.orderBy("group_id")) - 1, "size": F.count("*").over(one)})
-    out = trials.bootstrap_shared(rows, estimators.draws(groups, 20, 5), 9)
+    rows = A._observations(spark, d).select(F.col("session_id").alias("group_id"), F.col("t_s").alias("t"), "x", "y", F.lit(1.0).alias("sigma"), F.lit(0.01).alias("shared_scale"), F.lit(0.005).alias("shared_clock"))
+    out = trials.bootstrap_shared(rows, estimators.draws(estimators.numbered_groups(rows), 20, 5), 9)
     return out.groupBy("boot_id").agg(r6(F.avg("x"), 4).alias("mean_x"), F.count("*").alias("n"))

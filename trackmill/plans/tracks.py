@@ -117,13 +117,13 @@ def b4(spark: SparkSession, d: str) -> DataFrame:
     return quality.annotate_scope(obs, *scope_tables(obs)).select("event_id", "observable", "fit_enabled", "scope_reason", "scope_segment")
 
 
-@query("b5_validate_segments", sql(""", s AS (SELECT video_id, track_id, event_id % 50 AS a, event_id % 50 + (event_id % 9) - 1 AS b, row_number() OVER (PARTITION BY track_id ORDER BY event_id % 50, event_id % 50 + (event_id % 9) - 1, event_id) AS n FROM obs_all WHERE event_id % 10 = 0),
+@query("b5_validate_segments", sql(""", s AS (SELECT video_id, track_id, event_id % 50 AS a, event_id % 50 + (event_id % 9) - 1 AS b, row_number() OVER (PARTITION BY track_id ORDER BY event_id % 50, event_id % 50 + (event_id % 9) - 1, event_id) AS n FROM obs_all),
 l AS (SELECT *, lag(b) OVER (PARTITION BY track_id ORDER BY a, b, event_id) AS was FROM (SELECT s.*, n AS event_id FROM s)),
 r AS (SELECT *, CASE WHEN b < a THEN 'reversed' WHEN n > 1 AND was >= a THEN 'overlap' WHEN a < 2 OR b > 45 THEN 'outside_video' END AS reason FROM l)
 SELECT video_id, track_id, a AS start, reason FROM r WHERE reason IS NOT NULL""", "obs_all"))
 def b5(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("event_id") % 50
-    s = A._observations(spark, d).where("event_id % 10 = 0").select("video_id", "track_id", a.alias("start"), (a + F.col("event_id") % 9 - 1).alias("end"), F.lit(2).cast("long").alias("video_start"), F.lit(45).cast("long").alias("video_end"))
+    s = A._observations(spark, d).select("video_id", "track_id", a.alias("start"), (a + F.col("event_id") % 9 - 1).alias("end"), F.lit(2).cast("long").alias("video_start"), F.lit(45).cast("long").alias("video_end"))
     return quality.validate_segments(s)
 
 
@@ -201,21 +201,21 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
     return timebase.timing(mapped(spark, d)).select("event_id", "time_status")
 
 
-@query("c5_validate_profile", sql(""", s AS (SELECT video_id, event_id AS seg_no, round(t_s) AS p_start, round(t_s) + event_id % 3 * 100 AS p_end, round(t_s / 2) AS t_start, event_id % 4 AS slow FROM obs_all WHERE event_id % 5 = 0),
+@query("c5_validate_profile", sql(""", s AS (SELECT video_id, event_id AS seg_no, round(t_s) AS p_start, round(t_s) + event_id % 3 * 100 AS p_end, round(t_s / 2) AS t_start, event_id % 4 AS slow FROM obs_all),
 l AS (SELECT *, lag(p_end) OVER w AS e, lag(p_start) OVER w AS s, lag(t_start) OVER w AS t, lag(slow) OVER w AS f, lag(seg_no) OVER w AS n FROM s WINDOW w AS (PARTITION BY video_id ORDER BY seg_no)),
 r AS (SELECT video_id, seg_no, CASE WHEN slow <= 0 THEN 'bad_factor' WHEN n IS NOT NULL AND abs(p_start - e) > 1e-9 THEN 'presentation_gap' WHEN n IS NOT NULL AND f > 0 AND abs(t_start - (t + (e - s) / f)) > 1e-9 THEN 'time_gap' END AS reason FROM l)
 SELECT * FROM r WHERE reason IS NOT NULL""", "obs_all"))
 def c5(spark: SparkSession, d: str) -> DataFrame:
     k, p = F.col("event_id"), F.round("t_s")
     slow = F.when(k % 4 > 0, (k % 4).cast("double")).otherwise(F.lit(0.0))
-    s = A._observations(spark, d).where("event_id % 5 = 0").select("video_id", k.alias("seg_no"), p.alias("p_start"), (p + k % 3 * 100).alias("p_end"), F.round(F.col("t_s") / 2).alias("t_start"), F.when(slow > 0, slow).alias("slow_factor"))
+    s = A._observations(spark, d).select("video_id", k.alias("seg_no"), p.alias("p_start"), (p + k % 3 * 100).alias("p_end"), F.round(F.col("t_s") / 2).alias("t_start"), F.when(slow > 0, slow).alias("slow_factor"))
     return timebase.validate_profile(s)
 
 
-@query("c6_verify_clock", sql(MAPPED + """, e AS (SELECT video_id, p, t, p * 0.5 AS r, first_value(t) OVER w AS t0, first_value(p * 0.5) OVER w AS r0 FROM m WHERE event_id % 20 = 0 WINDOW w AS (PARTITION BY video_id ORDER BY p))
+@query("c6_verify_clock", sql(MAPPED + """, e AS (SELECT video_id, p, t, p * 0.5 AS r, first_value(t) OVER w AS t0, first_value(p * 0.5) OVER w AS r0 FROM m WINDOW w AS (PARTITION BY video_id ORDER BY p))
 SELECT video_id, count(t) AS n, round(max(abs((t - t0) - (r - r0))), 4) AS max_error, round(sqrt(avg(((t - t0) - (r - r0)) * ((t - t0) - (r - r0)))), 4) AS rmse, count(t) >= 3 AND max(abs((t - t0) - (r - r0))) <= 0.001 AS passed FROM e GROUP BY video_id""", "obs_all"))
 def c6(spark: SparkSession, d: str) -> DataFrame:
-    points = mapped(spark, d).where("event_id % 20 = 0").withColumn("reference", F.col("p") * 0.5)
+    points = mapped(spark, d).withColumn("reference", F.col("p") * 0.5)
     return timebase.verify_clock(points).withColumns({"max_error": r6(F.col("max_error"), 4), "rmse": r6(F.col("rmse"), 4)})
 
 
@@ -355,6 +355,23 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
     return pairs.pair_events(A.obs_hour(spark, d)).withColumn("min_gap", r6(F.col("min_gap")))
 
 
+SUPPORT = EVENTS + """, ex AS (SELECT video_id, a, b, frame_start, frame_end, unnest([a, b]) AS track_id FROM ev),
+cl AS (SELECT *, greatest(frame_start - 161, coalesce((SELECT max(o.frame_end) FROM ex o WHERE o.video_id = ex.video_id AND o.track_id = ex.track_id AND o.frame_end <= ex.frame_start), frame_start - 161)) AS lo,
+    least(frame_end + 161, coalesce((SELECT min(o.frame_start) FROM ex o WHERE o.video_id = ex.video_id AND o.track_id = ex.track_id AND o.frame_start >= ex.frame_end), frame_end + 161)) AS hi FROM ex)"""
+
+
+@query("e6_supporting_rows", sql(SUPPORT + """SELECT cl.video_id, a, b, frame_start, cl.track_id, any_value(lo)::BIGINT AS lo, any_value(hi)::BIGINT AS hi, count(o.event_id) AS n, min(o.frame_index) AS first_frame, max(o.frame_index) AS last_frame
+FROM cl LEFT JOIN obs_hour o ON o.video_id = cl.video_id AND o.track_id = cl.track_id AND o.frame_index BETWEEN lo AND hi GROUP BY cl.video_id, a, b, frame_start, cl.track_id""", "obs_hour"))
+def e6(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows each event's two tracks have about it, between their neighbouring events."""
+    e = numbered(spark, d).select("video_id", "event_id", "a", "b", "frame_start", "frame_end")
+    ranges = pairs.support_ranges(e, 161)
+    rows = pairs.rows_in_ranges(ranges, A.obs_hour(spark, d).select("video_id", "track_id", "frame_index"), ["event_id"])
+    n = rows.groupBy("video_id", "event_id", "track_id").agg(F.count("*").alias("n"), F.min("frame_index").alias("first_frame"), F.max("frame_index").alias("last_frame"))
+    out = ranges.join(n, ["video_id", "event_id", "track_id"], "left").fillna(0, ["n"])
+    return out.select("video_id", "a", "b", "frame_start", "track_id", "lo", "hi", "n", "first_frame", "last_frame")
+
+
 @query("a13_event_id", sql(EVENTS + "SELECT video_id, a, b, closest_frame, 'contact_' || substr(sha256(video_id || '|' || least(a::VARCHAR, b::VARCHAR) || ',' || greatest(a::VARCHAR, b::VARCHAR) || '|' || closest_frame), 1, 20) AS event_id FROM ev", "obs_hour"))
 def a13(spark: SparkSession, d: str) -> DataFrame:
     e = pairs.pair_events(A.obs_hour(spark, d)).withColumn("pair", F.array("a", "b"))
@@ -394,6 +411,29 @@ def f1(spark: SparkSession, d: str) -> DataFrame:
     return quality.run_quality(A.obs_seq(spark, d))
 
 
+@query("f1_run_report", sql(EVENTS + """, m AS (SELECT video_id, count(DISTINCT frame_index) AS frames, count(DISTINCT track_id) AS tracks, count(*) AS rows FROM obs_hour GROUP BY 1),
+tj AS (SELECT video_id, count(*) FILTER (WHERE event_id % 3 <> 0) AS velocity_rows, count(*) FILTER (WHERE event_id % 4 = 0) AS angular_rows, count(*) FILTER (WHERE event_id % 5 = 0 AND event_id % 3 <> 0) AS warned_calculation_rows FROM obs_hour GROUP BY 1),
+en AS (SELECT video_id, count(*) AS event_candidates, count(*) FILTER (WHERE a % 2 = 0) AS eligible_events FROM ev GROUP BY 1)
+SELECT video_id, frames * tracks AS expected_track_frames, round(rows / (frames * tracks), 6) AS observed_fraction, velocity_rows, angular_rows, warned_calculation_rows, coalesce(event_candidates, 0) AS event_candidates, coalesce(eligible_events, 0) AS eligible_events
+FROM m JOIN tj USING (video_id) LEFT JOIN en USING (video_id)""", "obs_hour"))
+def f1_report(spark: SparkSession, d: str) -> DataFrame:
+    """The counts that need trajectories and events beside the observations."""
+    o, k = A.obs_hour(spark, d), F.col("event_id")
+    t = o.select("video_id", F.when(k % 3 != 0, F.col("x")).alias("vx"), F.when(k % 4 == 0, F.col("y")).alias("omega"), ((k % 5 == 0) & (k % 3 != 0)).alias("uses_warned"))
+    e = numbered(spark, d).select("video_id", (F.col("a") % 2 == 0).alias("fit_eligible"))
+    out = quality.run_report(o, t, e)
+    return out.select("video_id", "expected_track_frames", r6(F.col("observed_fraction")).alias("observed_fraction"), "velocity_rows", "angular_rows", "warned_calculation_rows", "event_candidates", "eligible_events")
+
+
+@query("f3_frame_issues", sql(""", fr AS (SELECT video_id, frame_index, count(*) FILTER (WHERE status <> 'missing') AS seen, max(event_id) AS e FROM obs_hour GROUP BY 1, 2), fx AS (SELECT *, e % 3 AS proposal, e % 11 = 0 AS gap, e % 13 = 0 AS drift FROM fr)
+SELECT video_id, frame_index, 'observed_below_expected' AS reason FROM fx WHERE seen < 1 UNION ALL SELECT video_id, frame_index, 'more_proposed_than_participants' FROM fx WHERE proposal > 1 UNION ALL SELECT video_id, frame_index, 'irregular_time_gap' FROM fx WHERE gap UNION ALL SELECT video_id, frame_index, 'camera_drift' FROM fx WHERE drift""", "obs_hour"))
+def f3_frames(spark: SparkSession, d: str) -> DataFrame:
+    o = A.obs_hour(spark, d)
+    fr = o.groupBy("video_id", "frame_index").agg(F.max("event_id").alias("e"))
+    fr = fr.select("video_id", "frame_index", (F.col("e") % 3).alias("chip_count_proposal"), (F.col("e") % 11 == 0).alias("missing_frame_suspected"), (F.col("e") % 13 == 0).alias("drift_suspected"), F.lit(1).alias("expected"), F.lit(1).alias("participants"))
+    return quality.frame_issues(o, fr).select("video_id", "frame_index", "reason")
+
+
 @query("f2_coverage", sql(SCOPE.replace("obs_seq", "obs_hour") + """, t AS (SELECT DISTINCT video_id, track_id FROM obs_hour), fr AS (SELECT DISTINCT video_id, frame_index FROM obs_hour),
 gr AS (SELECT fr.video_id, frame_index, t.track_id FROM fr JOIN t USING (video_id) WHERE EXISTS (SELECT 1 FROM seg WHERE seg.track_id = t.track_id AND frame_index >= a AND (b IS NULL OR frame_index <= b))),
 n AS (SELECT video_id, count(*) AS expected FROM gr GROUP BY 1), k AS (SELECT video_id, count(*) AS observed FROM obs_hour WHERE status <> 'missing' GROUP BY 1)
@@ -483,10 +523,10 @@ def d2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("d4_fold_log")
 def d4(spark: SparkSession, d: str) -> DataFrame:
-    """Events as edits, undo and redo of ten projects."""
+    """Events as edits, undo and redo; a user is a project."""
     e = A.events(spark, d)
     op = F.when(F.col("event_type").isin("view", "click", "purchase"), "edit").when(F.col("event_type") == "error", "undo").otherwise("redo")
-    ops = e.select((F.col("user_id") % 10).alias("project_id"), F.col("event_id").alias("n"), op.alias("op"), F.col("event_id").alias("edit")).where("n % 7 = 0")
+    ops = e.select(F.col("user_id").alias("project_id"), F.col("event_id").alias("n"), op.alias("op"), F.col("event_id").alias("edit"))
     out = edits.fold_log(ops)
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
     return out.select("project_id", text("active").alias("active"), text("abandoned").alias("abandoned"), "cursor")

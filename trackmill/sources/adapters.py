@@ -74,9 +74,14 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "O", "train").when(F.col("o_orderstatus") == "F", "test").alias("role"),
         F.col("o_orderpriority").alias("settings"),
         (F.col("o_orderkey") % 3).alias("review"),
+        (F.col("o_orderkey") % 2).alias("code"),
+        F.when(F.col("o_orderkey") % 61 != 0, F.concat(F.lit("run"), "o_orderkey")).alias("run"),
         F.when(F.col("o_orderkey") % 59 == 0, "failed").otherwise("complete").alias("run_status"),
+        F.when(F.col("o_orderkey") % 43 == 0, "old").otherwise("now").alias("recorded_key"),
+        F.lit("now").alias("current_key"),
+        (F.col("o_orderkey") % 71 == 0).alias("excluded"),
         (F.col("o_custkey") % 100).alias("parent"),
-        day.alias("parent_from"),
+        F.when(F.col("o_orderkey") % 67 != 0, day).alias("parent_from"),
         (day + 1 + F.col("o_orderkey") % 5).alias("parent_to"),
     )
 
@@ -103,8 +108,11 @@ FROM (SELECT *, video_id AS user_video FROM obs_all)) WHERE n = 1""",
 SELECT o_orderkey AS key, CASE WHEN o_orderkey % 53 <> 0 THEN o_orderkey % 4 END AS analyst_id, o_custkey AS source,
        CASE WHEN o_orderkey % 47 <> 0 THEN o_custkey % 12 END AS session_id,
        CASE o_orderstatus WHEN 'O' THEN 'train' WHEN 'F' THEN 'test' END AS role, o_orderpriority AS settings, o_orderkey % 3 AS review,
-       CASE WHEN o_orderkey % 59 = 0 THEN 'failed' ELSE 'complete' END AS run_status, o_custkey % 100 AS parent,
-       date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS parent_from,
+       o_orderkey % 2 AS code, CASE WHEN o_orderkey % 61 <> 0 THEN 'run' || o_orderkey END AS run,
+       CASE WHEN o_orderkey % 59 = 0 THEN 'failed' ELSE 'complete' END AS run_status,
+       CASE WHEN o_orderkey % 43 = 0 THEN 'old' ELSE 'now' END AS recorded_key, 'now' AS current_key, o_orderkey % 71 = 0 AS excluded,
+       o_custkey % 100 AS parent,
+       CASE WHEN o_orderkey % 67 <> 0 THEN date_diff('day', DATE '1995-01-01', o_orderdate::DATE) END AS parent_from,
        date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 1 + o_orderkey % 5 AS parent_to
 FROM orders""",
 }
