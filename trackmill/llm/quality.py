@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .common import WHITESPACE, read, spare, stored, utf8
 
-#: Letters of a gram. The words are padded, so that every gram is whole.
+#: Letters of a gram. A word's first letters follow the gap before it and the last two letters of the word before.
 ORDER, START, STOP = 4, "\x02", "\x03"
 #: The model grows with the input and is cut into parts of about so many rows (12 bytes each); a worker holds one part at
 #: a time. A row's cell is its language's bucket and, in it, the bucket of its context's last letter.
@@ -81,22 +81,49 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 # ---- the model
 
 
-def padded(word: str) -> str:
-    return START * (ORDER - 1) + word + STOP
+def ends(word: str) -> tuple[str, str]:
+    """The first two letters (or the letter and the stop) and the last two (or the gap and the letter)."""
+    return (word + STOP)[:2], (START + word)[-2:]
+
+
+def inner_grams(word: str) -> list[str]:
+    """The grams of a word that do not reach beyond the gap before it."""
+    text = START + word + STOP
+    return [text[i : i + ORDER] for i in range(len(text) - ORDER + 1)]
+
+
+def outer_grams(joint: str) -> tuple[str, str]:
+    """The two grams of a word's first letters from a joint, the last two letters of the word before and the first two."""
+    return joint[:2] + START + joint[2], joint[1] + START + joint[2:]
+
+
+def text_grams(text: str) -> list[str]:
+    """All grams of a text, one for each letter and each word's end."""
+    out, before = [], START * 2
+    for word in text.split():
+        head, tail = ends(word)
+        out += [*outer_grams(before + head), *inner_grams(word)]
+        before = tail
+    return out
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, gram, n) of a task's words; words and grams are summed first and sent when many are held."""
+    """Rows (lang, gram, n) of a task's words and joints, which are summed first and sent when many are held."""
     words: dict[str, Counter] = {}
+    joints: dict[str, Counter] = {}
     grams: dict[tuple[str, str], int] = Counter()
+    known: dict[bytes, tuple[str, str]] = {}
 
     def spell() -> None:
         for lang, own in words.items():
             for word, n in own.items():
-                text = padded(word.decode("utf-8", "replace").lower())
-                for i in range(len(text) - ORDER + 1):
-                    grams[lang, text[i : i + ORDER]] += n
-        words.clear()
+                for g in inner_grams(word.decode("utf-8", "replace")):
+                    grams[lang, g] += n
+        for lang, own in joints.items():
+            for joint, n in own.items():
+                for g in outer_grams(joint):
+                    grams[lang, g] += n
+        words.clear(), joints.clear()
 
     def rows() -> pa.RecordBatch:
         cols = [pa.array([k[0] for k in grams]), pa.array([k[1] for k in grams]), pa.array(list(grams.values()), pa.int64())]
@@ -105,9 +132,17 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = words.setdefault(lang, Counter())
-            own.update(raw.as_py().split())
-            if len(own) > 300_000:
+            own, at = words.setdefault(lang, Counter()), joints.setdefault(lang, Counter())
+            each, before = raw.as_py().split(), START * 2
+            own.update(each)
+            for word in each:
+                if (e := known.get(word)) is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    e = known[word] = ends(word.decode("utf-8", "replace"))
+                at[before + e[0]] += 1
+                before = e[1]
+            if len(own) + len(at) > 300_000:
                 spell()
         if len(grams) > 500_000:
             yield rows()
@@ -148,12 +183,12 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     lower = None
     for k in range(1, ORDER + 1):
         size = F.length("gram")
-        rows = orders[k].join(_discounts(orders[k]), "lang")
+        rows = orders[k].join(F.broadcast(_discounts(orders[k])), "lang")  # a row for each language
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.withColumns({"cut": F.least(cut, F.col("n").cast("double")), "context": F.substring("gram", F.lit(1), size - 1), "rest": F.substring("gram", F.lit(2), size - 1)})
         totals = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spared"))
         rows = rows.join(totals, ["lang", "context"])
-        rows = rows.join(below, "lang") if lower is None else rows.join(lower, ["lang", "rest"])
+        rows = rows.join(F.broadcast(below), "lang") if lower is None else rows.join(lower, ["lang", "rest"])
         p = (F.col("n") - F.col("cut") + F.col("spared") * F.col("p_rest")) / F.col("total")
         rows = stored(rows.select("lang", "gram", p.alias("p")), f"model{k}")
         parts.append(rows.select(F.lit(k).alias("part"), "lang", "gram", F.log("p").alias("value")))
@@ -221,30 +256,89 @@ class Model:
     parts: list[tuple[int, int, Broadcast]]
     cells: dict[str, int] = field(default_factory=dict)
 
-    def logs(self, words: dict[str, list[str]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        """For each language and each of its words the sum of its letters' log probabilities, and how many letters there
-        are, the end included."""
+    def logs(self, wanted: dict[str, list[str]]) -> dict[str, np.ndarray]:
+        """For each language the log probabilities of the last letters of the given grams."""
         jobs = []
-        for lang, own in words.items():
-            texts = [padded(w) for w in own]
-            sizes = np.array([len(t) - ORDER + 1 for t in texts], np.int64)
-            grams = [t[i : i + ORDER] for t in texts for i in range(len(t) - ORDER + 1)]
+        for lang, grams in wanted.items():
             base = _bucket(lang, LANG_CELLS) * LETTER_CELLS
             for c in {g[-2] for g in grams} - self.cells.keys():
                 self.cells[c] = _bucket(c, LETTER_CELLS)
             cells = np.array([base + self.cells[g[-2]] for g in grams], np.int64) if len(self.parts) > 1 else None
-            jobs.append((lang, xxhash.xxh64_intdigest(lang.encode(), 42), grams, sizes, cells, np.zeros(len(grams))))
+            jobs.append((lang, xxhash.xxh64_intdigest(lang.encode(), 42), grams, cells, np.zeros(len(grams))))
         for first, last, shared in self.parts:
-            for _, seed, grams, _, cells, total in jobs:
+            for _, seed, grams, cells, total in jobs:
                 left = np.arange(len(grams)) if cells is None else np.flatnonzero((cells >= first) & (cells <= last))
                 if len(left):
                     shared.value.add_logs(grams, left, total, seed)
             if len(self.parts) > 1:
                 vars(shared).pop("_value", None)
-        return {lang: (np.add.reduceat(total, np.r_[0, np.cumsum(sizes)[:-1]]), sizes) for lang, _, _, sizes, _, total in jobs}
-
-    def word_logs(self, lang: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.logs({lang: words})[lang]
+        return {lang: total for lang, _, _, _, total in jobs}
+
+
+class Scorer:
+    """Log probabilities of texts. What words and joints cost is remembered, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.grams: dict[str, dict[str, float]] = {}
+        self.words: dict[str, dict[bytes, tuple[float, int, str, str]]] = {}
+        self.joints: dict[str, dict[str, float]] = {}
+
+    def logs(self, langs: list[str], texts: list[list[bytes]]) -> list[float | None]:
+        """Minus the log probability of each text for each letter or digit of it; null for texts without words. Signs add to a
+        text's cost and not to its length."""
+        of: dict[str, list[list[bytes]]] = {}
+        for lang, words in zip(langs, texts):
+            of.setdefault(lang, []).append(words)
+        spelt: dict[str, dict[bytes, list[str]]] = {}
+        wanted: dict[str, set[str]] = {}
+        for lang, own in of.items():
+            have = self.words.setdefault(lang, {})
+            if len(have) > 300_000:
+                have.clear()
+            spelt[lang] = {w: [w.decode("utf-8", "replace")] for w in set().union(*own) if w not in have}
+            joints, known = self.joints.setdefault(lang, {}), self.grams.setdefault(lang, {})
+            if len(joints) > 300_000:
+                joints.clear()
+            if len(known) > 1_000_000:
+                known.clear()
+            head = {w: ends(text) for w, (text,) in spelt[lang].items()}
+            new: set[str] = set()
+            for words in own:
+                before = START * 2
+                for w in words:
+                    e = head.get(w) or have[w][2:]
+                    new.add(before + e[0])
+                    before = e[1]
+            joints |= dict.fromkeys(new - joints.keys())
+            need = wanted[lang] = set()
+            for text in spelt[lang].values():
+                text += inner_grams(text[0])
+                need.update(text[1:])
+            for joint in new:
+                need.update(outer_grams(joint))
+            need -= known.keys()
+        found = self.model.logs({lang: list(need) for lang, need in wanted.items() if need})
+        for lang, own in of.items():
+            known, have, joints = self.grams[lang], self.words[lang], self.joints[lang]
+            if lang in found:
+                known.update(zip(list(wanted[lang]), found[lang].tolist()))
+            for w, (text, *grams) in spelt[lang].items():
+                have[w] = (math.fsum(map(known.__getitem__, grams)), sum(map(str.isalnum, text)), *ends(text))
+            for joint, value in joints.items():
+                if value is None:
+                    joints[joint] = sum(map(known.__getitem__, outer_grams(joint)))
+        out = []
+        for lang, words in zip(langs, texts):
+            have, joints = self.words[lang], self.joints[lang]
+            total, letters, before = 0.0, 0, START * 2
+            for w in words:
+                log, n, head, tail = have[w]
+                total += log + joints[before + head]
+                letters += n
+                before = tail
+            out.append(-total / max(1, letters) if words else None)
+        return out
 
 
 def cut_cells(sizes: dict[int, int], shared: dict[int, int], rows: int) -> list[tuple[int, int]]:
@@ -294,32 +388,14 @@ def with_counts(docs: DataFrame, model: Model, text: str = "text", lang: str = "
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(model.parts)
-        known: dict[str, dict[bytes, tuple[float, int]]] = {}
+        scorer = Scorer(Model(model.parts))
         for batch in batches:
             rows, logs = [], []
             for start in range(0, batch.num_rows, at_once):
                 part = batch.slice(start, at_once)
                 texts = part.column(len(rest) + 1).to_pylist()
-                langs = part.column(len(rest)).to_pylist()
-                new: dict[str, set[bytes]] = {}
-                for code, x in zip(langs, texts):
-                    new.setdefault(code, set()).update(x.split())
-                missing: dict[str, list[bytes]] = {}
-                for code, words in new.items():
-                    have = known.setdefault(code, {})
-                    if len(have) > 300_000:
-                        have.clear()
-                    if lacking := [w for w in words if w not in have]:
-                        missing[code] = lacking
-                logs_of = own.logs({code: [w.decode("utf-8", "replace").lower() for w in words] for code, words in missing.items()})
-                for code, (total, sizes) in logs_of.items():
-                    known[code].update(zip(missing[code], zip(total.tolist(), sizes.tolist())))
-                for code, x in zip(langs, texts):
-                    rows.append(text_counts(x))
-                    have = known[code]
-                    found = [have[w] for w in x.split()]
-                    logs.append(-math.fsum(a for a, _ in found) / sum(n for _, n in found) if found else None)
+                logs += scorer.logs(part.column(len(rest)).to_pylist(), [x.split() for x in texts])
+                rows += map(text_counts, texts)
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *cols, pa.array(logs, pa.float64())], names=[*rest, *counts, "log_perplexity"])
 
@@ -352,8 +428,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity, one row for each
     row of docs.
 
-    Letters of words are counted in Spark over all documents, in grams of ORDER letters for each language; a modified
-    Kneser-Ney model is made of the counts and kept in sorted arrays of 64-bit hashes, in as many parts as it takes. A
+    Letters are counted in Spark over all documents, in grams of ORDER letters for each language, in words and from word to
+    word, capitals and signs as they are; a modified Kneser-Ney model is made of the counts and kept in sorted arrays of 64-bit hashes, in as many parts as it takes. A
     document that passes the base rules is kept if its perplexity is within its language's band. Null text is empty:
     no words, fails the base rules, and has no perplexity. A null language is one of its own. Repeated rows are rows of
     their own; extra columns are ignored; an empty table gives an empty result.
@@ -365,7 +441,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     x = F.col("log_perplexity")
     more = SHORT / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     inside = F.coalesce((x >= F.col("low") - more) & (x <= F.col("high") + more), F.lit(True))
-    return scored.join(bands, "lang", "left").select(
+    return scored.join(F.broadcast(bands), "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp(x).alias("perplexity"),
     )
