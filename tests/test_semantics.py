@@ -143,7 +143,7 @@ def test_edits_against_a_loop(spark):
     log = []
     for seq in range(40):
         a = rng.randrange(30)
-        log.append((seq, 1 if seq % 7 else None, a, a + rng.randrange(8), rng.choice(["swap_id", "set_id", "center", "angle", "exclude"]), rng.randrange(4), rng.randrange(4), 100.0 + seq, 200.0, None, 0.5))
+        log.append((seq, 1 if seq % 7 else None, a, a + (rng.randrange(8) if seq % 9 else 10**9), rng.choice(["swap_id", "set_id", "center", "angle", "exclude"]), rng.randrange(4), rng.randrange(4), 100.0 + seq, 200.0, None, 0.5))
     want = []
     for r in obs:
         row, ids = list(r), []
@@ -154,15 +154,16 @@ def test_edits_against_a_loop(spark):
             if mine or action == "swap_id" and row[2] == other:
                 ids.append(seq)
             if action == "swap_id":
+                row[8] = "manual_corrected" if mine or row[2] == other else row[8]
                 row[2] = other if mine else track if row[2] == other else row[2]
             elif mine and action == "set_id":
-                row[2] = other
+                row[2], row[8] = other, "manual_corrected"
             elif mine and action == "center":
-                row[3], row[4], row[6], row[8] = nx, ny, None, "manual_corrected"
+                row[3], row[4], row[6], row[7], row[8] = nx, ny, None, "observed", "manual_corrected"
             elif mine and action == "angle":
                 row[6], row[8] = theta, "manual_corrected"
             elif mine and action == "exclude":
-                row[7] = "missing"
+                row[7], row[8] = "missing", "manual_corrected"
         want.append((*row, tuple(ids)))
     e = spark.createDataFrame(log, "seq long, video_id long, frame_from long, frame_to long, action string, track_id long, other_id long, nx double, ny double, n_radius double, n_theta double")
     out = edits.apply_edits(spark.createDataFrame(obs, schema), e)
@@ -170,6 +171,17 @@ def test_edits_against_a_loop(spark):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_markers_and_superseded_warnings(spark):
+    df = rows(spark, 4, changes={1: {"measurement_warning": "blurred_edge_review", "assignment_ambiguous": True}}).withColumns({"position_sigma": F.lit(None).cast("double"), "theta_sigma": F.lit(0.01), "marker_x": F.col("x"), "marker_y": F.col("y") - 15})
+    schema = "seq long, video_id long, frame_from long, frame_to long, action string, track_id long, other_id long, nx double, ny double, n_radius double, n_theta double, n_sigma double"
+    log = [(1, 1, 0, 0, "marker", 1, None, 10.0, 0.0, None, None, None), (2, 1, 1, 1, "center", 1, None, 1.0, 2.0, 20.0, None, 2.0), (3, 1, 2, 2, "marker", 1, None, 100.0, 0.0, None, None, None), (4, 1, 3, 3, "center", 1, None, 500.0, 0.0, None, None, None)]
+    r = edits.apply_edits(df, spark.createDataFrame(log, schema)).orderBy("frame_index").collect()
+    assert r[0].theta == 0.0 and r[0].theta_sigma == max(0.01, 2**0.5 / 10) and r[0].marker_x == 10.0
+    assert math.isclose(r[1].theta, math.pi / 2) and r[1].position_sigma == 2.0 and (r[1].measurement_warning, r[1].superseded_warning, r[1].assignment_ambiguous, r[1].status) == (None, "blurred_edge_review", False, "observed")
+    assert r[2].theta == 0.01 and r[2].edit_ids == [3]  # too far off the rim
+    assert r[3].theta is None and r[3].theta_sigma is None and r[3].marker_x is None and r[3].x == 500.0
+
+
 def test_log_fold(spark):
     ops = [(1, 0, "edit", 10), (1, 1, "edit", 11), (1, 2, "undo", None), (1, 3, "edit", 12), (1, 4, "undo", None), (1, 5, "undo", None), (1, 6, "undo", None), (1, 7, "redo", None)]
     r = edits.fold_log(spark.createDataFrame(ops, "project_id long, n long, op string, edit long")).first()

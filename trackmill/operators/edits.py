@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def active_edits(log: DataFrame, cursor: DataFrame | int) -> DataFrame:
@@ -32,42 +33,79 @@ def fold_log(ops: DataFrame) -> DataFrame:
     return s.select("project_id", F.slice("s.log", F.lit(1), F.col("s.cursor")).alias("active"), F.col("s.gone").alias("abandoned"), F.col("s.cursor").alias("cursor"))
 
 
+#: Frames of a bucket of edits; an edit over more than WIDE buckets is kept for its whole video.
+PART, WIDE = 256, 64
+
+
 def apply_edits(obs: DataFrame, edits: DataFrame, after: str | None = None) -> DataFrame:
     """obs after an ordered replay of the edits (seq, video_id or null, frame_from, frame_to, action, track_id, other_id, nx,
-    ny, n_radius, n_theta) whose range covers their frame; edit_ids lists those that changed a row.
-
-    Actions: swap_id, set_id, center (new point and radius; the angle is invalidated), angle, exclude (status missing). An
-    edit goes to the track that the row has after earlier edits, so edits are joined by video and frame only: each video's
-    edits are one sorted array, filtered to the row's frame and folded. Rows that end with equal keys are left to an
-    upsert. `after` names a column: only edits with a larger seq are replayed on its row."""
-    item = F.struct("seq", "frame_from", "frame_to", "action", "track_id", "other_id", "nx", "ny", "n_radius", "n_theta")
-    videos = obs.select("video_id").distinct()
-    every = edits.where("video_id IS NULL").drop("video_id").crossJoin(F.broadcast(videos))  # a row for each project-wide edit and video
-    per_video = edits.where("video_id IS NOT NULL").unionByName(every)
-    per_video = per_video.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("own"))
-    rows = obs.join(per_video, "video_id", "left")
-    here = F.filter(F.col("own"), lambda e: (e["frame_from"] <= F.col("frame_index")) & (F.col("frame_index") <= e["frame_to"]))
-    if after:
-        here = F.filter(here, lambda e: e["seq"] > F.col(after))
-    fields = ("track_id", "x", "y", "radius", "theta", "status", "source")
-    start = F.struct(*[F.col(c) for c in fields], F.array().cast("array<bigint>").alias("edit_ids"))
+    ny, n_radius, n_theta, and, if given, n_sigma and n_theta_sigma) whose range covers their frame; edit_ids lists those that
+    changed a row.
+
+    Actions: swap_id, set_id, center (new point and radius; the row is observed, its angle is invalidated, and its warning set
+    aside), marker (the angle of the line from the centre to the new point, if that is 0.45 to 1.3 radii and 3 pixels off), angle,
+    exclude (status missing). Where obs has position_sigma, theta_sigma, assignment_ambiguous and measurement_warning they
+    change too, the old warning going to superseded_warning; where it has marker_x and marker_y, a new centre takes the
+    angle of the marker that is there, and a marker's point stays.
+
+    An edit goes to the track that the row has after earlier edits, so edits are joined by video and frames only: those over
+    few buckets of PART frames by bucket, longer ones and those of all videos as one sorted array each; a row's are filtered to
+    its frame and folded. Rows that end with equal keys are left to an upsert. `after` names a column: only edits with a
+    larger seq are replayed on its row."""
+    more = {c: F.col(c) if c in edits.columns else F.lit(None).cast("double").alias(c) for c in ("n_sigma", "n_theta_sigma")}
+    item = F.struct("seq", "frame_from", "frame_to", "action", "track_id", "other_id", "nx", "ny", "n_radius", "n_theta", *more.values())
+    first, last = F.floor(F.col("frame_from") / PART), F.floor(F.col("frame_to") / PART)
+    whole = edits.where("video_id IS NULL").agg(F.collect_list(item).alias("every"))  # edits of all videos: one row
+    wide = edits.where(F.col("video_id").isNotNull() & (last - first > WIDE)).groupBy("video_id").agg(F.collect_list(item).alias("wide"))
+    near = edits.where(F.col("video_id").isNotNull() & (last - first <= WIDE)).select("video_id", F.explode(F.sequence(first, last)).alias("edit_part"), item.alias("e"))
+    near = near.groupBy("video_id", "edit_part").agg(F.collect_list("e").alias("near"))
+    rows = obs.withColumn("edit_part", F.floor(F.col("frame_index") / PART)).join(near, ["video_id", "edit_part"], "left").join(wide, "video_id", "left").crossJoin(F.broadcast(whole)).drop("edit_part")
+    none = F.array().cast(near.schema["near"].dataType)
+    here = F.concat(F.coalesce("near", none), F.coalesce("wide", none), F.coalesce("every", none))
+    here = F.filter(here, lambda e: (e["frame_from"] <= F.col("frame_index")) & (F.col("frame_index") <= e["frame_to"]))
+    here = F.array_sort(F.filter(here, lambda e: e["seq"] > F.col(after)) if after else here)
+    fields = ["track_id", "x", "y", "radius", "theta", "status", "source"]
+    fields += [c for c in ("position_sigma", "theta_sigma", "assignment_ambiguous", "measurement_warning", "marker_x", "marker_y") if c in obs.columns]
+    warned = "measurement_warning" in fields
+    start = F.struct(*[F.col(c) for c in fields], *[F.lit(None).cast("string").alias("superseded_warning")] * warned, F.array().cast("array<bigint>").alias("edit_ids"))
+    kinds = {c: obs.schema[c].dataType for c in fields} | ({"superseded_warning": T.StringType()} if warned else {}) | {"edit_ids": T.ArrayType(T.LongType())}
+    start = start.cast(T.StructType([T.StructField(c, kind) for c, kind in kinds.items()]))  # an edit may make any of them null
 
     def step(s: Column, e: Column) -> Column:
-        mine, others, a = s["track_id"] == e["track_id"], s["track_id"] == e["other_id"], e["action"]
-        track = F.when((a == "swap_id") & mine, e["other_id"]).when((a == "swap_id") & others, e["track_id"]).when((a == "set_id") & mine, e["other_id"]).otherwise(s["track_id"])
-        center = (a == "center") & mine
-        hits = F.coalesce(mine | ((a == "swap_id") & others), F.lit(False))
+        mine, others, a = F.coalesce(s["track_id"] == e["track_id"], F.lit(False)), F.coalesce(s["track_id"] == e["other_id"], F.lit(False)), e["action"]
+        swap, center, marker, angle = (a == "swap_id") & (mine | others), (a == "center") & mine, (a == "marker") & mine, (a == "angle") & mine
+        known = ("swap_id", "set_id", "center", "marker", "angle", "exclude")
+        hits = swap | (mine & a.isin(*known))
         pick = lambda yes, new, old: F.when(yes, new).otherwise(old)
-        theta = F.when(center, F.lit(None).cast("double")).when((a == "angle") & mine, e["n_theta"]).otherwise(s["theta"])
-        return F.struct(
-            track.alias("track_id"), pick(center, e["nx"], s["x"]).alias("x"), pick(center, e["ny"], s["y"]).alias("y"),
-            pick(center, F.coalesce(e["n_radius"], s["radius"]), s["radius"]).alias("radius"), theta.alias("theta"),
-            pick((a == "exclude") & mine, F.lit("missing"), s["status"]).alias("status"),
-            pick(center | ((a == "angle") & mine), F.lit("manual_corrected"), s["source"]).alias("source"),
-            pick(hits, F.concat(s["edit_ids"], F.array(e["seq"])), s["edit_ids"]).alias("edit_ids"),
-        )
-
-    rows = rows.withColumn("s", F.when(F.col("own").isNull(), start).otherwise(F.aggregate(here, start, step)))
+        x, y, radius = pick(center, e["nx"], s["x"]), pick(center, e["ny"], s["y"]), pick(center, F.coalesce(e["n_radius"], s["radius"]), s["radius"])
+        # the marker's point, from the edit or the one that is there, and whether its distance makes an angle
+        mx, my = (pick(marker, e[n], s[c] if c in fields else F.lit(None)) for n, c in (("nx", "marker_x"), ("ny", "marker_y")))
+        far = F.sqrt((mx - x) * (mx - x) + (my - y) * (my - y))
+        fits = F.coalesce((far >= F.greatest(F.lit(3.0), 0.45 * radius)) & ((radius <= 0) | (far <= 1.3 * radius)), F.lit(False))
+        line = F.atan2(y - my, mx - x)
+        theta = F.when(center, F.when(fits, line)).when(marker & fits, line).when(angle, e["n_theta"]).otherwise(s["theta"])
+        new = {
+            "track_id": F.when(swap, pick(mine, e["other_id"], e["track_id"])).when((a == "set_id") & mine, e["other_id"]).otherwise(s["track_id"]),
+            "x": x, "y": y, "radius": radius, "theta": theta,
+            "status": F.when(center, "observed").when((a == "exclude") & mine, "missing").otherwise(s["status"]), "source": pick(hits, F.lit("manual_corrected"), s["source"]),
+        }
+        if "position_sigma" in fields:
+            new["position_sigma"] = pick(center, F.coalesce(e["n_sigma"], F.lit(1.0)), s["position_sigma"])
+        if "theta_sigma" in fields:
+            off = F.greatest(F.lit(0.01), 2**0.5 * (F.coalesce(new["position_sigma"], F.lit(1.0)) if "position_sigma" in new else F.lit(1.0)) / far)
+            new["theta_sigma"] = F.when(center, F.when(fits, off)).when(marker & fits, off).when(angle, F.coalesce(e["n_theta_sigma"], F.lit(0.03))).otherwise(s["theta_sigma"])
+        if "assignment_ambiguous" in fields:
+            new["assignment_ambiguous"] = pick(center, F.lit(False), s["assignment_ambiguous"])
+        if warned:
+            new["measurement_warning"] = pick(center, F.lit(None).cast("string"), s["measurement_warning"])
+            new["superseded_warning"] = pick(center, s["measurement_warning"], s["superseded_warning"])
+        for c, point in (("marker_x", mx), ("marker_y", my)):
+            if c in fields:
+                new[c] = F.when(center, F.when(fits, point)).when(marker & fits, point).otherwise(s[c])
+        new["edit_ids"] = pick(hits, F.concat(s["edit_ids"], F.array(e["seq"])), s["edit_ids"])
+        return F.struct(*[new[c].alias(c) for c in (*fields, *["superseded_warning"] * warned, "edit_ids")])
+
+    rows = rows.withColumn("s", F.when(F.size(here) == 0, start).otherwise(F.aggregate(here, start, step)))
     rest = [c for c in obs.columns if c not in fields]
     return rows.select(*rest, "s.*")
 

@@ -255,8 +255,8 @@ def impulse_diagnostics(trials: DataFrame) -> DataFrame:
     return out.withColumns({"jt_std": F.sqrt(var), "e_t_obs": F.try_divide(-k("c_after"), k("c"))})
 
 
-def monte_carlo(rows: DataFrame, f: Callable[[Column], Column], value: str, shared_sigma: float, own_sigma: str, n: int, seed: int) -> DataFrame:
-    """(key, mean, std, low, high): f of the value with one shared and one own normal draw for each replicate. Draws are counter based:
+def monte_carlo(rows: DataFrame, f: Callable[[Column], Column], value: str, shared_sigma: float, own_sigma: str, n: int, seed: int, second: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, mean, std, low, high, and, with a second function, covariance of both): f of the value with one shared and one own normal draw for each replicate. Draws are counter based:
     each is a sum of 12 hashed uniforms, so that any task can repeat it."""
 
     def normal(*parts: Column) -> Column:
@@ -264,8 +264,10 @@ def monte_carlo(rows: DataFrame, f: Callable[[Column], Column], value: str, shar
 
     each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     drawn = F.col(value) * (1 + shared_sigma * normal(F.col("rep"))) + F.col(own_sigma) * normal(F.col("rep"), F.col("key"))
-    out = each.withColumn("out", f(drawn)).groupBy("key").agg(F.avg("out").alias("mean"), F.stddev_samp("out").alias("std"), F.percentile("out", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    return out.select("key", "mean", "std", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    each = each.withColumn("out", f(drawn))
+    more = [] if second is None else [F.covar_samp("out", second(drawn)).alias("covariance")]
+    out = each.groupBy("key").agg(F.avg("out").alias("mean"), F.stddev_samp("out").alias("std"), F.percentile("out", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), *more)
+    return out.select("key", "mean", "std", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), *["covariance"] * len(more))
 
 
 def diagnostics(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,6 +54,26 @@ def score_frozen(trials: DataFrame, rows: DataFrame, prefix: int = 12) -> DataFr
     return own.where(F.col("place") > prefix).groupBy("trial_id").agg(F.count("*").alias("scored"), F.sqrt(F.avg(ex * ex + ey * ey)).alias("rmse"))
 
 
+def evaluate_fixed(bank: DataFrame, free: DataFrame, rows: DataFrame, impacts: DataFrame, prefix: int = 12) -> DataFrame:
+    """One row: how a frozen bank (one row, e_n, e_t, mu) predicts trials that it has not seen; nothing is fitted. n_free and free_rmse of rows after
+    each free trial's prefix; n_normal and normal_rmse of -e_n a against b; n_tangential and tangential_rmse of the slip after (c_obs, of trials
+    as for predict_impacts), only if all three coefficients exist, else tangential_reason; and a digest of the coefficients, which a later
+    run compares. Coefficients that are null give null scores."""
+    digest = F.sha2(F.concat_ws(";", *[F.concat(F.lit(f"{c}="), F.coalesce(F.format_number(c, 9), F.lit("null"))) for c in ("e_n", "e_t", "mu")]), 256)
+    bank = F.broadcast(bank.select("e_n", "e_t", "mu", digest.alias("parameter_hash")).limit(1))
+    f = score_frozen(free, rows, prefix).agg(F.sum("scored").alias("n_free"), F.sqrt(F.try_divide(F.sum(F.col("scored") * F.col("rmse") * F.col("rmse")), F.sum("scored"))).alias("free_rmse"))
+    own = impacts.crossJoin(bank.select(F.col("e_n").alias("b_n"), F.col("e_t").alias("b_t"), F.col("mu").alias("b_mu")))
+    off = -F.col("b_n") * F.col("a") - F.col("b")
+    normal = own.where(F.col("a") > 1e-12).agg(F.count(off).alias("n_normal"), F.sqrt(F.avg(off * off)).alias("normal_rmse"))
+    whole = F.col("b_n").isNotNull() & F.col("b_t").isNotNull() & F.col("b_mu").isNotNull()
+    told = estimators.predict_impacts(own.where(whole & F.col("c_obs").isNotNull()).drop("b"), F.col("b_n"), F.col("b_t"), F.col("b_mu"))
+    slip = F.col("c_after") - F.col("c_obs")
+    pair = told.where("status = 'ok'").agg(F.count(slip).alias("n_tangential"), F.sqrt(F.avg(slip * slip)).alias("tangential_rmse"))
+    missing = F.when(F.col("e_n").isNull() | F.col("e_t").isNull() | F.col("mu").isNull(), "coefficient_missing").when(F.col("n_tangential") == 0, "no_trials")
+    out = bank.crossJoin(f).crossJoin(normal).crossJoin(pair)  # one row each
+    return out.select(F.coalesce("n_free", F.lit(0)).alias("n_free"), "free_rmse", "n_normal", "normal_rmse", "n_tangential", "tangential_rmse", missing.alias("tangential_reason"), "parameter_hash")
+
+
 def impact_trials(events: DataFrame) -> DataFrame:
     """events (event_id, pre, post: two states each with velocity, omega and sigmas; reviewed) that are tangential trials: all four spins known, with
     sigma floors 0.01 and 1.0; approved only if a person reviewed them."""
@@ -123,22 +143,49 @@ def readout_bound(max_speed: Column, readout: Column, omega_bound: Column) -> tu
     return max_speed * readout, omega_bound * readout, F.when(readout.isNull(), "unmeasured").otherwise("bound_only_not_corrected")
 
 
+def with_frozen(current: DataFrame, frozen: DataFrame, blocks: list[str]) -> DataFrame:
+    """current settings (video_id, ...) for a coefficient: the given blocks as they were when the video was measured (frozen, video_id and the
+    blocks), all others, of bodies and models, as they are today. A video without frozen blocks keeps today's."""
+    f = frozen.select("video_id", F.lit(True).alias("was_frozen"), *[F.col(b).alias(f"f_{b}") for b in blocks])
+    out = current.join(f, "video_id", "left")
+    return out.withColumns({b: F.when(F.col("was_frozen"), F.col(f"f_{b}")).otherwise(F.col(b)) for b in blocks}).drop("was_frozen", *[f"f_{b}" for b in blocks])
+
+
 def effective(videos: DataFrame, project: DataFrame, blocks: list[str]) -> DataFrame:
     """videos with each block of settings its own where it has one, else the project's, whole: blocks are never merged. The project is one row."""
     p = project.select(*[F.col(b).alias(f"p_{b}") for b in blocks])
     return videos.crossJoin(F.broadcast(p)).withColumns({b: F.coalesce(b, f"p_{b}") for b in blocks}).drop(*[f"p_{b}" for b in blocks])
 
 
-def validate_settings(videos: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Violations (subject, problem): track ids that repeat, properties that are not positive, participants that don't exist or repeat, and empty
-    intervals."""
+def validate_numbers(settings: DataFrame) -> DataFrame:
+    """Violations (subject, problem) of settings (video_id, duration, normal_draws, tangential_draws, omega_bound, shared_scale, shared_clock, min_samples,
+    max_samples, window_s): a duration or window that is no positive number, draws outside 0 to 10,000, a turning bound that is neither null nor
+    positive, shared sigmas under 0, and samples outside 3 <= min <= max <= 1001."""
+    c = F.col
+    good = lambda x: F.coalesce(finite(x) & (x > 0), F.lit(False))
+    found = F.array_compact(F.array(
+        F.when(~good(c("duration")), "duration"), F.when(~good(c("window_s")), "window"),
+        F.when(~F.coalesce(c("normal_draws").between(0, 10_000) & c("tangential_draws").between(0, 10_000), F.lit(False)), "draws"),
+        F.when(c("omega_bound").isNotNull() & ~good(c("omega_bound")), "omega_bound"),
+        F.when(~F.coalesce(finite(c("shared_scale")) & finite(c("shared_clock")) & (F.least("shared_scale", "shared_clock") >= 0), F.lit(False)), "shared_sigma"),
+        F.when(~F.coalesce((c("min_samples") >= 3) & (c("min_samples") <= c("max_samples")) & (c("max_samples") <= 1001), F.lit(False)), "samples"),
+    ))
+    return settings.select(F.col("video_id").cast("string").alias("subject"), F.explode(found).alias("problem"))
+
+
+def validate_settings(videos: DataFrame, tracks: DataFrame, most_tracks: int | None = None) -> DataFrame:
+    """Violations (subject, problem): track ids that repeat, none or more than most_tracks (32 for one project), properties that are not positive, participants
+    that don't exist or repeat, and empty intervals."""
     repeat = tracks.groupBy("track_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("track_id").cast("string").alias("subject"), F.lit("repeated_track").alias("problem"))
     bad = tracks.where(F.least("mass", "radius") <= 0).select(F.col("track_id").cast("string").alias("subject"), F.lit("not_positive").alias("problem"))
     part = videos.select("video_id", F.explode("participants").alias("track_id"))
     gone = part.join(tracks.select("track_id").distinct(), "track_id", "left_anti").select(F.col("video_id").cast("string").alias("subject"), F.lit("unknown_participant").alias("problem")).distinct()
     twice = videos.where(F.size("participants") != F.size(F.array_distinct("participants"))).select(F.col("video_id").cast("string").alias("subject"), F.lit("repeated_participant").alias("problem"))
     empty = videos.where(F.col("end") < F.col("start")).select(F.col("video_id").cast("string").alias("subject"), F.lit("empty_interval").alias("problem"))
-    return repeat.unionByName(bad).unionByName(gone).unionByName(twice).unionByName(empty)
+    out = repeat.unionByName(bad).unionByName(gone).unionByName(twice).unionByName(empty)
+    if most_tracks is None:
+        return out
+    return out.unionByName(tracks.agg(F.count("*").alias("n")).where(~F.col("n").between(1, most_tracks)).select(F.lit("project").alias("subject"), F.lit("track_count").alias("problem")))
 
 
 def compatible(frames: DataFrame, calibrations: DataFrame) -> DataFrame:

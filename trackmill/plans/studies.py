@@ -22,12 +22,12 @@ pd AS (SELECT video_id, frame_index, track_id, x + (event_id % 7 - 3) * 0.5 AS x
 
 
 def truth(spark: SparkSession, d: str) -> DataFrame:
-    return A.obs_hour(spark, d).where(P.live()).select("video_id", "frame_index", "track_id", "x", "y", "radius")
+    return A.obs_hour(spark, d).where(P.live()).select("video_id", "frame_index", "track_id", "x", "y", "radius", "theta")
 
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
     o = A.obs_hour(spark, d).where(P.live()).where("event_id % 10 <> 0")
-    return o.select("video_id", "frame_index", "track_id", (F.col("x") + (F.col("event_id") % 7 - 3) * 0.5).alias("x"), "y")
+    return o.select("video_id", "frame_index", "track_id", (F.col("x") + (F.col("event_id") % 7 - 3) * 0.5).alias("x"), "y", (F.col("theta") + 0.1).alias("theta"))
 
 
 @query("f14_metrics", sql(TRUTH + """, j AS (SELECT tr.video_id, pd.x - tr.x AS ex, pd.y + 0.25 - tr.y AS ey FROM tr JOIN pd USING (video_id, frame_index, track_id))
@@ -51,7 +51,7 @@ def e8(spark: SparkSession, d: str) -> DataFrame:
 def f15(spark: SparkSession, d: str) -> DataFrame:
     t, p = truth(spark, d), predicted(spark, d)
     out = scoring.evaluate_labels(t, p, scoring.match_labels(t, p))
-    return out.select("video_id", "tp", "fp", "fn", "id_switches", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "fp_per_frame", "id_accuracy", "centre_median", "centre_rmse")])
+    return out.select("video_id", "tp", "fp", "fn", "id_switches", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "fp_per_frame", "id_accuracy", "centre_median", "centre_rmse", "angle_mae")])
 
 
 @query("e11_nearest_anchor", sql(""", fr AS (SELECT DISTINCT video_id, frame_index FROM obs_hour), an AS (SELECT video_id, event_id AS anchor_id, (event_id * 7) % 700 AS frame FROM obs_hour WHERE event_id % 25 = 0)
@@ -378,8 +378,8 @@ def k10(spark: SparkSession, d: str) -> DataFrame:
 def k15(spark: SparkSession, d: str) -> DataFrame:
     """Random draws; moments are checked in the tests."""
     rows = A._observations(spark, d).groupBy(F.col("track_id").alias("key")).agg(F.avg("x").alias("v"), F.lit(0.5).alias("own"))
-    out = estimators.monte_carlo(rows, lambda c: c * c, "v", 0.02, "own", 200, 11)
-    return out.select("key", *[r6(F.col(c), 4).alias(c) for c in ("mean", "std", "low", "high")])
+    out = estimators.monte_carlo(rows, lambda c: c * c, "v", 0.02, "own", 200, 11, second=lambda c: 2 * c)
+    return out.select("key", *[r6(F.col(c), 4).alias(c) for c in ("mean", "std", "low", "high", "covariance")])
 
 
 @query("k17_diagnostics", sql(""", m AS (SELECT track_id, sum(x * x) AS p, sum(x * y) AS q, sum(y * y) AS r FROM obs_all GROUP BY 1), e AS (SELECT *, (p + r) / 2 + sqrt((p - r) * (p - r) / 4 + q * q) AS big, greatest((p + r) / 2 - sqrt((p - r) * (p - r) / 4 + q * q), 0) AS small FROM m)
@@ -478,6 +478,18 @@ def k16(spark: SparkSession, d: str) -> DataFrame:
     return trials.score_frozen(t, rows, 4).select("trial_id", "scored", r6(F.col("rmse"), 4).alias("rmse"))
 
 
+@query("k16_evaluate_fixed", sql("""WITHOUT""" + IMPACTS + """, k AS (SELECT *, 1 / 0.012::DOUBLE + 1 / 0.02::DOUBLE AS an, 1 / 0.012::DOUBLE + 1 / 0.02::DOUBLE + 0.02::DOUBLE * 0.02 / 2.4e-6 + 0.025::DOUBLE * 0.025 / 6.25e-6 AS ta FROM im), j AS (SELECT *, 1.6 * a / an AS jn FROM k),
+t AS (SELECT *, c - ta * (0.3 * c / ta + sign(c) * least(0.2 * jn, abs(c) / ta)) AS ca, a - an * jn AS b2 FROM j), o AS (SELECT *, 0.5 * (b2 * b2 - a * a) / an + 0.5 * (ca * ca - c * c) / ta AS gain FROM t)
+SELECT (SELECT count(*) FROM im) AS n_normal, (SELECT round(sqrt(avg((-0.6 * a - b) * (-0.6 * a - b))), 6) FROM im) AS normal_rmse, count(*) AS n_tangential, round(sqrt(avg((ca - c * 0.25) * (ca - c * 0.25))), 6) AS tangential_rmse, NULL::VARCHAR AS tangential_reason,
+sha256('e_n=0.600000000;e_t=-0.700000000;mu=0.200000000') AS parameter_hash FROM o WHERE gain <= 1e-12""", "obs_all").replace("WITHOUT", ""))
+def k16_fixed(spark: SparkSession, d: str) -> DataFrame:
+    """A frozen bank against impacts; free trials of the same call are k16_score_frozen's."""
+    bank = spark.createDataFrame([(0.6, -0.7, 0.2)], "e_n double, e_t double, mu double")
+    free = trials.free_trials(A.obs_seq(spark, d), duration=1e9, min_rows=6, prefix=4)
+    out = trials.evaluate_fixed(bank, free, usable_rows(spark, d), impacts(spark, d).withColumn("c_obs", F.col("c") * 0.25), 4)
+    return out.select("n_normal", r6(F.col("normal_rmse")).alias("normal_rmse"), "n_tangential", r6(F.col("tangential_rmse")).alias("tangential_rmse"), "tangential_reason", "parameter_hash")
+
+
 @query("f10_coefficient_status", sql(""", t AS (SELECT CASE WHEN track_id % 2 = 0 THEN 'mu' ELSE 'e' END AS coefficient, track_id, video_id, session_id, frame_index, CASE WHEN measurement_warning IS NOT NULL THEN measurement_warning END AS reason FROM obs_seq)
 SELECT coefficient, count(DISTINCT track_id) AS trials, count(DISTINCT video_id) AS videos, count(DISTINCT session_id) AS sessions, count(*) AS used, count(reason) AS warned, round(count(reason) / count(*), 6) AS fraction, string_agg(DISTINCT reason, ',') AS reasons FROM t GROUP BY 1""", "obs_seq"))
 def f10(spark: SparkSession, d: str) -> DataFrame:
