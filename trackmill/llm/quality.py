@@ -292,6 +292,7 @@ class Scorer:
             of.setdefault(lang, []).append(words)
         spelt: dict[str, dict[bytes, list[str]]] = {}
         wanted: dict[str, set[str]] = {}
+        fresh: dict[str, set[str]] = {}
         for lang, own in of.items():
             have = self.words.setdefault(lang, {})
             if len(have) > 300_000:
@@ -310,12 +311,12 @@ class Scorer:
                     e = head.get(w) or have[w][2:]
                     new.add(before + e[0])
                     before = e[1]
-            joints |= dict.fromkeys(new - joints.keys())
+            fresh[lang] = new - joints.keys()
             need = wanted[lang] = set()
             for text in spelt[lang].values():
                 text += inner_grams(text[0])
                 need.update(text[1:])
-            for joint in new:
+            for joint in fresh[lang]:
                 need.update(outer_grams(joint))
             need -= known.keys()
         found = self.model.logs({lang: list(need) for lang, need in wanted.items() if need})
@@ -325,9 +326,8 @@ class Scorer:
                 known.update(zip(list(wanted[lang]), found[lang].tolist()))
             for w, (text, *grams) in spelt[lang].items():
                 have[w] = (math.fsum(map(known.__getitem__, grams)), sum(map(str.isalnum, text)), *ends(text))
-            for joint, value in joints.items():
-                if value is None:
-                    joints[joint] = sum(map(known.__getitem__, outer_grams(joint)))
+            for joint in fresh[lang]:
+                joints[joint] = sum(map(known.__getitem__, outer_grams(joint)))
         out = []
         for lang, words in zip(langs, texts):
             have, joints = self.words[lang], self.joints[lang]
