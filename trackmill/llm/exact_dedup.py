@@ -27,11 +27,12 @@ def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     a run stays. Splitters of whole texts would bring long texts to the driver.
 
     A text with very many copies would fill one range. Texts are therefore counted by a hash first, and a text with
-    over 1/HOT_SHARE of the rows is also ranged by a salt. Each salted run leaves one head, at most HOT_SHARE * SALTS in
+    over 1/HOT_SHARE of the rows is also ranged by a salt, of the row and not of its id, which may be null or repeated. Each salted run leaves one head, at most HOT_SHARE * SALTS in
     all, and the heads' full texts are compared in a second, small round. The hash only decides who is salted: texts
     are always compared whole.
 
-    Null text is an empty one. Null doc_ids sort last and are kept only if a group has no other. If a doc_id is
+    Where START characters tie, ranges are of the hash, not of the rest of the text; neighbours are whole texts all the
+    same. Null text is an empty one; a very long one is sorted whole. Null doc_ids sort last and are kept only if a group has no other. If a doc_id is
     repeated within a group, one of its rows is kept. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), normalised(F.col(f"`{text}`")).alias("norm"))
@@ -41,7 +42,7 @@ def content_sort(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     hot = [r.h for r in counts.where(F.col("count") > max(1, total // HOT_SHARE)).select("h").collect()]  # < HOT_SHARE
     salted = F.col("h").isin(hot) if hot else F.lit(False)
     rows = rows.withColumn("hot", salted)
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0))
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))).otherwise(0))
 
     rows = rows.withColumn("start", F.substring("norm", 1, START))
     run = Window.partitionBy("start", "h", "norm", "salt")
