@@ -174,6 +174,10 @@ def learn(
     many documents of each class each folded word is; a term is a word, or a start of words of 4 to 6 letters that
     three or more words share, which is in toxic documents far more often. Its weight is its log odds. Seeds keep a
     fixed weight unless the labels speak against them.
+
+    Of equal texts, and of repeated labels, one that is toxic counts. Null texts are empty; rows with a null id or label
+    are not learned from. Terms with equal odds come in alphabetical order. Without documents or labels of both classes
+    the lexicon is the seeds, with a fixed scale.
     """
     marked = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
     marked = marked.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
@@ -182,7 +186,8 @@ def learn(
     order = [F.crc32(F.concat(F.lit("learn"), F.col("id").cast("string"))), "id"]
     taken = marked.where("y > 0").orderBy(*order).limit(sample_rows).unionByName(marked.where("y = 0").orderBy(*order).limit(sample_rows))
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), utf8(f"`{text}`").alias("raw"))
-    rows = stored(rows.join(F.broadcast(taken), "id").select("y", "raw"), "labelled").dropDuplicates(["raw"])  # 2 * sample_rows ids
+    rows = rows.join(F.broadcast(taken), "id").groupBy("raw").agg(F.max("y").alias("y"))  # 2 * sample_rows ids
+    rows = stored(rows.select("y", "raw"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -227,7 +232,8 @@ def learn(
 
 def with_scores(docs: DataFrame, lexicon: Lexicon, name: str = "score", text: str = "text", keep_text: bool = False) -> DataFrame:
     """docs without the text (or, with keep_text, with it), and a double column `name`, 0 to 1. Whole texts; null counts as
-    empty. The score sees the text alone. Texts go to the workers once, as bytes."""
+    empty. The score sees the text alone, so repeated rows score alike. An empty table gives an empty result. Texts go to the
+    workers once, as bytes."""
     rest = [c for c in docs.columns if c != text]
     (raw,) = spare(docs, "raw")
     kept = docs.select(*[F.col(f"`{c}`") for c in rest])
@@ -248,7 +254,8 @@ def with_scores(docs: DataFrame, lexicon: Lexicon, name: str = "score", text: st
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text: str = "text") -> DataFrame:
-    """docs without those that score `threshold` or more, texts as they were."""
+    """docs without those that score `threshold` or more, texts as they were; null texts score as empty and stay null. Extra columns
+    stay, whatever they are called."""
     (score,) = spare(docs, "toxic_score")
     kept = with_scores(docs, lexicon, score, text, keep_text=True)
     return kept.where(F.col(score) < threshold).select(*[f"`{c}`" for c in docs.columns])
