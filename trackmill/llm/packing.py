@@ -197,8 +197,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     Lengths are counted in Spark; only the counts, one for each length up to the capacity, reach the driver, which
     plans which numbers of each length go where. Items get their number within their length from counts of hashed
     shards and a window over each shard, so that a length that very many items have is not one task. Lengths must be
-    1 to capacity. Pieces should be a stored table: it is read twice. An empty table gives an empty result.
+    1 to capacity. Pieces should be a stored table: it is read more than once. Pieces as long as a sequence are one each,
+    with a negative number, and need no plan. An empty table gives an empty result.
     """
+    one = [(-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")]
+    full = pieces.where(F.col(length) == capacity).select(*pieces.columns, *one)
+    pieces = pieces.where(F.col(length) < capacity)
     items = pieces.withColumn("pack_shard", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(SHARDS)))
     sizes = stored(items.groupBy(F.col(length).alias("pack_length"), "pack_shard").count(), "lengths")
     counts = {r[0]: r[1] for r in sizes.groupBy("pack_length").agg(F.sum("count")).collect()}  # at most capacity rows
@@ -213,11 +217,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") ->
     number = F.col("pack_before") + F.col("pack_place")
     here = (F.col(length) == F.col("run_length")) & (number >= F.col("run_from")) & (number < F.col("run_to"))
     since = number - F.col("run_from")
-    return items.join(F.broadcast(plan), here).select(
+    placed = items.join(F.broadcast(plan), here).select(
         *pieces.columns,
         (F.col("run_sequence") + F.floor(since / F.col("run_each"))).cast("long").alias("sequence_id"),
         (F.col("run_offset") + F.pmod(since, F.col("run_each")) * F.col(length)).cast("long").alias("offset"),
     )
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
