@@ -252,6 +252,30 @@ def test_monte_carlo_moments(spark):
     assert abs(r.mean - 20) < 0.1 and abs(r.std - 2 * sd) < 0.05 and abs(r.covariance - 6 * sd * sd) < 0.15 and abs((r.high - r.low) / (2 * 1.96 * 2 * sd) - 1) < 0.08
 
 
+def test_diagnostics_are_numpys(spark):
+    j = np.random.default_rng(1).normal(size=(30, 2)) * [1.0, 3.0]
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in j] + [("b", 1.0, 2.0), ("b", 2.0, 4.0)], "k string, j1 double, j2 double")
+    out = {r.k: r for r in estimators.diagnostics(df, ["k"]).collect()}
+    cov = np.linalg.inv(j.T @ j)
+    assert np.allclose([out["a"].var1, out["a"].var2, out["a"].covariance], [cov[0, 0], cov[1, 1], cov[0, 1]]) and np.isclose(out["a"].condition, np.linalg.cond(j)) and np.isclose(out["a"].norm2, np.linalg.norm(j[:, 1]))
+    assert out["b"].rank == 1 and out["b"].covariance is None and out["b"].condition is None
+    e = spark.createDataFrame([(0.0, 0.0, 1.0), (1.0, 0.0, 1.0), (0.4, 0.0, 1.0)], "value double, low double, high double")
+    assert [r.active_bound for r in estimators.active_bounds(e).collect()] == ["low", "high", None]
+
+
+def test_locked_labels_show_changes(spark):
+    own = [(v, f, t, 1.0 * t) for v in (1, 2, 3) for f in range(5) for t in (1, 2)]
+    df = spark.createDataFrame(own, "video_id long, frame_index long, track_id long, radius double")
+    columns = ["frame_index", "track_id", "radius"]
+    locks = trials.lock_labels(df, columns).select("video_id", "lock")
+    changed = df.where("video_id <> 3").withColumn("radius", F.when((F.col("video_id") == 2) & (F.col("frame_index") == 4), 9.0).otherwise(F.col("radius")))
+    assert trials.broken_locks(df.repartition(5), locks, columns).count() == 0
+    assert sorted(r.video_id for r in trials.broken_locks(changed, locks, columns).collect()) == [2, 3]
+    t = spark.createDataFrame([(s, v, 0.1 * s + 0.01 * v, 1.0) for s in range(6) for v in range(4)], "session_id long, video_id long, value double, variance double")
+    r = trials.fit_dataset(t, spark.createDataFrame([(5,)], "session_id long"), draws=60, seed=1).first()
+    assert r.ready and r.n_train == 20 and r.low < r.estimate < r.high
+
+
 # ---- plans that must grow with their input only
 
 

@@ -271,15 +271,25 @@ def monte_carlo(rows: DataFrame, f: Callable[[Column], Column], value: str, shar
 
 
 def diagnostics(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, rank, condition, correlation) of two-parameter fits from rows of a Jacobian (j1, j2); correlation is null where the rank is
-    under 2."""
+    """(keys, rank, condition, correlation, var1, var2, covariance, norm1, norm2) of two-parameter fits from rows of a whitened Jacobian (j1, j2):
+    the inverse of its normal matrix and the norms of its columns. All but rank and norms are null where the rank is under 2."""
     m = rows.groupBy(*keys).agg(F.sum(F.col("j1") * F.col("j1")).alias("p"), F.sum(F.col("j1") * F.col("j2")).alias("q"), F.sum(F.col("j2") * F.col("j2")).alias("r"))
     half, p, q, r = (F.col("p") + F.col("r")) / 2, F.col("p"), F.col("q"), F.col("r")
     spread = F.sqrt((p - r) * (p - r) / 4 + q * q)
     big, small = half + spread, F.greatest(half - spread, F.lit(0.0))
     full = small > 1e-12 * big
     rank = F.when(full, 2).when(big > 0, 1).otherwise(0)
-    return m.select(*keys, rank.alias("rank"), F.when(full, F.sqrt(big / small)).alias("condition"), F.when(full, -q / F.sqrt(p * r)).alias("correlation"))
+    det = F.when(full, p * r - q * q)
+    return m.select(
+        *keys, rank.alias("rank"), F.when(full, F.sqrt(big / small)).alias("condition"), F.when(full, -q / F.sqrt(p * r)).alias("correlation"),
+        (r / det).alias("var1"), (p / det).alias("var2"), (-q / det).alias("covariance"), F.sqrt(p).alias("norm1"), F.sqrt(r).alias("norm2"),
+    )
+
+
+def active_bounds(estimates: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """estimates (value, low, high) and active_bound: low or high where the value is on it, else null."""
+    at = lambda c: F.abs(F.col("value") - F.col(c)) <= tolerance
+    return estimates.withColumn("active_bound", F.when(at("low"), "low").when(at("high"), "high"))
 
 
 def learn_template(samples: DataFrame, keys: list[str]) -> DataFrame:

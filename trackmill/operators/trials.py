@@ -243,17 +243,33 @@ def bootstrap_shared(rows: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
     return own.withColumns(speeds | {"t": F.col("t") * F.col("clock"), "x": F.col("x") * F.col("scale"), "y": F.col("y") * F.col("scale"), "sigma": F.col("sigma") * F.col("scale")}).drop("z_scale", "z_clock")
 
 
-def fit_dataset(trials: DataFrame, holdout: DataFrame, least: int = 3) -> DataFrame:
-    """(estimate, n_train, n_holdout, rmse, ready): the hierarchical estimate of the trials (session_id, video_id, value, variance) outside the holdout sessions, scored on
+def fit_dataset(trials: DataFrame, holdout: DataFrame, least: int = 3, draws: int = 0, seed: int = 0) -> DataFrame:
+    """(estimate, n_train, n_holdout, rmse, ready, and with draws low and high of a bootstrap of the training side): the hierarchical estimate of the trials (session_id, video_id, value, variance) outside the holdout sessions, scored on
     those within; ready if both sides have `least` trials and at least two training sessions."""
     held = trials.join(holdout.select("session_id").distinct(), "session_id", "left_semi")
     train = trials.join(holdout.select("session_id").distinct(), "session_id", "left_anti")
     e = estimators.hierarchy(train).select("estimate", F.col("n_rows").alias("n_train"), "n_sessions")
     scored = held.crossJoin(F.broadcast(e)).agg(F.count("*").alias("n_holdout"), F.sqrt(F.avg((F.col("value") - F.col("estimate")) * (F.col("value") - F.col("estimate")))).alias("rmse"))
     out = e.crossJoin(scored)
+    if draws:
+        out = out.crossJoin(estimators.bootstrap(train, n=draws, seed=seed).select("low", "high"))
     return out.withColumn("ready", (F.col("n_train") >= least) & (F.col("n_holdout") >= least) & (F.col("n_sessions") >= 2)).drop("n_sessions")
 
 
+def lock_labels(labels: DataFrame, columns: list[str], by: str = "video_id") -> DataFrame:
+    """(by, n, lock) of each video's labels: a digest of the sums and exclusive ors of its rows' hashes, in whatever order they come, so that a task
+    holds three numbers for a video."""
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(columns)])
+    own = labels.groupBy(by).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
+    return own.select(by, "n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("x").cast("string"), F.col("s").cast("string")), 256).alias("lock"))
+
+
+def broken_locks(labels: DataFrame, locks: DataFrame, columns: list[str], by: str = "video_id") -> DataFrame:
+    """(by) of locked videos (by, lock) whose labels are no longer those that were locked, or are gone."""
+    now = lock_labels(labels, columns, by).select(by, F.col("lock").alias("now"))
+    return locks.join(now, by, "left").where(~F.col("lock").eqNullSafe(F.col("now"))).select(by)
+
+
 def save_labels(labels: DataFrame, new: DataFrame, locked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(labels, refused): new rows (video_id, frame_index, track_id, radius, ...) replace all of their frame's. Frames of locked videos, ids that repeat in a frame, and radii that
     are not positive are refused, whole frames at a time."""

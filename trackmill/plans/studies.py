@@ -383,10 +383,11 @@ def k15(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("k17_diagnostics", sql(""", m AS (SELECT track_id, sum(x * x) AS p, sum(x * y) AS q, sum(y * y) AS r FROM obs_all GROUP BY 1), e AS (SELECT *, (p + r) / 2 + sqrt((p - r) * (p - r) / 4 + q * q) AS big, greatest((p + r) / 2 - sqrt((p - r) * (p - r) / 4 + q * q), 0) AS small FROM m)
-SELECT track_id, CASE WHEN small > 1e-12 * big THEN 2 WHEN big > 0 THEN 1 ELSE 0 END AS rank, round(sqrt(big / small), 4) AS condition, round(-q / sqrt(p * r), 6) AS correlation FROM e""", "obs_all"))
+SELECT track_id, CASE WHEN small > 1e-12 * big THEN 2 WHEN big > 0 THEN 1 ELSE 0 END AS rank, round(sqrt(big / small), 4) AS condition, round(-q / sqrt(p * r), 6) AS correlation,
+round(r / (p * r - q * q), 9) AS var1, round(p / (p * r - q * q), 9) AS var2, round(-q / (p * r - q * q), 9) + 0.0 AS covariance, round(sqrt(p), 4) AS norm1, round(sqrt(r), 4) AS norm2 FROM e""", "obs_all"))
 def k17(spark: SparkSession, d: str) -> DataFrame:
     rows = A._observations(spark, d).select("track_id", F.col("x").alias("j1"), F.col("y").alias("j2"))
-    return estimators.diagnostics(rows, ["track_id"]).select("track_id", "rank", r6(F.col("condition"), 4).alias("condition"), r6(F.col("correlation")).alias("correlation"))
+    return estimators.diagnostics(rows, ["track_id"]).select("track_id", "rank", r6(F.col("condition"), 4).alias("condition"), r6(F.col("correlation")).alias("correlation"), *[r6(F.col(c), 9).alias(c) for c in ("var1", "var2", "covariance")], *[r6(F.col(c), 4).alias(c) for c in ("norm1", "norm2")])
 
 
 @query("f18_learn_template", sql(""", t AS (SELECT video_id, count(*) AS n, avg(sin(theta * 0.1)) AS s, avg(cos(theta * 0.1)) AS c, median(x / 10) AS ratio FROM obs_all GROUP BY 1)
