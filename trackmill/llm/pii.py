@@ -46,7 +46,7 @@ _TITLE = rf"(?:{_both(TITLES)})\.?"
 _NAMES = rf"(?:(?:{_NAME}|{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,6}}{_NAME}"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<!\w)[0-9a-f]{40}(?!\w)",
     "key": r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|xox[a-z]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -55,9 +55,10 @@ PATTERNS = {
     "card": r"(?<![\w+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "ip6": rf"(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
-    "person": rf"(?<!\w)(?:(?:{_TITLE} )+|(?:{_HEADS})(?:-{_NAME})? ){_NAMES}",
+    "person": rf"(?<!\w)(?=[\p{{Lu}}г])(?:(?:{_TITLE} )+|(?:{_HEADS})(?:-{_NAME})? ){_NAMES}",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# What all have in common is asked first: no letter or digit before, and a first sign that one of them has.
+PATTERN = rf"(?<!\w)(?=[0-9A-Za-z(+г]|\p{{Lu}})(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
 _CAPITALS = r"^[\p{Lu}\p{M}'’-]{2,}$"
 #: Stands around matches while a text is cut up; no text has it.
 _CUT = ""
