@@ -128,10 +128,13 @@ def test_kneser_ney_against_a_plain_model(spark):
     for text in ("abra", "banana ban", "zebra abra x!", "xx"):
         want = -sum(math.log(p(g)) for g in quality.text_grams(text)) / sum(c.isalnum() for c in text)
         for _ in range(2):  # once looked up, once remembered
-            (got,) = scorer.logs(["en"], [text.encode().split()])
+            (got,) = scorer.logs(["en"], [text.encode()])
             assert math.isclose(got, want, rel_tol=1e-4)
-    assert scorer.logs(["en"], [[]]) == [None] and len(quality.text_grams("ab a")) == 5
-    assert math.isclose(sum(p("ab" + c) for c in [*"abcdnr", quality.STOP]) + p("ab?"), 1, rel_tol=1e-9)
+    assert scorer.logs(["en", "zz"], [b"", b" \n"]) == [None, None] and len(quality.text_grams("ab a")) == 5
+    for t in [*ODD, "caf\u00e9 \U0001f600x", "a\u00a0b\u2028c", "x" * 9]:
+        raw = re.sub(r"[\U00010000-\U0010ffff]", "\ufffd\ufffd", t or "")
+        assert quality.gram_texts(quality.gram_codes((t or "").encode())) == (quality.text_grams(raw) if raw.strip(" \t\n\v\f\r") else [])
+    assert math.isclose(sum(p("ab" + c) for c in [*"abcdnr", quality.GAP]) + p("ab?"), 1, rel_tol=1e-9)
 
 
 def test_shuffled_words_and_signs_cost_more(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import functools
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .common import WHITESPACE, read, spare, stored, utf8
 
-#: Letters of a gram. A word's first letters follow the gap before it and the last two letters of the word before.
-ORDER, START, STOP = 4, "\x02", "\x03"
+#: Letters of a gram, and what stands between words. A gram is four UTF-16 units, and so a number of 64 bits.
+ORDER, GAP = 4, "\x02"
 #: The model grows with the input and is cut into parts of about so many rows (12 bytes each); a worker holds one part at
 #: a time. A row's cell is its language's bucket and, in it, the bucket of its context's last letter.
 PART_ROWS, LANG_CELLS, LETTER_CELLS = 5_000_000, 1024, 64
@@ -28,6 +28,8 @@ ROWS_AT_ONCE, ROWS_FOR_PARTS = 200, 4000
 #: of n words SHORT / sqrt(n) more, as short texts vary more.
 WIDTH, LEAST, SHORT = 6.0, 0.12, 0.6
 _BIN = 100
+#: Grams that a task sums at once, and how many different ones it holds.
+CODES_AT_ONCE, CODES_HELD = 4_000_000, 2_000_000
 
 
 # ---- counts of a text
@@ -81,73 +83,81 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 # ---- the model
 
 
-def ends(word: str) -> tuple[str, str]:
-    """The first two letters (or the letter and the stop) and the last two (or the gap and the letter)."""
-    return (word + STOP)[:2], (START + word)[-2:]
+def text_grams(text: str) -> list[str]:
+    """All grams of a text, one for each letter and each word's end: the words with a gap after each, and a gap of the order's
+    width before the first."""
+    words = [w for w in text.translate(_SPACES).split(" ") if w]
+    line = GAP * (ORDER - 1) + "".join(w + GAP for w in words)
+    return [line[i : i + ORDER] for i in range(len(line) - ORDER + 1)]
 
 
-def inner_grams(word: str) -> list[str]:
-    """The grams of a word that do not reach beyond the gap before it."""
-    text = START + word + STOP
-    return [text[i : i + ORDER] for i in range(len(text) - ORDER + 1)]
+_SPACES = dict.fromkeys(WHITESPACE, " ")
 
 
-def outer_grams(joint: str) -> tuple[str, str]:
-    """The two grams of a word's first letters from a joint, the last two letters of the word before and the first two."""
-    return joint[:2] + START + joint[2], joint[1] + START + joint[2:]
+def gram_codes(raw: bytes) -> np.ndarray:
+    """The grams of a UTF-8 text as numbers. Characters beyond 16 bits count as the replacement character, twice."""
+    line = b" ".join(raw.split()).decode("utf-8", "replace")
+    if not line:
+        return np.zeros(0, np.uint64)
+    u = np.frombuffer(line.encode("utf-16-le"), np.uint16).copy()
+    u[(u >= 0xD800) & (u < 0xE000)] = 0xFFFD
+    u[u == 32] = ord(GAP)
+    gap = np.full(ORDER - 1, ord(GAP), np.uint16)
+    u = np.concatenate([gap, u, gap[:1]]).astype(np.uint64)
+    return (u[:-3] << np.uint64(48)) | (u[1:-2] << np.uint64(32)) | (u[2:-1] << np.uint64(16)) | u[3:]
 
 
-def text_grams(text: str) -> list[str]:
-    """All grams of a text, one for each letter and each word's end."""
-    out, before = [], START * 2
-    for word in text.split():
-        head, tail = ends(word)
-        out += [*outer_grams(before + head), *inner_grams(word)]
-        before = tail
-    return out
+def gram_texts(codes: np.ndarray) -> list[str]:
+    units = np.column_stack([(codes >> np.uint64(16 * k)) & np.uint64(0xFFFF) for k in range(ORDER - 1, -1, -1)]).astype("<u2")
+    line = units.tobytes().decode("utf-16-le")
+    return [line[i : i + ORDER] for i in range(0, len(line), ORDER)]
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, gram, n) of a task's words and joints, which are summed first and sent when many are held."""
-    words: dict[str, Counter] = {}
-    joints: dict[str, Counter] = {}
-    grams: dict[tuple[str, str], int] = Counter()
-    known: dict[bytes, tuple[str, str]] = {}
-
-    def spell() -> None:
-        for lang, own in words.items():
-            for word, n in own.items():
-                for g in inner_grams(word.decode("utf-8", "replace")):
-                    grams[lang, g] += n
-        for lang, own in joints.items():
-            for joint, n in own.items():
-                for g in outer_grams(joint):
-                    grams[lang, g] += n
-        words.clear(), joints.clear()
-
-    def rows() -> pa.RecordBatch:
-        cols = [pa.array([k[0] for k in grams]), pa.array([k[1] for k in grams]), pa.array(list(grams.values()), pa.int64())]
-        grams.clear()
-        return pa.RecordBatch.from_arrays([cols[0].cast(pa.string()), cols[1].cast(pa.string()), cols[2]], names=["lang", "gram", "n"])
+@functools.lru_cache(1)
+def _is_letter() -> np.ndarray:
+    return np.array([chr(i).isalnum() for i in range(1 << 16)])
+
 
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(n, first) if len(codes) else n
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, gram, n) of a task's grams, which are summed first and sent when many are held."""
+    new: dict[str, list[np.ndarray]] = {}
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(lang: str) -> None:
+        codes, n = np.unique(np.concatenate(new.pop(lang)), return_counts=True)
+        if lang in held:
+            codes, n = _summed(np.r_[held[lang][0], codes], np.r_[held[lang][1], n])
+        held[lang] = codes, n
+
+    def rows(lang: str) -> Iterator[pa.RecordBatch]:
+        codes, n = held.pop(lang)
+        for i in range(0, len(codes), 100_000):
+            texts = gram_texts(codes[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string()), pa.array(n[i : i + 100_000], pa.int64())], names=["lang", "gram", "n"])
+
+    sizes: Counter = Counter()
     for batch in batches:
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own, at = words.setdefault(lang, Counter()), joints.setdefault(lang, Counter())
-            each, before = raw.as_py().split(), START * 2
-            own.update(each)
-            for word in each:
-                if (e := known.get(word)) is None:
-                    if len(known) > 300_000:
-                        known.clear()
-                    e = known[word] = ends(word.decode("utf-8", "replace"))
-                at[before + e[0]] += 1
-                before = e[1]
-            if len(own) + len(at) > 300_000:
-                spell()
-        if len(grams) > 500_000:
-            yield rows()
-    spell()
-    yield rows()
+            codes = gram_codes(raw.as_py())
+            new.setdefault(lang, []).append(codes)
+            sizes[lang] += len(codes)
+            if sum(sizes.values()) > CODES_AT_ONCE:
+                for x in [*new]:
+                    add(x)
+                sizes.clear()
+                for x in [x for x in held if sum(len(c) for c, _ in held.values()) > CODES_HELD]:
+                    yield from rows(x)
+    for x in [*new]:
+        add(x)
+    for x in [*held]:
+        yield from rows(x)
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
@@ -276,68 +286,48 @@ class Model:
 
 
 class Scorer:
-    """Log probabilities of texts. What words and joints cost is remembered, up to a bound."""
+    """Log probabilities of texts. What grams cost is remembered, up to a bound."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.grams: dict[str, dict[str, float]] = {}
-        self.words: dict[str, dict[bytes, tuple[float, int, str, str]]] = {}
-        self.joints: dict[str, dict[str, float]] = {}
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def logs(self, langs: list[str], texts: list[list[bytes]]) -> list[float | None]:
+    def logs(self, langs: list[str], texts: list[bytes]) -> list[float | None]:
         """Minus the log probability of each text for each letter or digit of it; null for texts without words. Signs add to a
         text's cost and not to its length."""
-        of: dict[str, list[list[bytes]]] = {}
-        for lang, words in zip(langs, texts):
-            of.setdefault(lang, []).append(words)
-        spelt: dict[str, dict[bytes, list[str]]] = {}
-        wanted: dict[str, set[str]] = {}
-        fresh: dict[str, set[str]] = {}
-        for lang, own in of.items():
-            have = self.words.setdefault(lang, {})
-            if len(have) > 300_000:
-                have.clear()
-            spelt[lang] = {w: [w.decode("utf-8", "replace")] for w in set().union(*own) if w not in have}
-            joints, known = self.joints.setdefault(lang, {}), self.grams.setdefault(lang, {})
-            if len(joints) > 300_000:
-                joints.clear()
-            if len(known) > 1_000_000:
-                known.clear()
-            head = {w: ends(text) for w, (text,) in spelt[lang].items()}
-            new: set[str] = set()
-            for words in own:
-                before = START * 2
-                for w in words:
-                    e = head.get(w) or have[w][2:]
-                    new.add(before + e[0])
-                    before = e[1]
-            fresh[lang] = new - joints.keys()
-            need = wanted[lang] = set()
-            for text in spelt[lang].values():
-                text += inner_grams(text[0])
-                need.update(text[1:])
-            for joint in fresh[lang]:
-                need.update(outer_grams(joint))
-            need -= known.keys()
-        found = self.model.logs({lang: list(need) for lang, need in wanted.items() if need})
-        for lang, own in of.items():
-            known, have, joints = self.grams[lang], self.words[lang], self.joints[lang]
-            if lang in found:
-                known.update(zip(list(wanted[lang]), found[lang].tolist()))
-            for w, (text, *grams) in spelt[lang].items():
-                have[w] = (math.fsum(map(known.__getitem__, grams)), sum(map(str.isalnum, text)), *ends(text))
-            for joint in fresh[lang]:
-                joints[joint] = sum(map(known.__getitem__, outer_grams(joint)))
-        out = []
-        for lang, words in zip(langs, texts):
-            have, joints = self.words[lang], self.joints[lang]
-            total, letters, before = 0.0, 0, START * 2
-            for w in words:
-                log, n, head, tail = have[w]
-                total += log + joints[before + head]
-                letters += n
-                before = tail
-            out.append(-total / max(1, letters) if words else None)
+        of: dict[str, list[int]] = {}
+        for i, lang in enumerate(langs):
+            of.setdefault(lang, []).append(i)
+        codes = [gram_codes(x) for x in texts]
+        merged = {lang: np.unique(np.concatenate([codes[i] for i in own]), return_inverse=True) for lang, own in of.items()}
+        missing = {}
+        for lang, (own, _) in merged.items():
+            have = self.known.get(lang)
+            if have is None or len(have[0]) > CODES_HELD:
+                have = self.known[lang] = (np.zeros(0, np.uint64), np.zeros(0))
+            at = np.searchsorted(have[0], own)
+            at[at == len(have[0])] = 0
+            lacking = own if not len(have[0]) else own[have[0][at] != own]
+            if len(lacking):
+                missing[lang] = lacking
+        found = self.model.logs({lang: gram_texts(x) for lang, x in missing.items()})
+        out: list[float | None] = [None] * len(texts)
+        for lang, (own, inverse) in merged.items():
+            have = self.known[lang]
+            if lang in missing:
+                both = np.r_[have[0], missing[lang]]
+                order = np.argsort(both)
+                have = self.known[lang] = both[order], np.r_[have[1], found[lang]][order]
+            if not len(own):
+                continue
+            each = have[1][np.searchsorted(have[0], own)][inverse]
+            start = 0
+            for i in of[lang]:
+                n = len(codes[i])
+                if n:
+                    letters = int(_is_letter()[(codes[i] & np.uint64(0xFFFF)).astype(np.int64)].sum())
+                    out[i] = -float(each[start : start + n].sum()) / max(1, letters)
+                start += n
         return out
 
 
@@ -394,7 +384,7 @@ def with_counts(docs: DataFrame, model: Model, text: str = "text", lang: str = "
             for start in range(0, batch.num_rows, at_once):
                 part = batch.slice(start, at_once)
                 texts = part.column(len(rest) + 1).to_pylist()
-                logs += scorer.logs(part.column(len(rest)).to_pylist(), [x.split() for x in texts])
+                logs += scorer.logs(part.column(len(rest)).to_pylist(), texts)
                 rows += map(text_counts, texts)
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *cols, pa.array(logs, pa.float64())], names=[*rest, *counts, "log_perplexity"])
