@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, line_dedup, mixing, packing, pii, quality, simhash, toxicity, url_filter
+from . import collocations, exact_dedup, fill_in_middle, license_scan, line_dedup, mixing, packing, pii, quality, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_quality_perplexity": quality.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_source_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_url_filter": url_filter.query,
+    "op11_arc_to_warc": warc.query,
+    "op12_fill_in_middle": fill_in_middle.query,
+    "op13_collocations": collocations.query,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op3_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_url_filter": url_filter.SQL,
+    "op11_arc_to_warc": warc.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_collocations": collocations.SQL,
 }
