@@ -166,6 +166,8 @@ ANCHORS = (
 # Patterns that Java and RE2 read alike. Marks of comments before a line, and at its end.
 _MARKS = r"^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|--+|;+|%+|>+|<!--|dnl|REM)(?:[ \t]+|$))*"
 _CLOSING = r"[ \t]*(?:\*+/|-->)?[ \t]*$"
+# The same for Java, which calls itself for each repeat of a group that is not possessive, and would try each of a run's spaces as its first.
+_MARKS_JAVA, _CLOSING_JAVA = _MARKS + "+", r"(?:(?<![ \t])[ \t]++(?:\*+/|-->)?|(?<!\*)\*+/|-->)[ \t]*+$"
 _ITEM = r"^(?:\(?(?:[0-9]{1,2}|[a-z])[.)]|-)[ \t]+"
 _UNDER = r"^(?:(?:this|the) (?:[a-z0-9]+ ){1,4}(?:is|are) )?(?:licensed|released|distributed|made available|available|provided|published) under (?:an? |the )?(?:terms (?:and conditions )?of (?:the )?)?"
 _ENDS = r"(?: the license)?(?: licen[cs]e)?(?: or at your option any later version| or any later version| or later| only)?$"
@@ -184,7 +186,7 @@ def sentences(text: Column, known: Column) -> Column:
     tells the copyright's year or begins with an SPDX tag, stands alone, and so do empty lines and the items of lists. Sentences end at
     a semicolon, at . ! ? before white space and no small letter, at a colon or semicolon that ends a line, and at a colon before the first item of a list."""
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
-    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, _MARKS, ""), _CLOSING, ""))
+    lines = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, _MARKS_JAVA, ""), _CLOSING_JAVA, ""))
 
     def placed(line: Column) -> Column:
         own = _norm(line)
@@ -224,7 +226,7 @@ def scan(docs: DataFrame, text: str = "text", table=SENTENCES, rules=RULES) -> D
     rule's sequence of identifiers stands, it gives its licence and uses the identifiers up. licenses and families
     are distinct and in the order of the rules. Between the sentences of a rule others that are unknown may stand. A null or
     empty text, or one without a known sentence, has three empty arrays. Repeated rows and ties need no rule: each
-    row stands for itself. Nothing is shuffled.
+    row stands for itself. Very long texts are scanned whole, and no pattern repeats a group without a bound. Nothing is shuffled; an empty table gives an empty result.
     """
     ids, licenses, families, chain = spare(docs, "sentence_ids", "licenses", "families", "chain")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))

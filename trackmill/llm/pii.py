@@ -36,9 +36,10 @@ RIMES = {
 GENDERS = {"f": ("Mrs", "Ms", "Miss", "Frau", "Sra", "Mme", "г-жа"), "m": ("Mr", "Herr", "Sr", "г-н")}
 PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "la", "le", "los", "bin", "ibn", "al", "el", "ter", "ten", "zu", "zum", "zur", "af", "av", "y", "e")
 
+# No pattern repeats a group without a bound: Java calls itself for each repeat. What is one sign for one sign replaced has a length bound too.
 # A word of a name may have inner capitals, an apostrophe (but a genitive's), a hyphen; it ends where the word does.
 _LETTER, _STOP = r"[\p{L}\p{M}]", r"(?![\p{L}\p{M}\p{N}_])"
-_NAME = rf"(?:\p{{L}}['’]|(?:al|el)-)?\p{{Lu}}{_LETTER}+(?:['’]\p{{Lu}}{_LETTER}*|-\p{{Lu}}{_LETTER}*|-\p{{Ll}}{{1,3}}(?!{_LETTER}))*+{_STOP}"
+_NAME = rf"(?:\p{{L}}['’]|(?:al|el)-)?\p{{Lu}}{_LETTER}+(?:['’]\p{{Lu}}{_LETTER}*|-\p{{Lu}}{_LETTER}*|-\p{{Ll}}{{1,3}}(?!{_LETTER})){{0,8}}+{_STOP}"
 _INITIAL = r"\p{Lu}(?:\.-?\p{Lu})*\.?"
 _both = lambda words: "|".join(dict.fromkeys(x for w in words for x in (w, w.upper())))
 _HEADS = _both(n for names in FIRST_NAMES.values() for n in names)
@@ -46,22 +47,22 @@ _TITLE = rf"(?:{_both(TITLES)})\.?"
 _NAMES = rf"(?:(?:{_NAME}|{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,6}}{_NAME}"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}",
     "secret": r"(?<!\w)[0-9a-f]{40}(?!\w)",
-    "key": r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,}|xox[a-z]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})(?![\w-])",
+    "key": r"(?<![\w-])(?:A[KS]IA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{30,255}|xox[a-z]-[A-Za-z0-9-]{10,255}|sk-[A-Za-z0-9_-]{20,255})(?![\w-])",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "phone": r"(?<![\w.+-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:(?:[ .-]\d{2}){3,5}|(?:[ .-]\d{3,4}){2}|[ .-]?\d{5,8})|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?!\w)",
     "ssn": r"(?<![\w.+-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "card": r"(?<![\w+-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "ip6": rf"(?<![\w:])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![\w:])",
-    "person": rf"(?<!\w)(?=[\p{{Lu}}г])(?:(?:{_TITLE} )+|(?:{_HEADS})(?:-{_NAME})? ){_NAMES}",
+    "person": rf"(?<!\w)(?=[\p{{Lu}}г])(?:(?:{_TITLE} ){{1,8}}|(?:{_HEADS})(?:-{_NAME})? ){_NAMES}",
 }
 # What all have in common is asked first: no letter or digit before, and a first sign that one of them has.
 PATTERN = rf"(?<!\w)(?=[0-9A-Za-z(+г]|\p{{Lu}})(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
 _CAPITALS = r"^[\p{Lu}\p{M}'’-]{2,}$"
-#: Stands around matches while a text is cut up; no text has it.
-_CUT = ""
+#: Stands around matches while a text is cut up. Its first character is followed by _OWN where a text has it itself.
+_CUT, _OWN = "\ue000\uf8ff\ue001\uf8fe", "\ue002"
 
 
 def luhn(digits: Column) -> Column:
@@ -180,7 +181,7 @@ def _gender(raw: Column) -> Column:
     for group, names in FIRST_NAMES.items():
         out = F.when(raw.rlike(rf"^(?:{_both(names)})(?!\p{{L}})"), group[-1]).otherwise(out)
     for g, titles in GENDERS.items():
-        out = F.when(raw.rlike(rf"^(?:{_TITLE} )*?(?:{_both(titles)})(?:\.| )"), g).otherwise(out)
+        out = F.when(raw.rlike(rf"^(?:{_TITLE} ){{0,8}}?(?:{_both(titles)})(?:\.| )"), g).otherwise(out)
     return out
 
 
@@ -225,13 +226,22 @@ def parts_of(text: Column) -> Column:
     return F.flatten(F.transform(pieces, one))
 
 
-def with_mentions(parts: Column) -> Column:
-    """parts, in which single words that are a name of a person found in the same text (the surname, a first name; in capitals too, and a
-    Russian surname in either gender) are parts of their own, of the same kind and form."""
-    names = F.filter(parts, lambda p: p["kind"].isNotNull() & p["kind"].rlike("^(?:surname|given|listed)") & (F.length(p["text"]) > 1))
-    spelt = lambda p: F.array(p["text"], p["form"], F.upper(p["form"]), *[F.when(p["kind"] == "surname_cyrillic", x) for x in (F.concat(p["form"], F.lit("а")), F.upper(F.concat(p["form"], F.lit("а"))))])
-    words = F.array_compact(F.array_distinct(F.flatten(F.transform(names, spelt))))
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_])("), F.array_join(F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
+def with_mentions(rows: DataFrame, ents: str) -> DataFrame:
+    """rows, in whose parts `ents` single words that are a name of a person found in the same text (the surname, a first name; in capitals too, and a
+    Russian surname in either gender) are parts of their own, of the same kind and form. Only names whose first letters up to a sign are a word of the rest of the text
+    are looked for. What a text's words share is a column of its own, or each word would work it out again."""
+    names, words, found = spare(rows, "names", "words", "found")
+    spelt = lambda p: F.array_compact(F.array(p["text"], p["form"], F.upper(p["form"]), *[F.when(p["kind"] == "surname_cyrillic", x) for x in (F.concat(p["form"], F.lit("а")), F.upper(F.concat(p["form"], F.lit("а"))))]))
+    first = lambda w: F.regexp_extract(w, r"^[\p{L}\p{M}\p{N}_]*", 0)
+    is_name = lambda p: p["kind"].isNotNull() & p["kind"].rlike("^(?:surname|given|listed)") & (F.length(p["text"]) > 1)
+    rows = rows.withColumn(names, F.array_distinct(F.filter(ents, is_name)))
+    there = F.flatten(F.transform(F.filter(ents, lambda p: p["kind"].isNull() & (F.length(p["text"]) > 1)), lambda p: F.split(p["text"], r"[^\p{L}\p{M}\p{N}_]+")))
+    rows = rows.withColumn(words, F.when(F.size(names) > 0, F.array_intersect(F.flatten(F.transform(names, lambda p: F.transform(spelt(p), first))), there)))
+    said = lambda p: F.filter(spelt(p), lambda w: F.array_contains(words, first(w)))
+    rows = rows.withColumn(names, F.when(F.size(words) > 0, F.filter(names, lambda p: F.arrays_overlap(F.transform(spelt(p), first), F.col(words)))))
+    each = F.array_distinct(F.flatten(F.transform(names, said)))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_])("), F.array_join(F.transform(each, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
+    rows = rows.withColumn(found, F.when(F.size(words) > 0, pattern))
 
     def mention(word: Column) -> Column:
         known = lambda surname: F.filter(names, lambda p: (p["kind"].startswith("surname") == surname) & (p["form"] == _name_form(word, surname)))
@@ -239,11 +249,11 @@ def with_mentions(parts: Column) -> Column:
         return _part(word, p["kind"], p["form"], p["gender"])
 
     def cut(p: Column) -> Column:
-        pieces = F.split(F.regexp_replace(p["text"], pattern, F.lit(f"{_CUT}$1{_CUT}")), _CUT)
+        pieces = F.split(F.regexp_replace(p["text"], F.col(found), F.lit(f"{_CUT}$1{_CUT}")), _CUT)
         return F.transform(pieces, lambda x, i: F.when(i % 2 == 0, _part(x)).otherwise(mention(x)).cast(_PART))
 
-    each = F.transform(parts, lambda p: F.when(p["kind"].isNull() & (F.length(p["text"]) > 1), cut(p)).otherwise(F.array(p)))
-    return F.when(F.size(names) > 0, F.flatten(each)).otherwise(parts)
+    more = F.transform(ents, lambda p: F.when(p["kind"].isNull() & (F.length(p["text"]) > 1), cut(p)).otherwise(F.array(p)))
+    return rows.withColumn(ents, F.when(F.col(found).isNotNull(), F.flatten(more)).otherwise(F.col(ents))).drop(names, words, found)
 
 
 def _dressed(kind: Column, raw: Column, form: Column, new: Column, key: str) -> Column:
@@ -267,7 +277,7 @@ def _dressed(kind: Column, raw: Column, form: Column, new: Column, key: str) ->
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate): one row for each distinct entity (kind, form, gender), no two of a kind with the same surrogate, and none
-    whose surrogate is another entity of the input or a listed first name.
+    whose surrogate is another entity of the input or a listed first name. Rows with a null kind are left out.
 
     Candidates come from a keyed hash. Those that are taken, or that two entities share, are drawn again by all but
     the smallest, until none is left; after 50 rounds a kind has no room left, which is an error. An entity met with two
@@ -301,15 +311,15 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     person is found, the same text's single mentions of the surname and the first names are replaced alike. One entity has
     one surrogate in all documents, however it is spelt, and two entities never have the same. Texts without entities are
     not touched and stay where they are; the others are cut up once, stored, and meet their surrogates. Null texts stay null,
-    with 0 entities; very long texts are cut up whole. Repeated rows are rows of their own, treated alike. An empty table
+    with 0 entities; very long texts are cut up whole (an address has 64 signs before the @ and 127 labels at most, a key 255 signs, a name 8 hyphens and 8 titles). Repeated rows are rows of their own, treated alike. An empty table
     gives an empty result.
     """
     n_entities, gaps, ents, row, at_row, news = spare(docs, "n_entities", "gaps", "ents", "row_number_", "to_row", "news")
     body = F.col(f"`{text}`")
     has = F.coalesce(body.rlike(PATTERN), F.lit(False))
     kept = [f"`{c}`" for c in docs.columns if c != text]
-    cut = docs.select(*kept, parts_of(body).alias(ents)).where(F.size(ents) > 1)
-    cut = cut.withColumn(ents, with_mentions(F.col(ents))).withColumn(row, F.monotonically_increasing_id())
+    cut = docs.where(has).select(*kept, parts_of(F.replace(body, F.lit(_CUT[0]), F.lit(_CUT[0] + _OWN))).alias(ents))
+    cut = with_mentions(cut, ents).withColumn(row, F.monotonically_increasing_id())
     whole = F.array_join(F.transform(ents, lambda p: F.when(p["kind"].isNull(), p["text"]).otherwise(F.lit(_CUT))), "")
     cut = stored(cut.select(*kept, row, F.split(whole, _CUT).alias(gaps), F.filter(ents, lambda p: p["kind"].isNotNull()).alias(ents)), "cut")
     each = cut.select(F.col(row).alias("row"), F.posexplode(ents).alias("at", "e")).select("row", "at", "e.*")
@@ -319,7 +329,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     new = _dressed(F.col("kind"), F.col("text"), F.col("form"), F.col("surrogate"), key)
     told = told.select(F.col("row").alias(at_row), F.struct("at", new.alias("new")).alias("new")).groupBy(at_row).agg(F.array_sort(F.collect_list("new")).alias(news))  # a text's own
     filled = F.zip_with(gaps, F.concat(F.coalesce(F.transform(F.col(news), lambda x: x["new"]), F.array().cast("array<string>")), F.array(F.lit(""))), lambda g, s: F.concat(g, F.coalesce(s, F.lit(""))))
-    changed = cut.join(told, F.col(row) == F.col(at_row), "left").withColumns({text: F.array_join(filled, ""), n_entities: F.size(ents)})
+    changed = cut.join(told, F.col(row) == F.col(at_row), "left").withColumns({text: F.replace(F.array_join(filled, ""), F.lit(_CUT[0] + _OWN), F.lit(_CUT[0])), n_entities: F.size(ents)})
     columns = [*(f"`{c}`" for c in docs.columns), n_entities]
     return docs.where(~has).withColumn(n_entities, F.lit(0)).select(*columns).unionByName(changed.select(*columns))
 

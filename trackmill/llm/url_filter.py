@@ -76,16 +76,40 @@ def with_rules(rows: DataFrame, host: str, path: str, name: str, rules: tuple[tu
     return out.drop(f"{name}_host", f"{name}_path", f"{name}_found")
 
 
-_DEAD = re.compile(r"<!--.*?-->|<script\b.*?</script\s*>", re.I | re.S)
-_TAG = re.compile(r"<(link|meta)\s([^>]*)>", re.I | re.S)
-_ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_DEAD = re.compile(r"<!--|<script\b", re.I)
+_DEAD_END = {"<!--": re.compile(r"-->"), "<script": re.compile(r"</script\s*+>", re.I)}
+_TAG = re.compile(r"<(link|meta)\s", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])([\w-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _REFRESH = re.compile(r"""url\s*=\s*["']?\s*([^"']*)""", re.I)
 
 
+def _tags(html: str) -> Iterator[tuple[str, str]]:
+    """(link or meta, what is inside) of the tags outside comments and scripts, in one scan: what has no end is looked for once."""
+    live, at, endless = [], 0, set()
+    for dead in _DEAD.finditer(html):
+        kind = dead[0].lower()
+        if dead.start() < at or kind in endless:
+            continue
+        if end := _DEAD_END[kind].search(html, dead.end()):
+            live.append(html[at : dead.start()])
+            at = end.end()
+        else:
+            endless.add(kind)
+    html = " ".join([*live, html[at:]])
+    at = 0
+    for tag in _TAG.finditer(html):
+        if tag.start() >= at:
+            end = html.find(">", tag.end())
+            if end < 0:
+                return
+            yield tag[1], html[tag.end() : end]
+            at = end
+
+
 def links_of(url: str, html: str) -> list[str]:
     """Absolute targets of a page's canonical links and refresh redirects; comments and scripts don't count."""
     out = []
-    for kind, inside in _TAG.findall(_DEAD.sub(" ", html)):
+    for kind, inside in _tags(html):
         own = {k.lower(): unescape(a or b or c).strip() for k, a, b, c in _ATTRIBUTE.findall(inside)}
         link = ""
         if kind.lower() == "link" and "canonical" in own.get("rel", "").lower().split():
