@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trackmill.llm import components, exact_dedup, license_scan, line_dedup, mixing, packing, pii, quality, registry, simhash, toxicity, url_filter
+from trackmill.llm import components, exact_dedup, license_scan, line_dedup, mixing, near, packing, pii, quality, registry, simhash, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -590,30 +590,65 @@ def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
     test_links_span_the_components(spark)
 
 
-def jaccard(a, b, width=5):
-    a, b = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.lower().split(), b.lower().split()))
-    return len(a & b) / len(a | b)
+def shingle_set(text, width=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
 
 
-def test_recall_and_precision_of_near_duplicates(spark, small):
-    """Against brute force over all pairs, on the table's texts and on edited copies of them."""
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, text, kind):
+    w = text.split(" ")
+    share = rng.uniform(0.02, 0.3)
+    if kind == "replaced":
+        return " ".join(rng.choice(w) if rng.random() < share / 8 else x for x in w)
+    n = max(1, int(len(w) * share))
+    if kind == "cut":
+        return " ".join(w[:-n] if rng.random() < 0.5 else w[n:])
+    if kind == "extended":
+        return " ".join(w + [f"{rng.choice(w)}{rng.randrange(99)}" for _ in range(n)])
+    blocks = [w[i : i + 40] for i in range(0, len(w), 40)]
+    rng.shuffle(blocks)
+    return " ".join(x for b in blocks for x in b)
+
+
+@pytest.mark.parametrize("nodes", [2_000, 6])
+def test_recall_and_precision_of_near_duplicates(spark, small, monkeypatch, nodes):
+    """Each kind of edit and each band over 0.8 against brute force; and no group that pairs of 0.8 or more do not connect."""
+    monkeypatch.setattr(near, "GROUP_NODES", nodes)
     rng = random.Random(9)
-    texts = [t for (t,) in duckdb.sql(f"SELECT DISTINCT text FROM '{small}/documents.parquet' WHERE length(text) BETWEEN 200 AND 4000 ORDER BY text LIMIT 90").fetchall()]
-    for t in texts[:60]:
-        words = t.split(" ")
-        for i in range(len(words)):
-            if rng.random() < 0.012:
-                words[i] = rng.choice(words)
-        texts.append(" ".join(words))
-        texts.append(" ".join(t.split(" ")[: -max(1, len(t.split(" ")) // 8)]))
-    texts = sorted(set(texts))
-    true = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(texts)) for j in range(i + 1, len(texts))}
-    df = docs(spark, texts)
-    first = {r.doc_id: r.first.doc_id for r in simhash.near_duplicates(df).collect()}
-    good = [p for p, x in true.items() if x >= 0.8]
-    assert len(good) > 60 and sum(first[i] == first[j] for i, j in good) >= 0.9 * len(good)
-    apart = [p for p, x in true.items() if x < 0.4]
-    assert not [p for p in apart if first[p[0]] == first[p[1]] and max(true[min(p[0], k), max(p[0], k)] for k in range(len(texts)) if k != p[0]) < 0.4]
+    base = [t for (t,) in duckdb.sql(f"SELECT DISTINCT text FROM '{small}/documents.parquet' WHERE length(text) BETWEEN 600 AND 6000 ORDER BY text LIMIT 70").fetchall()]
+    texts, made = list(base), []
+    for i, t in enumerate(base):
+        for kind in ("replaced", "cut", "extended", "moved") * 3:
+            made.append((i, len(texts), kind))
+            texts.append(edited(rng, t, kind))
+    sets = [shingle_set(t) for t in texts]
+    first = {r.doc_id: r.first.doc_id for r in near.near_duplicates(docs(spark, texts)).collect()}
+    assert len(first) == len(texts)
+    hit = collections.defaultdict(list)
+    for i, j, kind in made:
+        x = jaccard(sets[i], sets[j])
+        if x >= 0.8:
+            hit[kind, int(20 * x + 1e-9) / 20].append(first[i] == first[j])
+            hit["all", int(20 * x + 1e-9) / 20].append(first[i] == first[j])
+    assert all(sum(v) >= 0.9 * len(v) for v in hit.values() if len(v) >= 20), {k: (sum(v), len(v)) for k, v in hit.items()}
+    assert {k for k, v in hit.items() if len(v) >= 20} >= {("all", 0.8), ("all", 0.85), ("all", 0.9), ("all", 0.95)}
+    groups = collections.defaultdict(list)
+    for i, f in first.items():
+        groups[f].append(i)
+    joined, wrong = 0, 0
+    for own in groups.values():  # grown from its first by true pairs
+        reached, left = [own[0]], set(own[1:])
+        while reached:
+            x = reached.pop()
+            new = {y for y in left if jaccard(sets[x], sets[y]) >= 0.8}
+            left -= new
+            reached += new
+        joined, wrong = joined + len(own) - 1, wrong + len(left)
+    assert joined > 200 and wrong <= 0.01 * joined
 
 
 def test_near_duplicates_odd_rows(spark):
@@ -622,10 +657,10 @@ def test_near_duplicates_odd_rows(spark):
     df = df.unionByName(df.where("doc_id = 0"))
     out = {(r.doc_id, r.component_id) for r in simhash.near_duplicate_groups(df).collect()}
     assert out == {(0, 0), (1, 0), (2, 2), (3, 2), (4, 4), (5, 0), (6, 4)}
-    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2, 4]
-    assert simhash.drop_near_duplicates(df).columns == df.columns and simhash.drop_near_duplicates(df.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in near.drop_near_duplicates(df).collect()) == [0, 2, 4]
+    assert near.drop_near_duplicates(df).columns == df.columns and near.drop_near_duplicates(df.limit(0)).count() == 0
     nulls = df.withColumn("doc_id", F.lit(None).cast("long"))
-    assert simhash.drop_near_duplicates(nulls).count() == 3
+    assert near.drop_near_duplicates(nulls).count() == 3
     assert simhash.near_duplicate_groups(df.limit(0)).count() == 0
 
 

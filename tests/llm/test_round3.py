@@ -222,7 +222,7 @@ def prose(seed, n, size=40):
     return out
 
 
-@pytest.mark.parametrize("shards, limit", [(1, None), (3, None), (4, None), (3, 0)])
+@pytest.mark.parametrize("shards, limit", [(1, None), (3, None), (4, None), (3, 0), (3, 60)])
 def test_collocations_equal_brute_force(spark, shards, limit):
     rows = [("en", x) for x in prose(1, 60)] + [("de", x) for x in prose(2, 40)] + [(None, x) for x in prose(3, 20)] + [("und", "a b a b"), ("en", None), ("en", ""), ("xx", " ,. ")] + [("fr", "copie de la même page")] * 30
     docs = spark.createDataFrame(rows, "lang string, text string").repartition(5)

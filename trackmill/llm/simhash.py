@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,10 +17,6 @@ from .components import connected_components
 BITS = 64
 #: A bucket with more values is not searched in one task but cut further.
 BUCKET_VALUES = 50_000
-#: Near duplicates: words of a shingle; the radius within which the masks miss no pair of words' fingerprints, and how far
-#: those may be apart that meet all the same; and in how many of 256 bits the shingles' sketches may differ. Sketches of
-#: sets with a Jaccard similarity of 0.8 differ in 39 bits on average, give or take 6.
-WIDTH, RADIUS, REACH, SKETCH_BITS = 5, 6, 12, 48
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _PLACES = (np.arange(8) * 256).astype(np.int64)
 
@@ -48,39 +42,6 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(values)).tobytes(), "big", signed=True)
 
 
-def _shingles(text: bytes, width: int) -> list[bytes]:
-    words = text.lower().split()
-    return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
-
-
-@functools.lru_cache(1)
-def _weighted_words(text: bytes) -> tuple[list[bytes], np.ndarray]:
-    counts = Counter(text.lower().split())
-    return [*counts], np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-
-
-def word_print(text: bytes, seed: int = 42) -> int:
-    """The SimHash of the single words, as a signed integer. A word counts as the root of how often it is there, so that
-    the commonest words do not make all texts alike."""
-    words, weight = _weighted_words(text)
-    if not words:
-        return 0
-    values = np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in words]), np.uint8).reshape(-1, 8)
-    sums = np.bincount((values + _PLACES).ravel(), np.repeat(weight, 8), 2048).reshape(8, 256) @ _BYTE_BITS
-    return int.from_bytes(np.packbits(sums.ravel() * 2 > weight.sum()).tobytes(), "big", signed=True)
-
-
-def sketch(text: bytes, width: int = WIDTH) -> bytes:
-    """A SimHash of 256 bits of the different shingles; a text with fewer words is one shingle, without words all zero."""
-    own = set(_shingles(text, width))
-    if not own:
-        return bytes(32)
-    raw = b"".join([xxhash.xxh3_128_digest(x, 1) + xxhash.xxh3_128_digest(x, 2) for x in own])
-    values = np.frombuffer(raw, np.uint8).reshape(-1, 32)
-    counts = np.bincount((values + np.arange(32) * 256).ravel(), minlength=8192).reshape(32, 256) @ _BYTE_BITS
-    return np.packbits(counts.ravel() * 2 > len(own)).tobytes()
-
-
 def with_prints(docs: DataFrame, prints: dict[str, tuple[Callable[[bytes], int | bytes], T.DataType]], text: str = "text") -> DataFrame:
     """docs without the text, and a column for each of `prints`, a function of the text. Null texts count as empty."""
     rest = [c for c in docs.columns if c != text]
@@ -238,41 +199,6 @@ def fingerprint_links(fingerprints: DataFrame, column: str, radius: int = 4) ->
     return bucket_links(fingerprints, column, radius).select(F.col("root").alias("a"), F.col("fp").alias("b"))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], reach: int, most: int) -> Iterator[pa.RecordBatch]:
-    """From rows (t, root, fp, sketch) in order: edges (a, b) of sketches in each group (t, root), linked where fingerprints
-    differ in at most `reach` bits and sketches in at most `most`."""
-    limit = np.array([reach, most])
-
-    def near(left: np.ndarray, x: np.ndarray) -> np.ndarray:
-        bits = np.bitwise_count(left ^ x)
-        return (bits[:, 0] <= limit[0]) & (bits[:, 1:].sum(axis=1) <= limit[1])
-
-    for t, root, fp, marks in _runs(batches, 2):
-        rows = np.column_stack([fp.view(np.uint64), np.frombuffer(b"".join(marks), np.uint64).reshape(-1, 4)])
-        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (root[1:] != root[:-1])])
-        found = [e for i, j in zip(new, [*new[1:], len(t)]) if j - i > 1 for e in _forest(rows[i:j], near)]
-        ends = [pa.array([e[k][1:].tobytes() for e in found], pa.binary()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-
-def sketch_links(nodes: DataFrame, radius: int = RADIUS, reach: int = REACH, most: int = SKETCH_BITS) -> DataFrame:
-    """Edges (a, b) of sketches, from rows (sketch, fp1, fp2), that span every component of near duplicates.
-
-    Covering masks find the pairs that differ in at most `radius` bits of either fingerprint, and many up to `reach`; only
-    what has a partner in its bucket is joined with its sketch and searched again for pairs whose sketches differ in at
-    most `most` bits. The texts that a bucket's values have are searched in one task, 40 bytes each; they are different
-    near copies of one text, or permutations of one another's words."""
-    out = None
-    for column in ("fp1", "fp2"):
-        groups = bucket_links(nodes, column, radius, reach)
-        groups = groups.unionByName(groups.select("t", "root", F.col("root").alias("fp"))).distinct()
-        rows = groups.join(nodes.select(F.col(column).alias("fp"), "sketch"), "fp").select("t", "root", "fp", "sketch")
-        rows = rows.repartition("t", "root").sortWithinPartitions("t", "root", "fp", "sketch")
-        edges = rows.mapInArrow(lambda it: _confirm(it, reach, most), "a binary, b binary")
-        out = edges if out is None else out.unionByName(edges)
-    return out.distinct()
-
-
 def near_duplicate_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -293,51 +219,6 @@ def near_duplicate_groups(
     return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    width: int = WIDTH,
-    radius: int = RADIUS,
-    reach: int = REACH,
-    most: int = SKETCH_BITS,
-) -> DataFrame:
-    """One row per row of docs: doc_id, h (a hash of the text), first, a struct with the doc_id and h of its group's row that
-    stays: the smallest doc_id (null ids last), then the smallest h.
-
-    Two texts are near duplicates if their sets of shingles of `width` words are about 0.8 alike or more: a SimHash of
-    256 bits of the shingles differs in at most `most` bits. Candidates are what one of two SimHashes of the words, of
-    64 bits, brings together under covering masks: all pairs within `radius` bits, and many up to `reach`. Words, as
-    an edited one changes `width` shingles, and a radius fit for shingles would need far too many tables. Groups are
-    what links connect; equal sketches are always linked. Null and empty texts are near duplicates of each other; a text
-    with fewer than `width` words is one shingle.
-    """
-    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("text"))
-    words = {"fp1": (word_print, T.LongType()), "fp2": (lambda x: word_print(x, 43), T.LongType())}
-    prints = words | {"sketch": (lambda x: sketch(x, width), T.BinaryType())}
-    prints = stored(with_prints(ids, prints), "sketches")
-    nodes = prints.groupBy("sketch").agg(F.min("fp1").alias("fp1"), F.min("fp2").alias("fp2"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("own"))
-    nodes = stored(nodes, "nodes")
-    roots = connected_components(sketch_links(nodes, radius, reach, most)).withColumnRenamed("node", "sketch")
-    nodes = stored(nodes.join(roots, "sketch", "left").withColumn("root", F.coalesce("root", "sketch")), "roots")
-    least = nodes.groupBy("root").agg(F.min("own").alias("least"))
-    named = nodes.join(least, "root").select("sketch", F.struct("least.doc_id", "least.h").alias("first"))
-    return prints.join(named, "sketch").select("doc_id", "h", "first")
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one row for each group of near_duplicates: the one with the smallest doc_id (null ids last), of repeated
-    rows one. Extra columns stay as they are. An empty table gives an empty result. Texts are shuffled once."""
-    names = spare(docs, "text_h", "id_text", "id_null")
-    h, as_text, is_null = names
-    first = near_duplicates(docs, doc_id, text, **options).select("first.*").distinct()
-    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(as_text), F.col("doc_id").isNull().alias(is_null), F.col("h").alias(h)]
-    same = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    rows = docs.withColumns({h: F.xxhash64(f"`{text}`"), as_text: same, is_null: F.col(f"`{doc_id}`").isNull()})
-    keys = [as_text, is_null, h]
-    return rows.dropDuplicates(keys).join(first.select(*own), keys, "left_semi").select(*[f"`{c}`" for c in docs.columns])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: whole texts, 4-word shingles, links at 4 bits or fewer."""
     out = near_duplicate_groups(read(spark, sf_dir, "documents"))
