@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from trackmill.llm.common import read, stored
 from trackmill.llm.line_dedup import line_dedup
 from trackmill.llm.mixing import mix
+from trackmill.llm.near import drop_near_duplicates
 from trackmill.llm.packing import pack_in_order
-from trackmill.llm.simhash import drop_near_duplicates
 from trackmill.llm.toxicity import drop_toxic, learn
 
 
@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest doc_id (null ids last), and of repeated
-    rows one: five-word shingles, 0.8 alike or more by their SimHash. All empty texts are one group."""
+    rows one: sets of five-word shingles with a Jaccard similarity of 0.8 or more. All empty texts are one group."""
     return drop_near_duplicates(docs)
 
 
