@@ -236,6 +236,51 @@ def test_staged_draws_are_single_fits_of_the_drawn_rows(spark):
     assert math.isclose(out[0].e_t, pair.first().e_t, abs_tol=1e-9) and math.isclose(out[0].mu_c, pair.first().mu, abs_tol=1e-9)
 
 
+def test_staged_bootstrap_reads_its_tables_once(spark, monkeypatch):
+    """No draw multiplies rows: each table is scanned once however many draws there are, and 200 draws equal their sums by hand."""
+    own = [(s, v, 1.0 + 0.1 * v, -(0.55 + 0.04 * s + 0.01 * v) * (1.0 + 0.1 * v), 0.05, 0.05, 0.4 if v % 2 else -0.5) for s in range(6) for v in range(5)]
+    t = spark.createDataFrame(own, "session_id long, video_id long, a double, b double, sa double, sb double, c double")
+    t = t.withColumns({n: F.lit(v) for n, v in (("m1", 0.012), ("m2", 0.02), ("r1", 0.02), ("r2", 0.025), ("i1", 2.4e-6), ("i2", 6.25e-6), ("sc", 0.01))})
+    t = estimators.predict_impacts(t, F.lit(0.7), F.lit(-0.5), F.lit(0.2)).select("session_id", "video_id", F.col("c_after").alias("c_obs")).join(t, ["session_id", "video_id"])  # b as observed
+    mu = spark.createDataFrame([(s, v, 0.1 + 0.01 * s + 0.001 * v) for s in range(6) for v in range(5)], "session_id long, video_id long, value double")
+    draws = estimators.draws(estimators.numbered_groups(t.select(F.col("session_id").alias("group_id"))), 200, 5)
+    asked = []
+    real = trials.written
+    monkeypatch.setattr(trials, "written", lambda df, name: asked.append(name) or real(df, name))
+    out = {r.boot_id: r for r in trials.staged_bootstrap(mu, t, draws).collect()}
+    assert len(out) == 200 and asked.count("impacts") == 1 and not [r for r in out.values() if r.failure]
+    times = {}
+    for r in draws.collect():
+        times.setdefault(r.boot_id, []).append(r.group_id)
+    means = {s: 0.1 + 0.01 * s + 0.002 for s in range(6)}
+    assert all(math.isclose(out[b].mu, sum(means[s] for s in own) / len(own)) for b, own in times.items())
+
+    def loss(e, sessions):
+        a, b = np.array([[x[2], x[3]] for s in sessions for x in own if x[0] == s]).T / 0.05
+        x = np.maximum(0, (a - b * e) / (1 + e * e))
+        for _ in range(6):
+            w1, w2 = 1 / np.sqrt(1 + (b + e * x) ** 2), 1 / np.sqrt(1 + (x - a) ** 2)
+            x = np.maximum(0, (w2 * a - w1 * b * e) / (w2 + w1 * e * e))
+        return np.sum(np.sqrt(1 + (b + e * x) ** 2) + np.sqrt(1 + (x - a) ** 2) - 2)
+
+    for b in range(0, 200, 23):
+        low, high = 0.0, 1.0
+        for _ in range(3):
+            step = (high - low) / 40
+            e = min((low + i / 40 * (high - low) for i in range(41)), key=lambda e: loss(e, times[b]))
+            low, high = max(0.0, e - step), min(1.0, e + step)
+        assert abs(loss(out[b].e_n, times[b]) - loss(e, times[b])) < 1e-9 and abs(out[b].e_n - e) < 1e-3
+
+
+def test_tangential_pairs_are_withheld(spark):
+    t = spark.createDataFrame([(g, 1.0 + 0.1 * v, 2.0 if v % 2 else -3.0) for g, n in (("ok", 6), ("few", 2), ("bound", 6)) for v in range(n)], "g string, a double, c double")
+    t = t.withColumns({n: F.lit(v) for n, v in (("m1", 0.012), ("m2", 0.02), ("r1", 0.02), ("r2", 0.025), ("i1", 2.4e-6), ("i2", 6.25e-6), ("sc", 0.01))})
+    made = estimators.predict_impacts(t, F.lit(0.7), F.when(F.col("g") == "bound", -1.0).otherwise(-0.5), F.when(F.col("g") == "bound", 0.0).otherwise(0.2)).select(*t.columns, F.col("c_after").alias("c_obs"))
+    out = {r.g: r for r in estimators.tangential_fit(made, 0.7, by=["g"])[0].collect()}
+    assert (out["ok"].withheld, out["few"].withheld, out["bound"].withheld) == (None, "fewer_than_3_trials", "on_bound") and out["ok"].n == 6
+    assert abs(out["ok"].e_t + 0.5) < 0.02 and abs(out["ok"].mu - 0.2) < 0.02
+
+
 def test_shared_draws_scale_a_group_alike(spark):
     rows = spark.createDataFrame([("g", 1.0, 2.0, 3.0, 0.1, 0.2, 0.1, 4.0, 5.0, 6.0), ("g", 2.0, 4.0, 6.0, 0.1, 0.2, 0.1, 4.0, 5.0, 6.0)], "group_id string, t double, x double, y double, sigma double, shared_scale double, shared_clock double, vx double, vy double, omega double")
     d = spark.range(400).select(F.col("id").alias("boot_id"), F.lit(0).cast("long").alias("slot"), F.lit("g").alias("group_id"))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+
+#: Rows of a grid that are broadcast; a longer one is joined by its keys.
+GRID_ROWS = 500_000
 G = 9.80665
 
 
@@ -153,41 +157,51 @@ def normal_trials(events: DataFrame) -> DataFrame:
     return out.withColumn("warning", F.when((c("e_obs") < 0) | (c("e_obs") > 1), "outside_0_1"))
 
 
+def on_grid(rows: DataFrame, grid: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """rows with each of the grid's cells that have their keys. `size`, the grid's counted rows, decides whether it is broadcast."""
+    grid = F.broadcast(grid) if size <= GRID_ROWS else grid
+    return rows.join(grid, keys) if keys else rows.crossJoin(grid)
+
+
+def restitution_cost(rows: DataFrame, newton: int = 6) -> DataFrame:
+    """rows (a, b, sa, sb, e) and cost: the soft-L1 loss of both speeds with the latent approach speed profiled out by Newton steps."""
+    a, b, sa, sb, e, v = (F.col(k) for k in ("a", "b", "sa", "sb", "e", "x"))
+    best = lambda w1, w2: F.greatest(F.lit(0.0), (w2 * a / (sa * sa) - w1 * b * e / (sb * sb)) / (w2 / (sa * sa) + w1 * e * e / (sb * sb)))
+    rows = rows.withColumn("x", best(F.lit(1.0), F.lit(1.0)))
+    r1, r2 = (b + e * v) / sb, (v - a) / sa
+    for _ in range(newton):
+        rows = rows.withColumn("x", best(1 / F.sqrt(1 + r1 * r1), 1 / F.sqrt(1 + r2 * r2)))
+    return rows.withColumn("cost", F.sqrt(1 + r1 * r1) - 1 + F.sqrt(1 + r2 * r2) - 1).drop("x")
+
+
+def _restitution_grid(windows: DataFrame, points: int) -> DataFrame:
+    """windows (low, high) and e, points in each."""
+    at = windows.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    return at.withColumn("e", F.col("low") + F.col("at") / (points - 1) * (F.col("high") - F.col("low"))).drop("at")
+
+
+def _restitution_window(points: int) -> dict[str, Column]:
+    step = (F.col("high") - F.col("low")) / (points - 1)
+    return {"new_low": F.greatest(F.lit(0.0), F.col("e") - step), "new_high": F.least(F.lit(1.0), F.col("e") + step)}
+
+
 def normal_restitution(trials: DataFrame, by: list[str] | None = None, points: int = 41, zooms: int = 3, newton: int = 6) -> DataFrame:
-    """(by, e, cost, n, observed_mean, on_bound): restitution with errors in both speeds under a soft-L1 loss, 0 <= e <= 1.
+    """(by, e, cost, n, observed_mean, observed_median, on_bound): restitution with errors in both speeds under a soft-L1 loss, 0 <= e <= 1.
 
-    Trials have a, b, sa, sb. Each candidate e of a grid meets every trial; the trial's latent approach speed is profiled out by a
-    few Newton steps in columns, and the losses are summed. Each zoom lays the grid about the best candidate so far. The grid
-    is broadcast: a fixed number of rows."""
+    Trials have a, b, sa, sb. Each candidate e of a grid meets every trial, and the losses are summed for each candidate
+    before anything is shuffled. Each zoom lays the grid about the best candidate so far, which is written, so that a zoom reads the trials once. The grid has
+    `points` rows for each `by`; it is broadcast if they are few, counted, and else joined by its keys."""
     by = by or []
-    spark = trials.sparkSession
-    if not by:
-        trials, by, plain = trials.withColumn("all_trials", F.lit(0)), ["all_trials"], True
-    else:
-        plain = False
-    a, b, sa, sb, e = (F.col(k) for k in ("a", "b", "sa", "sb", "e"))
-    best = trials.select(*by).distinct().withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
-    grid = spark.range(points).select((F.col("id") / (points - 1)).alias("part"))
+    seen = trials.groupBy(*by).agg(F.count("*").alias("n"), F.avg(-F.col("b") / F.col("a")).alias("observed_mean"), F.percentile(-F.col("b") / F.col("a"), F.lit(0.5)).alias("observed_median"))
+    best = written((trials.select(*by).distinct() if by else trials.select(F.lit(0)).limit(1)).select(*by, F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), "windows")
+    n = best.count() * points
     for _ in range(zooms):
-        at = best.crossJoin(F.broadcast(grid)).withColumn("e", F.col("low") + F.col("part") * (F.col("high") - F.col("low"))).select(*by, "e")
-        rows = trials.select(*by, "a", "b", "sa", "sb").join(at, by)
-        start = F.greatest(F.lit(0.0), (a / (sa * sa) - b * e / (sb * sb)) / (1 / (sa * sa) + e * e / (sb * sb)))
-        rows = rows.withColumn("x", start)
-        for _ in range(newton):
-            v = F.col("x")
-            r1, r2 = (b + e * v) / sb, (v - a) / sa
-            w1, w2 = 1 / F.sqrt(1 + r1 * r1), 1 / F.sqrt(1 + r2 * r2)
-            rows = rows.withColumn("x", F.greatest(F.lit(0.0), (w2 * a / (sa * sa) - w1 * b * e / (sb * sb)) / (w2 / (sa * sa) + w1 * e * e / (sb * sb))))
-        v = F.col("x")
-        r1, r2 = (b + e * v) / sb, (v - a) / sa
-        cost = F.sqrt(1 + r1 * r1) - 1 + F.sqrt(1 + r2 * r2) - 1
-        sums = rows.groupBy(*by, "e").agg(F.sum(cost).alias("cost"))
-        top = sums.groupBy(*by).agg(F.min_by("e", F.struct("cost", "e")).alias("e"), F.min("cost").alias("cost"))
-        width = best.select(*by, ((F.col("high") - F.col("low")) / (points - 1)).alias("step"))
-        best = top.join(width, by).withColumns({"low": F.greatest(F.lit(0.0), F.col("e") - F.col("step")), "high": F.least(F.lit(1.0), F.col("e") + F.col("step"))})
-    seen = trials.groupBy(*by).agg(F.count("*").alias("n"), F.avg(-b / a).alias("observed_mean"))
-    out = best.join(seen, by).select(*by, "e", "cost", "n", "observed_mean", ((F.col("e") <= 1e-9) | (F.col("e") >= 1 - 1e-9)).alias("on_bound"))
-    return out.drop("all_trials") if plain else out
+        rows = on_grid(trials.select(*by, "a", "b", "sa", "sb"), _restitution_grid(best, points), by, n)
+        sums = restitution_cost(rows, newton).groupBy(*by, "low", "high", "e").agg(F.sum("cost").alias("cost"))
+        top = sums.groupBy(*by).agg(F.min_by(F.struct("e", "cost", "low", "high"), F.struct("cost", "e")).alias("t")).select(*by, "t.*")
+        best = written(top.withColumns(_restitution_window(points)).select(*by, "e", "cost", F.col("new_low").alias("low"), F.col("new_high").alias("high")), "windows")
+    out = best.join(seen, by) if by else best.crossJoin(seen)  # one row each
+    return out.select(*by, "e", "cost", "n", "observed_mean", "observed_median", ((F.col("e") <= 1e-9) | (F.col("e") >= 1 - 1e-9)).alias("on_bound"))
 
 
 def predict_impacts(trials: DataFrame, e_n: Column, e_t: Column, mu: Column, sliding_scale: float | None = None) -> DataFrame:
@@ -212,28 +226,52 @@ def predict_impacts(trials: DataFrame, e_n: Column, e_t: Column, mu: Column, sli
     return out.withColumn("energy_change", energy).withColumn("status", status)
 
 
+def tangential_cost(rows: DataFrame, e_n: Column) -> DataFrame:
+    """Trials with cells (gt, gm) and cost: the squared whitened residual of the slip after, and a penalty on energy gain."""
+    rows = predict_impacts(rows, e_n, F.col("gt"), F.col("gm"))
+    r = (F.col("c_obs") - F.col("c_after")) / F.col("sc")
+    return rows.withColumn("cost", r * r + 1e3 * F.greatest(F.lit(0.0), F.col("energy_change")))
+
+
+def _tangential_grid(windows: DataFrame, points: int) -> DataFrame:
+    """windows (t_low, t_high, m_low, m_high) and cells (gt, gm), points by points in each."""
+    cell = F.explode(F.sequence(F.lit(0), F.lit(points * points - 1)))
+    u, v = F.col("cell") % points / (points - 1), F.floor(F.col("cell") / points) / (points - 1)
+    out = windows.withColumn("cell", cell)
+    return out.withColumns({"gt": F.col("t_low") + u * (F.col("t_high") - F.col("t_low")), "gm": F.col("m_low") + v * (F.col("m_high") - F.col("m_low"))}).drop("cell")
+
+
+def _tangential_window(points: int) -> list[Column]:
+    step_t, step_m = (F.col("t_high") - F.col("t_low")) / (points - 1), (F.col("m_high") - F.col("m_low")) / (points - 1)
+    return [
+        F.greatest(F.lit(-1.0), F.col("gt") - step_t).alias("t_low"), F.least(F.lit(1.0), F.col("gt") + step_t).alias("t_high"),
+        F.greatest(F.lit(0.0), F.col("gm") - step_m).alias("m_low"), F.least(F.lit(1.0), F.col("gm") + step_m).alias("m_high"),
+    ]
+
+
+#: The first window of a tangential search.
+TANGENTIAL_START = (("t_low", -1.0), ("t_high", 1.0), ("m_low", 0.0), ("m_high", 1.0))
+TANGENTIAL_WINDOW = [n for n, _ in TANGENTIAL_START]
+
+
 def tangential_fit(trials: DataFrame, e_n: float | Column, points: int = 21, zooms: int = 2, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """For each `by` the best (e_t, mu) of a grid over [-1, 1] x [0, 1], and the last grid's costs: squared whitened residuals of the
-    slip after (c_obs, sc) and a penalty on energy gain. e_n is a number, or a column of the trials. Trials meet a broadcast grid
-    of a fixed number of cells for each `by`; the costs are summed for each cell."""
-    spark, keys = trials.sparkSession, by or ["every_trial"]
-    trials = trials if by else trials.withColumn("every_trial", F.lit(0))
-    cells = F.broadcast(spark.range(points * points).select((F.col("id") % points / (points - 1)).alias("u"), (F.floor(F.col("id") / points) / (points - 1)).alias("v")))
-    best = trials.select(*keys).distinct().withColumns({"t_low": F.lit(-1.0), "t_high": F.lit(1.0), "m_low": F.lit(0.0), "m_high": F.lit(1.0)})
-    costs = None
+    """For each `by` the best (e_t, mu, cost, n, withheld) of a grid over [-1, 1] x [0, 1], and the last grid's costs: squared whitened residuals of the
+    slip after (c_obs, sc) and a penalty on energy gain. e_n is a number, or a column of the trials. withheld says why the pair is not to be used: fewer than three trials, a best cell
+    on the bounds, or a best cell at which a trial gains energy; else null. Each zoom's window is written, so that a zoom reads the trials
+    once; the grid has points x points cells for each `by`, broadcast if they are few, counted, and else joined by its keys."""
+    by = by or []
+    e_n = F.lit(e_n) if isinstance(e_n, float) else e_n
+    best = written((trials.select(*by).distinct() if by else trials.select(F.lit(0)).limit(1)).select(*by, *[F.lit(v).alias(n) for n, v in TANGENTIAL_START]), "windows")
+    n, costs = best.count() * points * points, None
     for _ in range(zooms):
-        grid = best.crossJoin(cells).select(*keys, (F.col("t_low") + F.col("u") * (F.col("t_high") - F.col("t_low"))).alias("gt"), (F.col("m_low") + F.col("v") * (F.col("m_high") - F.col("m_low"))).alias("gm"))
-        rows = predict_impacts(trials.join(grid, keys), F.lit(e_n) if isinstance(e_n, float) else e_n, F.col("gt"), F.col("gm"))
-        r = (F.col("c_obs") - F.col("c_after")) / F.col("sc")
-        costs = rows.groupBy(*keys, "gt", "gm").agg(F.sum(r * r + 1e3 * F.greatest(F.lit(0.0), F.col("energy_change"))).alias("cost"))
-        top = costs.groupBy(*keys).agg(F.min_by(F.struct("gt", "gm"), F.struct("cost", "gt", "gm")).alias("g"), F.min("cost").alias("cost"))
-        step_t, step_m = (F.col("t_high") - F.col("t_low")) / (points - 1), (F.col("m_high") - F.col("m_low")) / (points - 1)
-        best = top.join(best.select(*keys, "t_low", "t_high", "m_low", "m_high"), keys).select(
-            *keys, F.greatest(F.lit(-1.0), F.col("g.gt") - step_t).alias("t_low"), F.least(F.lit(1.0), F.col("g.gt") + step_t).alias("t_high"),
-            F.greatest(F.lit(0.0), F.col("g.gm") - step_m).alias("m_low"), F.least(F.lit(1.0), F.col("g.gm") + step_m).alias("m_high"),
-            F.col("g.gt").alias("e_t"), F.col("g.gm").alias("mu"), "cost",
-        )
-    return best.select(*(by or []), "e_t", "mu", "cost"), costs if by else costs.drop("every_trial")
+        rows = tangential_cost(on_grid(trials, _tangential_grid(best, points), by, n), e_n)
+        gains = F.count_if(F.col("energy_change") > 1e-12).alias("gains")
+        costs = written(rows.groupBy(*by, *TANGENTIAL_WINDOW, "gt", "gm").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"), gains), "costs")
+        top = costs.groupBy(*by).agg(F.min_by(F.struct("gt", "gm", "cost", "n", "gains", *TANGENTIAL_WINDOW), F.struct("cost", "gt", "gm")).alias("t")).select(*by, "t.*")
+        best = written(top.select(*by, "gt", "gm", "cost", "n", "gains", *_tangential_window(points)), "windows")
+    on_bound = (F.abs("gt") >= 1 - 1e-9) | (F.col("gm") <= 1e-9) | (F.col("gm") >= 1 - 1e-9)
+    withheld = F.when(F.col("n") < 3, "fewer_than_3_trials").when(on_bound, "on_bound").when(F.col("gains") > 0, "not_admissible")
+    return best.select(*by, F.col("gt").alias("e_t"), F.col("gm").alias("mu"), "cost", "n", withheld.alias("withheld")), costs.select(*by, "gt", "gm", "cost")
 
 
 def profile(costs: DataFrame, fixed: str, other: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import finite, usable
+from ..sources.shared import written
 from . import estimators, segments
 
 TRACK = segments.TRACK
@@ -197,19 +198,51 @@ def compatible(frames: DataFrame, calibrations: DataFrame) -> DataFrame:
     return out.withColumn("compatible", F.coalesce(size & mode, F.lit(False))).drop("c_width", "c_height", "c_mode")
 
 
-def staged_bootstrap(segments_mu: DataFrame, impacts: DataFrame, draws: DataFrame, points: int = 9, zooms: int = 3) -> DataFrame:
+def staged_bootstrap(segments_mu: DataFrame, impacts: DataFrame, draws: DataFrame, points: int = 9, zooms: int = 3, normal_points: int = 41, normal_zooms: int = 3) -> DataFrame:
     """(boot_id, mu, e_n, e_t, mu_c, failure): all stages estimated again for each draw (boot_id, slot, group_id) of sessions: the
     segments' coefficient (rows session_id, video_id, value) by the hierarchy, normal restitution from impacts (session_id, a, b, sa,
-    sb), and with it the tangential pair from those that have c_obs, sc and bodies. A drawn session counts as often as it is drawn.
-    The draw is one more key of the same estimates; a stage that has nothing to go on gives null, and failure says which."""
-    slot = F.concat_ws(":", F.col("slot").cast("string"), F.col("group_id").cast("string"))
-    free = draws.join(segments_mu.withColumnRenamed("session_id", "group_id"), "group_id").select("boot_id", slot.alias("session_id"), F.concat_ws(":", slot, F.col("video_id").cast("string")).alias("video_id"), "value", F.lit(None).cast("double").alias("variance"))
-    mu = estimators.hierarchy(free, ["boot_id"]).select("boot_id", F.col("estimate").alias("mu"))
-    own = draws.join(impacts.withColumnRenamed("session_id", "group_id"), "group_id")
-    normal = estimators.normal_restitution(own.where((F.col("a") > 1e-12) & F.col("b").isNotNull()), ["boot_id"]).select("boot_id", F.col("e").alias("fit_e"))
-    slip = own.where("c_obs IS NOT NULL AND sc > 0").join(normal, "boot_id")
-    pair, _ = estimators.tangential_fit(slip, F.col("fit_e"), points, zooms, ["boot_id"])
-    out = draws.select("boot_id").distinct().join(mu, "boot_id", "left").join(normal, "boot_id", "left").join(pair.select("boot_id", "e_t", F.col("mu").alias("mu_c")), "boot_id", "left")
+    sb), and with it the tangential pair from those that have c_obs, sc and bodies. A drawn session counts as often as it is drawn. A stage that has nothing to go on gives null, and
+    failure says which.
+
+    A draw never multiplies rows. It is its sessions' counts, and every estimate here is a sum over sessions: of means for the segments, of losses at a
+    cell of a grid for the others. So the segments are read once, and the impacts once to a narrow table; a zoom sums that table's losses for each
+    session and cell, over the cells that any draw asks for, and a draw's losses are its counts times its sessions'. Draws that
+    look at the same window share it: the cells are a broadcast of draws x cells rows at most."""
+    counts = written(draws.groupBy("boot_id", "group_id").agg(F.count("*").alias("times")), "draws")
+    video = segments_mu.groupBy("session_id", "video_id").agg(F.avg("value").alias("value"))
+    session = video.groupBy(F.col("session_id").alias("group_id")).agg(F.avg("value").alias("mean"))
+    mu = counts.join(session, "group_id").groupBy("boot_id").agg((F.sum(F.col("times") * F.col("mean")) / F.sum("times")).alias("mu"))
+    columns = ["a", "b", "sa", "sb", "c", "c_obs", "sc", "m1", "m2", "r1", "r2", "i1", "i2"]
+    own = written(impacts.select(F.col("session_id").alias("group_id"), *columns), "impacts")
+
+    def searched(rows: DataFrame, start: DataFrame, window: list[str], cell: list[str], grid, cost, narrowed, rounds: int) -> DataFrame:
+        """start (boot_id and window) with the best cell of the last of so many rounds."""
+        best = start
+        for _ in range(rounds):
+            asked = written(grid(best.select(*window).distinct()), "cells")
+            sums = cost(estimators.on_grid(rows, asked, [], asked.count())).groupBy("group_id", *window, *cell).agg(F.sum("cost").alias("cost"))
+            sums = written(sums, "losses")
+            drawn = counts.join(best.select("boot_id", *window), "boot_id").join(sums, ["group_id", *window])
+            drawn = drawn.groupBy("boot_id", *window, *cell).agg(F.sum(F.col("times") * F.col("cost")).alias("cost"))
+            top = drawn.groupBy("boot_id").agg(F.min_by(F.struct(*cell, *window), F.struct("cost", *cell)).alias("t")).select("boot_id", "t.*")
+            best = written(narrowed(top), "best")
+        return best
+
+    every = counts.select("boot_id").distinct()
+    normal = searched(
+        own.where((F.col("a") > 1e-12) & F.col("b").isNotNull()).select("group_id", "a", "b", "sa", "sb"), every.withColumns({"low": F.lit(0.0), "high": F.lit(1.0)}), ["low", "high"], ["e"],
+        lambda w: estimators._restitution_grid(w, normal_points), estimators.restitution_cost,
+        lambda t: t.withColumns(estimators._restitution_window(normal_points)).select("boot_id", "e", F.col("new_low").alias("low"), F.col("new_high").alias("high")),
+        normal_zooms,
+    ).select("boot_id", F.col("e").alias("fit_e"))
+    window = estimators.TANGENTIAL_WINDOW
+    pair = searched(
+        own.where("c_obs IS NOT NULL AND sc > 0"), normal.select("boot_id", "fit_e", *[F.lit(v).alias(n) for n, v in estimators.TANGENTIAL_START]), ["fit_e", *window], ["gt", "gm"],
+        lambda w: estimators._tangential_grid(w, points), lambda rows: estimators.tangential_cost(rows, F.col("fit_e")),
+        lambda t: t.select("boot_id", "fit_e", "gt", "gm", *estimators._tangential_window(points)),
+        zooms,
+    ).select("boot_id", F.col("gt").alias("e_t"), F.col("gm").alias("mu_c"))
+    out = every.join(mu, "boot_id", "left").join(normal, "boot_id", "left").join(pair, "boot_id", "left")
     failure = F.when(F.col("mu").isNull(), "no_segments").when(F.col("fit_e").isNull(), "no_normal_trials").when(F.col("e_t").isNull(), "no_tangential_trials")
     return out.select("boot_id", "mu", F.col("fit_e").alias("e_n"), "e_t", "mu_c", failure.alias("failure"))
 

@@ -346,7 +346,7 @@ def k4(spark: SparkSession, d: str) -> DataFrame:
 def k6(spark: SparkSession, d: str) -> DataFrame:
     """A search; held against a finer grid in the tests."""
     t = impacts(spark, d).withColumns({"sa": F.lit(0.05), "sb": F.lit(0.05)})
-    return estimators.normal_restitution(t, ["session_id"]).select("session_id", r6(F.col("e"), 4).alias("e"), "n", r6(F.col("observed_mean")).alias("observed_mean"), "on_bound")
+    return estimators.normal_restitution(t, ["session_id"]).select("session_id", r6(F.col("e"), 4).alias("e"), "n", *[r6(F.col(c)).alias(c) for c in ("observed_mean", "observed_median")], "on_bound")
 
 
 @query("k9_predict_impacts", sql(IMPACTS + """, k AS (SELECT *, 1 / 0.012::DOUBLE + 1 / 0.02::DOUBLE AS an, 1 / 0.012::DOUBLE + 1 / 0.02::DOUBLE + 0.02::DOUBLE * 0.02 / 2.4e-6 + 0.025::DOUBLE * 0.025 / 6.25e-6 AS ta FROM im), j AS (SELECT *, 1.7 * a / an AS jn FROM k),
@@ -363,7 +363,7 @@ def k7(spark: SparkSession, d: str) -> DataFrame:
     made = estimators.predict_impacts(impacts(spark, d), F.lit(0.7), F.lit(-0.8), F.lit(0.1)).withColumn("c_obs", F.col("c_after"))
     t = made.select("a", "c", "m1", "m2", "r1", "r2", "i1", "i2", "c_obs", F.lit(0.01).alias("sc"))
     best, _ = estimators.tangential_fit(t, 0.7)
-    return best.select(r6(F.col("e_t")).alias("e_t"), r6(F.col("mu")).alias("mu"))
+    return best.select(r6(F.col("e_t")).alias("e_t"), r6(F.col("mu")).alias("mu"), "n", "withheld")
 
 
 @query("k10_impulse_diagnostics", sql(IMPACTS + """, k AS (SELECT *, 1 / 0.012::DOUBLE + 1 / 0.02::DOUBLE AS an, 1 / 0.012::DOUBLE + 1 / 0.02::DOUBLE + 0.02::DOUBLE * 0.02 / 2.4e-6 + 0.025::DOUBLE * 0.025 / 6.25e-6 AS ta FROM im),
@@ -565,9 +565,8 @@ def k14(spark: SparkSession, d: str) -> DataFrame:
     """Draws and searches; held against single fits of the drawn rows in the tests."""
     made = estimators.predict_impacts(impacts(spark, d), F.lit(0.7), F.lit(-0.8), F.lit(0.1))
     t = made.select("session_id", "video_id", "a", "b", "c", "m1", "m2", "r1", "r2", "i1", "i2", F.col("c_after").alias("c_obs"), F.lit(0.01).alias("sc"), F.lit(0.05).alias("sa"), F.lit(0.05).alias("sb"))
-    t = t.withColumn("b", -0.7 * F.col("a"))
-    own = estimators.draws(estimators.numbered_groups(t.select(F.col("session_id").alias("group_id"))), 3, 3)
-    out = trials.staged_bootstrap(values(spark, d).select("session_id", "video_id", "value"), t, own, 7, 2)
+    own = estimators.draws(estimators.numbered_groups(t.select(F.col("session_id").alias("group_id"))), 200, 3)
+    out = trials.staged_bootstrap(values(spark, d).select("session_id", "video_id", "value"), t, own)
     return out.select("boot_id", *[r6(F.col(c), 4).alias(c) for c in ("mu", "e_n", "e_t", "mu_c")], "failure")
 
 
