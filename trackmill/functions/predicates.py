@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import math
 
 from pyspark.sql import Column
@@ -90,6 +92,30 @@ def whitened(r: list[Column], cov: list[list[Column]]) -> Column:
     return F.when(x & y, F.when((a > 0) & (det > 0), full)).when(x, F.when(a > 0, r[0] * r[0] / a)).when(y, F.when(d > 0, r[1] * r[1] / d))
 
 
+def whiten(r: list[Column], cov: list[list[Column]]) -> Column:
+    """struct(q, problem): the squared whitened residual of up to three components with their covariance, by its Cholesky factor. Components that are not there leave the
+    principal submatrix of the others. problem is no_component or not_positive_definite, and q then null."""
+    there = [finite(x) for x in r]
+    null, out = F.lit(None).cast("double"), F.struct(F.lit(None).cast("double").alias("q"), F.lit("no_component").alias("problem"))
+    for own in (s for n in range(1, len(r) + 1) for s in itertools.combinations(range(len(r)), n)):
+        low: dict[tuple[int, int], Column] = {}
+        z: list[Column] = []
+        good = F.lit(True)
+        for i, a in enumerate(own):
+            for j, b in enumerate(own[:i]):
+                low[i, j] = (cov[a][b] - sum((low[i, k] * low[j, k] for k in range(j)), F.lit(0.0))) / low[j, j]
+            left = cov[a][a] - sum((low[i, k] * low[i, k] for k in range(i)), F.lit(0.0))
+            good = good & F.coalesce(left > 0, F.lit(False))
+            low[i, i] = F.sqrt(F.when(left > 0, left))
+            z.append((r[a] - sum((low[i, k] * z[k] for k in range(i)), F.lit(0.0))) / low[i, i])
+        q = sum((x * x for x in z), F.lit(0.0))
+        case = F.lit(True)
+        for i, x in enumerate(there):
+            case = case & (x if i in own else ~x)
+        out = F.when(case, F.struct(F.when(good, q).otherwise(null).alias("q"), F.when(~good, "not_positive_definite").alias("problem"))).otherwise(out)
+    return out
+
+
 def to_world(px: Column, py: Column, h: list[Column]) -> tuple[Column, Column]:
     """Pixels through a plane homography of nine columns, row by row; null where it is singular."""
     w = h[6] * px + h[7] * py + h[8]

@@ -324,6 +324,40 @@ def diagnostics(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def symmetric_eigenvalues(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> list[Column]:
+    """The three eigenvalues, largest first, of [[a, d, e], [d, b, f], [e, f, c]], none negative. The largest by the cosine of a third of an angle, the
+    others from the sums of minors and the determinant, as differences from the largest would lose what is small."""
+    mean = (a + b + c) / 3
+    size = F.sqrt(((a - mean) * (a - mean) + (b - mean) * (b - mean) + (c - mean) * (c - mean) + 2 * (d * d + e * e + f * f)) / 6)
+    x, y, z, u, v, w = (m / F.when(size > 0, size) for m in (a - mean, b - mean, c - mean, d, e, f))
+    half = (x * (y * z - w * w) - u * (u * z - w * v) + v * (u * w - y * v)) / 2
+    big = F.coalesce(mean + 2 * size * F.cos(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3), mean)
+    det = a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e)
+    both = F.when(big > 0, det / big)
+    rest = (a * b - d * d + a * c - e * e + b * c - f * f - both) / F.when(big > 0, big)
+    middle = F.coalesce(F.greatest(F.lit(0.0), rest / 2 + F.sqrt(F.greatest(F.lit(0.0), rest * rest / 4 - both))), F.lit(0.0))
+    return [big, middle, F.coalesce(F.greatest(F.lit(0.0), F.when(middle > 0, both / middle)), F.lit(0.0))]
+
+
+def diagnostics3(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rank, condition, var1..3, covariance12, 13, 23, correlation12, 13, 23, norm1..3) of three-parameter fits from rows of a whitened Jacobian (j1, j2, j3): the
+    inverse of its normal matrix and the norms of its columns, from sums of products. All but rank and norms are null where the rank is under 3."""
+    j = [F.col(f"j{i}") for i in (1, 2, 3)]
+    places = {"a": (0, 0), "b": (1, 1), "c": (2, 2), "d": (0, 1), "e": (0, 2), "f": (1, 2)}
+    m = rows.groupBy(*keys).agg(*[F.sum(j[i] * j[k]).alias(n) for n, (i, k) in places.items()])
+    a, b, c, d, e, f = (F.col(n) for n in places)
+    big, middle, small = symmetric_eigenvalues(a, b, c, d, e, f)
+    m = m.withColumns({"big": big, "middle": middle, "small": small})
+    over = lambda x: (F.col(x) > 1e-12 * F.col("big")).cast("int")
+    m = m.withColumn("rank", F.when(F.col("big") > 0, 1 + over("middle") + over("small")).otherwise(0))
+    det = F.when(F.col("rank") == 3, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e))
+    inverse = {"var1": b * c - f * f, "var2": a * c - e * e, "var3": a * b - d * d, "covariance12": e * f - d * c, "covariance13": d * f - e * b, "covariance23": d * e - a * f}
+    m = m.withColumns({n: x / det for n, x in inverse.items()})
+    pairs = {f"correlation{i}{k}": F.col(f"covariance{i}{k}") / F.sqrt(F.col(f"var{i}") * F.col(f"var{k}")) for i, k in ((1, 2), (1, 3), (2, 3))}
+    condition = F.when(F.col("rank") == 3, F.sqrt(F.col("big") / F.col("small")))
+    return m.select(*keys, "rank", condition.alias("condition"), *inverse, *[x.alias(n) for n, x in pairs.items()], F.sqrt(a).alias("norm1"), F.sqrt(b).alias("norm2"), F.sqrt(c).alias("norm3"))
+
+
 def active_bounds(estimates: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """estimates (value, low, high) and active_bound: low or high where the value is on it, else null."""
     at = lambda c: F.abs(F.col("value") - F.col(c)) <= tolerance

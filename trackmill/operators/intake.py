@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,23 @@ def size_cluster(dets: DataFrame) -> DataFrame:
     """dets (video_id, sample, radius) within 0.72 to 1.38 times the seed: the radius whose band has detections in the most samples, the
     smallest of equals.
 
-    Radii are first reduced to distinct values of 1/1000 with the samples they are in, which bounds the pairs that are compared by
-    the number of different sizes, not of detections."""
+    Radii and seeds are whole thousandths, and a detection is in the bands of an interval of seeds. Each sample's intervals are merged, their ends summed by place, and a running
+    sum over a video's places tells how many samples each seed's band has: seeds and detections never meet. What one task sorts is
+    bounded by a video's different sizes, at most three places for each."""
     own = dets.select("video_id", "sample", F.round("radius", 3).alias("r")).distinct()
-    seeds = own.select("video_id", F.col("r").alias("seed")).distinct()
-    hits = seeds.join(own, "video_id").where((F.col("r") > 0.72 * F.col("seed")) & (F.col("r") < 1.38 * F.col("seed")))
-    best = hits.groupBy("video_id", "seed").agg(F.count_distinct("sample").alias("n"))
-    best = best.groupBy("video_id").agg(F.max(F.struct("n", (-F.col("seed")).alias("s"))).alias("b")).select("video_id", (-F.col("b.s")).alias("seed"))
+    first = lambda at, fits: F.filter(F.transform(F.array(*[F.lit(i) for i in (-2, -1, 0, 1, 2)]), lambda i: at + i), fits)
+    low = F.array_min(first(F.floor(F.col("r") * 1000 / 1.38), lambda s: F.col("r") < 1.38 * (s / 1000.0)))
+    high = F.array_max(first(F.ceil(F.col("r") * 1000 / 0.72), lambda s: F.col("r") > 0.72 * (s / 1000.0)))
+    own = own.select("video_id", "sample", "r", low.alias("low"), high.alias("high"))
+    line = Window.partitionBy("video_id", "sample").orderBy("low", "high")
+    before = F.max("high").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    part = own.where("low <= high").withColumn("part", F.coalesce(F.col("low") > before + 1, F.lit(True)).cast("int"))
+    part = part.withColumn("part", F.sum("part").over(line)).groupBy("video_id", "sample", "part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    ends = part.select("video_id", F.explode(F.array(F.struct(F.col("low").alias("at"), F.lit(1).alias("change")), F.struct((F.col("high") + 1).alias("at"), F.lit(-1).alias("change")))).alias("e")).select("video_id", "e.*")
+    ends = ends.groupBy("video_id", "at").agg(F.sum("change").alias("change"), F.lit(False).alias("is_seed"))
+    seeds = own.select("video_id", F.rint(F.col("r") * 1000).cast("long").alias("at"), F.lit(0).cast("long").alias("change"), F.lit(True).alias("is_seed")).distinct()
+    swept = ends.unionByName(seeds).withColumn("n", F.sum("change").over(Window.partitionBy("video_id").orderBy("at", "is_seed")))
+    best = swept.where("is_seed").groupBy("video_id").agg(F.max(F.struct("n", (-F.col("at")).alias("s"))).alias("b")).select("video_id", (-F.col("b.s") / 1000.0).alias("seed"))
     out = dets.join(best, "video_id")
     return out.where((F.col("radius") > 0.72 * F.col("seed")) & (F.col("radius") < 1.38 * F.col("seed")))
 
@@ -44,13 +56,21 @@ def vote_with_retry(few: DataFrame, many: DataFrame) -> DataFrame:
 def consensus(cands: DataFrame, tolerance: float = 0.03) -> DataFrame:
     """(video_id, cand_id, members): of candidate vectors (video_id, cand_id, orientation, v0..v3) the largest group that is within 3 % of one of
     its own and of equal orientation (two at least), and of it the one nearest the group's medians. Equal vectors are one, with
-    their number, so only different ones are paired."""
+    their number. A vector meets those in the cells about its own, of a grid that is as coarse as its length allows: vectors that are far apart never meet. Tolerances of up to a third."""
     names = [f"v{i}" for i in range(4)]
-    size = F.sqrt(sum((F.col(f"a_{n}") * F.col(f"a_{n}") for n in names), F.lit(0.0)))
+    norm = lambda s: F.greatest(F.sqrt(sum((F.col(f"{s}{n}") * F.col(f"{s}{n}") for n in names), F.lit(0.0))), F.lit(1e-9))
     apart = F.sqrt(sum(((F.col(f"a_{n}") - F.col(f"b_{n}")) * (F.col(f"a_{n}") - F.col(f"b_{n}")) for n in names), F.lit(0.0)))
     kinds = cands.groupBy("video_id", "orientation", *names).agg(F.min("cand_id").alias("cand_id"), F.count("*").alias("k"))
-    side = lambda s: kinds.select("video_id", "orientation", *[F.col(c).alias(f"{s}_{c}") for c in ("cand_id", "k", *names)])
-    pairs = side("a").join(side("b"), ["video_id", "orientation"]).where(apart / F.greatest(size, F.lit(1e-9)) < tolerance)
+    kinds = kinds.withColumn("level", F.floor(F.log2(norm(""))).cast("int"))
+    side = lambda df, s: df.select("video_id", "orientation", "level", "cell", *[F.col(c).alias(f"{s}_{c}") for c in ("cand_id", "k", *names)])
+    # a level's cells are as wide as its vectors' tolerance at most: what is near lies in a cell beside, of the vector's own level
+    place = lambda n, level: F.floor(F.col(n) / (tolerance * F.pow(F.lit(2.0), level + 1))).cast("long")
+    lies = kinds.withColumn("level", F.explode(F.array(*[F.col("level") + i for i in (-1, 0, 1)])))
+    lies = lies.withColumn("cell", F.array(*[place(n, F.col("level")) for n in names]))
+    steps = [F.lit(list(x)) for x in itertools.product((-1, 0, 1), repeat=len(names))]
+    asks = kinds.withColumn("own", F.array(*[place(n, F.col("level")) for n in names])).withColumn("step", F.explode(F.array(*steps)))
+    asks = asks.withColumn("cell", F.zip_with("own", "step", lambda x, y: x + y))
+    pairs = side(asks, "a").join(side(lies, "b"), ["video_id", "orientation", "level", "cell"]).where(apart / norm("a_") < tolerance)
     sizes = pairs.groupBy("video_id", "a_cand_id").agg(F.sum("b_k").alias("n"))
     best = sizes.groupBy("video_id").agg(F.max(F.struct("n", (-F.col("a_cand_id")).alias("c"))).alias("b")).where("b.n >= 2")
     group = pairs.join(best.select("video_id", (-F.col("b.c")).alias("a_cand_id")), ["video_id", "a_cand_id"])

@@ -390,6 +390,16 @@ def k17(spark: SparkSession, d: str) -> DataFrame:
     return estimators.diagnostics(rows, ["track_id"]).select("track_id", "rank", r6(F.col("condition"), 4).alias("condition"), r6(F.col("correlation")).alias("correlation"), *[r6(F.col(c), 9).alias(c) for c in ("var1", "var2", "covariance")], *[r6(F.col(c), 4).alias(c) for c in ("norm1", "norm2")])
 
 
+@query("k17_diagnostics_3", sql(""", m AS (SELECT track_id, sum(x * x) AS a, sum(y * y) AS b, count(*) AS c, sum(x * y) AS d, sum(x) AS e, sum(y) AS f FROM obs_all GROUP BY 1), t AS (SELECT *, a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e) AS det FROM m)
+SELECT track_id, 3 AS rank, round((b * c - f * f) / det, 9) AS var1, round((a * c - e * e) / det, 9) AS var2, round((a * b - d * d) / det, 7) AS var3, round((e * f - d * c) / det, 9) + 0.0 AS covariance12,
+round((d * f - e * b) / sqrt((b * c - f * f) * (a * b - d * d)), 6) + 0.0 AS correlation13, round(sqrt(b), 4) AS norm2 FROM t""", "obs_all"))
+def k17_3(spark: SparkSession, d: str) -> DataFrame:
+    """Planes through a track's places; eigenvalues are held against numpy in the tests."""
+    rows = A._observations(spark, d).select("track_id", F.col("x").alias("j1"), F.col("y").alias("j2"), F.lit(1.0).alias("j3"))
+    out = estimators.diagnostics3(rows, ["track_id"])
+    return out.select("track_id", "rank", *[r6(F.col(c), n).alias(c) for c, n in (("var1", 9), ("var2", 9), ("var3", 7), ("covariance12", 9), ("correlation13", 6), ("norm2", 4))])
+
+
 @query("f18_learn_template", sql(""", t AS (SELECT video_id, count(*) AS n, avg(sin(theta * 0.1)) AS s, avg(cos(theta * 0.1)) AS c, median(x / 10) AS ratio FROM obs_all GROUP BY 1)
 SELECT video_id, n, round(atan2(s, c), 6) + 0.0 AS mean, round(sqrt(-2 * ln(least(1, sqrt(s * s + c * c)))), 6) AS sd, round(ratio, 6) AS ratio, n >= 3 AS learned FROM t""", "obs_all"))
 def f18(spark: SparkSession, d: str) -> DataFrame:

@@ -171,6 +171,23 @@ def c17(spark: SparkSession, d: str) -> DataFrame:
     return A._observations(spark, d).select("event_id", r6(P.whitened([F.col("x"), r1], cov)).alias("q"))
 
 
+@query("c17_whiten_3", sql(""", t AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN x END AS u, CASE WHEN event_id % 4 <> 0 THEN y END AS v, CASE WHEN event_id % 3 <> 0 THEN theta END AS w, CASE WHEN event_id % 11 = 0 THEN -4.0 ELSE 4.0 END AS a FROM obs_all),
+s AS (SELECT event_id, u IS NOT NULL AS p, v IS NOT NULL AS q, w IS NOT NULL AS r, coalesce(u, 0) AS u, coalesce(v, 0) AS v, coalesce(w, 0) AS w, a, 9.0 AS b, 1.0 AS c, 1.0 AS d, 0.5 AS e, 0.25 AS f FROM t),
+m AS (SELECT *, CASE WHEN p AND (a <= 0) THEN 'not_positive_definite' WHEN NOT (p OR q OR r) THEN 'no_component' END AS problem,
+  CASE WHEN p AND q AND r THEN (u * u * (b * c - f * f) + v * v * (a * c - e * e) + w * w * (a * b - d * d) + 2 * u * v * (e * f - d * c) + 2 * u * w * (d * f - e * b) + 2 * v * w * (d * e - a * f)) / (a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e))
+       WHEN p AND q THEN (b * u * u - 2 * d * u * v + a * v * v) / (a * b - d * d) WHEN p AND r THEN (c * u * u - 2 * e * u * w + a * w * w) / (a * c - e * e) WHEN q AND r THEN (c * v * v - 2 * f * v * w + b * w * w) / (b * c - f * f)
+       WHEN p THEN u * u / a WHEN q THEN v * v / b WHEN r THEN w * w / c END AS whole FROM s)
+SELECT event_id, CASE WHEN problem IS NULL THEN round(whole, 6) END AS q, problem FROM m""", "obs_all"))
+def c17_3(spark: SparkSession, d: str) -> DataFrame:
+    """Three components, of which some are missing, and covariances of which some are none."""
+    k, n = F.col("event_id"), F.lit
+    a = F.when(k % 11 == 0, -4.0).otherwise(4.0)
+    cov = [[a, n(1.0), n(0.5)], [n(1.0), n(9.0), n(0.25)], [n(0.5), n(0.25), n(1.0)]]
+    r = [F.when(k % 5 != 0, F.col("x")), F.when(k % 4 != 0, F.col("y")), F.when(k % 3 != 0, F.col("theta"))]
+    out = A._observations(spark, d).select("event_id", P.whiten(r, cov).alias("w"))
+    return out.select("event_id", r6(F.col("w.q")).alias("q"), "w.problem")
+
+
 # ---- time
 
 PROFILE = "(VALUES (0, 0.0::DOUBLE, 864000.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE), (1, 864000.0, 1728000.0, 864000.0, 2.0), (2, 1728000.0, NULL, 1296000.0, 8.0)) v(seg_no, p_start, p_end, t_start, slow)"
