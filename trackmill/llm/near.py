@@ -23,7 +23,6 @@ HASHES, RADIUS, REACH = 256, 6, 13
 DOUBT = 2.6
 #: A group with more nodes is searched in blocks, a pair of blocks in a task.
 GROUP_NODES = 2_000
-_REMEMBERED = 1_000_000
 
 
 def _multipliers() -> np.ndarray:
@@ -35,22 +34,11 @@ def _multipliers() -> np.ndarray:
 _MULTIPLIERS = _multipliers()
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _WordHashes()
-
-
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     """64-bit hashes of a text's different shingles, sorted. A-Z are lower-cased, words are runs without ASCII white space; a text with
     fewer words is one shingle, a text without words has none."""
     words = text.lower().split()
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - width + 1) if words else 0
     out = h[:n].copy()
     for k in range(1, min(width, len(words))):
