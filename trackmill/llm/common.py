@@ -12,9 +12,11 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is set."""
+    """A new path in the folder that the cluster shares. Where none is set, a local one in local mode, and an error on a cluster, whose executors don't share one."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("trackmill.scratch", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="trackmill-")
         spark.conf.set("trackmill.scratch", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
