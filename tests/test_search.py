@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from trackmill.functions import predicates as P
-from trackmill.operators import estimators, intake
+from trackmill.operators import estimators, intake, quality, segments
 
 
 def test_the_sweep_finds_the_seed_of_all_pairs(spark):
@@ -82,3 +82,40 @@ def test_three_parameter_diagnostics_are_numpys(spark):
         assert np.allclose([r.var1, r.var2, r.var3, r.covariance12, r.covariance13, r.covariance23], [cov[0, 0], cov[1, 1], cov[2, 2], cov[0, 1], cov[0, 2], cov[1, 2]])
         assert np.isclose(r.condition, np.linalg.cond(sets[k])) and np.isclose(r.correlation23, cov[1, 2] / np.sqrt(cov[1, 1] * cov[2, 2])) and np.isclose(r.norm3, np.linalg.norm(sets[k][:, 2]))
     assert all(out[k].condition is None and out[k].var1 is None and out[k].correlation12 is None for k in "bcd")
+
+
+def test_proposals_are_suppressed_by_the_smaller_radius(spark):
+    rng = random.Random(8)
+    dets = [(f, i, float(rng.randrange(9)), rng.uniform(0, 60), rng.uniform(0, 60), rng.uniform(3, 20)) for f in range(8) for i in range(20)]
+    df = spark.createDataFrame(dets, "frame_index long, det_id long, residual double, x double, y double, radius double")
+    got = {(r.frame_index, r.det_id) for r in quality.suppress(df, 0.8, ["frame_index"], of_smaller=True).collect()}
+    want = set()
+    for f in range(8):
+        kept = []
+        for d in sorted((d for d in dets if d[0] == f), key=lambda d: (d[2], d[1])):
+            if all(((d[3] - o[3]) ** 2 + (d[4] - o[4]) ** 2) ** 0.5 >= 0.8 * min(d[5], o[5]) for o in kept):
+                kept.append(d)
+        want |= {(f, d[1]) for d in kept}
+    assert got == want
+
+
+def test_last_values_are_the_last_of_a_video(spark):
+    rng = random.Random(9)
+    rows = [(v, f, t, rng.random() if rng.random() < 0.8 else None) for v in range(3) for f in range(90) for t in range(3)]
+    df = spark.createDataFrame(rows, "video_id long, frame_index long, track_id long, e double")
+    got = {r.video_id: (r.median, r.n) for r in quality.residual_median(df, "e", 50, parts=4).collect()}
+    for v in range(3):
+        last = [e for _, _, _, e in sorted((r for r in rows if r[0] == v and r[3] is not None), key=lambda r: r[1:3])][-50:]
+        assert np.isclose(got[v][0], np.median(last)) and got[v][1] == 50
+
+
+def test_decimated_rows_break_where_the_scope_changes(spark):
+    df = spark.createDataFrame([(1, 1, f, None if f < 4 else f // 10) for f in range(40) if f not in (21, 22, 23)], "video_id long, track_id long, frame_index long, scope long")
+    got = {r.frame_index: r.breaks for r in segments.decimate(df, 100, "scope").collect()}
+    assert {f for f, b in got.items() if b} == {4, 10, 20, 24, 30}
+    assert {r.frame_index for r in segments.decimate(df, 100).where("breaks").collect()} == {24}
+
+
+def test_moving_rows(spark):
+    df = spark.createDataFrame([(0.1, 0.0), (0.05, 0.05), (None, 1.0), (-0.2, 0.1)], "vx double, vy double")
+    assert [r[0] for r in df.select(segments.moving()).collect()] == [True, False, False, True]

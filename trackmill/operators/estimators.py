@@ -38,6 +38,12 @@ def hierarchy(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def with_median(summary: DataFrame, rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """hierarchy's rows and row_median, the exact median of all values."""
+    median = rows.groupBy(*(by or [])).agg(F.percentile("value", F.lit(0.5)).alias("row_median"))
+    return summary.join(median, by, "left") if by else summary.crossJoin(median)  # one row each
+
+
 def numbered_groups(groups: DataFrame, buckets: int = 64) -> DataFrame:
     """groups (group_id), each once, with place, from 0, and size, how many there are. Groups are numbered within hashed buckets, and
     the buckets' counts are summed, so that no task has them all."""

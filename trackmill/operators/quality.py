@@ -124,10 +124,14 @@ def frame_issues(obs: DataFrame, frames: DataFrame) -> DataFrame:
     return whole.unionByName(unknown)
 
 
-def residual_median(obs: DataFrame, value: str, last: int = 4096) -> DataFrame:
-    """Median of the last `last` non-null values of each video, in frame and track order."""
-    order = Window.partitionBy("video_id").orderBy(F.desc("frame_index"), F.desc("track_id"))
-    own = obs.where(F.col(value).isNotNull()).withColumn("n", F.row_number().over(order)).where(F.col("n") <= last)
+def residual_median(obs: DataFrame, value: str, last: int = 4096, parts: int = 64) -> DataFrame:
+    """Median of the last `last` non-null values of each video, in frame and track order. The last ones of each of so many hashed parts of a video are found first, and of
+    those the video's, so that no task sorts a whole video: parts x last rows at most."""
+    order = [F.desc("frame_index"), F.desc("track_id")]
+    own = obs.where(F.col(value).isNotNull()).select("video_id", "frame_index", "track_id", value)
+    own = own.withColumn("part", F.pmod(F.xxhash64("frame_index", "track_id"), F.lit(parts)))
+    for keys in (["video_id", "part"], ["video_id"]):
+        own = own.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= last)
     return own.groupBy("video_id").agg(F.percentile(value, F.lit(0.5)).alias("median"), F.count("*").alias("n"))
 
 
@@ -167,16 +171,17 @@ def vote_count(samples: DataFrame) -> DataFrame:
     return out.select("video_id", "answer", "support", (F.col("support") >= 0.75).alias("stable"))
 
 
-def suppress(dets: DataFrame, k: float, keys: list[str]) -> DataFrame:
+def suppress(dets: DataFrame, k: float, keys: list[str], of_smaller: bool = False) -> DataFrame:
     """Detections of each group that stay after greedy suppression: by residual (then id), one is dropped if it is nearer than
-    k (r1 + r2) to one that stays. A fold over the group's sorted detections."""
+    k (r1 + r2), or with of_smaller (for proposals, k = 0.8) k times the smaller radius, to one that stays. A fold over the group's sorted detections."""
     item = F.struct("residual", "det_id", "x", "y", "radius")
     own = dets.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("own"))
     none = F.slice("own", 1, 0)
 
     def close(a, b):  # noqa: ANN001, ANN202
         dx, dy = a["x"] - b["x"], a["y"] - b["y"]
-        return F.sqrt(dx * dx + dy * dy) < k * (a["radius"] + b["radius"])
+        reach = F.least(a["radius"], b["radius"]) if of_smaller else a["radius"] + b["radius"]
+        return F.sqrt(dx * dx + dy * dy) < k * reach
 
     kept = F.aggregate("own", none, lambda out, d: F.when(F.exists(out, lambda o: close(o, d)), out).otherwise(F.concat(out, F.array(d))))
     return own.select(*keys, F.explode(kept).alias("d")).select(*keys, "d.*")

@@ -97,7 +97,12 @@ def spans(rows: DataFrame, keys: list[str], frame: str = "frame_index") -> DataF
     return own.groupBy(*keys, "island").agg(F.min(frame).alias("frame_from"), F.max(frame).alias("frame_to"), F.count("*").alias("n")).drop("island")
 
 
-def longest_run(rows: DataFrame, cap: int, min_rows: int) -> DataFrame:
+def moving(least: float = 0.08) -> Column:
+    """Whether a row's speed (vx, vy) is over `least`; false where it is not known. For the longest run, before segments are cut."""
+    return F.coalesce(F.hypot("vx", "vy") > least, F.lit(False))
+
+
+def longest_run(rows: DataFrame, cap: int = 55, min_rows: int = 24) -> DataFrame:
     """The rows of each track's longest segment (the first of equals), its first `cap`, if it has min_rows."""
     sizes = rows.groupBy(*TRACK, "segment").agg(F.count("*").alias("n"))
     best = sizes.groupBy(*TRACK).agg(F.max(F.struct("n", (-F.col("segment")).alias("s"))).alias("b"))
@@ -117,13 +122,16 @@ def prefix_state(rows: DataFrame, n: int = 12) -> DataFrame:
     return own.where(F.col("n") == n).select(*TRACK, "segment", at("mx", "vx").alias("x0"), "vx", at("my", "vy").alias("y0"), "vy")
 
 
-def decimate(rows: DataFrame, points: int) -> DataFrame:
-    """About `points` rows of each track, and breaks: true where the frame jumps by more than the stride."""
+def decimate(rows: DataFrame, points: int, scope: str | None = None) -> DataFrame:
+    """About `points` rows of each track, and breaks: true where the frame jumps by more than the stride, or the column `scope` changes."""
     of = Window.partitionBy(*TRACK)
     stride = F.greatest(F.lit(1), F.floor(F.count("*").over(of) / points)).cast("long")
     out = rows.withColumns({"stride": stride, "place": F.row_number().over(of.orderBy("frame_index")) - 1})
     out = out.where(F.col("place") % F.col("stride") == 0)
-    jump = F.col("frame_index") - F.lag("frame_index").over(of.orderBy("frame_index")) > F.col("stride")
+    line = of.orderBy("frame_index")
+    jump = F.col("frame_index") - F.lag("frame_index").over(line) > F.col("stride")
+    if scope:
+        jump = F.coalesce(jump, F.lit(False)) | (F.lag("frame_index").over(line).isNotNull() & ~F.col(scope).eqNullSafe(F.lag(scope).over(line)))
     return out.withColumn("breaks", F.coalesce(jump, F.lit(False))).drop("place")
 
 

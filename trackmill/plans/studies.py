@@ -285,10 +285,10 @@ def values(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f17_hierarchy", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv GROUP BY ALL), s AS (SELECT session_id, avg(m) AS m FROM v GROUP BY ALL)
 SELECT round((SELECT avg(m) FROM s), 6) AS estimate, (SELECT count(*) FROM hv) AS n_rows, (SELECT count(*) FROM v) AS n_videos, (SELECT count(*) FROM s) AS n_sessions, round((SELECT avg(value) FROM hv), 6) AS row_mean, round((SELECT stddev_samp(value) FROM hv), 6) AS row_std,
-round((SELECT stddev_samp(m) FROM v), 6) AS video_std, round((SELECT stddev_samp(m) FROM s), 6) AS session_std, round((SELECT sum(value / variance) / sum(1 / variance) FROM hv), 6) AS weighted_mean""", "obs_all"))
+round((SELECT stddev_samp(m) FROM v), 6) AS video_std, round((SELECT stddev_samp(m) FROM s), 6) AS session_std, round((SELECT sum(value / variance) / sum(1 / variance) FROM hv), 6) AS weighted_mean, round((SELECT median(value) FROM hv), 6) AS row_median""", "obs_all"))
 def f17(spark: SparkSession, d: str) -> DataFrame:
-    out = estimators.hierarchy(values(spark, d))
-    return out.select("n_rows", "n_videos", "n_sessions", *[r6(F.col(c)).alias(c) for c in ("estimate", "row_mean", "row_std", "video_std", "session_std", "weighted_mean")])
+    out = estimators.with_median(estimators.hierarchy(values(spark, d)), values(spark, d))
+    return out.select("n_rows", "n_videos", "n_sessions", *[r6(F.col(c)).alias(c) for c in ("estimate", "row_mean", "row_median", "row_std", "video_std", "session_std", "weighted_mean")])
 
 
 @query("k11_bootstrap", sql(HIER + """, v AS (SELECT session_id, video_id, avg(value) AS m FROM hv GROUP BY ALL), gr AS (SELECT session_id, ('0x' || substr(md5(session_id::VARCHAR), 1, 4))::INT % 64 AS bucket FROM (SELECT DISTINCT session_id FROM v)),

@@ -336,9 +336,10 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g15_decimate", sql(""", a AS (SELECT event_id, track_id, frame_index, greatest(1, floor(count(*) OVER (PARTITION BY track_id) / 20))::BIGINT AS stride, row_number() OVER (PARTITION BY track_id ORDER BY frame_index) - 1 AS place FROM obs_seq WHERE status <> 'missing'),
 b AS (SELECT * FROM a WHERE place % stride = 0)
-SELECT event_id, stride, coalesce(frame_index - lag(frame_index) OVER (PARTITION BY track_id ORDER BY frame_index) > stride, false) AS breaks FROM b""", "obs_seq"))
+SELECT event_id, stride, coalesce(frame_index - lag(frame_index) OVER (PARTITION BY track_id ORDER BY frame_index) > stride, false) OR coalesce(frame_index // 30 <> lag(frame_index) OVER (PARTITION BY track_id ORDER BY frame_index) // 30, false) AS breaks FROM b""", "obs_seq"))
 def g15(spark: SparkSession, d: str) -> DataFrame:
-    return segments.decimate(A.obs_seq(spark, d).where(P.live()), 20).select("event_id", "stride", "breaks")
+    rows = A.obs_seq(spark, d).where(P.live()).withColumn("scope", F.floor(F.col("frame_index") / 30))
+    return segments.decimate(rows, 20, "scope").select("event_id", "stride", "breaks")
 
 
 @query("g16_sample_frames", sql(""", f AS (SELECT DISTINCT video_id, frame_index FROM obs_hour), a AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_index) - 1 AS place, count(*) OVER (PARTITION BY video_id) AS size FROM f)
@@ -505,6 +506,13 @@ def h2(spark: SparkSession, d: str) -> DataFrame:
     return quality.suppress(dets, 0.65, ["video_id", "frame_index"]).select("video_id", "frame_index", "det_id")
 
 
+@query("h2_suppress_proposals")
+def h2_proposals(spark: SparkSession, d: str) -> DataFrame:
+    """By the smaller radius. Held against a plain loop in the tests."""
+    dets = A.obs_hour(spark, d).withColumns({"residual": F.col("event_id") % 101, "det_id": F.col("event_id")})
+    return quality.suppress(dets, 0.8, ["video_id", "frame_index"], of_smaller=True).select("video_id", "frame_index", "det_id")
+
+
 @query("h3_rank_detections", sql("""SELECT event_id, place FROM (SELECT event_id, row_number() OVER (PARTITION BY video_id, frame_index ORDER BY event_id % 2 DESC, x DESC, y, event_id)::INT AS place FROM obs_hour) WHERE place <= 2""", "obs_hour"))
 def h3(spark: SparkSession, d: str) -> DataFrame:
     dets = A.obs_hour(spark, d).withColumns({"confirmed": F.col("event_id") % 2, "arc": F.col("x"), "residual": F.col("y"), "det_id": F.col("event_id")})
