@@ -119,3 +119,32 @@ def test_decimated_rows_break_where_the_scope_changes(spark):
 def test_moving_rows(spark):
     df = spark.createDataFrame([(0.1, 0.0), (0.05, 0.05), (None, 1.0), (-0.2, 0.1)], "vx double, vy double")
     assert [r[0] for r in df.select(segments.moving()).collect()] == [True, False, False, True]
+
+
+def test_segment_coefficients_are_numpys(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(4):
+        t = np.arange(2 if k == 3 else 30) / 100
+        s = 0.2 + 0.5 * t - (-0.3 if k == 2 else 0.6) * t * t + rng.normal(scale=3e-4 if k == 1 else 1e-4, size=len(t))
+        rows += [(k, 5 + float(x), float(y), 1e-4, k == 1 and i == 7) for i, (x, y) in enumerate(zip(t, s))]
+    df = spark.createDataFrame(rows, "k long, t_s double, s double, sigma double, warned boolean")
+    out = {r.k: r for r in estimators.segment_coefficient(df, ["k"]).collect()}
+    for k in range(3):
+        t, s = np.array([[r[1] - 5, r[2]] for r in rows if r[0] == k]).T
+        j = np.column_stack([np.ones_like(t), t, t * t]) / 1e-4
+        beta = np.linalg.lstsq(j, s / 1e-4, rcond=None)[0]
+        chi2 = float(np.sum((s / 1e-4 - j @ beta) ** 2))
+        variance = np.linalg.inv(j.T @ j)[2, 2] * max(1, chi2 / (len(t) - 3)) * 4 / estimators.G**2
+        assert np.isclose(out[k].mu, -2 * beta[2] / estimators.G, rtol=1e-6) and np.isclose(out[k].mu_variance, variance, rtol=1e-4)
+        assert np.isclose(out[k].position_rmse, np.sqrt(chi2 / len(t)) * 1e-4, rtol=1e-3) and not out[k].rank_deficient
+    assert [out[k].status for k in range(4)] == ["computed", "computed_with_warnings", "candidate_only", "not_computed"]
+    assert [out[k].active_bound for k in range(4)] == [None, None, "low", None] and out[3].rank_deficient and out[3].mu_variance is None
+
+
+def test_normal_trials_have_sigmas_with_a_floor(spark):
+    names = [f"{side}_{s}v{axis}{i}" for s in ("", "s") for side in ("pre", "post") for axis in "xy" for i in (1, 2)]
+    own = [(0, 3.0, 4.0, *[1.0, -1.0, 0.5, 0.0], *[-0.5, 0.5, 0.0, 0.1], *[0.01, 0.02, 0.03, 0.04], *[1e-5] * 4), (1, 1.0, 0.0, *[1.0, 0.0, 0.0, 0.0], *[-0.5, 0.0, 0.0, 0.0], *[0.01] * 4, *[None] * 4)]
+    out = {r.event_id: r for r in estimators.normal_trials(spark.createDataFrame(own, "event_id long, nx double, ny double, " + ", ".join(f"{n} double" for n in names))).collect()}
+    assert np.isclose(out[0].a, (2.0 * 3 + 0.5 * 4) / 5) and np.isclose(out[0].sa, np.sqrt(0.36 * (0.01**2 + 0.02**2) + 0.64 * (0.03**2 + 0.04**2))) and out[0].sb == 0.003 and out[0].warning is None
+    assert np.isclose(out[1].e_obs, 0.5) and out[1].sb is None and out[1].warning == "sigma_missing" and out[1].skip_reason is None

@@ -130,37 +130,64 @@ def leave_one_out(rows: DataFrame) -> DataFrame:
 
 
 def segment_coefficient(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, v0, decel, mu, status) of segments (t_s, s = distance along the track, sigma): s = c + v t - mu g t^2 / 2 by weighted
-    least squares, from moment sums about the segment's first time. A negative value stays, as a candidate."""
+    """(keys, n, v0, decel, mu, status, mu_variance, position_rmse, rank_deficient, active_bound) of segments (t_s, s = distance along the track, sigma, and, if there is, warned): s = c + v t - mu g t^2 / 2 by weighted
+    least squares, from moment sums about the segment's first time. A negative value stays, as a candidate, and is on the bound 0. The variance is that of the weights, raised by
+    chi squared over n - 3 where that is more than one; the RMSE is weighted. A segment with a warned row is computed_with_warnings."""
     w = Window.partitionBy(*keys)
     own = rows.withColumns({"t": F.col("t_s") - F.min("t_s").over(w), "w": 1 / (F.col("sigma") * F.col("sigma"))})
+    own = own if "warned" in rows.columns else own.withColumn("warned", F.lit(False))
     t = F.col("t")
     power = lambda k: F.sum(F.col("w") * F.pow(t, F.lit(float(k))))
     value = lambda k: F.sum(F.col("w") * F.pow(t, F.lit(float(k))) * F.col("s"))
-    m = own.groupBy(*keys).agg(F.count("*").alias("n"), *[power(k).alias(f"s{k}") for k in range(5)], *[value(k).alias(f"b{k}") for k in range(3)])
+    m = own.groupBy(*keys).agg(F.count("*").alias("n"), *[power(k).alias(f"s{k}") for k in range(5)], *[value(k).alias(f"b{k}") for k in range(3)], F.sum(F.col("w") * F.col("s") * F.col("s")).alias("ss"), F.coalesce(F.bool_or("warned"), F.lit(False)).alias("warned"))
     a, c, d, e, f = (F.col(f"s{k}") for k in range(5))
     det = a * (d * f - e * e) - c * (c * f - e * d) + d * (c * e - d * d)
     safe = F.when((F.col("n") >= 3) & (F.abs(det) > 1e-9 * a * d * f), det)
     b0, b1, b2 = (F.col(f"b{k}") for k in range(3))
     v0 = ((d * e - c * f) * b0 + (a * f - d * d) * b1 + (c * d - a * e) * b2) / safe
     acc = ((c * e - d * d) * b0 + (c * d - a * e) * b1 + (a * d - c * c) * b2) / safe
-    out = m.select(*keys, "n", v0.alias("v0"), (-2 * acc).alias("decel"))
+    at0 = ((d * f - e * e) * b0 + (d * e - c * f) * b1 + (c * e - d * d) * b2) / safe
+    chi2 = F.greatest(F.lit(0.0), F.col("ss") - at0 * b0 - v0 * b1 - acc * b2)
+    excess = F.when(F.col("n") > 3, F.greatest(F.lit(1.0), chi2 / (F.col("n") - 3))).otherwise(1.0)
+    out = m.select(
+        *keys, "n", v0.alias("v0"), (-2 * acc).alias("decel"), "warned", (4 * (a * d - c * c) / safe * excess / (G * G)).alias("mu_variance"),
+        F.sqrt(chi2 / a).alias("position_rmse"), safe.isNull().alias("rank_deficient"),
+    )
     mu = F.col("decel") / G
-    status = F.when(F.col("decel").isNull(), "not_computed").when(F.col("decel") < 0, "candidate_only").otherwise("computed")
-    return out.withColumns({"mu": mu, "status": status})
+    status = F.when(F.col("decel").isNull(), "not_computed").when(F.col("decel") < 0, "candidate_only").when(F.col("warned"), "computed_with_warnings").otherwise("computed")
+    out = out.withColumns({"mu": mu, "status": status, "active_bound": F.when(F.col("decel") <= 0, "low")})
+    return out.select(*keys, "n", "v0", "decel", "mu", "status", "mu_variance", "position_rmse", "rank_deficient", "active_bound")
+
+
+#: No sigma of a speed along the normal is taken to be less, in m/s.
+LEAST_SPEED_SIGMA = 0.003
 
 
 def normal_trials(events: DataFrame) -> DataFrame:
-    """events (event_id, nx, ny, pre / post velocities of both, sigmas) and a, b, e_obs, skip_reason, warning. e_obs = -b / a is never
-    clipped; a value outside 0 to 1 is a warning."""
+    """events (event_id, nx, ny, pre / post velocities of both and, if there are, their sigmas: pre_svx1 ...) and a, b, e_obs, sa, sb, skip_reason, warning. e_obs = -b / a is never
+    clipped; a value outside 0 to 1 is a warning. sa and sb are the sigmas of the velocities' differences along the normal, LEAST_SPEED_SIGMA at least; a missing
+    sigma makes them null, which is a warning and skips nothing."""
     c = F.col
     size = F.sqrt(c("nx") * c("nx") + c("ny") * c("ny"))
-    project = lambda side: ((c(f"{side}_vx1") - c(f"{side}_vx2")) * c("nx") + (c(f"{side}_vy1") - c(f"{side}_vy2")) * c("ny")) / F.when(size > 0, size)
-    out = events.withColumns({"a": project("pre"), "b": project("post")})
+    unit = F.when(size > 0, size)
+    project = lambda side: ((c(f"{side}_vx1") - c(f"{side}_vx2")) * c("nx") + (c(f"{side}_vy1") - c(f"{side}_vy2")) * c("ny")) / unit
+    square = lambda x: x * x
+    known = {f"{side}_sv{axis}{i}" for side in ("pre", "post") for axis in "xy" for i in (1, 2)} <= set(events.columns)
+
+    def sigma(side: str) -> Column:
+        if not known:
+            return F.lit(None).cast("double")
+        along = square(c("nx") / unit) * (square(c(f"{side}_svx1")) + square(c(f"{side}_svx2"))) + square(c("ny") / unit) * (square(c(f"{side}_svy1")) + square(c(f"{side}_svy2")))
+        return F.when(along.isNotNull(), F.greatest(F.lit(LEAST_SPEED_SIGMA), F.sqrt(along)))
+
+    out = events.withColumns({"a": project("pre"), "b": project("post"), "sa": sigma("pre"), "sb": sigma("post")})
     reason = F.when(~F.coalesce(size > 0, F.lit(False)), "no_normal").when(c("a").isNull() | c("b").isNull(), "state_missing").when(c("a") <= 1e-12, "no_approach")
     out = out.withColumn("skip_reason", reason)
     out = out.withColumn("e_obs", F.when(c("skip_reason").isNull(), -c("b") / c("a")))
-    return out.withColumn("warning", F.when((c("e_obs") < 0) | (c("e_obs") > 1), "outside_0_1"))
+    warning = F.when((c("e_obs") < 0) | (c("e_obs") > 1), "outside_0_1")
+    if known:
+        warning = F.coalesce(warning, F.when(c("skip_reason").isNull() & (c("sa").isNull() | c("sb").isNull()), "sigma_missing"))
+    return out.withColumn("warning", warning)
 
 
 def on_grid(rows: DataFrame, grid: DataFrame, keys: list[str], size: int) -> DataFrame:
