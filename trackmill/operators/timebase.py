@@ -73,11 +73,14 @@ def cadence(frames: DataFrame, fps: float = 240.0) -> DataFrame:
     return out.withColumn("consistent", F.coalesce(F.abs(1 / F.col("median_dt") / fps - 1) < 0.03, F.lit(False)))
 
 
-def frame_anomalies(frames: DataFrame) -> DataFrame:
+def frame_anomalies(frames: DataFrame, positive: bool = True) -> DataFrame:
     """frames (video_id, frame_index, p, content_hash) and duplicate (same hash as the frame before) and missing (a step over
-    1.6 times the median of the last 31 positive steps before it)."""
+    1.6 times the median of the last 31 positive steps before it; unless `positive`, of all known steps of the last 31 frames)."""
     order = Window.partitionBy("video_id").orderBy("frame_index")
     own = frames.withColumns({"dt": F.col("p") - F.lag("p").over(order), "duplicate": F.coalesce(F.col("content_hash") == F.lag("content_hash").over(order), F.lit(False))})
+    if not positive:
+        own = own.withColumn("median", F.percentile("dt", F.lit(0.5)).over(order.rowsBetween(-31, -1)))
+        return own.withColumn("missing", F.coalesce(F.col("dt") > 1.6 * F.col("median"), F.lit(False))).drop("median", "dt")
     # the number of positive steps so far names each state of the median; steps that are not positive keep the last one
     own = own.withColumn("k", F.sum(F.coalesce((F.col("dt") > 0).cast("int"), F.lit(0))).over(order))
     steps = own.where("dt > 0").select("video_id", "k", "dt")
