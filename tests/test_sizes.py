@@ -1,9 +1,13 @@
 """What differs only in larger tables, or takes too long there."""
 
+import time
+
 import duckdb
+import numpy as np
 import pytest
 
 from test_queries import plain
+from trackmill.operators import scoring
 from trackmill.plans import ORACLES, QUERIES
 
 
@@ -24,3 +28,22 @@ def test_steps_that_fall_count_as_in_sql(spark, copies, name):
     theirs = [dict(zip(theirs.columns, r)) for r in theirs.limit(10**9).fetchall()]
     ours = [r.asDict() for r in QUERIES[name](spark, copies).collect()]
     assert plain(ours, columns) == plain(theirs, columns) and len(ours) == 3_000
+
+
+def test_assignment_of_many_in_time():
+    """300 by 300 took minutes before; what is worse by less is what solving again says."""
+    rng = np.random.default_rng(2)
+    cost = rng.random((300, 300))
+    since = time.time()
+    got = scoring._assign(cost)
+    assert time.time() - since < 10 and len({j for _, j in got}) == 300 and sum(cost[i, j] for i, j in got) < 3
+    for _ in range(60):
+        n, m = rng.integers(1, 7, 2)
+        own = np.hstack([np.where(rng.random((n, m)) < 0.6, rng.random((n, m)) * 40, np.inf), np.where(np.eye(n) > 0, 40 + rng.random((n, n)) * 10, np.inf)])
+        solved = scoring._solve(own)
+        total = lambda c: sum(c[i, j] for i, j in enumerate(scoring._solve(c)[0]))
+        for i, j in enumerate(solved[0]):
+            other = own.copy()
+            other[i, j] = np.inf
+            if j < m:
+                assert scoring._worse_by_less(own, i, solved, 5.0) == (total(other) - total(own) < 5.0)
