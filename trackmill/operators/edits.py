@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,45 @@ def fold_log(ops: DataFrame) -> DataFrame:
 
 #: Frames of a bucket of edits; an edit over more than WIDE buckets is kept for its whole video.
 PART, WIDE = 256, 64
+#: What an edit may do.
+KNOWN = ("swap_id", "set_id", "center", "marker", "angle", "exclude")
+
+
+def _walk(edits: list[tuple]) -> dict:
+    """For each track as a frame has it before any edit, the places of the edits (track_id, other_id, action) that hit its rows. Only the holders of an edit's
+    tracks are touched by it, so the work is that of the edits and hits."""
+    at, hits = {}, {}
+
+    def holders(track) -> list:
+        return [] if track is None else at.setdefault(track, [track])
+
+    for i, (track, other, action) in enumerate(edits):
+        if action not in KNOWN:
+            continue
+        mine = holders(track)
+        theirs = holders(other) if action == "swap_id" and other != track else []
+        for t in (*mine, *theirs):
+            hits.setdefault(t, []).append(i)
+        if other != track and action in ("swap_id", "set_id"):  # a track that becomes null is never hit again
+            if track is not None:
+                at[track] = theirs
+            if other is not None:
+                at[other] = mine if action == "swap_id" else [*holders(other), *mine]
+    return hits
+
+
+def _hits(own: str, track: T.DataType) -> Column:
+    """array<struct<track_id, places>> from a frame's sorted edits."""
+
+    def run(edits: pa.Array) -> pa.Array:
+        out = []
+        for e in edits:
+            items = e.values
+            out.append([{"track_id": t, "places": p} for t, p in _walk(list(zip(*(items.field(k).to_pylist() for k in range(3))))).items()])
+        return pa.array(out, pa.list_(pa.struct([("track_id", edits.type.value_type.field(0).type), ("places", pa.list_(pa.int32()))])))
+
+    ids = F.transform(own, lambda e: F.struct(e["track_id"].cast(track).alias("track_id"), e["other_id"].cast(track).alias("other_id"), e["action"].alias("action")))
+    return F.arrow_udf(run, f"array<struct<track_id:{track.simpleString()},places:array<int>>>")(ids)
 
 
 def apply_edits(obs: DataFrame, edits: DataFrame, after: str | None = None) -> DataFrame:
@@ -48,22 +88,29 @@ def apply_edits(obs: DataFrame, edits: DataFrame, after: str | None = None) -> D
     change too, the old warning going to superseded_warning; where it has marker_x and marker_y, a new centre takes the
     angle of the marker that is there, and a marker's point stays.
 
-    An edit goes to the track that the row has after earlier edits, so edits are joined by video and frames only: those over
-    few buckets of PART frames by bucket, longer ones and those of all videos as one sorted array each; a row's are filtered to
-    its frame and folded. Rows that end with equal keys are left to an upsert. `after` names a column: only edits with a
-    larger seq are replayed on its row."""
+    An edit goes to the track that the row has after earlier edits. Edits meet the frames that there are, those over few buckets of PART frames by bucket,
+    longer ones by video; each frame's edits are walked once, in order, over what is at each track, and a row gets those that hit it, by its first track, and
+    folds them. Rows that end with equal keys are left to an upsert. `after` names a column: only edits with a larger seq are
+    replayed on its row."""
     more = {c: F.col(c) if c in edits.columns else F.lit(None).cast("double").alias(c) for c in ("n_sigma", "n_theta_sigma")}
-    item = F.struct("seq", "frame_from", "frame_to", "action", "track_id", "other_id", "nx", "ny", "n_radius", "n_theta", *more.values())
-    first, last = F.floor(F.col("frame_from") / PART), F.floor(F.col("frame_to") / PART)
-    whole = edits.where("video_id IS NULL").agg(F.collect_list(item).alias("every"))  # edits of all videos: one row
-    wide = edits.where(F.col("video_id").isNotNull() & (last - first > WIDE)).groupBy("video_id").agg(F.collect_list(item).alias("wide"))
-    near = edits.where(F.col("video_id").isNotNull() & (last - first <= WIDE)).select("video_id", F.explode(F.sequence(first, last)).alias("edit_part"), item.alias("e"))
-    near = near.groupBy("video_id", "edit_part").agg(F.collect_list("e").alias("near"))
-    rows = obs.withColumn("edit_part", F.floor(F.col("frame_index") / PART)).join(near, ["video_id", "edit_part"], "left").join(wide, "video_id", "left").crossJoin(F.broadcast(whole)).drop("edit_part")
-    none = F.array().cast(near.schema["near"].dataType)
-    here = F.concat(F.coalesce("near", none), F.coalesce("wide", none), F.coalesce("every", none))
-    here = F.filter(here, lambda e: (e["frame_from"] <= F.col("frame_index")) & (F.col("frame_index") <= e["frame_to"]))
-    here = F.array_sort(F.filter(here, lambda e: e["seq"] > F.col(after)) if after else here)
+    item = F.struct("seq", "frame_from", "frame_to", "action", "track_id", "other_id", "nx", "ny", "n_radius", "n_theta", *more.values()).alias("e")
+    first, last, far = F.floor(F.col("frame_from") / PART), F.floor(F.col("frame_to") / PART), F.lit(-(2**62))
+    by = ["video_id", "frame_index", *([after] if after else [])]
+    frames = obs.select(*by).distinct()
+    within = (F.col("e.frame_from") <= F.col("frame_index")) & (F.col("frame_index") <= F.col("e.frame_to"))
+    within = within & (F.col("e.seq") > F.col(after)) if after else within
+    parts = F.when(last - first > WIDE, F.array(far)).otherwise(F.sequence(first, last))
+    own = edits.where("video_id IS NOT NULL").select("video_id", F.explode(parts).alias("edit_part"), item)
+    met = frames.withColumn("edit_part", F.explode(F.array(F.floor(F.col("frame_index") / PART), far))).join(own, ["video_id", "edit_part"]).where(within)
+    every = frames.join(edits.where("video_id IS NULL").select(item), within)  # edits of all videos
+    told = met.select(*by, "e").unionByName(every.select(*by, "e")).groupBy(*by).agg(F.array_sort(F.collect_list("e")).alias("own"))
+    found = told.withColumn("found", _hits("own", obs.schema["track_id"].dataType))
+    hits = found.select(*[F.col(c).alias(f"hit_{c}") for c in by], F.explode(F.transform("found", lambda f: F.struct(f["track_id"].alias("track"), F.transform(f["places"], lambda i: F.get("own", i)).alias("here")))).alias("hit"))
+    hits = hits.select(*[f"hit_{c}" for c in by], F.col("hit.track").alias("hit_track"), F.col("hit.here").alias("hit_edits"))
+    same = F.col("video_id").eqNullSafe(F.col("hit_video_id")) & (F.col("track_id") == F.col("hit_track"))
+    for c in by[1:]:
+        same = same & (F.col(c) == F.col(f"hit_{c}"))
+    rows, here = obs.join(hits, same, "left"), F.col("hit_edits")
     fields = ["track_id", "x", "y", "radius", "theta", "status", "source"]
     fields += [c for c in ("position_sigma", "theta_sigma", "assignment_ambiguous", "measurement_warning", "marker_x", "marker_y") if c in obs.columns]
     warned = "measurement_warning" in fields
@@ -74,8 +121,7 @@ def apply_edits(obs: DataFrame, edits: DataFrame, after: str | None = None) -> D
     def step(s: Column, e: Column) -> Column:
         mine, others, a = F.coalesce(s["track_id"] == e["track_id"], F.lit(False)), F.coalesce(s["track_id"] == e["other_id"], F.lit(False)), e["action"]
         swap, center, marker, angle = (a == "swap_id") & (mine | others), (a == "center") & mine, (a == "marker") & mine, (a == "angle") & mine
-        known = ("swap_id", "set_id", "center", "marker", "angle", "exclude")
-        hits = swap | (mine & a.isin(*known))
+        hits = swap | (mine & a.isin(*KNOWN))
         pick = lambda yes, new, old: F.when(yes, new).otherwise(old)
         x, y, radius = pick(center, e["nx"], s["x"]), pick(center, e["ny"], s["y"]), pick(center, F.coalesce(e["n_radius"], s["radius"]), s["radius"])
         # the marker's point, from the edit or the one that is there, and whether its distance makes an angle
@@ -105,7 +151,7 @@ def apply_edits(obs: DataFrame, edits: DataFrame, after: str | None = None) -> D
         new["edit_ids"] = pick(hits, F.concat(s["edit_ids"], F.array(e["seq"])), s["edit_ids"])
         return F.struct(*[new[c].alias(c) for c in (*fields, *["superseded_warning"] * warned, "edit_ids")])
 
-    rows = rows.withColumn("s", F.when(F.size(here) == 0, start).otherwise(F.aggregate(here, start, step)))
+    rows = rows.withColumn("s", F.when(here.isNull(), start).otherwise(F.aggregate(here, start, step)))
     rest = [c for c in obs.columns if c not in fields]
     return rows.select(*rest, "s.*")
 
