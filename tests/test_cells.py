@@ -2,9 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
 
-from trackmill.operators import pairs
+from trackmill.operators import cells, pairs
 from trackmill.plans import QUERIES
+from trackmill.streaming import ingest, timing
 
 SCHEMA = "video_id long, frame_index long, track_id long, x double, y double, radius double, status string"
 
@@ -48,3 +50,20 @@ def test_no_query_numbers_events(spark, small):
     for name in ("e5_contact_graph", "e6_supporting_rows", "a14_review_basis", "b12_reject_noncontact"):
         plan = QUERIES[name](spark, small)._jdf.queryExecution().toString()
         assert "lag(near" not in plan and not any("row_number()" in x and "closest_frame" in x for x in plan.split("\n")), name
+
+
+def test_streamed_cells_send_the_events_of_the_batch(spark, tmp_path):
+    """Before, each pair was a key of state and each of its rows a row of the stream."""
+    df = crowd(spark, 230, 30)
+    rows = cells.blocked(cells.ready(df), df).withColumn("ts", F.timestamp_seconds(F.col("frame_index") + 1)).persist()
+    assert rows.agg(F.max("blocks")).first()[0] > 1
+    for low, high in ((0, 9), (9, 10), (10, 30)):
+        rows.where(F.col("frame_index").between(low, high - 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    last = rows.limit(1).withColumns({"video_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit(10**6))})
+    last.unionByName(last.withColumn("ts", F.timestamp_seconds(F.lit(2 * 10**6)))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = ingest.read_stream(spark, f"{tmp_path}/in", rows.schema, 1).withWatermark("ts", "0 seconds")
+    timing.cell_events_stream(source, idle_ms=1000_000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    names = ["a", "b", "frame_start", "frame_end", "closest_frame", "min_gap", "n_near"]
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = pairs.pair_events(df).select(*names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.collect())) and {r[0] for r in got.select("closed_by").distinct().collect()} == {"row", "idle"}
