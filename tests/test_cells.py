@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trackmill.operators import cells, pairs
+from trackmill.operators import cells, pairs, segments
 from trackmill.plans import QUERIES
 from trackmill.streaming import ingest, timing
 
@@ -67,3 +67,12 @@ def test_streamed_cells_send_the_events_of_the_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     want = pairs.pair_events(df).select(*names)
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.collect())) and {r[0] for r in got.select("closed_by").distinct().collect()} == {"row", "idle"}
+
+
+def test_barriers_leave_their_cells_once(spark, small):
+    """Before, each event left its cell and was exploded."""
+    df = crowd(spark)
+    e = pairs.pair_events(df).selectExpr("*", "array(a, b) AS pair", "IF(n_near > 1, struct(closest_frame AS from, closest_frame + 1 AS to), NULL) AS boundary", "CAST(NULL AS struct<from:bigint,to:bigint>) AS contact", "CAST(NULL AS array<struct<from:bigint,to:bigint>>) AS unusable")
+    want = sorted(map(tuple, segments.event_barriers(e).collect()))
+    assert sorted(map(tuple, cells.barriers(df).collect())) == want and len(want) > 1_000
+    assert "closest_frame" not in QUERIES["g3_barriers"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
