@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import usable
+from .pairs import rows_in_ranges
 from .quality import vote_count
 
 
@@ -149,6 +152,82 @@ def refine_onset(rows: DataFrame) -> DataFrame:
 
 
 FRACTIONS = (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
+#: Frames that are tried at once.
+TRIES = 2_000
+
+
+def _bends(rows: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+    """For events (rows: arrays of structs first, frame_index, t_s, x, y) the bracket of change_points, or null."""
+    events, lists = len(rows), rows.value_lengths().to_numpy(zero_copy_only=False)
+    flat, event = rows.flatten(), np.repeat(np.arange(events), lists)
+    col = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+    frame, side, values = col("frame_index"), (~col("first")).astype(np.int64), [col(c) for c in ("t_s", "x", "y")]
+    start, end = start.to_numpy(zero_copy_only=False), end.to_numpy(zero_copy_only=False)
+    low = min(frame.min(initial=0), start.min(initial=0) - 8)
+    size = max(frame.max(initial=0), end.max(initial=0) + 8) - low + 1
+    key = (event * 2 + side) * size + (frame - low)
+    order = np.argsort(key, kind="stable")
+    key, values = key[order], [v[order] for v in values]
+    # a frame is tried if both tracks have it, so their rows tell the frames of a long event
+    own = np.flatnonzero((side == 0) & (frame >= start[event]) & (frame < end[event]))
+    at_event, at_frame = event[own], frame[own]
+    again = np.lexsort((at_frame, at_event))
+    at_event, at_frame = at_event[again], at_frame[again]
+    cost = np.full(len(own), np.nan)
+    with np.errstate(all="ignore"):
+        for b in range(0, len(own), TRIES):
+            cost[b : b + TRIES] = _costs(key, values, at_event[b : b + TRIES], at_frame[b : b + TRIES] - low, size)
+    there = np.flatnonzero(~np.isnan(cost))
+    at_event, at_frame, cost = at_event[there], at_frame[there], cost[there]
+    best = np.full(events, np.inf)
+    np.minimum.at(best, at_event, cost)
+    near = np.flatnonzero(np.where(best[at_event] < 1e-18, cost == best[at_event], cost <= best[at_event] * 1.05 + 1e-10))
+    lowest, highest = np.full(events, np.iinfo(np.int64).max), np.full(events, np.iinfo(np.int64).min)
+    np.minimum.at(lowest, at_event[near], at_frame[near])
+    np.maximum.at(highest, at_event[near], at_frame[near])
+    found = best < np.inf
+    highest = np.where(best < 1e-18, lowest, highest) + 1
+    return pa.StructArray.from_arrays([pa.array(lowest), pa.array(highest)], ["from", "to"], mask=pa.array(~found))
+
+
+def _costs(key: np.ndarray, values: list[np.ndarray], event: np.ndarray, frame: np.ndarray, size: int) -> np.ndarray:
+    """The least cost of a broken line at each frame over its seven places, NaN if none counts. Sums are taken row by row, as covar_pop takes them."""
+    if not len(key):
+        return np.full(len(event), np.nan)
+    straight, broken, enough = 0.0, 0.0, np.ones(len(event), bool)
+    for side in (0, 1):
+        at, use = [], []
+        for sign, first in ((-1, 0), (1, 1)):
+            run, n = np.ones(len(event), bool), 0
+            for k in range(8):
+                wanted = (event * 2 + side) * size + frame + first + sign * k
+                i = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                run = run & (key[i] == wanted)
+                at.append(i)
+                use.append(run)
+                n = n + run
+            enough &= n >= 5
+        at, use = np.stack(at), np.stack(use)
+        t, x, y = (v[at] for v in values)
+        left, right = np.where(use[:8], t[:8], -np.inf).max(axis=0), np.where(use[8:], t[8:], np.inf).min(axis=0)
+        part = np.array(FRACTIONS)[:, None]
+        t = t[:, None] - ((1 - part) * left + part * right)
+        row = {"t": t, "z": np.maximum(t, 0.0), "x": x[:, None], "y": y[:, None]}
+        mean, c, n = dict.fromkeys(row, 0.0), dict.fromkeys(("tt", "zz", "tz", "tx", "zx", "xx", "ty", "zy", "yy"), 0.0), 0.0
+        for k, u in enumerate(use):
+            n = n + u
+            step = {v: np.where(u, r[k] - mean[v], 0.0) for v, r in row.items()}
+            mean = {v: mean[v] + step[v] / np.maximum(n, 1) for v in row}
+            c = {ab: s + np.where(u, step[ab[0]] * (row[ab[1]][k] - mean[ab[1]]), 0.0) for ab, s in c.items()}
+        c = {ab: s / n for ab, s in c.items()}
+        zz = c["zz"] - c["tz"] * c["tz"] / c["tt"]
+        line = {v: c[v + v] - c["t" + v] * c["t" + v] / c["tt"] for v in "xy"}
+        over = {v: c["z" + v] - c["tz"] * c["t" + v] / c["tt"] for v in "xy"}
+        gain = {v: np.where(zz > 1e-12 * c["tt"], o * o / zz, 0.0) for v, o in over.items()}
+        straight = straight + np.maximum(0.0, (line["x"] + line["y"]) / 2)
+        broken = broken + np.maximum(0.0, (line["x"] - gain["x"] + line["y"] - gain["y"]) / 2)
+    cost = np.where(enough & (straight > 1e-9) & (broken < straight * 0.4), broken, np.inf).min(axis=0)
+    return np.where(cost < np.inf, cost, np.nan)
 
 
 def change_points(events: DataFrame, obs: DataFrame) -> DataFrame:
@@ -156,34 +235,14 @@ def change_points(events: DataFrame, obs: DataFrame) -> DataFrame:
 
     Each frame f of an event with 5 to 8 contiguous rows of both tracks up to f and from f + 1, and each of seven places between them, is tried:
     a broken line against a straight one. It counts if the straight one misses by over 1e-9 and the broken one by under 0.4 of that. The result is
-    the bracket of all frames within 5 % of the best, or one frame for a noiseless bend. Rows meet candidates by video, track and frame;
-    all fits are sums."""
-    f = F.explode(F.sequence(F.col("frame_start"), F.col("frame_end") - 1)).alias("f")
-    cand = events.select("video_id", "event_id", F.explode(F.array("a", "b")).alias("track_id"), "frame_start", "frame_end").select("video_id", "event_id", "track_id", f)
-    cand = cand.withColumn("frame_index", F.explode(F.sequence(F.col("f") - 7, F.col("f") + 8)))
-    rows = cand.join(obs.where(usable()).select("video_id", "track_id", "frame_index", "t_s", "x", "y"), ["video_id", "track_id", "frame_index"])
-    key = ["video_id", "event_id", "f", "track_id"]
-    off = F.when(F.col("frame_index") <= F.col("f"), F.col("f") - F.col("frame_index")).otherwise(F.col("frame_index") - F.col("f") - 1)
-    rows = rows.withColumns({"off": off, "after": F.col("frame_index") > F.col("f")})
-    # a row counts if all nearer ones of its side are there
-    rows = rows.withColumn("nearer", F.row_number().over(Window.partitionBy(*key, "after").orderBy("off")) - 1).where("nearer = off")
-    of = Window.partitionBy(*key)
-    rows = rows.withColumns({"left": F.count_if(~F.col("after")).over(of), "right": F.count_if("after").over(of), "t_left": F.max(F.when(~F.col("after"), F.col("t_s"))).over(of), "t_right": F.min(F.when(F.col("after"), F.col("t_s"))).over(of)})
-    rows = rows.where("left >= 5 AND right >= 5").withColumn("part", F.explode(F.array(*map(F.lit, FRACTIONS))))
-    t = F.col("t_s") - ((1 - F.col("part")) * F.col("t_left") + F.col("part") * F.col("t_right"))
-    rows = rows.withColumns({"t": t, "z": F.greatest(t, F.lit(0.0))})
-    cov = lambda a, b: (F.covar_pop(a, b)).alias(f"c_{a}{b}")
-    sums = rows.groupBy(*key, "part").agg(*[cov(a, b) for a, b in (("t", "t"), ("z", "z"), ("t", "z"), ("t", "x"), ("z", "x"), ("x", "x"), ("t", "y"), ("z", "y"), ("y", "y"))])
-    c = lambda n: F.col(f"c_{n}")
-    zz = c("zz") - c("tz") * c("tz") / c("tt")
-    line = lambda v: c(v + v) - c("t" + v) * c("t" + v) / c("tt")
-    gain = lambda v: F.when(zz > 1e-12 * c("tt"), (c("z" + v) - c("tz") * c("t" + v) / c("tt")) * (c("z" + v) - c("tz") * c("t" + v) / c("tt")) / zz).otherwise(0.0)
-    sums = sums.withColumns({"straight": F.greatest(F.lit(0.0), (line("x") + line("y")) / 2), "broken": F.greatest(F.lit(0.0), (line("x") - gain("x") + line("y") - gain("y")) / 2)})
-    tries = sums.groupBy("video_id", "event_id", "f", "part").agg(F.count("*").alias("tracks"), F.sum("straight").alias("straight"), F.sum("broken").alias("broken"))
-    fits = tries.where("tracks = 2 AND straight > 1e-9 AND broken < straight * 0.4").groupBy("video_id", "event_id", "f").agg(F.min("broken").alias("cost"))
-    best = fits.withColumn("best", F.min("cost").over(Window.partitionBy("video_id", "event_id")))
-    out = best.groupBy("video_id", "event_id", "best").agg(
-        F.min_by("f", F.struct("cost", "f")).alias("only"), F.min(F.when(F.col("cost") <= F.col("best") * 1.05 + 1e-10, F.col("f"))).alias("low"), F.max(F.when(F.col("cost") <= F.col("best") * 1.05 + 1e-10, F.col("f"))).alias("high")
-    )
-    clean = F.col("best") < 1e-18
-    return out.select("video_id", "event_id", F.when(clean, F.col("only")).otherwise(F.col("low")).alias("from"), (F.when(clean, F.col("only")).otherwise(F.col("high")) + 1).alias("to"))
+    the bracket of all frames within 5 % of the best, or one frame for a noiseless bend. Rows meet events by video, track and buckets of frames and
+    leave that join once for each event, not for each frame and place that is tried; fits run in numpy for many events at once."""
+    keys = ["video_id", "event_id", "frame_start", "frame_end"]
+    lo, hi = (F.col("frame_start") - 7).alias("lo"), (F.col("frame_end") + 7).alias("hi")
+    tracks = F.explode(F.array(*[F.struct(F.lit(c == "a").alias("first"), F.col(c).alias("track_id")) for c in "ab"]))
+    own = events.where("a <> b AND frame_start < frame_end").select(*keys, lo, hi, tracks.alias("m")).select(*keys, "lo", "hi", "m.*")
+    rows = rows_in_ranges(own, obs.where(usable()).select("video_id", "track_id", "frame_index", "t_s", "x", "y"), [*keys, "first"], 32)
+    fields = F.struct("first", F.col("frame_index").cast("long").alias("frame_index"), *[F.col(c).cast("double").alias(c) for c in ("t_s", "x", "y")])
+    each = rows.groupBy(*keys).agg(F.collect_list(fields).alias("rows"))  # 2 * (length + 14) rows
+    found = F.arrow_udf(_bends, "struct<from:bigint,to:bigint>")("rows", F.col("frame_start").cast("long"), F.col("frame_end").cast("long"))
+    return each.select("video_id", "event_id", found.alias("found")).where("found IS NOT NULL").select("video_id", "event_id", "found.from", "found.to")
