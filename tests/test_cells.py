@@ -38,6 +38,11 @@ def test_few_meetings_are_picked(spark):
     assert sorted((r.a, r.b, r.closest_frame) for r in got) == [(t, t + 1, 50 * t + 50) for t in range(219)]
 
 
+def test_pairs_of_frames_are_dealt_over_all_partitions(spark):
+    """Before, a few tasks had all pairs: partitions were put together by the bytes of their rows."""
+    assert pairs.frame_pairs(crowd(spark)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
 def test_no_query_sorts_all_pairs(spark, small):
     """Before, a window over each pair's rows sorted and spilled all pairs of a video."""
     for name in ("a13_event_id", "g7_pair_events", "g3_barriers", "f1_run_report"):
