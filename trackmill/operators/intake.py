@@ -244,5 +244,5 @@ def change_points(events: DataFrame, obs: DataFrame) -> DataFrame:
     rows = rows_in_ranges(own, obs.where(usable()).select("video_id", "track_id", "frame_index", "t_s", "x", "y"), [*keys, "first"], 32)
     fields = F.struct("first", F.col("frame_index").cast("long").alias("frame_index"), *[F.col(c).cast("double").alias(c) for c in ("t_s", "x", "y")])
     each = rows.groupBy(*keys).agg(F.collect_list(fields).alias("rows"))  # 2 * (length + 14) rows
-    found = F.arrow_udf(_bends, "struct<from:bigint,to:bigint>")("rows", F.col("frame_start").cast("long"), F.col("frame_end").cast("long"))
+    found = F.arrow_udf(_bends, "struct<from:bigint,to:bigint>").asNondeterministic()("rows", F.col("frame_start").cast("long"), F.col("frame_end").cast("long"))  # so called, it isn't run again by the filter
     return each.select("video_id", "event_id", found.alias("found")).where("found IS NOT NULL").select("video_id", "event_id", "found.from", "found.to")
