@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
-from trackmill.operators import cells, pairs, segments
+from trackmill.operators import cells, pairs, quality, segments
 from trackmill.plans import QUERIES
 from trackmill.streaming import ingest, timing
 
@@ -81,3 +82,33 @@ def test_barriers_leave_their_cells_once(spark, small):
     want = sorted(map(tuple, segments.event_barriers(e).collect()))
     assert sorted(map(tuple, cells.barriers(df).collect())) == want and len(want) > 1_000
     assert "closest_frame" not in QUERIES["g3_barriers"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_are_those_of_the_events(spark):
+    """Whatever number of frames is counted together, with frames missing from the whole video and tracks named by text."""
+    df = crowd(spark, 120, 60).where("frame_index % 11 NOT IN (3, 4) AND frame_index NOT BETWEEN 40 AND 47")
+    every = pairs.frame_pairs(df).select("video_id", "a", "b").distinct()
+    for gap, frames in ((2, cells.FRAMES), (2, 5), (0, 3), (5, 1)):
+        want = pairs.pair_events(df, gap, only=every).groupBy("video_id", "a").count()
+        got = cells.counts(df, gap, frames).groupBy("video_id", "track_id").agg(F.sum("n"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100, (gap, frames)
+    named = df.withColumn("track_id", F.format_string("t%03d", "track_id"))
+    assert cells.counts(named).agg(F.sum("n")).first() == cells.counts(df).agg(F.sum("n")).first()
+
+
+def test_report_of_counts_is_that_of_events(spark):
+    df = crowd(spark, 120, 20).selectExpr("*", "frame_index * 1.0D AS t_s", "'observation' AS source", "'ok' AS identity_status", "false AS assignment_ambiguous", "true AS observable", "'inside_floor' AS surface_status", "CAST(NULL AS string) AS measurement_warning")
+    t = df.selectExpr("video_id", "x AS vx", "CAST(NULL AS double) AS omega", "false AS uses_warned")
+    report = lambda events, a, *n: sorted(map(tuple, quality.run_report(df, t, events.select("video_id", (F.col(a) % 2 == 0).alias("fit_eligible"), *n)).select("video_id", "event_candidates", "eligible_events").collect()))
+    got = report(cells.counts(df), "track_id", "n")
+    assert got == report(pairs.pair_events(df), "a") and got[0][1] > got[0][2] > 100 and got[1] == (2, 0, 0)
+
+
+def test_report_sends_rows_once_or_twice(spark, small, tmp_path, monkeypatch):
+    """However many tracks there are: before, a row went to as many cells as its video had blocks, and each event was a row."""
+    duckdb.sql(f"COPY (SELECT event_id + i * 1000 AS event_id, ts, user_id + i * 20 AS user_id, event_type, value, props FROM '{small}/events.parquet', range(200) r(i)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    sent, frame = [], type(spark.range(1))
+    own = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (sent.append(self.count()), own(self, *a, **k))[1])
+    plan = QUERIES["f1_run_report"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < sent[0] <= 1.3 * 200_000 and "block_i" not in plan and "min_gap" not in plan

@@ -30,6 +30,20 @@ def test_steps_that_fall_count_as_in_sql(spark, copies, name):
     assert plain(ours, columns) == plain(theirs, columns) and len(ours) == 3_000
 
 
+def test_report_of_odd_rows(spark, small, tmp_path):
+    """Before, rows without a place were not counted, and those without a track were a video."""
+    con = duckdb.connect()
+    con.sql(f"""COPY (SELECT event_id + i * 1000 AS event_id, CASE WHEN event_id % 83 <> 0 THEN ts END AS ts, CASE WHEN event_id % 97 <> 0 THEN user_id + i * 20 END AS user_id, event_type,
+CASE WHEN event_id % 7 <> 0 THEN value WHEN event_id % 77 = 0 THEN 'nan'::DOUBLE END AS value, CASE WHEN event_id % 13 <> 0 THEN props END AS props FROM '{small}/events.parquet', range(8) r(i)
+WHERE extract(hour FROM ts) % 7 NOT IN (2, 3) ORDER BY 1) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    theirs = con.sql(ORACLES["f1_run_report"])
+    columns = sorted(theirs.columns)
+    theirs = [dict(zip(theirs.columns, r)) for r in theirs.fetchall()]
+    ours = [r.asDict() for r in QUERIES["f1_run_report"](spark, str(tmp_path)).collect()]
+    assert plain(ours, columns) == plain(theirs, columns) and sum(r["event_candidates"] for r in ours) > 100
+
+
 def test_assignment_of_many_in_time():
     """300 by 300 took minutes before; what is worse by less is what solving again says."""
     rng = np.random.default_rng(2)

@@ -98,11 +98,13 @@ def issues(obs: DataFrame, cap: int | None = 10_000) -> DataFrame:
 
 def run_report(obs: DataFrame, trajectories: DataFrame, events: DataFrame) -> DataFrame:
     """The counts of run_quality and, for each video, expected_track_frames (frames times tracks), observed_fraction, rows of trajectories
-    (vx, omega, uses_warned) with a velocity, with a turning rate and from warned observations, and events (fit_eligible)."""
+    (vx, omega, uses_warned) with a velocity, with a turning rate and from warned observations, and events (fit_eligible; n: for how many a row stands, one
+    without it)."""
     q = run_quality(obs).withColumn("expected_track_frames", F.col("frames") * F.col("tracks"))
     q = q.withColumn("observed_fraction", F.coalesce(F.try_divide("rows", "expected_track_frames"), F.lit(0.0)))
     t = trajectories.groupBy("video_id").agg(F.count("vx").alias("velocity_rows"), F.count("omega").alias("angular_rows"), F.count_if(F.coalesce("uses_warned", F.lit(False))).alias("warned_calculation_rows"))
-    e = events.groupBy("video_id").agg(F.count("*").alias("event_candidates"), F.count_if(F.coalesce("fit_eligible", F.lit(False))).alias("eligible_events"))
+    n = F.col("n") if "n" in events.columns else F.lit(1)
+    e = events.groupBy("video_id").agg(F.sum(n).alias("event_candidates"), F.sum(F.when(F.col("fit_eligible"), n)).alias("eligible_events"))
     out = q.join(t, "video_id", "left").join(e, "video_id", "left")
     return out.fillna(0, ["velocity_rows", "angular_rows", "warned_calculation_rows", "event_candidates", "eligible_events"])
 
