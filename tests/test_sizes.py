@@ -63,6 +63,40 @@ def test_assignment_of_many_in_time():
                 assert scoring._worse_by_less(own, i, solved, 5.0) == (total(other) - total(own) < 5.0)
 
 
+def test_labels_at_equal_places_in_time(spark):
+    """Before, all candidates of a frame were joined, sorted and counted in windows, and equal places searched one by one."""
+    rng = np.random.default_rng(5)
+    small = [(1, f, k, float(rng.integers(0, 6)), float(rng.integers(0, 3)), 4.0) for f in range(60) for k in range(14)]
+    guess = [(1, f, k, float(rng.integers(0, 12)) / 2, float(rng.integers(0, 3))) for f in range(60) for k in range(12)]
+    small[:3] = [(1, 0, 0, float("nan"), 1.0, 4.0), (1, 0, 1, None, 1.0, 4.0), (1, 0, 2, 2.0, 1.0, None)]
+    crowd = [(2, f, k, 50.0 * (k % 3), 0.0, 10.0) for f in range(3) for k in range(1500)]
+    found = [(2, f, k, 50.0 * (k % 3) + (k % 7 - 3) * 0.5, 0.0) for f in range(3) for k in range(1400)]
+    t = spark.createDataFrame(small + crowd, "video_id long, frame_index long, track_id long, x double, y double, radius double")
+    p = spark.createDataFrame(guess + found, "video_id long, frame_index long, track_id long, x double, y double")
+    plan = scoring.match_labels(t, p)
+    assert "Join" not in plan._jdf.queryExecution().toString() and "Window" not in plan._jdf.queryExecution().toString()
+    since, got = time.time(), {}
+    for r in plan.collect():
+        got.setdefault((r.video_id, r.frame_index), []).append(r)
+    assert time.time() - since < 60
+    for f in range(60):
+        a, b = [r for r in small if r[1] == f and None not in r and r[3] == r[3]], [r for r in guess if r[1] == f]
+        cost = np.array([[d if (d := np.hypot(x[3] - y[3], x[4] - y[4])) <= 2 else np.inf for y in b] for x in a])
+        want = scoring._assign(cost)
+        own = got[1, f]
+        assert len(own) == len(want) == len({r.truth_id for r in own}) == len({r.pred_id for r in own}) and abs(sum(r.distance for r in own) - sum(cost[i, j] for i, j in want)) < 1e-9
+    for f in range(3):
+        own = got[2, f]
+        assert len(own) == 1400 == len({r.truth_id for r in own}) == len({r.pred_id for r in own}) and abs(sum(r.distance for r in own) - sum(abs(k % 7 - 3) * 0.5 for k in range(1400))) < 1e-6
+
+
+def test_tracks_of_one_id_are_one(spark):
+    t = spark.createDataFrame([(1, 0, 7, 0.0, 0.0, 20.0), (1, 0, 7, 3.0, 0.0, 20.0), (1, 0, 8, 6.0, 0.0, 20.0)], "video_id long, frame_index long, track_id long, x double, y double, radius double")
+    p = spark.createDataFrame([(1, 0, 1, 2.0, 0.0), (1, 0, 2, 5.0, 0.0), (1, 0, 3, 5.0, 0.0)], "video_id long, frame_index long, track_id long, x double, y double")
+    got = sorted((r.truth_id, r.pred_id in (2, 3), r.distance) for r in scoring.match_labels(t, p).collect())
+    assert got == [(7, False, 1.0), (8, True, 1.0)]
+
+
 def test_contact_times_of_many_events_in_time(spark):
     """The 10,000 events of sf0.01 took over a minute before: each was searched by an expression over its columns."""
     own = [(1, 2 * n + side, f, f / 100, n + (f - 9.5) * (1 if side else -1) * (1 if f < 10 else -1) + 20.0 * side, 0.0, 10.0) for n in range(500) for side in (0, 1) for f in range(20)]
