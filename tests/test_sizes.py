@@ -9,6 +9,7 @@ import pytest
 from test_queries import plain
 from trackmill.operators import refine, scoring
 from trackmill.plans import ORACLES, QUERIES
+from trackmill.streaming import association
 
 
 @pytest.fixture(scope="module")
@@ -97,6 +98,38 @@ def test_tracks_of_one_id_are_one(spark):
     assert got == [(7, False, 1.0), (8, True, 1.0)]
 
 
+def test_association_of_many_in_time():
+    """600 detections at 9 places took minutes for a frame before; what is unsure is what solving again says."""
+    gate, rng = association.Gate(), np.random.default_rng(9)
+    state, since = association.Tracks(), time.time()
+    for f in range(4):
+        association.step(state, f, [(1000 * f + k, 30.0 * (k % 3) + f, 40.0 * (k // 3 % 3), 10.0, 7 * k if k % 3 == 0 else None) for k in range(600)], gate)
+    assert time.time() - since < 20 and 600 <= len(state.own) <= 700
+    unsure = 0
+    for _ in range(40):
+        state = association.Tracks()
+        association.step(state, 0, [(k, float(rng.integers(0, 3)) * 25, float(rng.integers(0, 2)) * 30 + 0.01 * int(rng.integers(0, 2)), 10.0, int(m) if (m := rng.integers(-3, 4)) > 0 else None) for k in range(6)], gate)
+        own = [dict(t) for t in state.own]
+        dets = [(10 + k, float(rng.integers(0, 3)) * 25, float(rng.integers(0, 2)) * 30, 10.0, int(m) if (m := rng.integers(-3, 4)) > 0 else None) for k in range(5)]
+        cost = np.full((6, 11), np.inf)
+        for i, t in enumerate(own):
+            cost[i, 5 + i] = 48.0
+            for j, d in enumerate(dets):
+                far, same = np.hypot(t["x"] - d[1], t["y"] - d[2]), t["marker"] is not None and t["marker"] == d[4]
+                if far <= 40 and (same or None in (t["marker"], d[4])):
+                    cost[i, j] = far + (0 if same else 8)
+        total = lambda c: sum(c[i, j] for i, j in enumerate(scoring._solve(c)[0]))
+        rows = association.step(state, 1, dets, gate)
+        hit = {r[1]: (r[2] - 10, r[6]) for r in rows if r[2] is not None and r[1] < 6}
+        assert abs(sum(cost[i, hit[i][0] if i in hit else 5 + i] for i in range(6)) - total(cost)) < 1e-9
+        for i, (j, ambiguous) in hit.items():
+            other = cost.copy()
+            other[i, j] = np.inf
+            assert ambiguous == (total(other) - total(cost) < 5)
+            unsure += ambiguous
+    assert 20 < unsure
+
+
 def test_contact_times_of_many_events_in_time(spark):
     """The 10,000 events of sf0.01 took over a minute before: each was searched by an expression over its columns."""
     own = [(1, 2 * n + side, f, f / 100, n + (f - 9.5) * (1 if side else -1) * (1 if f < 10 else -1) + 20.0 * side, 0.0, 10.0) for n in range(500) for side in (0, 1) for f in range(20)]
