@@ -1,8 +1,10 @@
 """Pairs in cells of blocks, and what is looked up for their tracks."""
 
 import random
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from trackmill.operators import cells, pairs, quality, segments
@@ -75,6 +77,33 @@ def test_streamed_cells_send_the_events_of_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.collect())) and {r[0] for r in got.select("closed_by").distinct().collect()} == {"row", "idle"}
 
 
+def test_state_of_a_cell_is_that_of_the_last_frames(spark):
+    """Before, the last event of each pair stayed in the state until the pair came again."""
+    df = crowd(spark, 120, 60)
+    own = cells.each_cell(cells.blocked(cells.ready(df), df)).where("video_id = 1").withColumn("ts", F.timestamp_seconds("frame_index")).toPandas()
+    cut, sent, most, total = {}, [], 0, 0
+
+    class Value(dict):
+        exists = lambda self: "v" in self
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+
+    for low in range(0, 60, 10):
+        for key, rows in own[own.frame_index.between(low, low + 9)].groupby(list(cells.CELL)):
+            state = cut.setdefault(key, Value())
+            walk = timing.CellEvents(2, 8, None)
+            walk.init(SimpleNamespace(getValueState=lambda *_, state=state: state))
+            for out in walk.handleInputRows(key, iter([rows]), None):
+                sent += list(out.drop(columns=["kind", "closed_by", "video_id"]).itertuples(index=False, name=None))
+        held = [np.frombuffer(s.get()[0], timing.OPEN) for s in cut.values() if s.exists()]
+        assert all((h["end"] >= low + 10 - 4).all() for h in held)
+        most = max(most, sum(map(len, held)))
+    names = ["a", "b", "frame_start", "frame_end", "closest_frame", "min_gap", "n_near"]
+    sent += [tuple(x[c] for c in ("u", "v", "start", "end", "closest", "least", "n")) for h in held for x in h]
+    key = lambda r: (min(r[:2]), max(r[:2]), *r[2:])
+    assert sorted(map(key, sent)) == sorted(map(tuple, pairs.pair_events(df).select(*names).collect())) and most < len(sent) / 8
+
+
 def test_barriers_leave_their_cells_once(spark, small):
     """Before, each event left its cell and was exploded."""
     df = crowd(spark)
