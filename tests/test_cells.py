@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from trackmill.operators import cells, pairs, quality, segments
+from trackmill.operators import cells, pairs, quality, segments, trials
 from trackmill.plans import QUERIES
 from trackmill.streaming import ingest, timing
 
@@ -141,3 +141,30 @@ def test_report_sends_rows_once_or_twice(spark, small, tmp_path, monkeypatch):
     monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: (sent.append(self.count()), own(self, *a, **k))[1])
     plan = QUERIES["f1_run_report"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < sent[0] <= 1.3 * 200_000 and "block_i" not in plan and "min_gap" not in plan
+
+
+def test_ranges_by_frame_are_those_of_joined_pairs(spark):
+    """Whatever number of frames a part has, with frames missing from the whole video, and long events at its end."""
+    rng = random.Random(3)
+    long = [(3, f, t, 5.0 * t, float(f % 2), 10.0, "observed") for f in range(45) for t in range(6) if rng.random() < 0.85]
+    ends = [(4, f, t, 5.0 * t + (90 if f in late else 0), 0.0, 10.0, "observed") for t, late in ((0, ()), (1, (12,)), (2, (14,)), (3, ())) for f in range(15) if (t, f) != (3, 13)]
+    df = crowd(spark, 90, 60).where("frame_index % 11 NOT IN (3, 4) AND frame_index NOT BETWEEN 40 AND 47").unionByName(spark.createDataFrame(long + ends, SCHEMA)).persist()
+    every = pairs.frame_pairs(df).select("video_id", "a", "b").distinct()
+    for gap, persistent, frames in ((2, 8, cells.FRAMES), (2, 3, 1), (0, 2, 5), (4, 8, 1)):
+        want = pairs.pair_events(df, gap, persistent, only=every).persist()
+        chains = cells.chain_events(df, gap, persistent, frames)
+        assert sorted(map(tuple, chains.collect())) == sorted(map(tuple, want.where("n_near > 1").collect())), (gap, persistent, frames)
+        got = cells.frame_ranges(df, chains, gap, frames)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cells.ranges(want).select(got.columns).collect())), (gap, persistent, frames)
+
+
+def test_contacts_and_counts_come_by_frame(spark, small):
+    """Before, all events left their cells so that their ranges were found, and were found again."""
+    more = ("'observation' AS source", "'ok' AS identity_status", "false AS assignment_ambiguous", "true AS observable", "'inside_floor' AS surface_status", "0.0D AS t_s")
+    df = crowd(spark, 100, 40).selectExpr("*", *more).persist()
+    want = trials.reject_pair_noncontact(df, 0.2, 230.0, 40).groupBy("video_id", "kind").count()
+    got = sorted(map(tuple, trials.count_pair_noncontact(df, 0.2, 230.0, 40).collect()))
+    assert got == sorted(map(tuple, want.collect())) and {r[1] for r in got} >= {"unmeasurable", "noncontact_pass"}
+    for name, most in (("e5_contact_graph", 1), ("e6_supporting_rows", 1), ("b12_reject_noncontact", 0)):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("RepartitionByExpression" in x and "block_i" in x for x in plan.split("\n")) <= most, name
